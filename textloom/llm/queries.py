@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import decontaminate, language_id, license_scan, mixing, quality, url_filter
+from textloom.llm import decontaminate, language_id, license_scan, mixing, ngram_join, quality, url_filter
 from textloom.llm._spark import documents
 
 #: (verdict, rule) of the op9 query.
@@ -18,6 +18,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 5-word shingles and a Jaccard similarity of 0.75 or more."""
+    profile, _, classes = ngram_join.join(documents(spark, sf_dir))
+    return ngram_join.labelled(profile, classes)
+
+
 def _held(parts: int, rest: int) -> F.Column:
     return F.coalesce(language_id.fold("doc_id", parts) == rest, F.lit(False)).alias("held_out")
 
@@ -53,4 +59,4 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(documents(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_mix_sources, op6_license_scan, op7_quality, op9_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op6_license_scan, op7_quality, op9_url_filter)}
