@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import decontaminate, language_id, license_scan, mixing, ngram_join, quality, url_filter
+from textloom.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, quality, url_filter
 from textloom.llm._spark import documents
 
 #: (verdict, rule) of the op9 query.
@@ -59,4 +59,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(documents(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op6_license_scan, op7_quality, op9_url_filter)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat, exactly or within two edits, an earlier line."""
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op6_license_scan, op7_quality, op9_url_filter, op10_line_dedup)}
