@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, quality, url_filter
+from textloom.llm import ann, decontaminate, language_id, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, url_filter
 from textloom.llm._spark import documents
 
 #: (verdict, rule) of the op9 query.
@@ -40,6 +40,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; learned from nine of ten folds of ids."""
+    held = _held(10, 0)
+    scored = lm_score.score(documents(spark, sf_dir), ~held)
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices of every document."""
     found = license_scan.scan(documents(spark, sf_dir))
@@ -54,6 +61,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model).select("doc_id", _held(3, 1), "score", "predicted")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors, by inner product, of every twentieth."""
+    return ann.nearest(documents(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's address."""
     return url_filter.judge(documents(spark, sf_dir, "pages"), URL_RULES)
@@ -64,4 +76,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op6_license_scan, op7_quality, op9_url_filter, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op5_lm_score, op6_license_scan, op7_quality, op8_nearest, op9_url_filter, op10_line_dedup)}
