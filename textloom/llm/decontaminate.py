@@ -276,3 +276,34 @@ def cut(docs: DataFrame, found: DataFrame, span_words: int = WINDOW, share: floa
         a -> concat(a.out, substring({raw}, a.at + 1))), 'UTF-8')"""
     both = both.withColumn("__text", F.col(text)).withColumn(text, F.when(F.coalesce(F.size("__spans"), F.lit(0)) > 0, F.expr(kept)).otherwise(F.col(text)))
     return both.select(*docs.columns)
+
+
+def _clean(items: list[tuple[object, bytes]], window: int, key: str, column: int, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(key, items, window)
+        for batch in batches:
+            good = np.ones(batch.num_rows, dtype=bool)
+            for first, end, data, offs in slices(batch.column(column)):
+                words = Words(data, offs, ALNUM)
+                hit, _ = automaton.match(words)
+                n_hit = np.bincount(words.document()[hit], minlength=end - first)
+                good[first:end] = (n_hit == 0) | (n_hit < share * words.counts)
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, whole and with all columns, but for those of whose words the share or more are in windows of the benchmark.
+
+    Null and empty texts stay. With one block of items rows are judged where they are, and
+    texts are not shuffled; with more, the judged ids are joined, and have to be unique.
+    """
+    blocks = list(_blocks(benchmark, item, item_text))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        key = hashlib.sha256(repr((window, blocks[0])).encode()).hexdigest()
+        return docs.mapInArrow(_clean(blocks[0], window, key, docs.columns.index(text), share), docs.schema)
+    bad = judged(matches(docs, benchmark, window, doc, text, item, item_text), share).where("contaminated").select(F.col("doc_id").alias("__doc"))
+    return docs.join(bad, docs[doc] == bad["__doc"], "left_anti")

@@ -126,3 +126,17 @@ def digest(docs: DataFrame, block: int = BLOCK, seed: int = 0, **columns: str) -
     taken = held.join(uses, ["sid", "block"], "left").groupBy("sid", "begin", "doc_id", "size").agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
     every = taken.select("doc_id", "sid", "size", "taken").unionByName(tagged.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return every.join(sources, "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def placed(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents with size, source_size, target, taken and placements (shard, slot, at, n): where the mix puts which of their words.
+
+    Placements are in the order of shard and slot; slot numbers count within the source.
+    A document that no slot takes has none and stays. Rows that share an id share all of it.
+    """
+    placements, sources, sized = mix(docs, block, seed, doc=doc, text=text, source=source)
+    put = placements.groupBy("doc_id").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "slot", "at", "n"))).alias("placements"))
+    size = sized.groupBy("doc_id").agg(F.sum("size").alias("size"), F.min("sid").alias("sid")).join(sources.select("sid", "source_size", "target"), "sid").drop("sid")
+    none = F.array().cast("array<struct<shard:bigint,slot:bigint,at:bigint,n:bigint>>")
+    notes = size.join(put, size["doc_id"].eqNullSafe(put["doc_id"]), "left").select(size["doc_id"].alias("__doc"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("placements", none).alias("placements"))
+    return docs.join(notes, docs[doc].cast("long").eqNullSafe(F.col("__doc")), "left").select(*(docs[c] for c in docs.columns), *(c for c in notes.columns if c != "__doc"))

@@ -393,3 +393,18 @@ def labelled(profile: DataFrame, classes: DataFrame) -> DataFrame:
     low = tied.groupBy("c").agg(F.min("first").alias("component_id"))
     named = tied.join(low, "c").select("key", "component_id")
     return profile.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: Ids up to this number may be broadcast to leave their documents out; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def distinct(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, with one, that of the smallest id, of each component.
+
+    Texts without words, and rows whose id is null, stay. Rows that share an id are one document.
+    """
+    profile, _, classes = join(docs, width, threshold, doc, text)
+    gone = written(labelled(profile, classes).where("component_id < doc_id").select(F.col("doc_id").alias("__doc")).distinct(), "copies")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[doc] == gone["__doc"], "left_anti")
