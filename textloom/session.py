@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,4 +26,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables; a file or a folder of parts."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, so that Python functions of its modules load there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="textloom-", suffix=".zip", delete=False) as out, zipfile.ZipFile(out, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(out.name)
+    _shipped.add(app)
