@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality
-from textloom.llm._spark import documents, written
+from textloom.llm._spark import written
+from textloom.session import table as documents
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

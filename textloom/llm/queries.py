@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import ann, decontaminate, language_id, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, url_filter
-from textloom.llm._spark import documents
+from textloom.session import table as documents
 
 #: (verdict, rule) of the op9 query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
