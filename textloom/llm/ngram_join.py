@@ -37,6 +37,8 @@ MOST_COMBINED = 40
 SEGMENT_ENTRIES = 1_500_000
 #: Bits of the filter by which a pass over the texts finds the sets to verify: 4 MB, broadcast.
 FILTER_BITS = 25
+#: Entries of one packed row, about 10 bytes each: large rows burden the executors' heaps.
+ROW_ENTRIES = 8_192
 FLUSH = 16_384
 
 _TOKEN = U64((1 << 61) - 1)
@@ -176,7 +178,7 @@ def _index(classes: bytes, segments: int, width: int, threshold: tuple[int, int]
                     sizes.append(int(bounds[d + 1] - bounds[d]))
                     rares.append(2 * rare + single)
                     entries += len(x)
-                    if len(sigs) >= FLUSH or entries >= 1 << 21:
+                    if len(sigs) >= FLUSH or entries >= segments * ROW_ENTRIES:
                         yield flush()
                         entries = 0
         if sigs:
