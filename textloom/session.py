@@ -24,7 +24,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """One of the Parquet tables; a file or a folder of parts."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
