@@ -40,6 +40,8 @@ FILTER_BITS = 25
 #: Entries of one packed row, about 10 bytes each: large rows burden the executors' heaps.
 ROW_ENTRIES = 8_192
 FLUSH = 16_384
+#: Bits of a set's parity sketch: bit b is the parity of the number of its shingles that hash to b.
+PARITY_BITS = 1024
 
 _TOKEN = U64((1 << 61) - 1)
 
@@ -64,9 +66,20 @@ def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, n
     return token, bounds, keys
 
 
+_PROFILE = "doc_id long, n long, key long, parity array<long>, segment int, sketch binary"
+
+
+def _parities(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The parity sketch of each set: two sets differ in at least as many shingles as their sketches in bits."""
+    place = np.repeat(np.arange(len(n)), n) * PARITY_BITS + (mix(token ^ U64(0x7777)) & U64(PARITY_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(n) * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(n), PARITY_BITS), axis=1).view(np.int64)
+
+
 def _profile(width: int):
-    """doc_id, n, key of each row, then the sketch of the partition's distinct sets by segment."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("segment", pa.int32()), ("sketch", pa.binary())])
+    """doc_id, n, key of each row, the parity sketch of each distinct set, then the frequency sketch of the partition's sets by segment."""
+    words = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", words), ("segment", pa.int32()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
@@ -83,12 +96,15 @@ def _profile(width: int):
                 slot, times = np.unique((token[np.repeat(fresh, n)] & U64((1 << SKETCH_BITS) - 1)).astype(np.int64), return_counts=True)
                 counts[slot] = np.minimum(counts[slot].astype(np.int64) + times, 65535)
                 empty = pa.nulls(end - first, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys.view(np.int64), pa.int64(), mask=n == 0), empty, pa.nulls(end - first, pa.binary())], schema=schema)
+                bits = _parities(token[np.repeat(fresh, n)], n[fresh])
+                starts = np.append(0, np.cumsum(fresh * bits.shape[1])).astype(np.int32)
+                parity = pa.ListArray.from_arrays(pa.array(starts, pa.int32(), mask=np.append(~fresh, False)), pa.array(bits.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys.view(np.int64), pa.int64(), mask=n == 0), parity, empty, pa.nulls(end - first, pa.binary())], schema=schema)
         if known:
             each = counts.reshape(SEGMENTS, -1)
             blobs = [zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].tobytes(), 1) for x in each]
             none = pa.nulls(SEGMENTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SEGMENTS, words), pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
     return run
 
@@ -115,8 +131,12 @@ def _least(n: np.ndarray | int, threshold: tuple[int, int]) -> np.ndarray | int:
     return -(-n * threshold[0] // threshold[1])
 
 
-def _signatures(token: np.ndarray, classes: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, int, bool]:
-    """(signatures, number of rare shingles, whether it indexes frequent ones singly) of one set."""
+def _signatures(token: np.ndarray, classes: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """(signatures, places, number of rare shingles, whether it indexes frequent ones singly) of one set.
+
+    A place says how many shingles of the set come before those that the signature stands
+    for: two sets whose first shared shingles these are share n - place at most.
+    """
     order = np.argsort((classes[(token & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(U64) << U64(61)) | token, kind="stable")
     rare = int(len(token) - np.count_nonzero(classes[(token & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)]))
     n = len(token)
@@ -125,18 +145,20 @@ def _signatures(token: np.ndarray, classes: np.ndarray, threshold: tuple[int, in
     singles = mix(prefix[:rare]) & ~U64(1)
     often = prefix[rare:]
     single = len(often) > MOST_COMBINED
-    parts = [singles]
+    parts, places = [singles], [np.arange(len(singles))]
     if n == 1 or _least(n, threshold) < 2:
         single = single or bool(len(often))  # one shared shingle may be all there is
     if len(often):
         parts.append(mix(often ^ U64(0x5851F42D4C957F2D)) | U64(1))
+        places.append(rare + np.arange(len(often)))
         if not single:
             i, j = np.triu_indices(len(often), 1)
             parts.append(mix(often[i] * U64(3) + mix(often[j])) & ~U64(1))
-    return np.concatenate(parts), rare, single
+            places.append(rare + j - 1)
+    return np.concatenate(parts), np.minimum(np.concatenate(places), 65535).astype(np.uint16), rare, single
 
 
-_INDEX = "segment int, sigs binary, owners binary, keys binary, sizes binary, rares binary"
+_INDEX = "segment int, sigs binary, owners binary, places binary, keys binary, sizes binary, rares binary"
 
 
 def _index(classes: bytes, segments: int, width: int, threshold: tuple[int, int]):
@@ -145,24 +167,24 @@ def _index(classes: bytes, segments: int, width: int, threshold: tuple[int, int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(classes), np.uint8)
         known: set[int] = set()
-        sigs, keys, sizes, rares = [], [], [], []
+        sigs, places, keys, sizes, rares = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
             owner = np.repeat(np.arange(len(sigs), dtype=np.uint16), [len(x) for x in sigs])
-            flat = np.concatenate(sigs)
+            flat, place = np.concatenate(sigs), np.concatenate(places)
             order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
+            flat, owner, place = flat[order], owner[order], place[order]
             edges = np.searchsorted(flat, np.array([(i << 64) // segments for i in range(1, segments)], dtype=U64)) if segments > 1 else []
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], [], []]
             own = [np.array(keys, U64), np.array(sizes, np.uint32), np.array(rares, np.uint32)]
-            for s, (x, o) in enumerate(zip(np.split(flat, edges), np.split(owner, edges), strict=True)):
+            for s, (x, o, at) in enumerate(zip(np.split(flat, edges), np.split(owner, edges), np.split(place, edges), strict=True)):
                 if len(x):
                     used, local = np.unique(o, return_inverse=True)
-                    for column, value in zip(columns, (s, x.tobytes(), local.astype(np.uint16).tobytes(), *(y[used].tobytes() for y in own)), strict=True):
+                    for column, value in zip(columns, (s, x.tobytes(), local.astype(np.uint16).tobytes(), at.tobytes(), *(y[used].tobytes() for y in own)), strict=True):
                         column.append(value)
-            for x in (sigs, keys, sizes, rares):
+            for x in (sigs, places, keys, sizes, rares):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["segment", "sigs", "owners", "keys", "sizes", "rares"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["segment", "sigs", "owners", "places", "keys", "sizes", "rares"])
 
         entries = 0
         for batch in batches:
@@ -172,8 +194,9 @@ def _index(classes: bytes, segments: int, width: int, threshold: tuple[int, int]
                     if bounds[d + 1] == bounds[d] or k in known:
                         continue
                     known.add(k)
-                    x, rare, single = _signatures(token[bounds[d] : bounds[d + 1]], table, threshold)
+                    x, at, rare, single = _signatures(token[bounds[d] : bounds[d + 1]], table, threshold)
                     sigs.append(x)
+                    places.append(at)
                     keys.append(k)
                     sizes.append(int(bounds[d + 1] - bounds[d]))
                     rares.append(2 * rare + single)
@@ -187,8 +210,8 @@ def _index(classes: bytes, segments: int, width: int, threshold: tuple[int, int]
     return run
 
 
-_LISTS = "a long, b long, list long, kind int, key long, n int, single boolean"
-_LISTS_TYPE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("single", pa.bool_())])
+_LISTS = "a long, b long, list long, kind int, key long, n int, single boolean, reach int"
+_LISTS_TYPE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("single", pa.bool_()), ("reach", pa.int32())])
 
 
 def _postings(threshold: tuple[int, int]):
@@ -202,42 +225,49 @@ def _postings(threshold: tuple[int, int]):
         keys = np.concatenate([np.frombuffer(r["keys"], U64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
         rares = np.concatenate([np.frombuffer(r["rares"], np.uint32) for r in rows]).astype(np.int64)
+        place = np.concatenate([np.frombuffer(r["places"], np.uint16) for r in rows]).astype(np.int64)
         order = np.argsort(sig, kind="stable")
-        sig, owner = sig[order], owner[order]
+        sig, owner, place = sig[order], owner[order], place[order]
         again = np.zeros(len(sig), dtype=bool)
         again[1:] = sig[1:] == sig[:-1]
         again[:-1] |= again[1:]
-        sig, owner = sig[again], owner[again]
+        sig, owner, place = sig[again], owner[again], place[again]
         if not len(sig):
             return
         # The same class from two tasks is one member; the hub of a list is the member with the smallest share of rare shingles.
         key = keys[owner]
         order = np.lexsort((key, (rares[owner] >> 1) / sizes[owner], sig))
-        sig, owner, key = sig[order], owner[order], key[order]
+        sig, owner, place, key = sig[order], owner[order], place[order], key[order]
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, owner, key = sig[new], owner[new], key[new]
+        sig, owner, place, key = sig[new], owner[new], place[new], key[new]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(start, len(sig)))
-        hub = np.repeat(owner[start], count)
-        n, m = sizes[hub], sizes[owner]
-        fits = (np.minimum(n, m) * q >= np.maximum(n, m) * p) & (keys[hub] != key)
-        a, b = np.minimum(keys[hub], key)[fits], np.maximum(keys[hub], key)[fits]
+        n = sizes[owner]
+        reach = n - place
+        head = np.repeat(start, count)
+        fits = (np.minimum(n, n[head]) * q >= np.maximum(n, n[head]) * p) & (np.minimum(reach, reach[head]) * (p + q) >= (n + n[head]) * p) & (key[head] != key)
+        a, b = np.minimum(key[head], key)[fits], np.maximum(key[head], key)[fits]
         pair = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), U64)
         for at in range(0, len(pair), 1 << 16):
             x = pair[at : at + (1 << 16)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), *(pa.nulls(len(x), _LISTS_TYPE.field(i).type) for i in range(2, 7))], schema=_LISTS_TYPE)
-        # Lists with the same members are one.
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), *(pa.nulls(len(x), _LISTS_TYPE.field(i).type) for i in range(2, 8))], schema=_LISTS_TYPE)
+        # Lists with the same members are one, in which a member reaches as far as in any.
         kind = (sig[start] & U64(1)).astype(np.int64)
         name = mix(np.add.reduceat(mix(key + U64(0x1234567)), start) + kind.astype(U64))
-        many = np.flatnonzero(count > 2)
-        many = many[np.unique(name[many], return_index=True)[1]]
-        for at in range(0, len(many), 1 << 12):
-            part = many[at : at + (1 << 12)]
-            where = np.concatenate([np.arange(start[i], start[i] + count[i]) for i in part.tolist()])
-            times = count[part]
-            none = pa.nulls(len(where), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(np.repeat(name[part], times).view(np.int64)), pa.array(np.repeat(kind[part], times), pa.int32()), pa.array(key[where].view(np.int64)), pa.array(sizes[owner[where]], pa.int32()), pa.array((rares[owner[where]] & 1) == 1)], schema=_LISTS_TYPE)
+        long = np.repeat(count > 2, count)
+        if not long.any():
+            return
+        name, kind = np.repeat(name, count)[long], np.repeat(kind, count)[long]
+        key, owner, n, reach = key[long], owner[long], n[long], reach[long]
+        order = np.lexsort((key, name))
+        name, kind, key, owner, n, reach = name[order], kind[order], key[order], owner[order], n[order], reach[order]
+        start = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])]))
+        reach = np.maximum.reduceat(reach, start)
+        for at in range(0, len(start), 1 << 16):
+            x = start[at : at + (1 << 16)]
+            none = pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(name[x].view(np.int64)), pa.array(kind[x], pa.int32()), pa.array(key[x].view(np.int64)), pa.array(n[x], pa.int32()), pa.array((rares[owner[x]] & 1) == 1), pa.array(reach[at : at + (1 << 16)], pa.int32())], schema=_LISTS_TYPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict]] = {}
@@ -337,8 +367,8 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profiled = written(source.mapInArrow(_profile(width), "doc_id long, n long, key long, segment int, sketch binary"), "profile")
-    profile = profiled.where("segment is null").select("doc_id", "n", "key")
+    profiled = written(source.mapInArrow(_profile(width), _PROFILE), "profile")
+    profile = profiled.where("segment is null").select("doc_id", "n", "key", "parity")
     # One row a segment comes to the driver: a fixed 2**SKETCH_BITS bytes before compression.
     rows = profiled.where("segment is not null").select("segment", "sketch").repartition(SEGMENTS, "segment").mapInArrow(_classes, "segment int, classes binary").collect()
     parts = {r["segment"]: zlib.decompress(r["classes"]) for r in rows}
@@ -352,29 +382,39 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     tried = written(tried, "tried")
     links = written(_verify(spark, source, profile, tried, width, threshold), "links")
     # What is left of the longer lists: pairs whose classes are not in one component yet.
-    lists = met.where("list is not null").select("list", "kind", "key", "n", "single").distinct()
+    lists = met.where("list is not null").groupBy("list", "kind", "key", "n", "single").agg(F.max("reach").alias("reach"))
     found = components(links)
-    placed = lists.join(found, lists["key"] == found["node"], "left").select("list", "kind", "key", "n", "single", F.coalesce("component", "key").alias("c"))
+    placed = lists.join(found, lists["key"] == found["node"], "left").select("list", "kind", "key", "n", "single", "reach", F.coalesce("component", "key").alias("c"))
     # Only lists over several components; their largest component's inner pairs need no look.
-    spread = placed.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("list")
+    # A list of a frequent shingle alone is asked only for the sets that do not index it in pairs.
+    spread = placed.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("kind").alias("k"), F.max("single").alias("s")).where("low < high and (k = 0 or s)").select("list")
     open_ = placed.join(spread, "list")
     top = open_.groupBy("list", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.max(F.struct("k", "c")).alias("t")).select("list", F.col("t.c").alias("t"))
-    open_ = written(open_.join(top, "list"), "open")
-    x = open_.where("c != t").select("list", "kind", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("single").alias("sx"), F.col("c").alias("cx"))
-    y = open_.select("list", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("single").alias("sy"), F.col("c").alias("cy"), (F.col("c") == F.col("t")).alias("top"))
+    open_ = written(open_.join(top, "list").withColumn("first", F.expr("if(kind = 1, single, c != t)")), "open")
+    x = open_.where("first").select("list", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("c").alias("cx"))
+    y = open_.select("list", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("c").alias("cy"), "first")
     p, q = threshold
-    # A list of a frequent shingle alone is asked only for the sets that do not index it in pairs.
-    meets = f"cx != cy and (top or x < y) and (kind = 0 or sx or sy) and least(nx, ny) * {q} >= greatest(nx, ny) * {p}"
+    meets = f"cx != cy and (not first or x < y) and least(nx, ny) * {q} >= greatest(nx, ny) * {p} and least(rx, ry) * {p + q} >= (nx + ny) * {p}"
     rest = x.join(y, "list").where(meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = written(links.unionByName(_verify(spark, source, profile, rest, width, threshold)), "links")
         found = components(links)
-    return profile, links, found.select(F.col("node").alias("key"), "component")
+    return profile.drop("parity"), links, found.select(F.col("node").alias("key"), "component")
 
 
 def _verify(spark, source: DataFrame, profile: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs of keys whose sets are similar; each class's set comes from its first document."""
+    """The pairs of keys whose sets are similar; each class's set comes from its first document.
+
+    Pairs whose parity sketches show too large a difference go before any set is fetched.
+    """
+    p, q = threshold
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    known = profile.where("parity is not null and key is not null").join(asked, "key", "left_semi").groupBy("key").agg(F.min(F.struct("n", "parity")).alias("k")).select("key", "k.*")
+    known = written(known, "parities")
+    bits = pairs.join(known.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").join(known.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+    apart = "aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + x)"
+    pairs = written(bits.where(f"{apart} * {p + q} <= (na + nb) * {q - p}").select("a", "b"), "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     firsts = written(profile.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(needed, "key", "left_semi"), "firsts")
     parts = firsts.select("doc_id").coalesce(8).mapInArrow(_filter_parts, "bits binary").collect()
