@@ -32,7 +32,7 @@ THRESHOLD = (75, 100)
 SKETCH_BITS = 23
 SEGMENTS = 64
 #: A set with more frequent shingles than this in its prefix indexes them singly, not in pairs.
-MOST_COMBINED = 40
+MOST_COMBINED = 20
 #: Index entries for which one reducer partition is planned.
 SEGMENT_ENTRIES = 1_500_000
 #: Bits of the filter by which a pass over the texts finds the sets to verify: 4 MB, broadcast.
@@ -40,7 +40,8 @@ FILTER_BITS = 25
 #: Entries of one packed row, about 10 bytes each: large rows burden the executors' heaps.
 ROW_ENTRIES = 8_192
 FLUSH = 16_384
-#: Bits of a set's parity sketch: bit b is the parity of the number of its shingles that hash to b.
+#: Least bits of a set's parity sketch, whose bit b is the parity of the number of its shingles
+#: that hash to b; a larger set has the power of two from about half its size.
 PARITY_BITS = 1024
 
 _TOKEN = U64((1 << 61) - 1)
@@ -69,11 +70,13 @@ def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, n
 _PROFILE = "doc_id long, n long, key long, parity array<long>, segment int, sketch binary"
 
 
-def _parities(token: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The parity sketch of each set: two sets differ in at least as many shingles as their sketches in bits."""
-    place = np.repeat(np.arange(len(n)), n) * PARITY_BITS + (mix(token ^ U64(0x7777)) & U64(PARITY_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(place, minlength=len(n) * PARITY_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(n), PARITY_BITS), axis=1).view(np.int64)
+def _parities(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bounds): the parity sketch of each set. Two sets differ in at least as many shingles as their sketches in bits."""
+    bits = np.maximum(PARITY_BITS, 1 << np.ceil(np.log2(np.maximum(n, 2) / 1.5)).astype(np.int64))
+    base = np.append(0, np.cumsum(bits))
+    place = np.repeat(base[:-1], n) + (mix(token ^ U64(0x7777)) & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64), base // 64
 
 
 def _profile(width: int):
@@ -96,9 +99,9 @@ def _profile(width: int):
                 slot, times = np.unique((token[np.repeat(fresh, n)] & U64((1 << SKETCH_BITS) - 1)).astype(np.int64), return_counts=True)
                 counts[slot] = np.minimum(counts[slot].astype(np.int64) + times, 65535)
                 empty = pa.nulls(end - first, pa.int32())
-                bits = _parities(token[np.repeat(fresh, n)], n[fresh])
-                starts = np.append(0, np.cumsum(fresh * bits.shape[1])).astype(np.int32)
-                parity = pa.ListArray.from_arrays(pa.array(starts, pa.int32(), mask=np.append(~fresh, False)), pa.array(bits.ravel(), pa.int64()))
+                bits, edges = _parities(token[np.repeat(fresh, n)], n[fresh])
+                starts = edges[np.append(0, np.cumsum(fresh))]
+                parity = pa.ListArray.from_arrays(pa.array(starts, pa.int32(), mask=np.append(~fresh, False)), pa.array(bits, pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys.view(np.int64), pa.int64(), mask=n == 0), parity, empty, pa.nulls(end - first, pa.binary())], schema=schema)
         if known:
             each = counts.reshape(SEGMENTS, -1)
@@ -390,11 +393,13 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     spread = placed.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("kind").alias("k"), F.max("single").alias("s")).where("low < high and (k = 0 or s)").select("list")
     open_ = placed.join(spread, "list")
     top = open_.groupBy("list", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.max(F.struct("k", "c")).alias("t")).select("list", F.col("t.c").alias("t"))
-    open_ = written(open_.join(top, "list").withColumn("first", F.expr("if(kind = 1, single, c != t)")), "open")
-    x = open_.where("first").select("list", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("c").alias("cx"))
-    y = open_.select("list", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("c").alias("cy"), "first")
+    sides = open_.join(top, "list").groupBy("list", "t").agg(F.sum(F.expr("if(c != t, 1, 0)")).alias("strays"), F.sum(F.expr("if(single, 1, 0)")).alias("singles"))
+    # Every pair asked for has a side outside the largest component, and in such a list a side that is single: the fewer go first.
+    open_ = written(open_.join(sides, "list").withColumn("first", F.expr("if(kind = 1 and singles < strays, single, c != t)")), "open")
+    x = open_.where("first").select("list", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("c").alias("cx"), "kind", F.col("single").alias("sx"))
+    y = open_.select("list", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("c").alias("cy"), "first", F.col("single").alias("sy"))
     p, q = threshold
-    meets = f"cx != cy and (not first or x < y) and least(nx, ny) * {q} >= greatest(nx, ny) * {p} and least(rx, ry) * {p + q} >= (nx + ny) * {p}"
+    meets = f"cx != cy and (not first or x < y) and (kind = 0 or sx or sy) and least(nx, ny) * {q} >= greatest(nx, ny) * {p} and least(rx, ry) * {p + q} >= (nx + ny) * {p}"
     rest = x.join(y, "list").where(meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
@@ -413,7 +418,9 @@ def _verify(spark, source: DataFrame, profile: DataFrame, pairs: DataFrame, widt
     known = profile.where("parity is not null and key is not null").join(asked, "key", "left_semi").groupBy("key").agg(F.min(F.struct("n", "parity")).alias("k")).select("key", "k.*")
     known = written(known, "parities")
     bits = pairs.join(known.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").join(known.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
-    apart = "aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + x)"
+    # Sketches of unequal length: the longer one is folded upon itself, to the shorter one's length.
+    fold = "if(size({0}) <= size({1}), {0}, transform(sequence(0, size({1}) - 1), i -> aggregate(sequence(i, size({0}) - 1, size({1})), 0L, (t, j) -> t ^ get({0}, j))))"
+    apart = f"aggregate(zip_with({fold.format('pa', 'pb')}, {fold.format('pb', 'pa')}, (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + x)"
     pairs = written(bits.where(f"{apart} * {p + q} <= (na + nb) * {q - p}").select("a", "b"), "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     firsts = written(profile.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(needed, "key", "left_semi"), "firsts")
