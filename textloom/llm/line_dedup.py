@@ -20,29 +20,35 @@ MIN_CHARS = 20
 BROADCAST_KEYS = 1_000_000
 
 
-def _segment(length: str, i: int, edits: int) -> tuple[str, str]:
-    """SQL for (1-based start, size) of segment i (from 0) of a line of that length: even parts, the longer ones last."""
-    parts = edits + 1
-    base, extra = f"({length} div {parts})", f"({length} % {parts})"
-    longer_before = f"greatest(0, {i} - ({parts} - {extra}))"
-    return f"({i} * {base} + {longer_before} + 1)", f"({base} + if({i} >= {parts} - {extra}, 1, 0))"
-
+def probes(edits: int = EDITS) -> str:
+    """SQL for the array of (less, i, move, own): segment i of lines `less` characters shorter, looked for `move` further on.
 
-def signatures(line: str, length: str, edits: int = EDITS) -> str:
-    """SQL for the array of (key, own) of a line: own segments, and probes for lines of its length or up to `edits` shorter."""
+    less = move = 0 are the line's own segments.
+    """
     out = []
-    for shorter in range(edits + 1):
-        size = f"({length} - {shorter})"
+    for less in range(edits + 1):
         for i in range(edits + 1):
-            start, width = _segment(size, i, edits)
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for move in range(low, high + 1):
-                own = shorter == 0 and move == 0
-                out.append(f"named_struct('key', xxhash64({size}, {i}, substring({line}, {start} + {move}, {width})), 'own', {1 if own else 0})")
+            for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                out.append(f"named_struct('less', {less}, 'i', {i}, 'move', {move}, 'own', {1 if less == move == 0 else 0})")
     return f"array({', '.join(out)})"
 
 
+def marked(every: DataFrame, edits: int = EDITS) -> DataFrame:
+    """lid, line, key, own of each probe of rows (lid, len, line).
+
+    The lines are cut in UTF-32, where a substring is found without going through the
+    characters before it. Segments are even parts, the longer ones last. One small
+    expression a probe, after the array is taken apart: a large one would not be compiled.
+    """
+    parts = edits + 1
+    each = every.select("lid", "len", "line", F.encode("line", "UTF-32").alias("wide")).select("lid", "line", "wide", "len", F.explode(F.expr(probes(edits))).alias("p"))
+    each = each.select("lid", "line", "wide", F.expr("len - p.less").alias("size"), "p.i", "p.move", "p.own")
+    each = each.selectExpr("lid", "line", "wide", "size", "i", "move", "own", f"cast(size div {parts} as int) as base", f"i - {parts} + size % {parts} as late")
+    begin = "i * base + greatest(0, late) + move"
+    key = f"xxhash64(size, i, substring(wide, 4 * ({begin}) + 1, 4 * (base + if(late >= 0, 1, 0))))"
+    return each.selectExpr("lid", "line", f"{key} as key", "own")
+
+
 def edit_distance(a: str, b: str, edits: int = EDITS) -> str:
     """SQL for the edit distance of two lines, exact if it is `edits` or less and over `edits` otherwise.
 
@@ -65,6 +71,21 @@ def edit_distance(a: str, b: str, edits: int = EDITS) -> str:
     return f"aggregate(sequence(1, size({b})), named_struct('vp', {first}, 'vn', 0, 'far', {edits}), (s, j) -> {let}, s -> s.far)"
 
 
+_DIGITS = 15
+_MASK = (1 << 4 * _DIGITS) - 1
+
+
+def histogram(line: str) -> str:
+    """SQL for the counts of a line's characters by their code modulo 15, as digits to base 16 of one number modulo 2**60."""
+    return f"aggregate(split({line}, ''), 0L, (s, c) -> (s + shiftleft(1L, 4 * (ascii(c) % {_DIGITS}))) & {_MASK}L)"
+
+
+def apart(a: str, b: str) -> str:
+    """SQL for the difference of two histograms: an edit changes it by 2 at most, a pair within 3 edits has its true difference."""
+    biased = f"(({a} - {b} + {_MASK // 15 * 7}L) & {_MASK}L)"
+    return " + ".join(f"abs((shiftright({biased}, {4 * i}) & 15) - 7)" for i in range(_DIGITS))
+
+
 def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, pos, line of every line; null and empty texts have none."""
     whole = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("__text")).where("__text != ''")
@@ -93,13 +114,16 @@ def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc:
     every = _named(lines(docs, doc, text), min_chars)
     firsts = every.groupBy("lid", "len").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = written(firsts.select("lid", "len", "first.*", "copies"), "lines")
-    marks = every.select("lid", "len", F.explode(F.expr(signatures("line", "len", edits))).alias("s")).select("lid", "len", "s.key", "s.own")
+    marks = marked(every, edits)
     # Nearly all keys belong to one line; they end here, with copies folded before the shuffle.
     met = marks.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.max("own").alias("own"))
     met = written(met.where("low != high and own = 1").select("key"), "line-keys")
-    shared = written(_only(marks, met, "key", met.count()).distinct(), "line-marks")
-    left, right = (shared.select("key", F.col("lid").alias(x), F.col("len").alias(f"n_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
-    pairs = left.where("own_a = 1").join(right, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Histograms of the lines at hand leave out most pairs that are alike but for a word.
+    shared = _only(marks, met, "key", met.count()).select("key", "lid", "own", F.expr(histogram("line")).alias("h"))
+    shared = written(shared.distinct(), "line-marks")
+    left, right = (shared.select("key", F.col("lid").alias(x), F.col("h").alias(f"h{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
+    close = F.expr(apart("ha", "hb")) <= 2 * edits if edits <= 3 else F.lit(True)
+    pairs = left.where("own_a = 1").join(right, "key").where("a != b").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "line-pairs")
     needed = written(pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct(), "line-ids")
     known = _only(every, needed, "lid", needed.count())

@@ -27,11 +27,11 @@ CLASSES = 32
 MEMBERS = 48
 BUCKETS = 4096
 PAIRS = (CLASSES + 1) ** 2
-BATCH = 4096
+BATCH = 8192
 RATE = 0.12
 ROUNDS = 2
 #: The most frequent tokens whose counts are broadcast (16 bytes each); all others' counts are joined.
-BROADCAST_TOKENS = 1 << 20
+BROADCAST_TOKENS = 1 << 19
 END = U64(0xE0D0E0D0E0D0E0D0)
 _BEGIN = U64(0xB0B0B0B0B0B0B0B0)
 _PUNCTUATION = np.zeros(256, dtype=bool)
@@ -155,7 +155,7 @@ class Trainer:
         table, seen, used = (self.model.w, self.model.u)[which], self.seen[which], self.used[which]
         for r in rows:
             own = r[a:b]
-            order = np.argsort(own, kind="stable")
+            order = np.argsort(own.astype(np.uint16), kind="stable")  # a radix sort
             ordered = own[order]
             start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             row = ordered[start]
@@ -308,20 +308,21 @@ def train(texts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[M
             break
         held, least = held + r["k"], r["size"]
     # BROADCAST_TOKENS rows of numbers at most.
-    top = counts.where(F.col("size") >= least).select("token", "cls", "n").toPandas()
-    lookup = Lookup(top["token"].to_numpy().view(U64), top["n"].to_numpy())
-    place = np.lexsort((top["token"].to_numpy(), -top["n"].to_numpy(), top["cls"].to_numpy()))
-    ranked = top.iloc[place]
-    head = ranked[ranked.groupby("cls").cumcount() < MEMBERS]
+    top = counts.where(F.col("size") >= least).select("token", "cls", "n").toArrow()
+    token, cls, n = (top.column(i).to_numpy() for i in range(3))
+    lookup = Lookup(token.view(U64), n)
+    place = np.lexsort((token, -n, cls))
+    token, cls, n = token[place], cls[place], n[place]
+    rank = np.arange(len(cls)) - np.searchsorted(cls, cls)
+    token, cls, n = token[rank < MEMBERS], cls[rank < MEMBERS], n[rank < MEMBERS]
     by_class = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
     rest_n, rest_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
         rest_n[r["cls"]], rest_v[r["cls"]] = r["n"], r["k"]
-    np.subtract.at(rest_n, head["cls"].to_numpy(), head["n"].to_numpy())
-    np.subtract.at(rest_v, head["cls"].to_numpy(), 1)
-    hashes = head["token"].to_numpy().view(U64)
-    order = np.argsort(hashes)
-    model = Model(hashes[order], head["cls"].to_numpy()[order], head["n"].to_numpy()[order], rest_n, rest_v)
+    np.subtract.at(rest_n, cls, n)
+    np.subtract.at(rest_v, cls, 1)
+    order = np.argsort(token.view(U64))
+    model = Model(token.view(U64)[order], cls[order], n[order], rest_n, rest_v)
     for r in range(rounds):
         part = texts.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(rounds)) == r) if rounds > 1 else texts
         shared = spark.sparkContext.broadcast(model)
