@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 16
 #: Documents of one ordering group, and ordering groups of one prefix group.
-GROUP_ROWS = 4000
+GROUP_ROWS = 1000
 GROUPS = 1000
 
 
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0, weights: tuple[int,
     sized = sized.join(sources.select("sid", F.col("source").alias("__s")), F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "sid", "size")
     rows = sized.count()
     held = pieces(sized.where("size > 0"), sources, rows, block, seed)
-    return slots(sources, block, seed=seed).join(held, ["sid", "block"]), sources, sized
+    return slots(sources, block, seed=seed).join(held.hint("merge"), ["sid", "block"]), sources, sized
 
 
 def digest(docs: DataFrame, block: int = BLOCK, seed: int = 0, **columns: str) -> DataFrame:
@@ -123,7 +123,8 @@ def digest(docs: DataFrame, block: int = BLOCK, seed: int = 0, **columns: str) -
     tagged = sized.join(sources.select("sid", F.col("source").alias("__s")), F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "sid", "size")
     held = pieces(tagged.where("size > 0"), sources, sized.count(), block, seed)
     uses = slots(sources, block, seed=seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
-    taken = held.join(uses, ["sid", "block"], "left").groupBy("sid", "begin", "doc_id", "size").agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    # Blocks grow with the data however well they compress: they meet by a sorted shuffle.
+    taken = held.join(uses.hint("merge"), ["sid", "block"], "left").groupBy("sid", "begin", "doc_id", "size").agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
     every = taken.select("doc_id", "sid", "size", "taken").unionByName(tagged.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return every.join(sources, "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
 
