@@ -24,9 +24,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     )
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """One of the Parquet tables; a file or a folder of parts."""
     ship(spark)
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default: texts of any length need smaller batches
+        spark.conf.set(_BATCH, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
