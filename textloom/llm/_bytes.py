@@ -7,6 +7,7 @@ a few array operations per byte whatever the number of words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ U64 = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 #: Texts are handled in slices of about so many bytes, which bounds the temporary arrays.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -71,6 +72,15 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def release() -> None:
+    """Give freed memory back at a task's end: Python workers live on beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows of about `most` bytes; a longer text stands alone."""
     data, offs = raw(column)
@@ -80,6 +90,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = min(max(end, at + 1), n)
         yield at, end, data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
+    release()
 
 
 class Words:
