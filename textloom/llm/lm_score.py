@@ -68,7 +68,7 @@ class Tokens:
         return out
 
 
-CLASS_ROWS = 2 * BUCKETS + 2 * PAIRS
+CLASS_ROWS = 2 * BUCKETS + PAIRS
 _OWN = CLASSES * (CLASSES + 1)
 MEMBER_ROWS = 2 * BUCKETS + 2 * _OWN
 
@@ -76,12 +76,11 @@ MEMBER_ROWS = 2 * BUCKETS + 2 * _OWN
 def features(t: Tokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Rows of the class weights and of the member weights that are active before each token."""
     w1, w2 = t.before(t.hash, 1, _BEGIN), t.before(t.hash, 2, _BEGIN)
-    c1, c2, c3, c4 = (t.before(t.cls, k, CLASSES) for k in (1, 2, 3, 4))
+    c1, c2 = (t.before(t.cls, k, CLASSES) for k in (1, 2))
     low = U64(BUCKETS - 1)
     one, skip = (mix(w1) & low).astype(np.int64), (mix(w2 + U64(1)) & low).astype(np.int64)
     pair = c1 * (CLASSES + 1) + c2
-    far = c3 * (CLASSES + 1) + c4
-    of_class = [one, BUCKETS + skip, 2 * BUCKETS + pair, 2 * BUCKETS + PAIRS + far]
+    of_class = [one, BUCKETS + skip, 2 * BUCKETS + pair]
     own = (mix(w1 + t.cls.astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(2 * BUCKETS - 1)).astype(np.int64)
     of_member = [own, 2 * BUCKETS + t.cls * (CLASSES + 1) + c1, 2 * BUCKETS + _OWN + t.cls * (CLASSES + 1) + c2]
     return of_class, of_member
@@ -131,15 +130,15 @@ def _logits(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, a: int,
     return out
 
 
-def log_probabilities(model: Model, t: Tokens) -> np.ndarray:
-    """Natural logarithm of P(class) P(member) of each token, without the share within the rest of a class."""
+def log_probabilities(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(natural logarithm of P(class) P(member), member) of each token, without the share within the rest of a class."""
     of_class, of_member = features(t)
     y, out = model.members(t.hash), np.zeros(len(t.hash))
     for a in range(0, len(out), BATCH):
         b = min(a + BATCH, len(out))
         at, c = np.arange(b - a), t.cls[a:b]
         out[a:b] = _log_softmax(_logits(model.w, of_class, model.bias, a, b))[at, c] + _log_softmax(_logits(model.u, of_member, model.prior[c], a, b))[at, y[a:b]]
-    return out
+    return out, y
 
 
 class Trainer:
@@ -278,7 +277,8 @@ def _score(shared, lookup, base_total: float):
                 known = n > 0
                 # log10(count + 0.1) of the tokens that are not in the lookup is added by the join.
                 share = np.where(known, np.log10(n + 0.1), 0.0)
-                score = log_probabilities(model, t) / np.log(10) + np.where(model.members(t.hash) == MEMBERS, share - log_rest[t.cls], 0.0)
+                score, member = log_probabilities(model, t)
+                score = score / np.log(10) + np.where(member == MEMBERS, share - log_rest[t.cls], 0.0)
                 sums = [np.add.reduceat(x, t.bounds[:-1]) for x in (share - log_base, score, known.astype(np.int64))]
                 rare = []
                 unknown = np.flatnonzero(~known)
