@@ -1,3 +1,40 @@
 """DuckDB SQL of the queries of this package that SQL can express over whole tables."""
 
-SQL: dict[str, str] = {}
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PLAIN = r"[^\x20\x09-\x0D]+"
+
+_WORDS = "regexp_extract_all({0}, '{1}')"
+
+
+def _words(table: str, key: str, pattern: str) -> str:
+    return f"select {key}, coalesce({_WORDS.format(LOWER.format('text'), pattern)}, []) as w from {table}"
+
+
+#: Windows of items meet the documents' word runs of the same length.
+_OP1 = f"""with d as ({_words('documents', 'doc_id', _ALNUM)}), b as ({_words('benchmark', 'item_id', _ALNUM)}),
+win as (select distinct item_id, least(len(w), 13) as k, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') as g from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0)),
+lens as (select distinct k from win),
+run as (select doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, lens where len(w) >= k)),
+hit as (select r.doc_id, r.i, r.k, win.item_id from run r join win on r.g = win.g and r.k = win.k),
+words as (select doc_id, count(distinct p) as n_hit from (select distinct doc_id, unnest(range(i, i + k)) as p from hit) group by 1),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(x, ',' order by x)) as h from (select distinct doc_id, item_id::varchar as x from hit where item_id is not null) group by 1)
+select d.doc_id, len(d.w)::BIGINT as n_words, coalesce(n_hit, 0)::BIGINT as n_hit, coalesce(n_items, 0)::BIGINT as n_items, coalesce(h, sha256('')) as items_sha256,
+coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated from d left join words using (doc_id) left join items using (doc_id)"""
+
+#: All pairs that share a shingle, and the smallest id that links reach.
+_OP2 = f"""with recursive d as ({_words('documents', 'doc_id', _PLAIN)}),
+s as (select distinct doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+link as (select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.doc_id != b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach as (select doc_id as x, doc_id as y from d union select r.x, l.y from reach r join link l on r.y = l.x)
+select d.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, c.component_id from d left join n using (doc_id) join (select x, min(y) as component_id from reach group by 1) c on c.x = d.doc_id"""
+
+_OP9 = f"""with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+p as (select page_id, {LOWER.format("regexp_extract(r, '^[^/?#]*')")} as host, regexp_extract(regexp_extract(r, '^[^?#]*'), '^[^/]*(.*)$', 1) as path from u),
+rules as (select * from (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')) t(verdict, rule, h, s)),
+f as (select page_id, rule, verdict, row_number() over (partition by page_id order by length(rule) desc) as k from p join rules on (host = h or suffix(host, '.' || h)) and prefix(path, s))
+select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join f on f.page_id = p.page_id and k = 1"""
+
+SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_ngram_join": _OP2, "op9_url_filter": _OP9}
