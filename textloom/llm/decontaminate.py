@@ -268,8 +268,8 @@ def cut(docs: DataFrame, found: DataFrame, span_words: int = WINDOW, share: floa
     Needs unique document ids. Rows whose id is null are kept as they are.
     """
     marks = judged(found, share).where("contaminated or size(filter(spans, s -> s.last - s.first + 1 >= %d)) > 0" % span_words)
-    marks = marks.select(F.col("doc_id").alias("__doc"), "contaminated", F.expr(f"filter(spans, s -> s.last - s.first + 1 >= {span_words})").alias("__spans"))
-    both = docs.join(marks, docs[doc] == marks["__doc"], "left").where("contaminated is null or not contaminated")
+    marks = marks.select(F.col("doc_id").alias("__doc"), F.col("contaminated").alias("__bad"), F.expr(f"filter(spans, s -> s.last - s.first + 1 >= {span_words})").alias("__spans"))
+    both = docs.join(marks, docs[doc] == marks["__doc"], "left").where("__bad is null or not __bad")
     raw = "encode(__text, 'UTF-8')"
     kept = f"""decode(aggregate(__spans, named_struct('out', cast('' as binary), 'at', 0), (a, s) ->
         named_struct('out', concat(a.out, substring({raw}, a.at + 1, s.start - a.at)), 'at', s.end),

@@ -145,8 +145,8 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc:
 
     Null texts stay null. The order of the lines and all short lines stay.
     """
-    kept = kept_lines(judge(docs, edits, min_chars, doc, text)).select(F.col("doc_id").alias("__doc"), "kept")
-    both = docs.join(kept, F.col(doc).eqNullSafe(F.col("__doc")), "left").withColumn("__text", F.col(text).cast("string")).withColumn("__kept", F.coalesce("kept", F.array().cast("array<int>")))
+    kept = kept_lines(judge(docs, edits, min_chars, doc, text)).select(F.col("doc_id").alias("__doc"), F.col("kept").alias("__places"))
+    both = docs.join(kept, F.col(doc).eqNullSafe(F.col("__doc")), "left").withColumn("__text", F.col(text).cast("string")).withColumn("__kept", F.coalesce("__places", F.array().cast("array<int>")))
     rest = f"array_join(filter(split(__text, '\\n'), (line, i) -> length(line) < {min_chars} or array_contains(__kept, i)), '\\n')"
     return both.withColumn(text, F.expr(rest)).select(*docs.columns)
 

@@ -134,10 +134,14 @@ def placed(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_i
 
     Placements are in the order of shard and slot; slot numbers count within the source.
     A document that no slot takes has none and stays. Rows that share an id share all of it.
+    Columns of the documents by these five names give way.
     """
     placements, sources, sized = mix(docs, block, seed, doc=doc, text=text, source=source)
     put = placements.groupBy("doc_id").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "slot", "at", "n"))).alias("placements"))
     size = sized.groupBy("doc_id").agg(F.sum("size").alias("size"), F.min("sid").alias("sid")).join(sources.select("sid", "source_size", "target"), "sid").drop("sid")
     none = F.array().cast("array<struct<shard:bigint,slot:bigint,at:bigint,n:bigint>>")
     notes = size.join(put, size["doc_id"].eqNullSafe(put["doc_id"]), "left").select(size["doc_id"].alias("__doc"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("placements", none).alias("placements"))
-    return docs.join(notes, docs[doc].cast("long").eqNullSafe(F.col("__doc")), "left").select(*(docs[c] for c in docs.columns), *(c for c in notes.columns if c != "__doc"))
+    new = [c for c in notes.columns if c != "__doc"]
+    notes = notes.select("__doc", *[F.col(c).alias(f"__{c}") for c in new])
+    both = docs.join(notes, docs[doc].cast("long").eqNullSafe(F.col("__doc")), "left")
+    return both.select(*(docs[c] for c in docs.columns if c not in new), *(F.col(f"__{c}").alias(c) for c in new))
