@@ -60,8 +60,10 @@ def slots(by_source: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLO
     rest = F.least(F.round((F.col("target") - passes * F.col("source_size")) / block).cast("long"), F.col("blocks"))
     sources = sources.withColumn("n", passes * F.col("blocks") + rest)
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy()) / shard_slots)))
-    # Slots are made from chunks that are dealt out first: a large source's do not come from one task.
-    chunks = sources.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard_slots))).alias("chunk")).repartition("sid", "chunk")
+    # Slots are made from chunks that are dealt out first: a large source's do not come from one
+    # task. The number is given, as the few bytes of the chunks would otherwise be put together again.
+    tasks = int(by_source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = sources.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard_slots))).alias("chunk")).repartition(tasks, "sid", "chunk")
     slot = F.explode(F.sequence(F.col("chunk") * shard_slots, F.least((F.col("chunk") + 1) * shard_slots, F.col("n")) - 1))
     each = chunks.select("sid", "blocks", "shards", slot.alias("slot"))
     # Swap-or-not: in each round x and its mirror image about a keyed centre may change places.
