@@ -74,10 +74,35 @@ def executable_suffix(prompt: Column | str) -> Column:
     return F.substring_index(_column(prompt), "\n\n", -1)
 
 
+def inference_prompt(prompt: Column | str, description: Column | str) -> Column:
+    """The prompt without newlines at its end; without a prompt, the trimmed description and a blank line."""
+    described = F.concat(F.regexp_replace(_column(description), r"(?U)^\s+|\s+$", ""), F.lit("\n\n"))
+    return F.coalesce(F.regexp_replace(_column(prompt), r"\n+\z", ""), described)
+
+
 def append_completion(prompt: Column | str, completion: Column | str) -> Column:
-    """Prompt and completion, on a new line after a colon."""
-    prompt = _column(prompt)
-    return F.concat(prompt, F.when(F.endswith(F.rtrim(prompt), F.lit(":")) & ~F.endswith(prompt, F.lit("\n")), F.lit("\n")).otherwise(F.lit("")), _column(completion))
+    """Prompt and completion; a completion of characters that does not begin a line itself gets one of its own after a colon."""
+    prompt, completion = _column(prompt), _column(completion)
+    opens = F.regexp_replace(prompt, r"(?U)\s+\z", "").endswith(":") & (completion != "") & ~completion.startswith("\n")
+    return F.concat(prompt, F.when(opens, F.lit("\n")).otherwise(F.lit("")), completion)
+
+
+def signature_line(code: Column | str) -> Column:
+    """The first line of the trimmed source, trimmed."""
+    return F.trim(F.substring_index(F.regexp_replace(_column(code), r"(?U)^\s+", ""), "\n", 1))
+
+
+def description_key(text: Column | str) -> Column:
+    """Case-folded text with single spaces between words, for comparing descriptions."""
+    return F.trim(F.regexp_replace(casefold(text), r"(?U)\s+", " "))
+
+
+def check_marker(output: Column | str, marker: str = "CHECKS") -> Column:
+    """(found, passed, total) of the first line "<marker> passed total"."""
+    output = _column(output)
+    pattern = rf"(?m)^\s*{marker} (\d+) (\d+)\s*$"
+    number = lambda g: F.when(output.rlike(pattern), F.regexp_extract(output, pattern, g).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.struct(F.coalesce(output.rlike(pattern), F.lit(False)).alias("found"), number(1).alias("passed"), number(2).alias("total"))
 
 
 def tagged(text: Column | str, tag: str) -> Column:

@@ -49,3 +49,65 @@ def keep_first(df: DataFrame, by: Column, *order: Column | str) -> DataFrame:
     keyed = df.select(by.alias("__by"), F.struct(*[c.alias(f"o{i}") if isinstance(c, Column) else F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("__row"))
     best = keyed.groupBy("__by").agg(F.min("__row").alias("__row"))
     return best.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def concat(*frames: DataFrame, pos: str = "pos") -> DataFrame:
+    """The frames one after the other: each one's positions begin behind the largest of those before it."""
+    out, base = frames[0], frames[0].agg((F.coalesce(F.max(pos), F.lit(-1)) + 1).alias("__base"))
+    for df in frames[1:]:
+        columns = df.columns
+        out = out.unionByName(df.crossJoin(F.broadcast(base)).withColumn(pos, F.col(pos) + F.col("__base")).select(*columns))  # base is one row
+        base = out.agg((F.coalesce(F.max(pos), F.lit(-1)) + 1).alias("__base"))
+    return out
+
+
+def zip_strict(left: DataFrame, right: DataFrame, left_pos: str = "pos", right_pos: str = "pos") -> DataFrame:
+    """Rows of both in their orders, side by side; a row without a partner is an error. Of equally named columns the left one's stay."""
+    a = number(left, left_pos, "__n").withColumn("__l", F.lit(True))
+    b = number(right, right_pos, "__n").drop(*[c for c in right.columns if c in left.columns]).withColumn("__r", F.lit(True))
+    both = a.join(b, "__n", "full")
+    whole = F.col("__l").isNotNull() & F.col("__r").isNotNull()
+    return both.where(F.when(whole, True).otherwise(F.raise_error(F.lit("the sides differ in length")).cast("boolean"))).drop("__n", "__l", "__r")
+
+
+def batches(df: DataFrame, size: int, pos: str = "pos", out: str = "batch") -> DataFrame:
+    """df with the number of each row's batch of `size` rows by pos."""
+    return number(df, pos, out).withColumn(out, F.floor(F.col(out) / size))
+
+
+def seeded_choice(df: DataFrame, key: str, count: int, seed: int, out: str = "n") -> DataFrame:
+    """`count` rows in an order drawn from the seed, numbered from 0; once all are used, a new order begins.
+
+    Keys have to be distinct. Orders come from SHA-256, so reruns and other machines agree.
+    """
+    total = df.count()
+    if not total:
+        raise ValueError("there is nothing to choose from")
+    cycles = -(-count // total)
+    turns = df.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
+    keyed = turns.withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("__turn").cast("string"), F.col(key).cast("string")), 256))
+    chosen = keyed.orderBy("__turn", "__h").limit(count)
+    return chosen.withColumn(out, F.row_number().over(Window.orderBy("__turn", "__h")) - 1).withColumn(out, F.col(out).cast("long")).drop("__turn", "__h")
+
+
+def shard_index(shards: DataFrame, rows: str = "rows", pos: str = "shard") -> DataFrame:
+    """Shards with the row offset at which each begins."""
+    return running_sum(shards, F.col(rows).cast("long"), pos, "start").withColumn("start", F.col("start") - F.col(rows))
+
+
+def locate(ids: DataFrame, index: DataFrame, row: str = "row_id", rows: str = "rows", width: int = 4096) -> DataFrame:
+    """Each row id with its shard and place in it: an equality join on stretches of `width` ids, then a range test.
+
+    A shard meets only the stretches that it covers, so no side is broadcast and none is crossed.
+    """
+    last = F.col("start") + F.col(rows) - 1
+    covered = index.where(F.col(rows) > 0).withColumn("__stretch", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
+    both = ids.withColumn("__stretch", F.floor(F.col(row) / width)).join(covered, "__stretch")
+    return both.where((F.col(row) >= F.col("start")) & (F.col(row) <= last)).withColumn("place", F.col(row) - F.col("start")).drop("__stretch", "start", rows)
+
+
+def shuffled_shards(shards: DataFrame, shard: str, seed: int, epoch: int, workers: int) -> DataFrame:
+    """The place of each shard in an epoch's hash order, and the worker that reads it, in turn."""
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(shard).cast("string")), 256)
+    placed = shards.withColumn("place", F.row_number().over(Window.orderBy(h)).cast("long") - 1)  # one row a shard
+    return placed.withColumn("worker", F.col("place") % workers)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def expand(prompts: DataFrame, samples: int) -> DataFrame:
@@ -49,3 +49,33 @@ def product(**axes: list) -> str:
 def pending(seeds: DataFrame, samples: int, done: DataFrame, key: str = "seed_id") -> DataFrame:
     """Seeds and sample indices that are not done."""
     return expand(seeds, samples).join(done.select(key, "sample_index"), [key, "sample_index"], "left_anti")
+
+
+def with_tasks(candidates: DataFrame, tasks: DataFrame, order: str, key: str = "task_id") -> DataFrame:
+    """Candidates with their task's columns; of tasks of the same id the last in order counts, a missing task is an error."""
+    rest = [c for c in tasks.columns if c != key]
+    last = tasks.groupBy(key).agg(F.max(F.struct(F.col(order).alias("__order"), *[F.col(c) for c in rest])).alias("__task"))
+    both = candidates.join(last, key, "left")
+    known = F.when(F.col("__task").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("no task "), F.col(key).cast("string"))).cast("boolean"))
+    return both.where(known).select(*candidates.columns, *[F.col(f"__task.{c}").alias(c) for c in rest if c not in candidates.columns])
+
+
+def compatible(edge: str = "edge", output: str = "output", style: str = "style", operation: str = "operation") -> Column:
+    """Whether the axes of a task seed go together."""
+    edge_, out, how, op = (F.col(c) for c in (edge, output, style, operation))
+    optional = out.contains("or None")
+    searching = op.startswith("find") | op.startswith("check")
+    clash = (
+        (edge_.contains("return None") & ~optional)
+        | (how.contains("dictionary accumulator") & ~out.contains("dictionary"))
+        | (how.contains("comprehension") & op.startswith("find the first"))
+        | (how.contains("early return") & ~((out == "a boolean") | optional | searching))
+    )
+    return ~clash
+
+
+def preference_loss(policy_chosen: Column, policy_rejected: Column, reference_chosen: Column, reference_rejected: Column, beta: float) -> Column:
+    """The direct preference loss of a pair from the log probabilities of both completions under both models."""
+    margin = F.lit(float(beta)) * ((policy_chosen - policy_rejected) - (reference_chosen - reference_rejected))
+    # softplus(-margin) without overflow
+    return F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import shutil
+import socket
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from textloom.sources.readers import canonical_json
 
@@ -59,3 +65,54 @@ def execute(stages: list[Stage], exists: Callable[[str], bool]) -> dict[str, str
             except Exception:
                 status[name] = "failed"
     return status
+
+
+def grid(axes: dict[str, list], name: str) -> list[dict]:
+    """The configurations of a sweep: the product of the axes, each with a name filled in from its values."""
+    made: list[dict] = [{}]
+    for axis, values in axes.items():
+        made = [m | {axis: v} for m in made for v in values]
+    return [m | {"name": name.format(**m)} for m in made]
+
+
+class Lock:
+    """A folder lock on a local artifact: held by one process, taken over once its holder is gone.
+
+    A holder on another host is believed to live. For local artifacts only: object stores have no atomic folders.
+    """
+
+    def __init__(self, folder: str | Path, empty_for: float = 60.0):
+        self.folder, self.empty_for = Path(folder) / ".lock", empty_for
+
+    def acquire(self, fingerprint: str) -> bool:
+        self.folder.parent.mkdir(parents=True, exist_ok=True)
+        for _ in range(2):
+            try:
+                self.folder.mkdir()
+            except FileExistsError:
+                if not self.stale():
+                    return False
+                shutil.rmtree(self.folder, ignore_errors=True)
+                continue
+            holder = {"fingerprint": fingerprint, "pid": os.getpid(), "host": socket.gethostname(), "since": time.time()}
+            (self.folder / "holder.json").write_text(canonical_json(holder))
+            return True
+        return False
+
+    def release(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+    def stale(self) -> bool:
+        try:
+            holder = json.loads((self.folder / "holder.json").read_text())
+        except FileNotFoundError:
+            return self.folder.exists() and time.time() - self.folder.stat().st_mtime > self.empty_for
+        if holder["host"] != socket.gethostname():
+            return False
+        try:
+            os.kill(holder["pid"], 0)
+        except ProcessLookupError:
+            return True
+        except PermissionError:
+            return False
+        return False
