@@ -303,3 +303,14 @@ def test_clashing_columns(spark):
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     found = decontaminate.matches(docs, bench)
     assert decontaminate.cut(docs.withColumn("contaminated", F.lit(5)), found).count() == 19 == decontaminate.clean(docs, bench).count()
+
+
+def test_share_of_words_at_its_bound(spark):
+    """14 of 280 words are a twentieth, however the product of the floats rounds."""
+    item = " ".join(f"w{i}" for i in range(14))
+    texts = [(1, " ".join([item, *(f"x{i}" for i in range(266))])), (2, " ".join([item, *(f"x{i}" for i in range(267))]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
+    judged = decontaminate.judged(decontaminate.matches(docs, items)).select("doc_id", "contaminated").collect()
+    assert sorted(map(tuple, judged)) == [(1, True), (2, False)]

@@ -247,7 +247,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc: st
 def judged(found: DataFrame, share: float = 0.05) -> DataFrame:
     """n_hit and contaminated (hit words reach the share of all words) beside matches()."""
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)")
-    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")))
+    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") / F.col("n_words") >= F.lit(share)))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _clean(items: list[tuple[object, bytes]], window: int, key: str, column: int
                 words = Words(data, offs, ALNUM)
                 hit, _ = automaton.match(words)
                 n_hit = np.bincount(words.document()[hit], minlength=end - first)
-                good[first:end] = (n_hit == 0) | (n_hit < share * words.counts)
+                good[first:end] = (n_hit == 0) | (n_hit / np.maximum(words.counts, 1) < share)
             yield batch.filter(pa.array(good))
 
     return run
