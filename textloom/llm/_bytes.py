@@ -73,7 +73,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release() -> None:
-    """Give freed memory back at a task's end: Python workers live on beside the next task's."""
+    """Give freed memory back at a task's end, or when the driver has fitted a model: Python workers live on beside the next task's."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

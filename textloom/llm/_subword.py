@@ -6,6 +6,7 @@ sample of labelled rows; scoring runs over whole texts in array operations.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm._bytes import PLAIN, Words, mix, slices
+from textloom.llm._bytes import PLAIN, Words, mix, release, slices
 
 _MULT = np.uint32(0x9E3779B1)
 
@@ -70,13 +71,13 @@ def _sums(table: np.ndarray, bucket: np.ndarray, first: np.ndarray, end: np.ndar
 
 
 def extract(features: Features, data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, weights that sum to 1) of each text; without n-grams, empty."""
+    """(distinct buckets in order, how often each is met) of each text; without n-grams, empty."""
     parts = list(features.streams(data, offs))
     out = []
     for d in range(len(offs) - 1):
         ids = np.concatenate([b[f[d] : e[d]] for b, f, e in parts]) if parts else np.zeros(0, np.int64)
         ids, counts = np.unique(ids, return_counts=True)
-        out.append((ids.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32)))
+        out.append((ids.astype(np.int32), counts.astype(np.int32)))
     return out
 
 
@@ -111,7 +112,9 @@ def train(features: Features, rows: list[tuple[np.ndarray, np.ndarray, int]], la
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     k = len(labels)
-    vectors = rng.normal(0, 0.1, (features.size, dim)).astype(np.float32)
+    vectors = np.empty((features.size, dim), np.float32)
+    for at in range(0, features.size, 1 << 16):  # drawn in parts: double precision is twice the size
+        vectors[at : at + (1 << 16)] = rng.normal(0, 0.1, (min(1 << 16, features.size - at), dim))
     weight, bias = rng.normal(0, 0.1, (k, dim)).astype(np.float32), np.zeros(k, np.float32)
     seen_v, seen_w, seen_b = np.full(features.size, 1e-8, np.float32), np.full((k, dim), 1e-8, np.float32), np.full(k, 1e-8, np.float32)
     fit = [r for i, r in enumerate(rows) if i % hold] or rows
@@ -151,17 +154,27 @@ def train(features: Features, rows: list[tuple[np.ndarray, np.ndarray, int]], la
 
 
 def gather(sample: DataFrame, features: Features) -> list[tuple[np.ndarray, np.ndarray, object]]:
-    """The features of a bounded sample (key, text, label), taken on the executors, ordered by key."""
+    """(buckets, weights that sum to 1, label) of a bounded sample (key, text, label), taken on the executors, ordered by key.
+
+    Buckets travel as compressed differences and counts, a quarter of their size as arrays.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
                 got = extract(features, data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], names=["key", "label", "ids", "share"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array([zlib.compress(np.diff(i, prepend=np.int32(0)).tobytes() + n.tobytes(), 1) for i, n in got], pa.binary())], names=["key", "label", "features"])
 
     kind = dict(sample.dtypes)["label"]
-    rows = sample.select("key", "text", "label").mapInArrow(run, f"key long, label {kind}, ids binary, share binary").collect()
-    rows.sort(key=lambda r: (r["key"], str(r["label"]), r["ids"]))
-    return [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), r["label"]) for r in rows]
+    rows = sample.select("key", "text", "label").mapInArrow(run, f"key long, label {kind}, features binary").collect()
+    rows.sort(key=lambda r: (r["key"], str(r["label"]), r["features"]))
+    rows.reverse()
+    out = []
+    while rows:
+        r = rows.pop()
+        steps, counts = np.frombuffer(zlib.decompress(r["features"]), np.int32).reshape(2, -1)
+        out.append((np.cumsum(steps, dtype=np.int32), (counts / max(counts.sum(), 1)).astype(np.float32), r["label"]))
+    release()
+    return out
 
 
 def score(docs: DataFrame, model: Model, keep_null: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.llm import _subword
+from textloom.llm._bytes import release
 
 FEATURES = _subword.Features(grams=(1, 2, 3, 4), gram_bits=16, words=True, word_bits=16)
 #: At most so many rows of each language are learned from, chosen by a hash of their ids.
@@ -37,7 +38,10 @@ def fit(labelled: DataFrame, doc: str = "doc_id", text: str = "text", label: str
         return None
     got = _subword.gather(bounded_sample(rows, per_label, [tuple(r) for r in counts]), features)
     names = sorted(r["label"] for r in counts)
-    return _subword.train(features, [(i, w, names.index(y)) for i, w, y in got], names, **options)
+    model = _subword.train(features, [(i, w, names.index(y)) for i, w, y in got], names, **options)
+    del got
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: _subword.Model | None, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm import _subword
+from textloom.llm._bytes import release
 from textloom.llm.language_id import bounded_sample
 
 FEATURES = _subword.Features(grams=(1, 2, 3, 4), gram_bits=16, words=True, word_bits=17, lower=False)
@@ -30,6 +31,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = ROWS_PER_LABEL, doc
         seen = [max(1, sum(y == k for _, _, y in got)) for k in names]
         for k, name in enumerate(names):
             model.bias[k] += model.temperature * _log(share[name] / seen[k])
+    del got
+    release()
     return model
 
 
