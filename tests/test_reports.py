@@ -89,7 +89,7 @@ def test_archives_in_archives(spark, tmp_path):
     (tmp_path / "o.zip").write_bytes(zipped({"a/manifest.json": b"{}", "a/bundle.zip": zipped({"r.json": b"[1]"})}))
     (tmp_path / "p.zip").write_bytes(b"no archive")
     got = rows(archives.nested(spark, str(tmp_path / "*.zip")).select(F.regexp_replace("archive", "^.*/(?=[op].zip)", ""), "path", F.decode("content", "UTF-8")))
-    assert sorted(got, key=str) == [("o.zip", "a/manifest.json", "{}"), ("o.zip!a/bundle.zip", "r.json", "[1]"), ("p.zip", None, None)]
+    assert set(got) == {("o.zip", "a/manifest.json", "{}"), ("o.zip!a/bundle.zip", "r.json", "[1]"), ("p.zip", None, None)} and len(got) == 3
     entries = spark.createDataFrame([("b", b"2"), ("a", b"1")], "path string, content binary")
     assert zipfile.ZipFile(io.BytesIO(archives.bundle(entries))).namelist() == ["a", "b"]
 
