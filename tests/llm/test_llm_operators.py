@@ -181,6 +181,46 @@ def test_license_lines(spark):
     assert got == {0: [(1, "MIT")], 1: [(-1, "Apache-2.0"), (0, "Apache-2.0")], 2: [], 3: [], 4: []}
 
 
+def test_license_texts_wrapped_and_inner_notices(spark):
+    full = license_scan.templates_of_all()["MIT"][-1]
+    wrapped = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    docs = [
+        (0, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrapped(full, 12)),
+        (1, "some words before " * 12 + "\n" + wrapped(license_scan.TEMPLATES["ISC"][0], 7) + "\nand after"),
+        (2, "Copyright 2021 Some One and others. Released under the MIT License. See the file for more of it."),
+        (3, "x " * 3000 + "\n" + wrapped(license_scan.templates_of_all()["GPL-3.0"][-1], 11) + "\n" + "y " * 3000),
+        (4, "the " * 50 + "of the software without any of the terms of the license to the public " * 9),
+        (5, "a Released under the MIT License. " + "z " * 30 + "Released under the BSD 2-Clause License."),
+    ]
+    got = {r["doc_id"]: [(m["line"], m["last"], m["license"]) for m in r["matches"]] for r in license_scan.scan(frame(spark, docs)).collect()}
+    assert (-1, -1, "MIT") in got[0] and got[1] == [(1, 5, "ISC")] and got[2] == [(0, 0, "MIT")] and got[4] == []
+    assert [(a, c) for a, _, c in got[3] if a == 1] == [(1, "GPL-3.0")] and {c for _, _, c in got[3]} == {"GPL-3.0"}
+    assert got[5] == [(0, 0, "MIT"), (0, 0, "BSD-2-Clause")]
+
+
+def test_license_windows_are_brute_force():
+    rnd, names = random.Random(5), {"A": ["a b c a b d"], "B": ["c c b a"], "C": ["d a"]}
+    index = license_scan.Templates(names, 0.8)
+    for _ in range(60):
+        w = [rnd.choice("abcdx") for _ in range(14)]
+        t = " ".join(w).encode()
+        got = index.windows(license_scan.Words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), license_scan.ALNUM))
+        best = {}
+        for name, (x,) in names.items():
+            bag = Counter(zip(x.split(), x.split()[1:]))
+            for i in range(14):
+                for j in range(i + 2, 15):
+                    n = Counter(zip(w[i:j], w[i + 1 : j]))
+                    c = sum((n & bag).values())
+                    if (s := 2 * c / (n.total() + bag.total())) >= 0.8:
+                        best[i, j - 1, name] = (c * s, s)
+        for _, a, b, s, name in got:
+            assert abs(best[a, b, name][1] - s) < 1e-9
+        assert bool(got) == bool(best) and (not best or any(abs(best[a, b, n][0] - max(best.values())[0]) < 1e-9 for _, a, b, _, n in got))
+        assert all(not (x[2] >= y[1] and y[2] >= x[1]) for i, x in enumerate(got) for y in got[:i])
+        assert all(any(a <= q and b >= p for _, p, q, _, _ in got) for a, b, _ in best)
+
+
 def test_mix_targets_and_repeats(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(["w"] * rnd.randrange(0, 90)), None, rnd.choice(["a", "b", "c", "d", None]), None) for i in range(200)] + [(500, "x " * 5000, None, "e", None), (501, None, None, "f", None)]
