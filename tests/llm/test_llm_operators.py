@@ -82,6 +82,20 @@ def test_decontamination_in_blocks_and_cut(spark, monkeypatch):
     assert decontaminate.judged(decontaminate.matches(out, bench)).where("n_hit >= 13").count() == 0
 
 
+def test_decontamination_in_blocks_keeps_rows_apart(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(14))
+    rows = [(None, item), (None, "clean words"), (None, None), (5, item + " and more"), (5, "other words"), (5, "other words"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "something else here"), (3, "and more")], "item_id long, text string")
+    got = []
+    for words in (decontaminate.BLOCK_WORDS, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        found = decontaminate.digest(decontaminate.matches(docs, bench)).collect()
+        got.append((sorted(map(str, found)), sorted(map(str, decontaminate.clean(docs, bench).collect()))))
+        assert len(found) == len(rows) and len(got[-1][1]) == len(rows) - 2
+    assert got[0] == got[1]
+
+
 def components(docs):
     sets = {}
     for d, t in docs:

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._bytes import ALNUM, Words, slices
+from textloom.llm._spark import written
 
 WINDOW = 13
 #: Items are put into automata of at most so many words each, which bounds what is broadcast
-#: and held by a worker; more items mean more passes over the texts, joined per document.
+#: and held by a worker; more items mean more passes over the texts, joined by a key of the rows.
 BLOCK_WORDS = 200_000
 
 
@@ -221,11 +222,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc: st
     runs of hit words, with first and last word and start and end byte. Null and empty texts
     have no words and no spans; items without words, or null, match nothing; an item with a
     null id marks words but is not listed. Repeated rows give repeated results.
-    Where the test set needs several blocks, the document id has to be unique.
+    Where the test set needs several blocks, rows get a key and are written before they are scanned.
     """
+    blocks = list(_blocks(benchmark, item, item_text))
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if len(blocks) <= 1:
+        return _scanned(source, blocks, window)
+    rows = _keyed(source)
+    found = _scanned(rows.select(F.col("__row").alias("doc_id"), "text"), blocks, window).withColumnRenamed("doc_id", "__row")
+    return rows.select("__row", "doc_id").join(found, "__row").drop("__row")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The rows with a key of their own, __row, that stays the same whenever they are read: ids may be null or repeated."""
+    return written(rows.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
+def _scanned(source: DataFrame, blocks: list[list[tuple[object, bytes]]], window: int) -> DataFrame:
+    """matches() of rows (doc_id, text); with several blocks, doc_id has to be a key."""
     parts = []
-    for block in _blocks(benchmark, item, item_text):
+    for block in blocks:
         key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
         parts.append(source.mapInArrow(_scan(block, window, key), _SPARK))
     if not parts:
@@ -297,7 +313,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     """The documents, whole and with all columns, but for those of whose words the share or more are in windows of the benchmark.
 
     Null and empty texts stay. With one block of items rows are judged where they are, and
-    texts are not shuffled; with more, the judged ids are joined, and have to be unique.
+    texts are not shuffled; with more, rows get a key by which verdicts meet them.
     """
     blocks = list(_blocks(benchmark, item, item_text))
     if not blocks:
@@ -305,5 +321,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     if len(blocks) == 1:
         key = hashlib.sha256(repr((window, blocks[0])).encode()).hexdigest()
         return docs.mapInArrow(_clean(blocks[0], window, key, docs.columns.index(text), share), docs.schema)
-    bad = judged(matches(docs, benchmark, window, doc, text, item, item_text), share).where("contaminated").select(F.col("doc_id").alias("__doc"))
-    return docs.join(bad, docs[doc] == bad["__doc"], "left_anti")
+    rows = _keyed(docs)
+    found = _scanned(rows.select(F.col("__row").alias("doc_id"), F.col(text).cast("string").alias("text")), blocks, window)
+    bad = judged(found, share).where("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
