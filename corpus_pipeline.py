@@ -32,8 +32,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of whose words a twentieth or more are in benchmark windows (1)."""
-    return decontaminate.clean(docs, documents(spark, sf_dir, "benchmark"))
+    """Drops documents of whose words a twentieth or more are in benchmark windows, and cuts runs of 13 such words or more out of the others (1)."""
+    cut = decontaminate.clean(docs, documents(spark, sf_dir, "benchmark"), span_words=decontaminate.WINDOW)
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,3 +23,19 @@ def test_stages_keep_columns_and_shrink(spark):
     out = pipeline.STAGES[-1][1](spark, docs, DIR)
     assert out.count() == last and set(columns) < set(out.columns)
     assert out.where("taken > 3 * size").count() == 0
+
+
+def test_benchmark_passages_do_not_stay(spark, monkeypatch):
+    item = table(spark, DIR, "benchmark").where("size(split(text, ' ')) >= 14").select("text").first()[0]
+    other = "ü\n" + " ".join(f"ownword{i}" for i in range(900))
+    rows = [(1, item, None, None, 5), (2, f"{other} é {item}, ö {item} {other}", None, None, 5), (None, f"{item}\n{other} {other}", None, None, 5), (4, other, None, None, 5), (4, None, None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for words in (pipeline.decontaminate.BLOCK_WORDS, 100):
+        monkeypatch.setattr(pipeline.decontaminate, "BLOCK_WORDS", words)
+        out = pipeline.drop_benchmark(spark, docs, DIR)
+        got = {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()}
+        assert out.columns == docs.columns and len(got) == 4 and (4, other, len(other)) in got and (4, None, 5) in got
+        for d, t, n in got - {(4, None, 5)}:
+            assert t.count("ownword899") == (1 if d == 4 else 2) and n == len(t) and d != 1
+        found = pipeline.decontaminate.matches(out, table(spark, DIR, "benchmark"))
+        assert found.where("exists(spans, s -> s.last - s.first + 1 >= 13)").count() == 0

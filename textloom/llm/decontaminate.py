@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._bytes import ALNUM, Words, slices
@@ -294,34 +295,53 @@ def cut(docs: DataFrame, found: DataFrame, span_words: int = WINDOW, share: floa
     return both.select(*docs.columns)
 
 
-def _clean(items: list[tuple[object, bytes]], window: int, key: str, column: int, share: float):
+def _clean(items: list[tuple[object, bytes]], window: int, key: str, column: int, share: float, span_words: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, items, window)
         for batch in batches:
             good = np.ones(batch.num_rows, dtype=bool)
+            rest: dict[int, str] = {}
             for first, end, data, offs in slices(batch.column(column)):
                 words = Words(data, offs, ALNUM)
                 hit, _ = automaton.match(words)
                 n_hit = np.bincount(words.document()[hit], minlength=end - first)
                 good[first:end] = (n_hit == 0) | (n_hit / np.maximum(words.counts, 1) < share)
+                if span_words is not None:
+                    for d in np.flatnonzero((n_hit >= span_words) & good[first:end]).tolist():
+                        a, b = words.bounds[d], words.bounds[d + 1]
+                        change = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
+                        begins, ends = a + np.flatnonzero(change == 1), a + np.flatnonzero(change == -1)
+                        long = ends - begins >= span_words
+                        if long.any():
+                            edges = [offs[d], *np.stack([words.starts[begins[long]], words.ends[ends[long] - 1]], axis=1).ravel().tolist(), offs[d + 1]]
+                            rest[first + d] = b"".join(data[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)).decode()
+            if rest:
+                changed = np.zeros(batch.num_rows, dtype=bool)
+                changed[list(rest)] = True
+                texts = pc.replace_with_mask(batch.column(column), pa.array(changed), pa.array([rest[i] for i in sorted(rest)], batch.column(column).type))
+                batch = batch.set_column(column, batch.schema.field(column), texts)
             yield batch.filter(pa.array(good))
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents, whole and with all columns, but for those of whose words the share or more are in windows of the benchmark.
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", span_words: int | None = None) -> DataFrame:
+    """The documents, with all columns, but for those of whose words the share or more are in windows of the benchmark.
 
-    Null and empty texts stay. With one block of items rows are judged where they are, and
-    texts are not shuffled; with more, rows get a key by which verdicts meet them.
+    Null and empty texts stay. With span_words, the runs of so many hit words or more are cut
+    out of the texts that stay; otherwise these stay whole. With one block of items rows are
+    judged where they are, and texts are not shuffled; with more, rows get a key by which
+    verdicts meet them.
     """
     blocks = list(_blocks(benchmark, item, item_text))
     if not blocks:
         return docs
     if len(blocks) == 1:
         key = hashlib.sha256(repr((window, blocks[0])).encode()).hexdigest()
-        return docs.mapInArrow(_clean(blocks[0], window, key, docs.columns.index(text), share), docs.schema)
+        return docs.mapInArrow(_clean(blocks[0], window, key, docs.columns.index(text), share, span_words), docs.schema)
     rows = _keyed(docs)
     found = _scanned(rows.select(F.col("__row").alias("doc_id"), F.col(text).cast("string").alias("text")), blocks, window)
+    if span_words is not None:
+        return cut(rows, found, span_words, share, "__row", text).select(*docs.columns)
     bad = judged(found, share).where("contaminated").select(F.col("doc_id").alias("__row"))
     return rows.join(bad, "__row", "left_anti").select(*docs.columns)
