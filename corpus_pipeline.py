@@ -22,7 +22,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that repeat an earlier one (10); a document that had words and has none left goes."""
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     blank = docs.withColumn("__blank", empty(F.col("text")))
-    cut = line_dedup.dedup(blank).where(F.col("__blank") | ~empty(F.col("text"))).drop("__blank")
+    cut = line_dedup.dedup(blank, short=True).where(F.col("__blank") | ~empty(F.col("text"))).drop("__blank")
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

@@ -181,6 +181,15 @@ def test_line_dedup_is_brute_force(spark):
     assert {r["doc_id"]: r["kept_chars"] for r in line_dedup.digest(df, 2, 6).collect()} == left
 
 
+def test_exact_copies_of_short_lines_go(spark):
+    long = "a line of more than twenty characters"
+    docs = [(1, f"Notes\n{long}\n\n- x\nNotes"), (2, f"- x\n\nnotes\n{long}"), (3, "Notes"), (4, None), (5, "")]
+    df = frame(spark, docs)
+    assert {r[0]: r[1] for r in line_dedup.dedup(df, short=True).select("doc_id", "text").collect()} == {1: f"Notes\n{long}\n\n- x", 2: "\nnotes", 3: "", 4: None, 5: ""}
+    got = {r["doc_id"]: tuple(r)[1:] for r in line_dedup.digest(df, short=True).collect()}
+    assert got == {1: (5, 1, 1, 0, len(long)), 2: (4, 1, 2, 0, 0), 3: (1, 0, 1, 0, 0), 4: (0, 0, 0, 0, 0), 5: (0, 0, 0, 0, 0)}
+
+
 def test_url_rules(spark):
     urls = ["http://a.net/x", "http://a.example.net/en/1", "https://EXAMPLE.com/de/", "http://notexample.com/de/", "http://w.org/fr/x?y#z", "http://a.net", "nothing", None, "", "http://net/?q"]
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]

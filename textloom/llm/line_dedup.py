@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.llm._spark import written
 
 EDITS = 2
-#: Shorter lines are left alone, exact copies too: headings, list marks, brackets.
+#: Shorter lines are compared as they stand, for exact copies only, and empty ones not at all.
 MIN_CHARS = 20
 #: Keys up to this number may be broadcast (8 bytes each and what a hash table adds); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -101,8 +101,8 @@ def _only(rows: DataFrame, keys: DataFrame, column: str, n: int) -> DataFrame:
     return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, column, "left_semi")
 
 
-def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """lid, len, doc_id, pos, copies, near of each distinct line of min_chars characters or more.
+def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+    """lid, len, doc_id, pos, copies, near of each distinct line of min_chars characters or more; with short, of all that are not empty.
 
     doc_id and pos are its first occurrence (smallest id, then place); copies the number of
     occurrences; near: an earlier line is within the edits. The relation is not closed under
@@ -112,7 +112,7 @@ def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc:
     if min_chars < 2 * edits + 2:
         raise ValueError("min_chars has to be over twice the edits and one")
     every = _named(lines(docs, doc, text), min_chars)
-    firsts = every.groupBy("lid", "len").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = (_named(lines(docs, doc, text), 1) if short else every).groupBy("lid", "len").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = written(firsts.select("lid", "len", "first.*", "copies"), "lines")
     marks = marked(every, edits)
     # Nearly all keys belong to one line; they end here, with copies folded before the shuffle.
@@ -136,32 +136,34 @@ def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc:
 
 
 def kept_lines(judged: DataFrame) -> DataFrame:
-    """doc_id and kept, the places of the lines of min_chars or more that stay: first occurrences without an earlier near line."""
+    """doc_id and kept, the places of the judged lines that stay: first occurrences without an earlier near line."""
     return judged.where("not near").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """The documents, all columns, their texts without the repeated lines; a text of which nothing is left is empty.
 
-    Null texts stay null. The order of the lines and all short lines stay.
+    Null texts stay null. The order of the lines stays, and so do empty lines; lines under
+    min_chars go if they are exact copies and short is set, and stay otherwise.
     """
-    kept = kept_lines(judge(docs, edits, min_chars, doc, text)).select(F.col("doc_id").alias("__doc"), F.col("kept").alias("__places"))
+    kept = kept_lines(judge(docs, edits, min_chars, doc, text, short)).select(F.col("doc_id").alias("__doc"), F.col("kept").alias("__places"))
     both = docs.join(kept, F.col(doc).eqNullSafe(F.col("__doc")), "left").withColumn("__text", F.col(text).cast("string")).withColumn("__kept", F.coalesce("__places", F.array().cast("array<int>")))
-    rest = f"array_join(filter(split(__text, '\\n'), (line, i) -> length(line) < {min_chars} or array_contains(__kept, i)), '\\n')"
+    rest = f"array_join(filter(split(__text, '\\n'), (line, i) -> length(line) < {1 if short else min_chars} or array_contains(__kept, i)), '\\n')"
     return both.withColumn(text, F.expr(rest)).select(*docs.columns)
 
 
-def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_long, n_copies, n_near, kept_chars of each document.
 
-    n_long: lines of min_chars or more; n_copies: those that are not the first of their kind;
+    n_long: lines of min_chars or more; n_copies: those that are not the first of their kind,
+    with short also lines under min_chars that are not empty;
     n_near: firsts with an earlier near line; kept_chars: characters of the long lines that stay.
     """
-    judged = written(judge(docs, edits, min_chars, doc, text), "line-verdicts")
+    judged = written(judge(docs, edits, min_chars, doc, text, short), "line-verdicts")
     # Only first occurrences can stay, and each stands in judged with its place.
-    stay = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("firsts"), F.count(F.when(F.col("near"), 1)).alias("n_near"), F.sum(F.when(~F.col("near"), F.col("len")).otherwise(0)).alias("kept_chars"))
+    stay = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("firsts"), F.count(F.when(F.col("near"), 1)).alias("n_near"), F.sum(F.when(~F.col("near") & (F.col("len") >= min_chars), F.col("len")).otherwise(0)).alias("kept_chars"))
     sizes = docs.select(F.col(doc).alias("doc_id"), F.when(F.coalesce(F.col(text), F.lit("")) != "", F.split(F.col(text).cast("string"), "\n")).otherwise(F.array().cast("array<string>")).alias("all"))
-    sizes = sizes.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.expr(f"cast(size(filter(all, x -> length(x) >= {min_chars})) as long)").alias("n_long"))
+    sizes = sizes.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.expr(f"cast(size(filter(all, x -> length(x) >= {min_chars})) as long)").alias("n_long"), F.expr(f"cast(size(filter(all, x -> length(x) >= {1 if short else min_chars})) as long)").alias("n_judged"))
     both = sizes.join(stay.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return both.select("doc_id", "n_lines", "n_long", (F.col("n_long") - zero("firsts")).alias("n_copies"), zero("n_near").alias("n_near"), zero("kept_chars").alias("kept_chars"))
+    return both.select("doc_id", "n_lines", "n_long", (F.col("n_judged") - zero("firsts")).alias("n_copies"), zero("n_near").alias("n_near"), zero("kept_chars").alias("kept_chars"))

@@ -73,7 +73,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat, exactly or within two edits, an earlier line."""
-    return line_dedup.digest(documents(spark, sf_dir))
+    return line_dedup.digest(documents(spark, sf_dir), short=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op5_lm_score, op6_license_scan, op7_quality, op8_nearest, op9_url_filter, op10_line_dedup)}
