@@ -127,6 +127,17 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, most):
     assert kept == {d for d, (n, c) in components(docs).items() if c == d}
 
 
+def test_texts_without_an_id_link_others(spark):
+    w = [f"w{i}" for i in range(60)]
+    changed = lambda i: " ".join([*w[:i], "other", *w[i + 1 :]])
+    rows = [(7, changed(4)), (None, " ".join(w)), (None, " ".join(w)), (9, changed(55)), (3, "nothing like it at all here"), (None, None)]
+    profile, _, classes = ngram_join.join(frame(spark, rows))
+    got = ngram_join.labelled(profile, classes).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (0, 56, 7), (0, 56, 7), (3, 2, 3), (7, 56, 7), (9, 56, 7)]
+    alone = ngram_join.join(frame(spark, [(7, changed(4)), (9, changed(55))]))
+    assert {r["component_id"] for r in ngram_join.labelled(alone[0], alone[2]).collect()} == {7, 9}
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, ngram_join.components(links).collect()))

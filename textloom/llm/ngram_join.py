@@ -285,28 +285,42 @@ def _postings(threshold: tuple[int, int]):
 
 
 
+#: Sets that no row with an id has are found by their keys.
+_BY_KEY = U64(0x5E75)
+
+
+def _slots(x: np.ndarray) -> np.ndarray:
+    return (mix(x) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
 def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     for batch in batches:
-        ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64).view(U64)
-        bits[(mix(ids) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        none = np.asarray(batch.column(0).is_null())
+        ids, keys = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for i in (0, 1))
+        bits[_slots(np.where(none, keys ^ _BY_KEY, ids))] = True
     yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
 
 
 def _fetch(packed: bytes, width: int):
-    """doc_id, key, shingles of the texts whose id may be in the filter."""
+    """doc_id, key, shingles of the texts whose id, or key if they have no id, may be in the filter; texts without an id once a partition and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        known: set[int] = set()
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = bits[(mix(ids.view(U64)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] & ~np.asarray(batch.column(0).is_null())
-            chosen = batch.filter(pa.array(wanted))
+            chosen = batch.filter(pa.array(bits[_slots(ids.view(U64))] | np.asarray(batch.column(0).is_null())))
+            none = np.asarray(chosen.column(0).is_null())
             for first, end, data, offs in slices(chosen.column(1)):
                 token, bounds, keys = _sets(data, offs, width)
+                wanted = ~none[first:end] | bits[_slots(keys ^ _BY_KEY)]
+                for d in np.flatnonzero(none[first:end] & wanted).tolist():
+                    wanted[d] = int(keys[d]) not in known
+                    known.add(int(keys[d]))
                 # 48 bits are enough to tell the shingles of two sets apart; they are sorted again.
-                blobs = [np.sort(mix(token[bounds[d] : bounds[d + 1]]) >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for d in range(end - first)]
-                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(first, end - first), pa.array(keys.view(np.int64)), pa.array(blobs, pa.binary())], names=["doc_id", "key", "set"])
+                blobs = [np.sort(mix(token[bounds[d] : bounds[d + 1]]) >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for d in np.flatnonzero(wanted).tolist()]
+                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(first, end - first).filter(pa.array(wanted)), pa.array(keys.view(np.int64)[wanted]), pa.array(blobs, pa.binary())], names=["doc_id", "key", "set"])
 
     return run
 
@@ -366,7 +380,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     profile: doc_id, n, key of each row; a text without words, or null, has n = 0 and a null
     key. links: pairs (a, b) of keys of classes that are similar, enough of them to join
     every component. classes: key, component of the classes with a link.
-    Rows with a null id take part through their text only as members of their class.
+    Rows with a null id take part through their text; they have no id to give to a component.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -409,7 +423,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
 
 
 def _verify(spark, source: DataFrame, profile: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs of keys whose sets are similar; each class's set comes from its first document.
+    """The pairs of keys whose sets are similar; each class's set comes from its first document, or from a row of its key if none has an id.
 
     Pairs whose parity sketches show too large a difference go before any set is fetched.
     """
@@ -423,13 +437,13 @@ def _verify(spark, source: DataFrame, profile: DataFrame, pairs: DataFrame, widt
     apart = f"aggregate(zip_with({fold.format('pa', 'pb')}, {fold.format('pb', 'pa')}, (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + x)"
     pairs = written(bits.where(f"{apart} * {p + q} <= (na + nb) * {q - p}").select("a", "b"), "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    firsts = written(profile.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(needed, "key", "left_semi"), "firsts")
-    parts = firsts.select("doc_id").coalesce(8).mapInArrow(_filter_parts, "bits binary").collect()
+    firsts = written(profile.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(needed, "key", "left_semi"), "firsts")
+    parts = firsts.select("doc_id", "key").coalesce(8).mapInArrow(_filter_parts, "bits binary").collect()
     bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for r in parts:
         bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     sets = source.mapInArrow(_fetch(zlib.compress(bits.tobytes(), 1), width), "doc_id long, key long, set binary")
-    sets = written(sets.join(firsts, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
+    sets = written(sets.join(firsts, (sets["key"] == firsts["key"]) & sets["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_linked(threshold), "a long, b long")
