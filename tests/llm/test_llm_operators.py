@@ -355,6 +355,19 @@ def test_language_model_sums_to_one():
     assert abs(total - 1) < 1e-5
 
 
+def test_language_model_sees_four_words_back():
+    """Texts that differ only in the class of the third or fourth word before the last are not told the same of it."""
+
+    def rows(text):
+        t = lm_score.Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        of_class, _ = lm_score.features(t)
+        return t.cls.tolist(), [int(r[-2]) for r in of_class]
+
+    (one, a), (two, b), (three, c) = rows(b"aa bb cc dd ee"), rows(b"zq bb cc dd ee"), rows(b"aa zq cc dd ee")
+    assert one[0] != two[0] and one[1] != three[1]
+    assert a != b and a != c and max(*a, *b, *c) < lm_score.CLASS_ROWS
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id long, text string")
