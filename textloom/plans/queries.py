@@ -182,7 +182,7 @@ def bpe_train(spark, sf_dir):
 
 @query()
 def bpe_encode_stats(spark, sf_dir):
-    """Tokens and bytes of every document under merges of the benchmark texts, and whether decoding gives the text back."""
+    """Tokens and bytes of every benchmark text under merges of these texts, and whether decoding gives the text back."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), "text")
     merges = [(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])) for r in sorted(tokenize.train_on(rows, 40).collect(), key=lambda r: r["rank"])]
     ids = rows.withColumn("ids", tokenize.bpe_encode(merges)("text"))
@@ -219,6 +219,60 @@ def packed_index(spark, sf_dir):
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence"))
 
 
+# The same operators over whole documents; no SQL, which would be too slow there.
+
+
+def _encoded_documents(spark, sf_dir):
+    return _encoded(spark, sf_dir, "documents", "doc_id")
+
+
+@query()
+def char_encode_documents(spark, sf_dir):
+    return _encoded_documents(spark, sf_dir).select("pos", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query()
+def byte_pair_counts_documents(spark, sf_dir):
+    return tokenize.pair_counts(table(spark, sf_dir))
+
+
+@query()
+def best_pair_documents(spark, sf_dir):
+    return byte_pair_counts_documents(spark, sf_dir).orderBy(F.desc("n"), "left", "right").limit(1)
+
+
+@query()
+def bpe_encode_stats_documents(spark, sf_dir):
+    """Tokens and bytes of every document under the merges of bpe_train's bounded sample, and whether decoding gives the text back."""
+    merges = [(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])) for r in sorted(bpe_train(spark, sf_dir).collect(), key=lambda r: r["rank"])]
+    ids = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null").withColumn("ids", tokenize.bpe_encode(merges)("text"))
+    return ids.select("pos", F.size("ids").alias("tokens"), F.octet_length("text").alias("bytes"), (tokenize.bpe_decode(merges)("ids") == F.col("text")).alias("same"))
+
+
+@query()
+def pack_per_document_documents(spark, sf_dir):
+    rows = pack.per_document(_encoded_documents(spark, sf_dir), 64, 2)
+    return rows.select("pos", "k", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query()
+def pack_cross_document_documents(spark, sf_dir):
+    rows = pack.checked(pack.across_documents(_encoded_documents(spark, sf_dir), 64, 2))
+    return rows.select("k", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query()
+def pack_stats_documents(spark, sf_dir):
+    s = pack.statistics(pack.across_documents(_encoded_documents(spark, sf_dir), 64, 2), 2)
+    return s.withColumn("pad_fraction", F.round("pad_fraction", 9)).withColumn("average_fill", F.round("average_fill", 9))
+
+
+@query()
+def packed_index_documents(spark, sf_dir):
+    rows = pack.across_documents(_encoded_documents(spark, sf_dir), 64, 2).withColumn("shard", pack.shard_of("k", 65, 650))
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence"))
+
+
 RESULTS = "(select l_orderkey as task_id, l_linenumber as sample_index, l_shipmode_family as family, parsed, parsed and passed > 0 as executed, passed, total from (select l_orderkey, l_linenumber, l_returnflag as l_shipmode_family, l_linestatus = 'O' as parsed, (l_quantity::BIGINT % 6) as passed, 5::BIGINT as total from lineitem))"
 
 
