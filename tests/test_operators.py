@@ -112,11 +112,6 @@ def test_bpe_round_trip(spark):
     assert merges[0] == (b"a", b"b")
 
 
-def test_learning_rate(spark):
-    got = [r[0] for r in spark.createDataFrame([(0,), (10,), (20,)], "s long").select(measure.learning_rate(F.col("s"), "linear", 1.0, 10, 20)).collect()]
-    assert got == [0.1, 1.0, 0.0]
-
-
 def test_lineage_runs_parents_first():
     ran = []
     stages = [lineage.Stage("b", {}, ["a"], lambda p: ran.append("b")), lineage.Stage("a", {}, [], lambda p: ran.append("a"))]

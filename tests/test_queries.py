@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans import queries as own, report_queries  # noqa: F401
+from textloom.plans import queries as own, report_queries, run_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -33,19 +33,19 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_documents_are_encoded_and_packed(spark):
-    texts = {r[0]: r[1] for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()}
+def test_documents_are_packed_in_one_stream(spark):
     run = lambda name: entry.queries()[name](spark, DIR).collect()
-    ids = {r["pos"]: (r["ids"] or "").split() for r in run("char_encode_documents")}
-    assert {k: len(v) for k, v in ids.items()} == {k: len(t or "") for k, t in texts.items()}
-    stats = run("bpe_encode_stats_documents")
-    assert {r["pos"]: r["bytes"] for r in stats} == {k: len(t.encode()) for k, t in texts.items() if t is not None} and all(r["same"] for r in stats)
-    assert sum(r["n"] for r in run("byte_pair_counts_documents")) == sum(max(len((t or "").encode()) - 1, 0) for t in texts.values())
-    top = max(run("byte_pair_counts_documents"), key=lambda r: (r["n"], -r["left"], -r["right"]))
-    assert run("best_pair_documents") == [top]
+    ids = {r["pos"]: (r["ids"] or "").split() for r in run("char_encode")}
     stream = [x for k in sorted(k for k in ids if k is not None) if len(ids[k]) >= 2 for x in ids[k]]
-    rows = {r["k"]: r["ids"].split() for r in run("pack_cross_document_documents")}
+    rows = {r["k"]: r["ids"].split() for r in run("pack_cross_document")}
     n = -(-(len(stream) - 1) // 64)
     assert rows == {k: stream[64 * k : 64 * k + 65] + ["2"] * (65 - len(stream[64 * k : 64 * k + 65])) for k in range(n)}
-    assert sum(r["sequences"] for r in run("packed_index_documents")) == run("pack_stats_documents")[0]["rows"] == n
-    assert len(run("pack_per_document_documents")) == sum(-(-(len(v) - 1) // 64) for v in ids.values() if len(v) >= 2)
+
+
+def test_merges_of_all_documents_are_those_of_a_sample_of_all(spark):
+    from textloom.operators import order, tokenize
+
+    docs = own.docs(spark, DIR)
+    want = [(r["left"], r["right"]) for r in sorted(tokenize.train_on(docs, 12).collect(), key=lambda r: r["rank"])]
+    assert [(r["left"], r["right"]) for r in sorted(entry.queries()["bpe_train_distributed"](spark, DIR).collect(), key=lambda r: r["rank"])] == want
+    assert order.bounded_prefix(docs, 3, 1 << 40, strict=True).count() == 3

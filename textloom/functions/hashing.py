@@ -33,6 +33,6 @@ def split_name(key: Column, train: float, validation: float) -> Column:
 def fim_bounds(key: Column, length: Column, least: int) -> tuple[Column, Column]:
     """(first, second) cut of a text in three segments of `least` characters or more, from two hashes of its id."""
     spare = length - 3 * least
-    first = least + hash_modulo(F.concat(key, F.lit(":first")), spare + 1)
-    second = first + least + hash_modulo(F.concat(key, F.lit(":second")), length - 2 * least - first + 1)
+    first = least + hash_modulo(F.concat(key, F.lit(":fill_in_middle:first")), spare + 1)
+    second = first + least + hash_modulo(F.concat(key, F.lit(":fill_in_middle:second")), length - 2 * least - first + 1)
     return first, second

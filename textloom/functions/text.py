@@ -18,15 +18,16 @@ def _column(c: Column | str) -> Column:
 
 
 def unicode_normalize(text: Column | str, form: str = "NFC") -> Column:
-    """Unicode normalisation; an Arrow function, as Spark has none built in. Null stays null."""
+    """Unicode normalisation; an Arrow function, as Spark has none built in, which only texts with other characters than ASCII are sent to. Null stays null."""
     if form not in FORMS:
         raise ValueError(f"unknown normalisation form {form}")
 
     @pandas_udf("string")
     def normalize(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else v if v.isascii() else unicodedata.normalize(form, v))
+        return values.map(lambda v: None if v is None else unicodedata.normalize(form, v))
 
-    return normalize(_column(text))
+    text = _column(text)
+    return F.coalesce(normalize(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def casefold(text: Column | str) -> Column:
@@ -39,6 +40,10 @@ def casefold(text: Column | str) -> Column:
     return fold(_column(text))
 
 
+def _not_empty(text: Column, message: str) -> Column:
+    return F.when(text == "", F.raise_error(F.lit(message)).cast("string")).otherwise(text)
+
+
 def line_endings(text: Column | str) -> Column:
     """CR LF and lone CR become LF."""
     return F.replace(F.replace(_column(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -49,8 +54,8 @@ def text_hash(text: Column | str) -> Column:
 
 
 def safe_id(name: Column | str) -> Column:
-    """Runs of characters other than ASCII letters, digits, _, . and - become one underscore."""
-    return F.regexp_replace(_column(name), r"[^A-Za-z0-9_.\-]+", "_")
+    """Runs of characters other than ASCII letters, digits, _, . and - become one underscore; an empty name is an error."""
+    return _not_empty(F.regexp_replace(_column(name), r"[^A-Za-z0-9_.\-]+", "_"), "a document id needs a character")
 
 
 def truncate_at_stop(text: Column | str, stops: Sequence[str]) -> Column:
@@ -112,15 +117,16 @@ def tagged(text: Column | str, tag: str) -> Column:
 
 
 def strip_fence(text: Column | str) -> Column:
-    """The content of a fenced block, or the trimmed text without one."""
+    """The trimmed content of a text that is one fenced block as a whole; any other text stays as it is."""
     text = _column(text)
-    body = F.regexp_extract(text, r"(?s)```(?:json|python)?\s*(.*?)\s*```", 1)
-    return F.when(text.rlike(r"(?s)```.*?```"), body).otherwise(F.trim(text))
+    fence = r"(?sU)\A\s*```(?:json)?\s*(.*?)\s*```\s*\z"
+    return F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text)
 
 
 def slug(name: Column | str) -> Column:
-    """Letters, digits and underscores in lower case; other characters become underscores, none at either end."""
-    return F.regexp_replace(F.regexp_replace(F.lower(_column(name)), r"[^\p{L}\p{N}_]", "_"), r"^_+|_+$", "")
+    """Letters and digits in lower case; each run of other characters is one underscore, none at either end. A name without letters or digits is an error."""
+    parts = F.regexp_replace(_column(name), r"[^\p{L}\p{N}]+", "_")
+    return _not_empty(F.lower(F.regexp_replace(parts, r"^_|_$", "")), "a key needs a letter or digit")
 
 
 def replace_all(text: Column | str, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -141,3 +147,61 @@ def template(form: str, columns: Sequence[str]) -> Column:
                 raise ValueError(f"unknown column {name}")
             parts.append(F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is null"))).otherwise(F.col(name).cast("string")))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def text_column(df, name: str) -> Column:
+    """The column as a text: one that is there and holds strings, or an error at once; a null is an error when it is met."""
+    kinds = dict(df.dtypes)
+    if kinds.get(name) != "string":
+        raise TypeError(f"{name} has to be a column of strings, not {kinds.get(name, 'missing')}")
+    return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is null")).cast("string")).otherwise(F.col(name))
+
+
+def prompt(opening: str, fields: Sequence[tuple[str, Column | str]], closing: str) -> Column:
+    """The opening, a line "label: value" for each field and the closing, blank lines between; lists are joined by commas. A null value is an error."""
+    lines = [F.concat(F.lit(f"{label}: "), F.when(_column(c).isNull(), F.raise_error(F.lit(f"{label} is null")).cast("string")).otherwise(_column(c))) for label, c in fields]
+    return F.concat(F.lit(f"{opening}\n\n"), F.concat_ws("\n", *lines), F.lit(f"\n\n{closing}"))
+
+
+#: The wording of the prompt that asks for an example of a task seed.
+SEED_OPENING = "Create one training example from this semantic seed."
+SEED_CLOSING = "Resolve minor ambiguity in the simplest sensible way. Return only <task> and <code>."
+SEED_LABELS = (
+    ("Input", "input_kind"),
+    ("Task family", "task_family"),
+    ("Operation tags", "operation_tags"),
+    ("Operation", "operation"),
+    ("Condition or relation", "condition"),
+    ("Required output", "output_kind"),
+    ("Edge behavior", "edge_behavior"),
+    ("Implementation style", "implementation_style"),
+    ("Additional constraint", "extra_constraint"),
+    ("Concrete task detail", "task_detail"),
+    ("Description style", "description_style"),
+    ("Naming style", "naming_style"),
+)
+
+
+def seed_prompt() -> Column:
+    """The prompt of rows with the fields of a task seed; operation_tags is a list."""
+    return prompt(SEED_OPENING, [(label, F.array_join(name, ", ") if name == "operation_tags" else F.col(name)) for label, name in SEED_LABELS], SEED_CLOSING)
+
+
+def exact_match(generated: Column | str, asked: Column | str, expected: Column | str) -> Column:
+    """Whether a generated text is its prompt and the expected completion, character by character."""
+    return _column(generated).eqNullSafe(F.concat(_column(asked), _column(expected)))
+
+
+def bytes_per_token(n_bytes: Column | str, n_tokens: Column | str) -> Column:
+    """Bytes over tokens; 0 where there are no tokens."""
+    return F.when(_column(n_tokens) == 0, F.lit(0.0)).otherwise(_column(n_bytes) / _column(n_tokens))
+
+
+def missing_tokens(required: Column | str, configured: Column | str) -> Column:
+    """The required tokens (a list) that are not configured, once each, in order of their text."""
+    return F.array_sort(F.array_except(_column(required), _column(configured)))
+
+
+def append_missing(configured: Column | str, required: Column | str) -> Column:
+    """The configured tokens, then the required ones that are not among them, in their order and once each."""
+    return F.concat(_column(configured), F.array_except(_column(required), _column(configured)))

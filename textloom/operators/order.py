@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of one bucket of positions; a bucket is one task's window.
@@ -27,10 +30,24 @@ def number(df: DataFrame, pos: str = "pos", out: str = "n") -> DataFrame:
     return running_sum(df, F.lit(1).cast("long"), pos, out).withColumn(out, F.col(out) - 1)
 
 
-def bounded_prefix(df: DataFrame, max_rows: int, max_bytes: int, text: str = "text", pos: str = "pos") -> DataFrame:
-    """The rows before the first that would exceed max_bytes of text in all or max_rows."""
+def bounded_prefix(df: DataFrame, max_rows: int, max_bytes: int, text: str = "text", pos: str = "pos", strict: bool = False) -> DataFrame:
+    """The rows before the first that would exceed max_bytes of text in all or max_rows. With strict, an empty prefix is an error at once."""
     counted = running_sum(number(df, pos, "__n"), F.octet_length(text).cast("long"), pos, "__bytes")
-    return counted.where((F.col("__n") < max_rows) & (F.col("__bytes") <= max_bytes)).drop("__n", "__bytes")
+    out = counted.where((F.col("__n") < max_rows) & (F.col("__bytes") <= max_bytes)).drop("__n", "__bytes")
+    if strict and out.isEmpty():
+        raise ValueError("there is no document" if df.isEmpty() else "the first document is larger than the sample")
+    return out
+
+
+def first(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The first n rows in order: n of each partition are kept, and the best of these."""
+    return df.orderBy(*(by or ("pos",))).limit(n)
+
+
+def named(df: DataFrame, names: Sequence[str], column: str = "name", out: str = "place") -> DataFrame:
+    """The rows with one of the names, and the name's place in the list, from 0; names that no row has are passed over."""
+    places = F.create_map(*[F.lit(x) for i, n in enumerate(dict.fromkeys(names)) for x in (n, i)])
+    return df.where(F.col(column).isin(*names)).withColumn(out, places[F.col(column)])
 
 
 def contiguous(pos: Column, total: int, workers: int) -> Column:
@@ -61,6 +78,11 @@ def concat(*frames: DataFrame, pos: str = "pos") -> DataFrame:
     return out
 
 
+def union(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of the frames, whose columns meet by name; one that a frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def zip_strict(left: DataFrame, right: DataFrame, left_pos: str = "pos", right_pos: str = "pos") -> DataFrame:
     """Rows of both in their orders, side by side; a row without a partner is an error. Of equally named columns the left one's stay."""
     a = number(left, left_pos, "__n").withColumn("__l", F.lit(True))
@@ -111,3 +133,15 @@ def shuffled_shards(shards: DataFrame, shard: str, seed: int, epoch: int, worker
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(shard).cast("string")), 256)
     placed = shards.withColumn("place", F.row_number().over(Window.orderBy(h)).cast("long") - 1)  # one row a shard
     return placed.withColumn("worker", F.col("place") % workers)
+
+
+def shuffled_rows(rows: DataFrame, shard: str, row: str, seed: int, epoch: int, workers: int) -> DataFrame:
+    """rows with worker, shard_place and row_place: the order in which an epoch reads them.
+
+    Shards come in hash order and go to the workers in turn, and so do a shard's rows among
+    themselves. A shard's rows are ordered together, as it is of bounded size.
+    """
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(shard).cast("string"), F.col(row).cast("string")), 256)
+    placed = rows.withColumn("row_place", F.row_number().over(Window.partitionBy(shard).orderBy(h)).cast("long") - 1)
+    shards = shuffled_shards(rows.select(shard).distinct(), shard, seed, epoch, workers)
+    return placed.join(shards.withColumnRenamed("place", "shard_place"), shard)

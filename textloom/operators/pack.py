@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.operators.curate import fill_in_middle
 from textloom.operators.order import running_sum
 
 
@@ -52,3 +57,61 @@ def checked(rows: DataFrame, most: int = 65535) -> DataFrame:
     """The rows; a token outside 0 to most is an error."""
     bad = F.exists("token_ids", lambda x: (x < 0) | (x > most))
     return rows.withColumn("token_ids", F.when(bad, F.raise_error(F.lit("token id out of range")).cast("array<int>")).otherwise(F.col("token_ids")))
+
+
+def pack(docs: DataFrame, encode: Callable[[DataFrame], DataFrame], context: int, pad: int, bos: int | None = None, eos: int | None = None, across: bool = True, fim: dict | None = None) -> DataFrame:
+    """k, token_ids: documents (document_id, text, pos), some rewritten with a middle to fill in, as rows of context + 1 tokens, checked and numbered.
+
+    encode adds the column tokens, an array of integers; bos and eos go around each
+    document's. fim: probability and least, and marks, which the tokenizer has to know as
+    special tokens. across: one stream of all documents, else each has its own rows.
+    """
+    mark = lambda token: F.array(F.lit(token)) if token is not None else F.array().cast("array<int>")
+    texts = fill_in_middle(docs, **fim) if fim else docs
+    tokens = encode(texts.select("pos", "text").where("text is not null")).select("pos", F.concat(mark(bos), "tokens", mark(eos)).alias("tokens"))
+    if across:
+        return checked(across_documents(tokens, context, pad))
+    rows = per_document(tokens, context, pad)
+    # Rows are numbered in order of documents: by how many the documents before have.
+    counts = tokens.where(F.size("tokens") >= 2).select("pos", F.ceil((F.size("tokens") - 1) / context).cast("long").alias("n"))
+    starts = running_sum(counts, F.col("n"), "pos", "end").select("pos", (F.col("end") - F.col("n")).alias("start"))
+    return checked(rows.join(starts, "pos").select((F.col("start") + F.col("k")).alias("k"), "token_ids"))
+
+
+def write_shards(rows: DataFrame, path: str, row_tokens: int, max_tokens: int) -> DataFrame:
+    """Writes rows (k, token_ids) as one Parquet file a shard under path/shards and returns the index that it writes to path/index.
+
+    A shard holds as many rows as fit into max_tokens. Rows of another length than row_tokens, tokens outside 16 bits, shards
+    too small for a row and an empty table are errors. The index has shard, sequences, tokens and
+    first_sequence; it is written last, so that a reader who finds it finds all shards.
+    """
+    if max_tokens < row_tokens:
+        raise ValueError("a shard has to hold a row")
+    spark = rows.sparkSession
+    even = F.when(F.size("token_ids") == row_tokens, F.col("token_ids")).otherwise(F.raise_error(F.lit("a row of another length")).cast("array<int>"))
+    placed = checked(rows.withColumn("token_ids", even)).withColumn("shard", shard_of("k", row_tokens, max_tokens))
+    placed.repartition("shard").sortWithinPartitions("shard", "k").write.partitionBy("shard").parquet(f"{path}/shards")
+    written = spark.read.schema(placed.schema).parquet(f"{path}/shards").groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence"))
+    index = written.withColumn("tokens", F.col("sequences") * row_tokens)
+    if index.isEmpty():
+        raise ValueError("packing made no rows")
+    index.write.parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
+
+
+def uint16(rows: DataFrame) -> DataFrame:
+    """shard, sequences, data: each shard's rows in order as little-endian 16-bit numbers, for readers of flat files. A shard is of bounded size."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        order = np.argsort(shard.column("k").to_numpy(), kind="stable")
+        lists = shard.column("token_ids").take(pa.array(order)).combine_chunks()
+        data = lists.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes()
+        return pa.table({"shard": shard.column("shard").slice(0, 1), "sequences": pa.array([shard.num_rows], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    return rows.select(F.col("shard").cast("long").alias("shard"), "k", "token_ids").groupBy("shard").applyInArrow(run, "shard long, sequences long, data binary")
+
+
+def training_split(docs: DataFrame, split: str = "train") -> DataFrame:
+    """The documents of the split `train` if there are any, else all."""
+    own = docs.where(F.col("split") == split)
+    return docs if own.isEmpty() else own

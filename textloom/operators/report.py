@@ -28,6 +28,40 @@ def with_prefix(paths: DataFrame, path: str, prefixes: Sequence[str]) -> DataFra
     return paths.where(reduce(Column.__or__, [F.startswith(path, F.lit(p)) for p in prefixes], F.lit(False)))
 
 
+def listed(paths: DataFrame, path: str, names: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
+    """Rows whose path is one of the names or begins with one of the prefixes, in order of the path."""
+    begins = reduce(Column.__or__, [F.startswith(path, F.lit(p)) for p in prefixes], F.lit(False))
+    return paths.where(F.col(path).isin(*names) | begins).orderBy(path)
+
+
+def requirements(paths: DataFrame, path: str, wanted: Sequence[tuple[str, str, tuple[str, ...]]], *by: str) -> DataFrame:
+    """by, requirement, present, detail of each requirement: (name, how, values) with how `exact` (path), `ends` (prefix, suffix) or `contains` (part).
+
+    The detail is the path or `missing` of an exact one, else how many files there are. One pass over the paths.
+    """
+    tests = {
+        "exact": lambda p: F.col(path) == p,
+        "ends": lambda p, s: F.startswith(path, F.lit(p)) & F.endswith(path, F.lit(s)),
+        "contains": lambda p: F.contains(path, F.lit(p)),
+    }
+    counts = paths.groupBy(*by).agg(*[F.count(F.when(tests[how](*values), 1)).alias(f"__{i}") for i, (_, how, values) in enumerate(wanted)])
+    told = [F.struct(F.lit(name).alias("requirement"), (F.col(f"__{i}") > 0).alias("present"), (F.when(F.col(f"__{i}") > 0, values[0]).otherwise("missing") if how == "exact" else F.format_string("%d files", f"__{i}")).alias("detail")) for i, (name, how, values) in enumerate(wanted)]
+    return counts.select(*by, F.explode(F.array(*told)).alias("r")).select(*by, "r.*")
+
+
+#: What the bundle of a run has to hold.
+REQUIRED = (
+    ("resolved_config.json", "exact", ("resolved_config.json",)),
+    ("run_manifest.json", "exact", ("run_manifest.json",)),
+    ("pretraining metrics.jsonl", "exact", ("artifacts/pretraining/metrics.jsonl",)),
+    ("final evaluation/report.json", "exact", ("artifacts/evaluation/report.json",)),
+    ("checkpoint-evaluation report.json files", "ends", ("artifacts/evaluation/sha256_", "/report.json")),
+    ("TensorBoard event files", "contains", ("events.out.tfevents",)),
+    ("tokenizer files", "ends", ("artifacts/tokenizer/", ".json")),
+    ("latest checkpoint", "contains", ("/checkpoints/latest.",)),
+)
+
+
 def last_entries(entries: DataFrame, key: str, pos: str) -> DataFrame:
     """One row of each key, the last by pos, at the place of the key's first. Copies fold before the shuffle."""
     rest = [c for c in entries.columns if c not in (key, pos)]

@@ -1,14 +1,21 @@
-"""Tokenizers: characters, and byte-pair encoding trained on a bounded sample."""
+"""Tokenizers: characters, and byte-pair encoding trained on a bounded sample or on all of a corpus."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from textloom.sources.manifests import read_text, write_text
+
 SPECIALS = ("<bos>", "<eos>", "<pad>")
 
 
@@ -20,19 +27,60 @@ def character_vocabulary(df: DataFrame, text: str = "text", specials: tuple[str,
     return spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int").unionByName(numbered)
 
 
-def character_encode(df: DataFrame, vocabulary: dict[str, int], text: str = "text") -> DataFrame:
-    """df with tokens, the ids of the text's characters; a character outside the vocabulary is an error."""
-    known = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
-    ids = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(known[c], F.raise_error(F.concat(F.lit("unknown character "), c)).cast("int")))
-    return df.withColumn("tokens", ids)
+def _pieces(text: str, specials: Sequence[str]) -> list[str]:
+    """Plain text and special tokens by turns, the leftmost and of these the longest first."""
+    if not specials:
+        return [text]
+    return re.split("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")", text)
+
+
+#: Code points there are: an alphabet is no larger, which bounds what encoding broadcasts to 4.5 MB.
+_POINTS = 0x110000
+
+
+def character_encode(df: DataFrame, vocabulary: dict[str, int], text: str = "text", specials: Sequence[str] = ()) -> DataFrame:
+    """df with tokens, the ids of the text's characters and of the special tokens in it; a character outside the vocabulary is an error."""
+    table = np.full(_POINTS, -1, np.int32)
+    for token, i in vocabulary.items():
+        if len(token) == 1:
+            table[ord(token)] = i
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def plain(value: str) -> np.ndarray:
+        ids = shared.value[np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if len(ids) and ids.min() < 0:
+            raise KeyError(f"unknown character {value[int(ids.argmin())]!r}")
+        return ids
+
+    def encode(value: str) -> np.ndarray:
+        parts = [plain(p) if k % 2 == 0 else np.array([vocabulary[p]], np.int32) for k, p in enumerate(_pieces(value, specials))]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    @pandas_udf("array<int>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else encode(v))
+
+    return df.withColumn("tokens", run(text))
+
+
+def character_decode(df: DataFrame, vocabulary: dict[str, int], tokens: str = "tokens", specials: Sequence[str] = SPECIALS, out: str = "decoded") -> DataFrame:
+    """df with the text of the ids, special tokens left out; an id outside the vocabulary is an error."""
+    texts = {i: "" if t in specials else t for t, i in vocabulary.items()}
+
+    @pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else "".join(texts[i] for i in v))
+
+    return df.withColumn(out, run(tokens))
 
 
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """left, right, n of neighbouring bytes of the UTF-8 texts, overlapping ones counted."""
-    hexed = df.select(F.hex(F.encode(text, "UTF-8")).alias("h")).where("length(h) >= 4")
-    pairs = hexed.select(F.explode(F.transform(F.sequence(F.lit(1), F.expr("cast(length(h) / 2 - 1 as int)")), lambda i: F.substr(F.col("h"), i * 2 - 1, F.lit(4)))).alias("p"))
-    byte = lambda c: F.conv(c, 16, 10).cast("int")
-    return pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(byte(F.substr("p", F.lit(1), F.lit(2))).alias("left"), byte(F.substr("p", F.lit(3), F.lit(2))).alias("right"), "n")
+    """left, right, n of neighbouring bytes of the UTF-8 texts, overlapping ones counted. Bytes are cut in binary, where a place is found at once."""
+    raw = df.select(F.encode(text, "UTF-8").alias("b")).where("octet_length(b) >= 2")
+    pairs = raw.select(F.explode(F.expr("transform(sequence(1, octet_length(b) - 1), i -> substring(b, i, 2))")).alias("p"))
+    counts = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.hex("p").alias("h"), "n")
+    byte = lambda at: F.conv(F.substr("h", F.lit(at), F.lit(2)), 16, 10).cast("int")
+    return counts.select(byte(1).alias("left"), byte(3).alias("right"), "n")
 
 
 def merge(tokens: list[bytes], left: bytes, right: bytes) -> list[bytes]:
@@ -92,33 +140,206 @@ def train_on(sample: DataFrame, merges: int, text: str = "text", pos: str = "pos
     return sample.select(F.col(pos).alias("pos"), F.col(text).alias("text")).coalesce(1).mapInPandas(run, "rank int, left string, right string")
 
 
-def bpe_encode(merges: list[tuple[bytes, bytes]]):
-    """An Arrow function from text to token ids: 256 bytes first, then the merges; the lowest-ranked pair is merged first."""
-    rank = {p: i for i, p in enumerate(merges)}
-    ids = {bytes([b]): b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(merges)}
+def merge_ids(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
+    """merge() on an array of token ids in array operations."""
+    at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
+    if left == right and len(at):
+        # In a run of equal tokens every second place of a match begins one.
+        first = np.concatenate([[True], np.diff(at) != 1])
+        begin = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        at = at[(at - begin) % 2 == 0]
+    if not len(at):
+        return ids
+    out = ids.copy()
+    out[at] = new
+    return np.delete(out, at + 1)
+
+
+#: Texts are put together in groups of about so many bytes.
+_GROUP_BYTES = 1 << 20
+
+
+def _groups(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= _GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _joined(texts: Sequence[bytes]) -> np.ndarray:
+    """The bytes of all texts, -1 behind each: no pair goes from one to the next."""
+    ids = np.empty(sum(map(len, texts)) + len(texts), np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    inside = np.ones(len(ids), dtype=bool)
+    inside[ends] = False
+    ids[inside] = np.frombuffer(b"".join(texts), np.uint8)
+    ids[ends] = -1
+    return ids
+
+
+def _pairs_of(steps: Sequence[tuple[int, int]], token: Sequence[bytes]):
+    """Per partition, the counts of neighbouring tokens after the merges so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(token)
+        total: Counter = Counter()
+        for batch in batches:
+            for texts in _groups(batch.column(0).to_pylist()):
+                ids = _joined(texts)
+                for k, (left, right) in enumerate(steps):
+                    ids = merge_ids(ids, left, right, 256 + k)
+                real = (ids[:-1] >= 0) & (ids[1:] >= 0)
+                code = ids[:-1][real] * size + ids[1:][real]
+                if size <= 2048:
+                    n = np.bincount(code, minlength=1)
+                    pairs = np.flatnonzero(n)
+                    n = n[pairs]
+                else:
+                    pairs, n = np.unique(code, return_counts=True)
+                total.update(dict(zip(pairs.tolist(), n.tolist(), strict=True)))
+        left, right = [p // size for p in total], [p % size for p in total]
+        yield pa.RecordBatch.from_arrays([pa.array([token[x].hex() for x in left], pa.string()), pa.array([token[x].hex() for x in right], pa.string()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(list(total.values()), pa.int64())], names=["left", "right", "l", "r", "n"])
+
+    return run
 
-    def encode(text: str) -> list[int]:
-        tokens = [bytes([b]) for b in text.encode()]
-        while len(tokens) > 1:
-            best = min(zip(tokens, tokens[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
-            if best not in rank:
-                break
-            tokens = merge(tokens, *best)
-        return [ids[t] for t in tokens]
+
+def train_distributed(df: DataFrame, merges: int, text: str = "text") -> list[tuple[bytes, bytes]]:
+    """train_merges over all texts of a table, of any size: each merge is a count over the executors, of which one row comes back.
+
+    Counts fold in each task; the driver holds the merges alone. Every round reads the texts
+    and applies the merges so far, so that nothing has to be kept and a lost executor costs its tasks only.
+    """
+    raw = df.where(F.col(text).isNotNull()).select(F.encode(text, "UTF-8").alias("b"))
+    token, out, steps = [bytes([b]) for b in range(256)], [], []
+    known = set(token)
+    while len(out) < merges:
+        counted = raw.mapInArrow(_pairs_of(tuple(steps), tuple(token)), "left string, right string, l long, r long, n long").groupBy("left", "right", "l", "r").agg(F.sum("n").alias("n"))
+        best = counted.orderBy(F.desc("n"), "left", "right").first()
+        if best is None:
+            break
+        pair = (token[best["l"]], token[best["r"]])
+        if pair[0] + pair[1] in known:
+            break
+        known.add(pair[0] + pair[1])
+        out.append(pair)
+        steps.append((best["l"], best["r"]))
+        token.append(pair[0] + pair[1])
+    return out
+
+
+@dataclass(frozen=True)
+class BytePairs:
+    """Merges and special tokens. Ids: special tokens in their order, then the 256 bytes, then the merges."""
+
+    merges: tuple[tuple[bytes, bytes], ...]
+    specials: tuple[str, ...] = ()
+    bos: str | None = None
+    eos: str | None = None
+    pad: str | None = None
+    table: tuple[bytes, ...] = field(init=False, repr=False, compare=False)
+    steps: tuple[tuple[int, int], ...] = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self):
+        table = (*(bytes([b]) for b in range(256)), *(a + b for a, b in self.merges))
+        place = {t: i for i, t in enumerate(table)}
+        steps = tuple((place.get(a, len(table)), place.get(b, len(table))) for a, b in self.merges)
+        if len(place) != len(table) or any(max(s) >= 256 + k for k, s in enumerate(steps)):
+            raise ValueError("each merge has to make a new token out of bytes and earlier ones")
+        object.__setattr__(self, "table", table)
+        object.__setattr__(self, "steps", steps)
+
+    @property
+    def marks(self) -> tuple[str, ...]:
+        """All special tokens in the order of their ids: those of the document's ends first."""
+        return tuple(dict.fromkeys(t for t in (self.bos, self.eos, self.pad, *self.specials) if t is not None))
+
+    @property
+    def size(self) -> int:
+        return len(self.marks) + len(self.table)
+
+    def id_of(self, special: str) -> int:
+        return self.marks.index(special)
+
+    def encode_all(self, texts: Sequence[str], bos: bool = False, eos: bool = False) -> list[np.ndarray]:
+        """The ids of each text. Special tokens in a text are one id each; its plain parts are merged by themselves.
+
+        As each merge is made of earlier tokens, the lowest-ranked pair that is left is always
+        found by going through the merges once, over all texts together.
+        """
+        out: list[np.ndarray] = []
+        base, code = len(self.marks), {t: k for k, t in enumerate(self.marks)}
+        for group in _groups([t.encode() for t in texts]):
+            pieces = [_pieces(t.decode(), self.specials) for t in group]
+            ids = _joined([p.encode() for text in pieces for p in text[::2]])
+            # Behind each plain part but a text's last stands its special token; -1 ends a text.
+            ids[ids < 0] = [x for text in pieces for x in (*(-2 - code[p] for p in text[1::2]), -1)]
+            for k, (left, right) in enumerate(self.steps):
+                ids = merge_ids(ids, left, right, 256 + k)
+            ends = np.flatnonzero(ids == -1)
+            ids = np.where(ids >= 0, ids + base, -2 - ids).astype(np.int32)
+            out += [ids[a:b] for a, b in zip(np.append(0, ends[:-1] + 1), ends, strict=True)]
+        first, last = ([self.id_of(t)] if wanted else [] for t, wanted in ((self.bos, bos), (self.eos, eos)))
+        return [np.concatenate([first, x, last]).astype(np.int32) for x in out] if bos or eos else out
+
+    def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
+        return self.encode_all([text], bos, eos)[0].tolist()
+
+    def decode(self, ids: Sequence[int]) -> str:
+        """The text of ids, special tokens left out; bytes that are no UTF-8 become U+FFFD."""
+        base = len(self.marks)
+        return b"".join(self.table[i - base] for i in ids if i >= base).decode("utf-8", "replace")
+
+    def to_json(self) -> str:
+        body = {"format": "byte_pairs", "merges": [[a.hex(), b.hex()] for a, b in self.merges], "specials": list(self.specials), "bos": self.bos, "eos": self.eos, "pad": self.pad}
+        return json.dumps(body, sort_keys=True, indent=2, ensure_ascii=False)
+
+    @staticmethod
+    def from_json(text: str) -> BytePairs:
+        body = json.loads(text)
+        return BytePairs(tuple((bytes.fromhex(a), bytes.fromhex(b)) for a, b in body["merges"]), tuple(body["specials"]), body["bos"], body["eos"], body["pad"])
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        write_text(spark, f"{folder}/tokenizer.json", self.to_json())
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> BytePairs:
+        return BytePairs.from_json(read_text(spark, f"{folder}/tokenizer.json"))
+
+
+def save_characters(spark: SparkSession, vocabulary: dict[str, int], folder: str) -> None:
+    """A character vocabulary as JSON with sorted keys."""
+    write_text(spark, f"{folder}/tokenizer.json", json.dumps({"format": "characters", "vocabulary": vocabulary}, sort_keys=True, indent=2, ensure_ascii=False))
+
+
+def load_characters(spark: SparkSession, folder: str) -> dict[str, int]:
+    return json.loads(read_text(spark, f"{folder}/tokenizer.json"))["vocabulary"]
+
+
+def bpe_encode(merges: Sequence[tuple[bytes, bytes]] | BytePairs, bos: bool = False, eos: bool = False):
+    """An Arrow function from text to token ids."""
+    tokens = merges if isinstance(merges, BytePairs) else BytePairs(tuple(merges))
 
     @pandas_udf("array<int>")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else encode(v))
+        known = values.notna()
+        out = pd.Series([None] * len(values), index=values.index, dtype=object)
+        out[known] = pd.Series(tokens.encode_all(values[known].tolist(), bos, eos), index=values.index[known], dtype=object)
+        return out
 
     return run
 
 
-def bpe_decode(merges: list[tuple[bytes, bytes]]):
-    """An Arrow function from token ids to text; bytes that are no UTF-8 become U+FFFD."""
-    table = [bytes([b]) for b in range(256)] + [a + b for a, b in merges]
+def bpe_decode(merges: Sequence[tuple[bytes, bytes]] | BytePairs):
+    """An Arrow function from token ids to text."""
+    tokens = merges if isinstance(merges, BytePairs) else BytePairs(tuple(merges))
 
     @pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else b"".join(table[i] for i in v).decode("utf-8", "replace"))
+        return values.map(lambda v: None if v is None else tokens.decode(v))
 
     return run

@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import socket
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -48,25 +49,78 @@ def resolve(stages: list[Stage]) -> dict[str, str]:
     return done
 
 
-def execute(stages: list[Stage], exists: Callable[[str], bool]) -> dict[str, str]:
-    """Runs the stages whose artifact does not exist, in order of their needs; status of each: cached, complete or failed."""
-    prints, status = resolve(stages), {}
-    for name in prints:
-        s = next(x for x in stages if x.name == name)
-        if exists(prints[name]):
+def _hash(config: object) -> str:
+    return hashlib.sha256(canonical_json(config).encode()).hexdigest()
+
+
+def manifest(stage: Stage, prints: dict[str, str], status: str, version: int = 1, **more: object) -> dict:
+    """What is written of a stage: its status, fingerprint, the hash of its configuration, parents and version."""
+    return {"stage": stage.name, "status": status, "fingerprint": prints[stage.name], "configuration_hash": _hash(stage.config), "contract_version": version, "parents": {p: prints[p] for p in sorted(stage.needs)}, **more}
+
+
+def cached(found: dict | None, stage: Stage, prints: dict[str, str], version: int = 1) -> bool:
+    """Whether a manifest tells of this stage as complete: same fingerprint, configuration, version and parents."""
+    return found is not None and found == {**found, **manifest(stage, prints, "complete", version)}
+
+
+def write_manifest(folder: str | Path, body: dict) -> None:
+    """Writes manifest.json into a local artifact: under a name of its own, then renamed, so that readers see a whole one."""
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    pending = folder / f"manifest.json.{os.getpid()}.{threading.get_ident()}.pending"
+    pending.write_text(json.dumps(body, indent=2, sort_keys=True), encoding="utf-8")
+    os.replace(pending, folder / "manifest.json")
+
+
+def read_manifest(folder: str | Path) -> dict | None:
+    path = Path(folder) / "manifest.json"
+    return json.loads(path.read_text(encoding="utf-8")) if path.exists() else None
+
+
+def run_stage(stage: Stage, prints: dict[str, str], folder: str | Path, version: int = 1) -> dict:
+    """Runs a stage with its folder, between a manifest that it is running and one that it is complete, or failed and why; a failure is raised again."""
+    write_manifest(folder, manifest(stage, prints, "running", version))
+    try:
+        made = stage.run(folder) if stage.run else None
+    except Exception as error:
+        write_manifest(folder, manifest(stage, prints, "failed", version, cause=f"{type(error).__name__}: {error}"))
+        raise
+    body = manifest(stage, prints, "complete", version, **(made if isinstance(made, dict) else {}))
+    write_manifest(folder, body)
+    return body
+
+
+def execute(stages: list[Stage], exists: Callable[[str], bool], run: Callable[[Stage, dict[str, str]], object] | None = None) -> dict[str, str]:
+    """Runs the stages whose artifact does not exist, in order of their needs; status of each: cached, complete, skipped or `failed: cause`.
+
+    exists: whether there is an artifact of a fingerprint. run: how a stage is run; by itself with its fingerprint if not given.
+    """
+    prints, by_name, status = resolve(stages), {s.name: s for s in stages}, {}
+    for name, own in prints.items():
+        stage = by_name[name]
+        if exists(own):
             status[name] = "cached"
-        elif any(status.get(p) == "failed" for p in s.needs):
-            status[name] = "failed"
+        elif any(status[p].partition(":")[0] in ("failed", "skipped") for p in stage.needs):
+            status[name] = "skipped"
         else:
             try:
-                if s.run:
-                    s.run(prints[name])
+                if run is not None:
+                    run(stage, prints)
+                elif stage.run:
+                    stage.run(own)
                 status[name] = "complete"
-            except Exception:
-                status[name] = "failed"
+            except Exception as error:
+                status[name] = f"failed: {type(error).__name__}: {error}"
     return status
 
 
+def run_all(stages: list[Stage], folder: str | Path, version: int = 1) -> dict[str, str]:
+    """execute() with the artifacts of a local folder: those that a manifest tells of as complete are left out, the others get manifests."""
+    prints = resolve(stages)
+    done = {prints[s.name] for s in stages if cached(read_manifest(Path(folder) / s.name), s, prints, version)}
+    return execute(stages, done.__contains__, lambda stage, found: run_stage(stage, found, Path(folder) / stage.name, version))
+
+
 def grid(axes: dict[str, list], name: str) -> list[dict]:
     """The configurations of a sweep: the product of the axes, each with a name filled in from its values."""
     made: list[dict] = [{}]

@@ -6,14 +6,14 @@ task results), columns of `lineitem`, `orders` and `events` stand in; the docstr
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import hashing, text as T
 from textloom.operators import code, curate, measure, order, pack, prefer, tokenize
-from textloom.session import ship, table
+from textloom.session import shared_dir, table
 from textloom.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,13 +77,16 @@ def exact_dedup(spark, sf_dir):
     return curate.exact_dedup()(docs(spark, sf_dir)).select("document_id")
 
 
-@query(f"""with a as (select pos, text, {LINES.format('text')} as l, length(text) as n from {DOCS}),
-b as (select *, n < 200 as short, n > 5000 as long, row_number() over (partition by (n between 200 and 5000), lower(l) order by pos) as r from a)
-select count(*) as documents_in, sum(n)::BIGINT as characters_in, count(*) filter (text != l) as line_endings_changed, count(*) filter (l != lower(l)) as lower_changed,
-count(*) filter (short) as too_short, count(*) filter (long) as too_long, count(*) filter (not short and not long and r > 1) as duplicates,
-count(*) filter (not short and not long and r = 1) as documents_out from b""")
+@query(f"""with a as (select document_id, pos, text, nfc_normalize(text) as u from {DOCS}), b as (select *, {LINES.format('u')} as l from a),
+c as (select *, lower(l) as t, length(l) between 200 and 5000 as fits from b), d as (select *, row_number() over (partition by fits, t order by pos) = 1 as first from c), e as (select *, fits and first as alive from d)
+select count(*) as input_documents, sum(strlen(text))::BIGINT as input_bytes, sum(length(text))::BIGINT as input_characters, count(*) filter (not alive) as rejected_documents, count(*) filter (alive) as output_documents,
+coalesce(sum(strlen(t)) filter (alive), 0)::BIGINT as output_bytes, coalesce(sum(length(t)) filter (alive), 0)::BIGINT as output_characters, count(*) filter (u != text) as unicode_normalized_documents,
+count(*) filter (l != u) as line_endings_normalized_documents, count(*) filter (fits and t != l) as lower_cased_documents, count(*) filter (fits and not first) as deduplicated_documents,
+count(*) filter (alive) as split_assigned_documents, 0::BIGINT as python_parse_failed_documents, 0::BIGINT as python_extracted_functions from e""")
 def preprocess_counters(spark, sf_dir):
-    return curate.counters(docs(spark, sf_dir), 200, 5000)
+    """All counters of a chain without source code in it."""
+    steps = [("normalize_unicode", {}), ("normalize_line_endings", {}), ("min_length", {"min_characters": 200}), ("max_length", {"max_characters": 5000}), ("lower_case", {}), ("exact_deduplication", {}), ("assign_split", {"train": 0.9, "validation": 0.05})]
+    return curate.counters(curate.counted(docs(spark, sf_dir), steps))
 
 
 @query(f"select document_id, {FRACTION.format('document_id')} as fraction, {MODULO.format('document_id', 97)} as modulo from {DOCS}")
@@ -134,15 +137,15 @@ def contiguous_partition(spark, sf_dir):
 
 
 @query(f"""with a as (select document_id, text, length(text) as n, {FRACTION.format("document_id || ':fill_in_middle'")} as x from {DOCS}),
-b as (select *, case when n >= 30 then 10 + {MODULO.format("document_id || ':first'", "greatest(n, 30) - 30 + 1")} end as f from a),
-c as (select *, case when n >= 30 then f + 10 + {MODULO.format("document_id || ':second'", "n - 20 - f + 1")} end as s from b)
+b as (select *, case when n >= 30 then 10 + {MODULO.format("document_id || ':fill_in_middle:first'", "greatest(n, 30) - 30 + 1")} end as f from a),
+c as (select *, case when n >= 30 then f + 10 + {MODULO.format("document_id || ':fill_in_middle:second'", "n - 20 - f + 1")} end as s from b)
 select document_id, case when x < 0.5::DOUBLE and n >= 30 then f end::BIGINT as first, case when x < 0.5::DOUBLE and n >= 30 then s end::BIGINT as second,
 sha256(case when x < 0.5::DOUBLE and n >= 30 then '<fim_prefix>' || substr(text, 1, f::INT) || '<fim_suffix>' || substr(text, (s + 1)::INT) || '<fim_middle>' || substr(text, (f + 1)::INT, (s - f)::INT) else text end) as h from c""")
 def fim_rewrite(spark, sf_dir):
     return curate.fill_in_middle(docs(spark, sf_dir), 0.5, 10).select("document_id", "first", "second", F.sha2("text", 256).alias("h"))
 
 
-CHARS = "(select c, (row_number() over (order by c) + 2)::INT as id from (select distinct unnest(string_split(text, '')) as c from documents))"
+CHARS = "(select c, (row_number() over (order by c) + 2)::INT as id from (select distinct unnest(string_split(text, '')) as c from documents) where c != '')"
 
 
 @query(f"select c as token, id from {CHARS} union all select * from (values ('<bos>', 0), ('<eos>', 1), ('<pad>', 2)) t(token, id)")
@@ -150,135 +153,107 @@ def char_vocab(spark, sf_dir):
     return tokenize.character_vocabulary(table(spark, sf_dir))
 
 
-def _encoded(spark, sf_dir, name="benchmark", key="item_id"):
-    rows = table(spark, sf_dir, name).select(F.col(key).alias("pos"), "text")
+def _encoded(spark, sf_dir):
+    """documents as (pos, text, tokens). The alphabet that comes to the driver has a row a code point at most."""
+    rows = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text")
     return tokenize.character_encode(rows, {r["token"]: r["id"] for r in tokenize.character_vocabulary(rows).collect()})
 
 
-ENCODED = """(select item_id as pos, list_transform(list_filter(string_split(text, ''), lambda x: x != ''), lambda x: map_extract(m, x)[1]) as t from benchmark,
-(select map(list(c), list(id)) as m from (select c, (row_number() over (order by c) + 2)::INT as id from (select distinct unnest(string_split(text, '')) as c from benchmark))))"""
+ENCODED = f"""(select d.doc_id as pos, case when d.text is not null then coalesce(e.t, []) end as t from documents d left join (select doc_id, list(id order by i) as t from
+(select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from documents) join {CHARS} using (c) where c != '' group by 1) e using (doc_id))"""
+
+
+def _spaced(tokens: str) -> F.Column:
+    return F.array_join(F.transform(tokens, lambda x: x.cast("string")), " ")
 
 
 @query(f"select pos, array_to_string(t, ' ') as ids from {ENCODED}")
 def char_encode(spark, sf_dir):
-    return _encoded(spark, sf_dir).select("pos", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("ids"))
+    return _encoded(spark, sf_dir).select("pos", _spaced("tokens").alias("ids"))
+
+
+@query("select doc_id as pos, sha256(text) as h from documents")
+def char_decode(spark, sf_dir):
+    """Every text encoded and put together again."""
+    vocabulary = {r["token"]: r["id"] for r in tokenize.character_vocabulary(table(spark, sf_dir)).collect()}
+    return tokenize.character_decode(_encoded(spark, sf_dir), vocabulary).select("pos", F.sha2("decoded", 256).alias("h"))
 
 
-@query("""select ('0x' || p[1:2])::INT as "left", ('0x' || p[3:4])::INT as "right", count(*) as n from (select unnest(list_transform(range(1, (length(h) // 2)::BIGINT), lambda i: h[2 * i - 1 : 2 * i + 2])) as p from (select hex(encode(text)) as h from benchmark)) group by 1, 2""")
+_PAIRS = """select ('0x' || a)::INT as "left", ('0x' || b)::INT as "right", count(*) as n from (select unnest(l[1 : len(l) - 1]) as a, unnest(l[2 : len(l)]) as b from (select regexp_extract_all(hex(encode(text)), '..') as l from documents) where len(l) >= 2) group by 1, 2"""
+
+
+@query(_PAIRS)
 def byte_pair_counts(spark, sf_dir):
-    return tokenize.pair_counts(table(spark, sf_dir, "benchmark"))
+    return tokenize.pair_counts(table(spark, sf_dir))
 
 
-@query("""select ('0x' || p[1:2])::INT as "left", ('0x' || p[3:4])::INT as "right", count(*) as n from (select unnest(list_transform(range(1, (length(h) // 2)::BIGINT), lambda i: h[2 * i - 1 : 2 * i + 2])) as p from (select hex(encode(text)) as h from benchmark)) group by 1, 2 order by 3 desc, 1, 2 limit 1""")
+@query(f"{_PAIRS} order by 3 desc, 1, 2 limit 1")
 def best_pair(spark, sf_dir):
-    return tokenize.pair_counts(table(spark, sf_dir, "benchmark")).orderBy(F.desc("n"), "left", "right").limit(1)
+    return tokenize.pair_counts(table(spark, sf_dir)).orderBy(F.desc("n"), "left", "right").limit(1)
 
 
 @query()
 def bpe_train(spark, sf_dir):
     """Merges of a sample bounded by documents and bytes."""
-    return tokenize.train_on(order.bounded_prefix(docs(spark, sf_dir), 200, 200_000), 60)
+    return tokenize.train_on(order.bounded_prefix(docs(spark, sf_dir), 200, 200_000, strict=True), 60)
 
 
 @query()
+def bpe_train_distributed(spark, sf_dir):
+    """The first merges of all documents, counted on the executors."""
+    merges = tokenize.train_distributed(docs(spark, sf_dir), 12)
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+
+
+@query("select doc_id as pos, strlen(text)::INT as bytes, true as same, true as fewer from documents where text is not null")
 def bpe_encode_stats(spark, sf_dir):
-    """Tokens and bytes of every benchmark text under merges of these texts, and whether decoding gives the text back."""
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), "text")
-    merges = [(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])) for r in sorted(tokenize.train_on(rows, 40).collect(), key=lambda r: r["rank"])]
-    ids = rows.withColumn("ids", tokenize.bpe_encode(merges)("text"))
-    return ids.select("pos", F.size("ids").alias("tokens"), F.octet_length("text").alias("bytes"), (tokenize.bpe_decode(merges)("ids") == F.col("text")).alias("same"))
+    """Bytes of every document, and whether decoding its tokens gives the text back and there are no more of them than bytes; under the merges of bpe_train's bounded sample."""
+    merges = [(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])) for r in sorted(bpe_train(spark, sf_dir).collect(), key=lambda r: r["rank"])]
+    ids = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null").withColumn("ids", tokenize.bpe_encode(merges)("text"))
+    return ids.select("pos", F.octet_length("text").alias("bytes"), (tokenize.bpe_decode(merges)("ids") == F.col("text")).alias("same"), (F.size("ids") <= F.octet_length("text")).alias("fewer"))
 
 
 @query(f"""select pos, k::INT as k, array_to_string(list_concat(t[k * 64 + 1 : k * 64 + 65], list_transform(range(0, greatest(0, 65 - (len(t) - k * 64))), lambda x: 2)), ' ') as ids
 from (select pos, t, unnest(range(0, ceil((len(t) - 1) / 64.0)::BIGINT)) as k from {ENCODED} where len(t) >= 2)""")
 def pack_per_document(spark, sf_dir):
     rows = pack.per_document(_encoded(spark, sf_dir), 64, 2)
-    return rows.select("pos", "k", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("ids"))
+    return rows.select("pos", "k", _spaced("token_ids").alias("ids"))
 
 
 STREAM = f"(select list(x order by pos, i) as s from (select pos, unnest(t) as x, generate_subscripts(t, 1) as i from {ENCODED} where len(t) >= 2))"
 PACKED = f"(select k, list_concat(s[k * 64 + 1 : k * 64 + 65], list_transform(range(0, greatest(0, 65 - (len(s) - k * 64))), lambda x: 2)) as ids from (select s, unnest(range(0, ceil((len(s) - 1) / 64.0)::BIGINT)) as k from {STREAM}))"
 
 
-@query(f"select k::BIGINT as k, array_to_string(ids, ' ') as ids from {PACKED}")
+@query()
 def pack_cross_document(spark, sf_dir):
+    """Rows of one stream of all documents; SQL over one list of all tokens is too slow, so that pack_stats has SQL of a closed form instead."""
     rows = pack.checked(pack.across_documents(_encoded(spark, sf_dir), 64, 2))
-    return rows.select("k", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("ids"))
+    return rows.select("k", _spaced("token_ids").alias("ids"))
 
 
-@query(f"""select count(*) as rows, sum(len(ids))::BIGINT as tokens, sum(len(list_filter(ids, lambda x: x = 2)))::BIGINT as pad_tokens,
-round(sum(len(list_filter(ids, lambda x: x = 2))) / sum(len(ids)), 9) as pad_fraction, round(1 - sum(len(list_filter(ids, lambda x: x = 2))) / sum(len(ids)), 9) as average_fill from {PACKED}""")
+# The stream's length tells how many rows there are; <pad> is no character.
+_LENGTH = "(select sum(length(text))::BIGINT as n, ceil((sum(length(text)) - 1) / 64.0)::BIGINT as rows from documents where length(text) >= 2)"
+
+
+@query(f"""select rows, rows * 65 as tokens, rows * 64 + 1 - n as pad_tokens, round((rows * 64 + 1 - n) / (rows * 65), 9) as pad_fraction, round(1 - (rows * 64 + 1 - n) / (rows * 65), 9) as average_fill from {_LENGTH}""")
 def pack_stats(spark, sf_dir):
     s = pack.statistics(pack.across_documents(_encoded(spark, sf_dir), 64, 2), 2)
     return s.withColumn("pad_fraction", F.round("pad_fraction", 9)).withColumn("average_fill", F.round("average_fill", 9))
 
 
-@query(f"select (k // 10)::BIGINT as shard, count(*) as sequences, min(k)::BIGINT as first_sequence from {PACKED} group by 1")
+@query(f"select (k // 10)::BIGINT as shard, count(*) as sequences, min(k)::BIGINT as first_sequence from (select unnest(range(0, rows)) as k from {_LENGTH}) group by 1")
 def packed_index(spark, sf_dir):
     rows = pack.across_documents(_encoded(spark, sf_dir), 64, 2).withColumn("shard", pack.shard_of("k", 65, 650))
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence"))
 
 
-# The same operators over whole documents; no SQL, which would be too slow there.
-
-
-def _encoded_documents(spark, sf_dir):
-    return _encoded(spark, sf_dir, "documents", "doc_id")
-
-
-@query()
-def char_encode_documents(spark, sf_dir):
-    return _encoded_documents(spark, sf_dir).select("pos", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("ids"))
-
-
-@query()
-def byte_pair_counts_documents(spark, sf_dir):
-    return tokenize.pair_counts(table(spark, sf_dir))
-
-
-@query()
-def best_pair_documents(spark, sf_dir):
-    return byte_pair_counts_documents(spark, sf_dir).orderBy(F.desc("n"), "left", "right").limit(1)
-
-
-@query()
-def bpe_encode_stats_documents(spark, sf_dir):
-    """Tokens and bytes of every document under the merges of bpe_train's bounded sample, and whether decoding gives the text back."""
-    merges = [(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])) for r in sorted(bpe_train(spark, sf_dir).collect(), key=lambda r: r["rank"])]
-    ids = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null").withColumn("ids", tokenize.bpe_encode(merges)("text"))
-    return ids.select("pos", F.size("ids").alias("tokens"), F.octet_length("text").alias("bytes"), (tokenize.bpe_decode(merges)("ids") == F.col("text")).alias("same"))
-
-
-@query()
-def pack_per_document_documents(spark, sf_dir):
-    rows = pack.per_document(_encoded_documents(spark, sf_dir), 64, 2)
-    return rows.select("pos", "k", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("ids"))
-
-
-@query()
-def pack_cross_document_documents(spark, sf_dir):
-    rows = pack.checked(pack.across_documents(_encoded_documents(spark, sf_dir), 64, 2))
-    return rows.select("k", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("ids"))
-
-
-@query()
-def pack_stats_documents(spark, sf_dir):
-    s = pack.statistics(pack.across_documents(_encoded_documents(spark, sf_dir), 64, 2), 2)
-    return s.withColumn("pad_fraction", F.round("pad_fraction", 9)).withColumn("average_fill", F.round("average_fill", 9))
-
-
-@query()
-def packed_index_documents(spark, sf_dir):
-    rows = pack.across_documents(_encoded_documents(spark, sf_dir), 64, 2).withColumn("shard", pack.shard_of("k", 65, 650))
-    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence"))
-
-
-RESULTS = "(select l_orderkey as task_id, l_linenumber as sample_index, l_shipmode_family as family, parsed, parsed and passed > 0 as executed, passed, total from (select l_orderkey, l_linenumber, l_returnflag as l_shipmode_family, l_linestatus = 'O' as parsed, (l_quantity::BIGINT % 6) as passed, 5::BIGINT as total from lineitem))"
+RESULTS = "(select l_orderkey as task_id, l_linenumber as sample_index, l_returnflag as family, l_linestatus = 'O' as parsed, l_linestatus = 'O' and l_partkey % 7 != 0 and l_suppkey % 5 != 0 and l_quantity::BIGINT % 6 > 0 as executed, (l_quantity::BIGINT % 6) as passed, 5::BIGINT as total from lineitem)"
 
 
 def _results(spark, sf_dir):
-    """Lines of orders stand in for the samples of tasks."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("sample_index"), F.col("l_returnflag").alias("family"), (F.col("l_linestatus") == "O").alias("parsed"), (F.col("l_quantity").cast("long") % 6).alias("passed"), F.lit(5).cast("long").alias("total")).withColumn("executed", F.col("parsed") & (F.col("passed") > 0))
+    """Lines of orders stand in for the samples of tasks; part, supplier and quantity tell which ran out of time, failed or printed no marker."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("sample_index"), F.col("l_returnflag").alias("family"), (F.col("l_linestatus") == "O").alias("parsed"), (F.col("l_quantity").cast("long") % 6).alias("passed"), F.lit(5).cast("long").alias("total"), (F.col("l_partkey") % 7 == 0).alias("late"), F.when(F.col("l_suppkey") % 5 == 0, "error").alias("error"))
+    return rows.withColumn("executed", code.executed(F.col("parsed"), F.col("late"), F.col("error"), F.col("passed") > 0)).drop("late", "error")
 
 
 SCORED = f"(select *, case when parsed then 1.0::DOUBLE + passed else 0.0::DOUBLE end as score, parsed and total > 0 and passed = total as perfect from {RESULTS})"
@@ -321,12 +296,14 @@ def perplexity_by_split(spark, sf_dir):
     return measure.perplexity(rows, "split").withColumn("mean_loss", F.round("mean_loss", 9)).withColumn("perplexity", F.round("perplexity", 9))
 
 
-@query("""with e as (select event_type as run, event_id as step, value as loss, value * 3 as tps, row_number() over (partition by event_type order by event_id desc) as r from events)
-select run, max(step) as final_step, arg_max(loss, step) as final_loss, round(median(tps), 6) as median_tps, min(tps) as min_tps, max(tps) as max_tps, round(avg(tps) filter (r <= 100), 6) as last_tps from e group by 1""")
+@query("""with e as (select event_type as run, event_id as step, value as loss, case when event_type < 'f' then 'distributed_global_tokens_per_second' else 'tokens_per_second' end as throughput_field, value * (case when event_type < 'f' then 5 else 3 end) as tps, row_number() over (partition by event_type order by event_id desc) as r from events where value is not null)
+select run, max(step) as final_step, arg_max(loss, step) as final_loss, throughput_field, arg_max(tps, step) as final_tps, min(tps) as min_tps, max(tps) as max_tps, round(avg(tps) filter (r <= 100), 6) as last_tps, round(median(tps), 6) as median_tps from e group by run, throughput_field""")
 def training_summary(spark, sf_dir):
-    """Events stand in for training records, their type for the run."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("value") * 3).alias("tps"))
-    return measure.training_summary(rows, "run", "step", "loss", "tps").withColumn("median_tps", F.round("median_tps", 6)).withColumn("last_tps", F.round("last_tps", 6))
+    """Events stand in for training records, their type for the run; the first types' records have the throughput of all ranks."""
+    all_ranks = F.when(F.col("event_type") < "f", F.col("value") * 5)
+    rows = table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("value") * 3).alias("tokens_per_second"), all_ranks.alias("distributed_global_tokens_per_second"))
+    out = measure.training_summary(rows, "run", "step", ["distributed_global_tokens_per_second", "tokens_per_second"], ["loss"])
+    return out.withColumn("median_tps", F.round("median_tps", 6)).withColumn("last_tps", F.round("last_tps", 6))
 
 
 @query("select l_suppkey as experiment, count(l_tax) as runs, round(avg(l_tax), 9) as mean, round(stddev_pop(l_tax), 9) as sd from lineitem group by 1")
@@ -350,11 +327,13 @@ def best_bundle_per_group(spark, sf_dir):
 _SPREAD = "(select l_suppkey as g, round(avg(l_tax), 9) as mean, round(stddev_pop(l_tax), 9) as sd, round(avg(l_quantity), 9) as tps from lineitem group by 1)"
 
 
-@query(f"""(select 'best' as finding, g from {_SPREAD} order by mean desc, g limit 1) union all (select 'fastest', g from {_SPREAD} order by tps desc, g limit 1) union all (select 'most_variable', g from {_SPREAD} order by sd desc, g limit 1)""")
+@query(f"""(select 'best' as finding, g from {_SPREAD} order by mean desc, g limit 1) union all (select 'best_small', g from {_SPREAD} where g < 40 order by mean desc, g limit 1)
+union all (select 'fastest', g from {_SPREAD} order by tps desc, g limit 1) union all (select 'most_variable', g from {_SPREAD} order by sd desc, g limit 1)""")
 def top1_findings(spark, sf_dir):
+    """Suppliers stand in for experiments, their number for the size."""
     g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.round(F.avg("l_tax"), 9).alias("mean"), F.round(F.stddev_pop("l_tax"), 9).alias("sd"), F.round(F.avg("l_quantity"), 9).alias("tps"))
-    pick = lambda name, c: g.orderBy(F.desc(c), "g").limit(1).select(F.lit(name).alias("finding"), "g")
-    return pick("best", "mean").unionAll(pick("fastest", "tps")).unionAll(pick("most_variable", "sd"))
+    c = F.col
+    return measure.findings(g, "g", {"best": (c("mean"), None), "best_small": (c("mean"), c("g") < 40), "fastest": (c("tps"), None), "most_variable": (c("sd"), None)})
 
 
 @query("""select user_id as run, arg_max(value, event_id) as final, max(value) as best, min(event_id) filter (value = m) as best_step, arg_max(value, event_id) - max(value) as delta
@@ -386,12 +365,15 @@ def worst_layer(spark, sf_dir):
     return measure.worst_layer(_usage(spark, sf_dir))
 
 
-@query("""select s::BIGINT as step, 0.01::DOUBLE as fixed,
-round(case when s < 100 then 0.01 * (s + 1) / 100.0 else 0.001 + 0.009 * (1 - least(1.0, (s - 100) / 900.0)) end::DOUBLE, 12) as linear,
-round(case when s < 100 then 0.01 * (s + 1) / 100.0 else 0.001 + 0.009 * 0.5 * (1 + cos(pi() * least(1.0, (s - 100) / 900.0))) end::DOUBLE, 12) as cosine from range(0, 1200) t(s)""")
+_FALLS = "(0.1::DOUBLE + 0.9::DOUBLE * ({0}))"
+
+
+@query(f"""select s::BIGINT as step, 0.01::DOUBLE as fixed, round(0.01::DOUBLE * case when s <= 100 then s / 100.0::DOUBLE else {_FALLS.format('1 - (s - 101) / 899.0::DOUBLE')} end, 12) as linear,
+round(0.01::DOUBLE * case when s <= 100 then s / 100.0::DOUBLE else {_FALLS.format('0.5::DOUBLE * (1 + cos(pi() * (s - 101) / 899.0::DOUBLE))')} end, 12) as cosine from range(1, 1001) t(s)""")
 def lr_schedule(spark, sf_dir):
+    """Steps 1 to 1000, a warm-up of 100 and a tenth of the rate at the end."""
     s = F.col("id")
-    return spark.range(1200).select(s.alias("step"), measure.learning_rate(s, "fixed", 0.01, 0, 1000).alias("fixed"), *[F.round(measure.learning_rate(s, k, 0.01, 100, 1000, 0.001), 12).alias(k) for k in ("linear", "cosine")])
+    return spark.range(1, 1001).select(s.alias("step"), measure.learning_rate(s, "fixed", 0.01, 0, 1000).alias("fixed"), *[F.round(measure.learning_rate(s, k, 0.01, 100, 1000, 0.1), 12).alias(k) for k in ("linear", "cosine")])
 
 
 _SEEDS = "(select (row_number() over (order by p, b, s) - 1)::BIGINT as seed_id, p, b, s from (select distinct p_brand as b from part), (select distinct p_size as s from part where p_size <= 10), (select unnest(['add', 'scale', 'join']) as p))"
@@ -432,7 +414,7 @@ def stop_truncate(spark, sf_dir):
     return table(spark, sf_dir).select("doc_id", F.sha2(T.truncate_at_stop("text", ["\n", " the "]), 256).alias("h"))
 
 
-@query("select page_id, regexp_replace(regexp_replace(lower(url), '[^\\p{L}\\p{N}_]', '_', 'g'), '^_+|_+$', '', 'g') as slug, replace(replace(url, 'https://', ''), 'http://', '') as short from pages")
+@query("select page_id, lower(trim(regexp_replace(url, '[^\\p{L}\\p{N}]+', '_', 'g'), '_')) as slug, replace(replace(url, 'https://', ''), 'http://', '') as short from pages")
 def slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.slug("url").alias("slug"), T.replace_all("url", [("https://", ""), ("http://", "")]).alias("short"))
 
@@ -449,39 +431,75 @@ def retain_checkpoints(spark, sf_dir):
     return measure.retained(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 2)
 
 
-MODULES = ["import os\n\ndef add(a: int, b: int) -> int:\n    return a + b\n\ndef _hidden():\n    pass\n\nclass Box:\n    def area(self):\n        return 1\n", "def broken(:", "def lone(a: int) -> int:\n    return a\n"]
+#: Sources made of parts: k % 6 tells what is wrong with them, or that nothing is.
+_FORMS = ["def f{k}(a: int) -> int:\n    return a + {k}\n", "def f{k}(a: int) -> int:\n    return a + {k}\n\n\ndef _g{k}():\n    pass\n", "@cached\ndef f{k}(a: int) -> int:\n    return {k}\n", "def f{k}(a: int):\n    return {k}\n", "def f{k}(a) -> int:\n    return {k}\n", "def f{k}(:\n"]
+_REASONS = [None, "not_exactly_one_top_level_function", "function_has_decorators", "missing_return_annotation", "missing_parameter_annotation", "invalid_python"]
+
+
+def _chosen(values: list, key: str = "p_partkey") -> F.Column:
+    """The k-th of the values for each part, with its number put in."""
+    out = F.lit(None).cast("string")
+    for i, v in enumerate(values):
+        out = F.when(F.col(key) % 6 == i, F.replace(F.lit(v), F.lit("{k}"), F.col(key).cast("string")) if v is not None else None).otherwise(out)
+    return out
+
 
+def _choice(values: list) -> str:
+    quoted = lambda v: "null" if v is None else "replace('" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "', '{k}', p_partkey::varchar)"
+    return "case p_partkey % 6 " + " ".join(f"when {i} then {quoted(v)}" for i, v in enumerate(values)) + " end"
 
-@query("select * from (values ('m0__function_0000_add'), ('m0__function_0001_area'), ('m2__function_0000_lone')) t(document_id)")
+
+def _sources(spark, sf_dir):
+    """Sources made of the numbers of parts: no document of the driver's parses as Python."""
+    return table(spark, sf_dir, "part").select(F.format_string("m%d", "p_partkey").alias("document_id"), _chosen(_FORMS).alias("text"), F.col("p_brand").alias("split"), "p_partkey")
+
+
+@query(f"""select 'm' || p_partkey || '__function_0000_f' || p_partkey as document_id, {_choice(_FORMS[:1] * 2 + _FORMS[2:5] + [None])} as text, p_brand as split from part where p_partkey % 6 < 5
+union all select 'm' || p_partkey || '__function_0001__g' || p_partkey, 'def _g' || p_partkey || '():' || chr(10) || '    pass' || chr(10), p_brand from part where p_partkey % 6 = 1""")
 def extract_functions(spark, sf_dir):
-    """Functions of inline modules: no document of the driver's parses as Python."""
-    ship(spark)
-    rows = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(MODULES)], "document_id string, text string")
-    return code.extract_functions(rows, methods=True).select("document_id")
+    """The functions, private ones too, of a source for each part."""
+    return code.extract_functions(_sources(spark, sf_dir), private=True).select("document_id", "text", "split")
 
 
-@query("select * from (values ('m0', 'not_exactly_one_top_level_function'), ('m1', 'invalid_python'), ('m2', null)) t(document_id, reason)")
+@query(f"select p_partkey, {_choice(_REASONS)} as reason from part")
 def validate_code(spark, sf_dir):
-    ship(spark)
-    rows = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(MODULES)], "document_id string, code string")
-    return rows.select("document_id", code.validate("code").alias("reason"))
+    return _sources(spark, sf_dir).select("p_partkey", code.validate("text").alias("reason"))
 
 
-@query("select event_id, user_id, event_type, value from events")
-def stream_new_events(spark, sf_dir):
-    """The events through a stream that ends when all files are read, each event once."""
-    import uuid
+@query("select p_partkey, p_partkey % 6 != 5 as parsed, p_partkey % 6 = 5 as told from part")
+def parse_source(spark, sf_dir):
+    """Whether each source parses, and whether an error is told."""
+    return _sources(spark, sf_dir).withColumn("r", code.parse_result("text")).select("p_partkey", "r.parsed", F.col("r.error").isNotNull().alias("told"))
+
+
+@query("""select count(*) as input_documents, count(*) filter (p_partkey % 6 = 5) as rejected_documents, count(*) filter (p_partkey % 6 < 5) as output_documents,
+count(*) filter (p_partkey % 6 = 5) as python_parse_failed_documents, count(*) filter (p_partkey % 6 < 5) as python_extracted_functions from part""")
+def code_counters(spark, sf_dir):
+    """Counters of a chain that takes functions out of sources."""
+    rows = _sources(spark, sf_dir).select("document_id", "text", F.lit(None).cast("string").alias("split"), F.col("p_partkey").alias("pos"))
+    return curate.counters(curate.counted(rows, [("extract_python_functions", {}), ("exact_deduplication", {})])).select("input_documents", "rejected_documents", "output_documents", "python_parse_failed_documents", "python_extracted_functions")
+
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='textloom-')}") + f"/stream-{uuid.uuid4().hex}"
+def _stream(spark, sf_dir, name: str) -> tuple[DataFrame, str]:
+    """The events as a stream of files in order of time, and a folder for its results."""
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
-    source.repartition(4, "event_id").write.parquet(f"{base}/in")
-    events = stream.once_each(stream.parquet_stream(spark, f"{base}/in", source.schema).withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "3650 days")
-    stream.drain(events.select("event_id", "user_id", "event_type", "value"), f"{base}/out", f"{base}/offsets")
+    source.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
+    return stream.parquet_stream(spark, f"{base}/in", source.schema).withColumn("ts", F.col("ts").cast("timestamp")), base
+
+
+@query("select event_id, user_id, event_type, value from events")
+def stream_new_events(spark, sf_dir):
+    """The events through a stream that ends when all files are read, each event once; keys are forgotten ten days behind the latest event."""
+    events, base = _stream(spark, sf_dir, "stream")
+    stream.drain(stream.once_each(events, "event_id", "ts", "10 days").select("event_id", "user_id", "event_type", "value"), f"{base}/out", f"{base}/offsets")
     return spark.read.parquet(f"{base}/out")
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def event_windows(spark, sf_dir):
-    """Hourly counts by type, in batch: the stream's aggregation on a table."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    """Hourly counts by type through a stream: the last update of each window."""
+    events, base = _stream(spark, sf_dir, "windows")
+    stream.drain_updates(stream.windowed_counts(events, "ts", "event_type", lateness="10 days"), f"{base}/out", f"{base}/offsets")
+    out = stream.latest(spark.read.parquet(f"{base}/out/*"), "start", "event_type")
+    return out.withColumn("start", F.col("start").cast(dict(table(spark, sf_dir, "events").dtypes)["ts"]))

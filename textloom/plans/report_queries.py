@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from textloom.functions import formats, text as T
 from textloom.operators import code, order, prefer, report
 from textloom.plans import lineage
-from textloom.plans.queries import query
-from textloom.session import ship, table
+from textloom.plans.queries import _choice, _chosen, query
+from textloom.session import table
 
 
 @query("select o_orderstatus, string_agg(distinct o_orderpriority, ', ' order by o_orderpriority) as labels from orders group by 1")
@@ -194,13 +194,13 @@ def preference_loss(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(prefer.preference_loss(c("l_tax"), c("l_discount"), c("l_discount"), c("l_quantity"), 0.1), 9).alias("loss"))
 
 
-@query("""with p as (select o_orderkey, (o_orderkey % 3 + 1)::INT as a, (o_orderkey % 5 + 1)::INT as b, (o_orderkey % 4 + 1)::INT as c from orders), n as (select max(a + greatest(b, c)) as n from p)
-select o_orderkey, repeat('1 ', a) || repeat('5 ', b) || repeat('0 ', n - a - b) as chosen, repeat('1 ', a) || repeat('6 ', c) || repeat('0 ', n - a - c) as rejected, b as chosen_tokens, c as rejected_tokens from p, n""")
+@query("""with p as (select o_orderkey, (o_orderkey % 3 + 1)::INT as a, (o_orderkey % 5 + 1)::INT as b, (o_orderkey % 4 + 1)::INT as c from orders), n as (select max(a + greatest(b, c)) + 2 as n from p)
+select o_orderkey, '8 ' || repeat('1 ', a) || repeat('5 ', b) || '9 ' || repeat('0 ', n - a - b - 2) as chosen, '8 ' || repeat('1 ', a) || repeat('6 ', c) || '9 ' || repeat('0 ', n - a - c - 2) as rejected, b + 1 as chosen_tokens, c + 1 as rejected_tokens from p, n""")
 def preference_encode(spark, sf_dir):
-    """Prompts and completions of lengths from order numbers, padded to the longest."""
+    """Prompts and completions of lengths from order numbers, each between its marks, padded to the longest."""
     ids = lambda token, n: F.array_repeat(F.lit(token), (F.col("o_orderkey") % n + 1).cast("int"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", ids(1, 3).alias("prompt_ids"), ids(5, 5).alias("chosen_ids"), ids(6, 4).alias("rejected_ids"))
-    e = prefer.encode(rows, 0)
+    e = prefer.encode(rows, 0, bos=8, eos=9)
     text = lambda c: F.concat(F.array_join(F.transform(c, lambda x: x.cast("string")), " "), F.lit(" "))
     return e.select("o_orderkey", text("chosen_input").alias("chosen"), text("rejected_input").alias("rejected"), *[F.size(F.filter(f"{s}_mask", lambda x: x)).alias(f"{s}_tokens") for s in ("chosen", "rejected")])
 
@@ -211,37 +211,41 @@ def sweep_grid(spark, sf_dir):
     return spark.createDataFrame([(m["name"], m["d"], m["w"]) for m in made], "name string, d int, w int").withColumn("cells", F.col("d") * F.col("w"))
 
 
-IMPORTED = [("a", "import os\nfrom re import (\n    sub,\n)\n\ndef f(x):\n    return x\n"), ("b", "import os\nx = 1\ndef f(): pass\n"), ("c", "def broken(:")]
+_WITH_IMPORTS = ["import os\nfrom re import (\n    sub,\n)\n\ndef f{k}(x):\n    return x\n", "import os\nx = {k}\ndef f(): pass\n", "def broken{k}(:", "def f{k}(x):\n    return x\n", "import os; import sys\ndef f{k}(x):\n    return x", "import os{k}\n"]
+_WITHOUT = ["def f{k}(x):\n    return x", *_WITH_IMPORTS[1:4], "def f{k}(x):\n    return x", _WITH_IMPORTS[5]]
 
 
-@query("select * from (values ('a', 'def f(x):' || chr(10) || '    return x'), ('b', 'import os' || chr(10) || 'x = 1' || chr(10) || 'def f(): pass' || chr(10)), ('c', 'def broken(:')) t(id, code)")
+@query(f"select p_partkey, {_choice(_WITHOUT)} as code from part")
 def strip_imports(spark, sf_dir):
-    ship(spark)
-    return spark.createDataFrame(IMPORTED, "id string, code string").select("id", code.strip_imports("code").alias("code"))
+    """Sources made of the numbers of parts."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", _chosen(_WITH_IMPORTS).alias("code"))
+    return rows.select("p_partkey", code.strip_imports("code").alias("code"))
 
 
-ANSWERS = [("a", '```json\n{"checks": ["f(1) == 1", " f(2) "]}\n```'), ("b", "not json"), ("c", "[1]"), ("d", '{"checks": 3}'), ("e", '{"checks": ["1"]}'), ("f", '{"checks": ["1", ""]}'), ("g", '{"checks": ["1", "def"]}')]
+_ANSWERS = ['```json\n{"checks": ["f({k}) == 1", " f(2) "]}\n```', "not json {k}", "[{k}]", '{"checks": {k}}', '{"checks": ["{k}"]}', '{"checks": ["{k}", "def"]}']
+_FOUND = ["f({k}) == 1;f(2)", None, None, None, None, None]
+_AGAINST = [None, "invalid_checks_json", "checks_json_not_object", "checks_missing_or_not_list", "wrong_check_count", "invalid_check_expression"]
 
 
-@query("""select * from (values ('a', 'f(1) == 1;f(2)', null), ('b', null, 'invalid_checks_json'), ('c', null, 'checks_json_not_object'), ('d', null, 'checks_missing_or_not_list'),
-('e', null, 'wrong_check_count'), ('f', null, 'empty_or_non_string_check'), ('g', null, 'invalid_check_expression')) t(id, checks, reason)""")
+@query(f"select p_partkey, {_choice(_FOUND)} as checks, {_choice(_AGAINST)} as reason from part")
 def parse_checks(spark, sf_dir):
-    ship(spark)
-    rows = spark.createDataFrame(ANSWERS, "id string, answer string").withColumn("c", code.parse_checks("answer", 2, 5))
-    return rows.select("id", F.array_join("c.checks", ";").alias("checks"), "c.reason")
+    """Answers made of the numbers of parts."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", _chosen(_ANSWERS).alias("answer")).withColumn("c", code.parse_checks("answer", 2, 5))
+    return rows.select("p_partkey", F.array_join("c.checks", ";").alias("checks"), "c.reason")
 
 
-TRUSTED = [("right", "def add(a, b):\n    return a + b\n"), ("wrong", "def add(a, b):\n    return a - b\n"), ("raises", "raise SystemExit(3)\n")]
+TRUSTED = [("right", "def add(a, b):\n    return a + b\n"), ("wrong", "def add(a, b):\n    return a - b\n"), ("raises", "raise SystemExit(3)\n"), ("silent", "import os\nos._exit(0)\n"), ("late", "import time\ntime.sleep(60)\n")]
 
 
-@query("select * from (values ('right', 0, true, 2, 2), ('wrong', 0, true, 1, 2), ('raises', 3, false, 0, 0)) t(id, return_code, found, passed, total)")
+@query("""select * from (values ('right', 0, true, 2, 2, null), ('wrong', 0, true, 1, 2, 'checks_do_not_pass_reference'), ('raises', 3, false, 0, 0, 'checks_execution_failed'), ('silent', 0, false, 0, 0, 'checks_marker_missing'),
+('late', null, false, 0, 0, 'checks_timed_out')) t(id, return_code, found, passed, total, reason)""")
 def run_checks(spark, sf_dir):
     """Two checks against sources of this module; no row of a table is ever run."""
-    ship(spark)
     rows = [(i, code.harness(s, ["add(2, 0) == 2", "add(1, 2) == 3"])) for i, s in TRUSTED]
-    ran = code.run_sources(spark.createDataFrame(rows, "id string, source string"), "source", 20.0, allow=True)
+    ran = code.run_sources(spark.createDataFrame(rows, "id string, source string"), "source", 5.0, allow=True)
     m = ran.withColumn("m", T.check_marker("output"))
-    return m.select("id", "return_code", "m.found", F.col("m.passed").cast("int").alias("passed"), F.col("m.total").cast("int").alias("total"))
+    reason = code.reference_reason(F.col("timed_out"), F.col("return_code"), F.col("m.found"), F.col("m.passed"), F.col("m.total"))
+    return m.select("id", "return_code", "m.found", F.col("m.passed").cast("int").alias("passed"), F.col("m.total").cast("int").alias("total"), reason.alias("reason"))
 
 
 @query("select replace(replace(replace('python_' || replace(lower(p_type), ' ', '_') || '_small', 'python_', ''), '_small', ''), '_', '-') as short, count(*) as n from part group by 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,13 +29,38 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """One of the Parquet tables; a file or a folder of parts."""
+    """One of the Parquet tables; a file or a folder of parts.
+
+    Where the session has Spark's own size of Arrow batches it gets a smaller one, as texts may be of any length.
+    """
     ship(spark)
-    if spark.conf.get(_BATCH) == "10000":  # Spark's default: texts of any length need smaller batches
+    if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; any other session has to set it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
+    return _folders[context.applicationId]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files, wherever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.operators import report
+
 MEMBER = "archive string, path string, size long, content binary, damaged string"
 
 
@@ -42,10 +46,23 @@ def nested(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, MEMBER)
 
 
-def bundle(entries: DataFrame, path: str = "path", content: str = "content") -> bytes:
-    """A zip of the entries in order of their paths. They stream to the driver: a bundle is one file."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+def bundle(entries: DataFrame, path: str = "path", content: str = "content", pos: str | None = None, manifest: str | None = None) -> bytes:
+    """A zip of the entries in order of their paths. They stream to the driver: a bundle is one file.
+
+    With pos, the last entry of a path wins. manifest: the name of a first file that lists path, size and SHA-256 of each.
+    """
+    if pos is not None:
+        entries = report.last_entries(entries.select(path, content, pos), path, pos)
+    out, told, files = io.BytesIO(), [], io.BytesIO()
+    with zipfile.ZipFile(files, "w", zipfile.ZIP_DEFLATED) as archive:
         for row in entries.select(path, content).orderBy(path).toLocalIterator():
-            archive.writestr(zipfile.ZipInfo(row[0]), bytes(row[1]))
+            data = bytes(row[1])
+            told.append({"path": row[0], "size": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+            archive.writestr(zipfile.ZipInfo(row[0]), data, zipfile.ZIP_DEFLATED)
+    if manifest is None:
+        return files.getvalue()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, zipfile.ZipFile(files) as made:
+        archive.writestr(zipfile.ZipInfo(manifest), json.dumps({"files": told}, indent=2, sort_keys=True), zipfile.ZIP_DEFLATED)
+        for info in made.infolist():
+            archive.writestr(info, made.read(info), zipfile.ZIP_DEFLATED)
     return out.getvalue()

@@ -22,3 +22,19 @@ def windowed_counts(events: DataFrame, time: str, by: str, width: str = "1 hour"
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs the stream over all that is there, with offsets kept for the next run, and ends."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an aggregating stream over all that is there; each batch's changed rows are written with its number, anew if it is run again."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/{batch:09d}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(updates: DataFrame, *by: str) -> DataFrame:
+    """The last batch's row of each key: what the aggregate has come to."""
+    rest = [c for c in updates.columns if c not in (*by, "batch")]
+    last = updates.groupBy(*by).agg(F.max_by(F.struct(*rest), "batch").alias("__r"))
+    return last.select(*by, *[F.col(f"__r.{c}").alias(c) for c in rest])
