@@ -4,6 +4,7 @@ import json
 import struct
 import zipfile
 from io import BytesIO
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -251,12 +252,11 @@ def test_bundles_list_their_files(spark):
         assert [(f["path"], f["size"]) for f in json.loads(z.read("manifest.json"))["files"]] == [("a", 1), ("b", 3)]
 
 
-def test_shared_folder_has_to_be_named(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
-    assert session.shared_dir(spark).startswith("file:")
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"))
+def test_shared_folder_has_to_be_named():
+    made = lambda master, path=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: path or default), sparkContext=SimpleNamespace(master=master, applicationId="test"))
+    assert session.shared_dir(made("local[2]")).startswith("file:") and session.shared_dir(made("spark://host:7077", "hdfs:/x")) == "hdfs:/x"
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
-        session.shared_dir(spark)
+        session.shared_dir(made("spark://host:7077"))
 
 
 # Tokenizers and packing.
