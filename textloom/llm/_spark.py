@@ -1,20 +1,16 @@
-"""Shared-storage helpers: intermediate tables go where every executor can read them."""
+"""Intermediate tables on the shared folder, and keys of rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F
 
+from textloom.session import delete, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+_open: list[list[str]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,4 +21,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark) -> Iterator[list[str]]:
+    """Deletes, at its end, the tables written within it; paths that are taken out of the list stay."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is a file table, perhaps projected and filtered: its rows come in the same partitions and order whenever they are read."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def keyed(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a key of its rows, a long that stays the same whenever they are read: ids may be null or repeated.
+
+    Rows of files are numbered where they stand; any other table is written first.
+    """
+    numbered = df.withColumn(name, F.monotonically_increasing_id())
+    return numbered if _is_scan(df) else written(numbered, "keyed")
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... in their order: names of an operator's own cannot clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

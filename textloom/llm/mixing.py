@@ -1,17 +1,19 @@
 """Mixing sources to target weights, in DataFrame and SQL functions alone.
 
 Each source's texts, in a pseudorandom order, are one stream of tokens cut into blocks of
-fixed length. A source's share of the mix is a number of slots; the slots are dealt to the
-output shards at random (each source's counts over the shards are a multinomial draw, with
-the source's total held), and slot k of a source takes the block that the source's
-permutation of pass k // blocks gives k % blocks. Blocks and slots then meet by index.
+fixed length. A source's share of the mix is a number of slots, and slot k of a source takes
+the block that the source's permutation of pass k // blocks gives k % blocks. The slots of
+all sources are dealt to output shards of equal size by one more permutation, of all places
+in the mix: a shard draws its slots without replacement, so that the counts of its sources are
+multinomial, given that each source's counts over all shards add up to its target. Blocks
+and slots then meet by index.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textloom.llm._spark import written
+from textloom.llm._spark import keyed, plain, written
 
 BLOCK = 64
 SHARD_SLOTS = 4096
@@ -53,97 +55,109 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return by.select("sid", "source", "source_size", F.when(F.col("reach") <= F.col("at"), F.col("cap")).otherwise(F.col("at") * F.col("weight")).alias("target"))
 
 
+def _permuted(x: str, n: str, key: str, seed: int) -> str:
+    """SQL for the place of x in a pseudorandom permutation of 0 to n - 1 named by key (swap or not)."""
+    # In each round x and its mirror image about a keyed centre may change places.
+    mirror = f"pmod(xxhash64({seed}, {key}, r) - x, {n})"
+    return f"""aggregate(sequence(0, {ROUNDS - 1}), {x}, (x, r) ->
+        if(xxhash64({seed + 1}, {key}, r, greatest(x, {mirror})) & 1 = 1, {mirror}, x))"""
+
+
 def slots(by_source: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
-    """shard, sid, slot, block of every slot of the mix, from rows (sid, source_size, target)."""
-    sources = by_source.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
-    passes = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.least(F.round((F.col("target") - passes * F.col("source_size")) / block).cast("long"), F.col("blocks"))
-    sources = sources.withColumn("n", passes * F.col("blocks") + rest)
-    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy()) / shard_slots)))
+    """shard, place, sid, slot, block, most of every slot of the mix, from rows (sid, source_size, target).
+
+    Shards have shard_slots places, the last one what is left. most: the words that the slot takes of its block. Whole
+    passes take every block of a source. The last pass takes as many words as the target leaves: the
+    source's blocks of full length in turn of a permutation, the short one at its end only if it
+    needs all others, and of its last block what is still wanted, so that a source's words are
+    its target, rounded.
+    """
+    by = by_source.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("whole", F.expr(f"source_size div {block}"))
+    by = by.withColumn("passes", F.floor(F.col("target") / F.col("source_size")))
+    by = by.withColumn("rest", F.least(F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"), F.col("source_size")))
+    by = by.withColumn("n", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
+    # One row a source in one window, as for its target.
+    by = by.withColumn("first", F.sum("n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
     # Slots are made from chunks that are dealt out first: a large source's do not come from one
     # task. The number is given, as the few bytes of the chunks would otherwise be put together again.
     tasks = int(by_source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = sources.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard_slots))).alias("chunk")).repartition(tasks, "sid", "chunk")
+    chunks = by.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard_slots))).alias("chunk")).repartition(tasks, "sid", "chunk")
     slot = F.explode(F.sequence(F.col("chunk") * shard_slots, F.least((F.col("chunk") + 1) * shard_slots, F.col("n")) - 1))
-    each = chunks.select("sid", "blocks", "shards", slot.alias("slot"))
-    # Swap-or-not: in each round x and its mirror image about a keyed centre may change places.
-    mirror = f"pmod(xxhash64({seed}, sid, pass, r) - x, blocks)"
-    permuted = f"""aggregate(sequence(0, {ROUNDS - 1}), pmod(slot, blocks), (x, r) ->
-        if(xxhash64({seed + 1}, sid, pass, r, greatest(x, {mirror})) & 1 = 1, {mirror}, x))"""
-    each = each.withColumn("pass", F.expr("slot div blocks")).withColumn("block", F.expr(permuted))
-    return each.select(F.expr(f"pmod(xxhash64({seed + 2}, sid, slot), shards)").alias("shard"), "sid", "slot", "block")
+    each = chunks.select("sid", "blocks", "whole", "passes", "rest", "n", "first", "total", slot.alias("slot"))
+    each = each.withColumn("pass", F.expr("slot div blocks")).withColumn("x", F.expr("if(pass < passes, pmod(slot, blocks), slot - passes * blocks)"))
+    each = each.withColumn("among", F.expr("if(pass < passes, blocks, whole)"))
+    each = each.withColumn("block", F.expr(f"if(x >= among, x, {_permuted('x', 'among', 'sid, pass', seed)})"))
+    each = each.withColumn("most", F.expr(f"if(pass >= passes and slot = n - 1, rest - x * {block}, {block})"))
+    each = each.withColumn("at", F.expr(_permuted("first + slot", "total", "total", seed + 2)))
+    return each.select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"pmod(at, {shard_slots})").alias("place"), "sid", "slot", "block", "most")
 
 
 def pieces(sized: DataFrame, by_source: DataFrame, rows: int, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """sid, block, doc_id, size, begin, at, n: the n tokens from token `at` of each document row that a block holds.
+    """sid, block, row, doc_id, size, at, off, n: the n tokens from token `at` of each document row that stand in a block, from its token `off` on.
 
-    sized: rows (doc_id, sid, size > 0); begin: where the row's tokens begin in its source's stream.
+    sized: rows (row, doc_id, sid, size > 0).
     """
     groups = max(1, -(-rows // GROUP_ROWS))
-    placed = sized.withColumn("h", F.xxhash64(F.lit(seed + 3), "doc_id", "size")).withColumn("g", F.pmod("h", F.lit(groups)))
+    placed = sized.withColumn("h", F.xxhash64(F.lit(seed + 4), "doc_id", "size")).withColumn("g", F.pmod(F.xxhash64(F.lit(seed + 5), "h", "row"), F.lit(groups)))
     sums = placed.groupBy("sid", "g").agg(F.sum("size").alias("s")).withColumn("top", F.expr(f"g div {GROUPS}"))
     tops = sums.groupBy("sid", "top").agg(F.sum("s").alias("t"))
     tops = tops.withColumn("t0", F.sum("t").over(Window.partitionBy("sid").orderBy("top")) - F.col("t")).drop("t")
     sums = sums.withColumn("s0", F.sum("s").over(Window.partitionBy("sid", "top").orderBy("g")) - F.col("s"))
     base = sums.join(tops, ["sid", "top"]).select("sid", "g", (F.col("s0") + F.col("t0")).alias("base"))
-    inside = Window.partitionBy("sid", "g").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("sid", "g").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     begun = placed.withColumn("to", F.sum("size").over(inside)).join(base, ["sid", "g"])
     begun = begun.withColumn("begin", F.col("base") + F.col("to") - F.col("size"))
     first, last = F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}")
-    cut = begun.select("sid", "doc_id", "size", "begin", F.explode(F.sequence(first, last)).alias("block"))
+    cut = begun.select("sid", "row", "doc_id", "size", "begin", F.explode(F.sequence(first, last)).alias("block"))
     at = F.greatest(F.col("block") * block - F.col("begin"), F.lit(0))
+    off = F.greatest(F.col("begin") - F.col("block") * block, F.lit(0))
     end = F.least((F.col("block") + 1) * block - F.col("begin"), F.col("size"))
-    return cut.select("sid", "block", "doc_id", "size", "begin", at.alias("at"), (end - at).alias("n"))
+    return cut.select("sid", "block", "row", "doc_id", "size", at.alias("at"), off.alias("off"), (end - at).alias("n"))
 
 
-def sized_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size of each row, written to the shared folder: texts are read once."""
-    return written(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size")), "mix-sizes")
+def _sized(rows: DataFrame, doc: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, sid, size of each row; sources): texts are read once, and sizes written to the shared folder."""
+    sized = written(rows.select("row", F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size")), "mix-sizes")
+    sources = written(targets(sized), "mix-sources")
+    # One row a source: small next to the documents; Spark broadcasts it if it is under its own threshold.
+    tagged = sized.join(sources.select("sid", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of")))
+    return tagged.select("row", "doc_id", "sid", "size"), sources
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placements, sources, sized).
+def digest(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of each row: taken counts the words that the mix takes, repeats included.
 
-    placements: shard, sid, slot, block, doc_id, size, begin, at, n: what each slot of each
-    shard holds. sources: sid, source, source_size, target. sized: doc_id, sid, size of every
-    row, with those of no words. A null source is a source of its own; null texts have size 0.
-    Each source's taken words are within about a block of its target; an empty table gives no rows.
+    A null source is a source of its own; null texts have size 0 and nothing is taken of
+    them. Each row is judged by itself, whether or not others share its id. An empty table gives no rows.
     """
-    sized = sized_documents(docs, **columns)
-    sources = written(targets(sized, weights, repeats), "mix-sources")
-    # One row a source: small next to the documents; Spark broadcasts it if it is under its own threshold.
-    sized = sized.join(sources.select("sid", F.col("source").alias("__s")), F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "sid", "size")
-    rows = sized.count()
-    held = pieces(sized.where("size > 0"), sources, rows, block, seed)
-    return slots(sources, block, seed=seed).join(held.hint("merge"), ["sid", "block"]), sources, sized
-
-
-def digest(docs: DataFrame, block: int = BLOCK, seed: int = 0, **columns: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each row: taken counts the words that the mix takes, repeats included."""
-    sized = sized_documents(docs, **columns)
-    sources = written(targets(sized), "mix-sources")
-    tagged = sized.join(sources.select("sid", F.col("source").alias("__s")), F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "sid", "size")
-    held = pieces(tagged.where("size > 0"), sources, sized.count(), block, seed)
-    uses = slots(sources, block, seed=seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
+    tagged, sources = _sized(keyed(docs.select(doc, text, source)), doc, text, source)
+    held = pieces(tagged.where("size > 0"), sources, tagged.count(), block, seed)
+    # Slots that take a block whole are counted; a source has one that takes a part.
+    uses = slots(sources, block, seed=seed).groupBy("sid", "block").agg(F.count(F.when(F.col("most") >= block, 1)).alias("uses"), F.max(F.when(F.col("most") < block, F.col("most"))).alias("part"))
     # Blocks grow with the data however well they compress: they meet by a sorted shuffle.
-    taken = held.join(uses.hint("merge"), ["sid", "block"], "left").groupBy("sid", "begin", "doc_id", "size").agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
-    every = taken.select("doc_id", "sid", "size", "taken").unionByName(tagged.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    words = F.col("n") * F.coalesce("uses", F.lit(0)) + F.least(F.greatest(F.coalesce("part", F.lit(0)) - F.col("off"), F.lit(0)), F.col("n"))
+    taken = held.join(uses.hint("merge"), ["sid", "block"], "left").groupBy("sid", "row", "doc_id", "size").agg(F.sum(words).alias("taken"))
+    every = taken.select("doc_id", "sid", "size", "taken").unionByName(tagged.where("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken")))
     return every.join(sources, "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def placed(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents with size, source_size, target, taken and placements (shard, slot, at, n): where the mix puts which of their words.
+    """The documents with size, source_size, target, taken and placements (shard, place, at, n): where the mix puts which of their words.
 
-    Placements are in the order of shard and slot; slot numbers count within the source.
-    A document that no slot takes has none and stays. Rows that share an id share all of it.
-    Columns of the documents by these five names give way.
+    Placements are in the order of shard and place. A document that no slot takes has none and
+    stays; null sources, null texts and rows that share an id are as in digest(). Columns of the
+    documents by these five names give way.
     """
-    placements, sources, sized = mix(docs, block, seed, doc=doc, text=text, source=source)
-    put = placements.groupBy("doc_id").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "slot", "at", "n"))).alias("placements"))
-    size = sized.groupBy("doc_id").agg(F.sum("size").alias("size"), F.min("sid").alias("sid")).join(sources.select("sid", "source_size", "target"), "sid").drop("sid")
-    none = F.array().cast("array<struct<shard:bigint,slot:bigint,at:bigint,n:bigint>>")
-    notes = size.join(put, size["doc_id"].eqNullSafe(put["doc_id"]), "left").select(size["doc_id"].alias("__doc"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("placements", none).alias("placements"))
-    new = [c for c in notes.columns if c != "__doc"]
-    notes = notes.select("__doc", *[F.col(c).alias(f"__{c}") for c in new])
-    both = docs.join(notes, docs[doc].cast("long").eqNullSafe(F.col("__doc")), "left")
-    return both.select(*(docs[c] for c in docs.columns if c not in new), *(F.col(f"__{c}").alias(c) for c in new))
+    names = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns))), strict=True))
+    rows = keyed(plain(docs))
+    tagged, sources = _sized(rows, names[doc], names[text], names[source])
+    held = pieces(tagged.where("size > 0"), sources, tagged.count(), block, seed)
+    met = slots(sources, block, seed=seed).join(held.hint("merge"), ["sid", "block"]).withColumn("n", F.least(F.col("n"), F.col("most") - F.col("off"))).where("n > 0")
+    put = met.groupBy("row").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "place", "at", "n"))).alias("placements"))
+    none = F.array().cast("array<struct<shard:bigint,place:bigint,at:bigint,n:bigint>>")
+    notes = tagged.join(sources, "sid").join(put, "row", "left").select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("placements", none).alias("placements"))
+    # Texts are dealt out once, and not sorted: each task holds its part of the notes.
+    both = rows.join(notes.hint("shuffle_hash"), "row")
+    new = [c for c in notes.columns if c != "row"]
+    kept = [(c, n) for c, n in names.items() if c not in new]
+    return both.select(*(F.col(n).alias(c) for c, n in kept), *new)
