@@ -352,52 +352,121 @@ def test_classifiers_learn_and_stand_empty(spark):
     assert language_id.predict(df, None).where("lang_pred = 'und'").count() == 120
 
 
-def test_language_model_counts_and_gain(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "BROADCAST_TOKENS", 40)  # the rest goes through the join
+@pytest.mark.parametrize("leaf_words", [64, 1])
+def test_language_model_is_brute_force(spark, monkeypatch, leaf_words):
+    """Counts and base scores against the definition, scores against the model's own probabilities and counts, with tokens that meet their counts by a join."""
+    monkeypatch.setattr(lm_score, "BROADCAST_TOKENS", 40)
+    monkeypatch.setattr(lm_score, "LEAF_WORDS", leaf_words)
     docs = corpus(8, 90)
-    held = {d for d, _ in docs if d % 10 == 0}
-    got = {r["doc_id"]: r for r in lm_score.score(frame(spark, docs), ~(F.col("doc_id") % 10 == 0)).collect()}
-    c = Counter(w for d, t in docs if d not in held for w in [*plain(t), None])
+    docs += [docs[20], (None, docs[21][1]), (None, None), (docs[30][0], "other words")]
+    held = lambda d: d is not None and d % 10 == 0
+    df = frame(spark, docs).withColumn("n", F.lit(1)).withColumn("row", F.lit("x")).withColumn("token", F.lit(2))
+    learn = ~F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
+    got = lm_score.score(df, learn).collect()
+    c = Counter(w for d, t in docs if not held(d) for w in [*plain(t), None])
     n, v = sum(c.values()), len(c)
+    want = Counter()
     for d, t in docs:
         w = [*plain(t), None]
-        base = sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
-
-
-def test_language_model_sums_to_one():
-    rng = np.random.Generator(np.random.PCG64(3))
-    text = b"a b c a b d e f g a a b"
-    t = lm_score.Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    token, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-    head = np.arange(len(token)) < 4
-    rest_n, rest_v = np.bincount(t.cls[first][~head], n[~head], lm_score.CLASSES), np.bincount(t.cls[first][~head], minlength=lm_score.CLASSES)
-    m = lm_score.Model(token[head], t.cls[first][head], n[head], rest_n, rest_v)
-    m.w += rng.normal(size=m.w.shape).astype(np.float32)
-    m.u += rng.normal(size=m.u.shape).astype(np.float32)
-    # All words after the same history: known ones with their shares, and one unknown in each class.
-    total = 0.0
-    p_class = np.exp(lm_score._log_softmax(m.bias + rng.normal(size=(1, lm_score.CLASSES))))[0]
-    for c in range(lm_score.CLASSES):
-        p = np.exp(lm_score._log_softmax(m.prior[[c]].astype(float)))[0]
-        known = [k for k, h in zip(n[~head], t.cls[first][~head], strict=True) if h == c]
-        total += p_class[c] * (p[:-1].sum() + p[-1] * (sum(k + 0.1 for k in known) + 0.1) / m.rest[c])
-    assert abs(total - 1) < 1e-5
+        want[d, len(w), sum(c[x] > 0 for x in w), n, round(sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 5)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    model, counts, lookup, total, distinct, least = lm_score.train(df.where(learn).selectExpr("doc_id key", "text"))
+    assert (total, distinct) == (n, v) and model.depth == (0 if leaf_words == 64 else 1 if v <= 512 else 2)
+    known = {r["token"] & (1 << 64) - 1: r["n"] for r in counts.collect()}
+    for r in got[::7]:
+        text = next((t or "") for d, t in docs if d == r["doc_id"] and len(plain(t)) + 1 == r["n_tokens"]).encode()
+        t = lm_score.Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        p, s = lm_score.log_probabilities(model, t)
+        own = np.array([known.get(int(h), 0) for h in t.hash])
+        p[s.rest] += np.log((own[s.rest] + 0.1) / model.leaf[s.leaf])
+        assert abs(p.sum() / np.log(10) - r["score"]) < 1e-3 * len(p)
+
+
+def _trained(texts, bits=12):
+    """A model of texts by the class's own pieces, without Spark."""
+    parts = [lm_score.Tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    token, first, n = np.unique(np.concatenate([t.hash for t in parts]), return_index=True, return_counts=True)
+    cls = np.concatenate([t.cls for t in parts])[first]
+    depth = lm_score.depth_for(len(token))
+    head = np.arange(len(token)) % 3 == 0
+    leaf = (cls << 4 * depth) + lm_score.leaf_digits(token, depth)
+    size = lm_score.CLASSES << 4 * depth
+    model = lm_score.Model(token[head], cls[head], n[head], np.bincount(leaf[~head], n[~head], size), np.bincount(leaf[~head], minlength=size), bits)
+    return model, parts, dict(zip(token.tolist(), zip(cls.tolist(), n.tolist(), strict=True), strict=True)), set(token[head].tolist())
+
+
+def test_language_model_sums_to_one(monkeypatch):
+    """All words after one history: the members, the known words of every leaf, and an unknown word in each."""
+    monkeypatch.setattr(lm_score, "LEAF_WORDS", 1)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 5))) for _ in range(700)]
+    model, parts, known, head = _trained([" ".join(rng.choice(words) for _ in range(400)).encode() for _ in range(8)])
+    assert model.depth == 1
+    trainer = lm_score.Trainer(model)
+    for t in parts:
+        trainer.learn(t)
+    model.tables = trainer.tables
+    leaves = [(c, x) for c in range(lm_score.CLASSES) for x in range(16)]
+    history = b"one two three four"
+    n = len(known) + len(leaves)
+    text = b"".join([history + b" x"] * n)
+    t = lm_score.Tokens(np.frombuffer(text, np.uint8), np.arange(n + 1) * (len(history) + 2))
+    place = t.bounds[1:] - 2  # the word after the history
+    t.hash[place] = np.array([*known, *((x << 8) + (1 << 40) for _, x in leaves)], dtype=np.uint64)
+    t.cls[place] = [*(c for c, _ in known.values()), *(c for c, _ in leaves)]
+    p, s = lm_score.log_probabilities(model, t)
+    p, leaf = np.exp(p[place]), model.leaves(t.hash[place], t.cls[place])
+    counts = np.array([*(n for _, n in known.values()), *([0] * len(leaves))])
+    rest = np.array([h not in head for h in known] + [True] * len(leaves))
+    share = np.where(rest, (counts + 0.1) / model.leaf[leaf], 1.0)
+    assert abs((p * share).sum() - 1) < 1e-4
+
+
+def test_language_model_learns_what_follows(monkeypatch):
+    """A word that the one before it tells is told better, be it a member or of the rest; and by the words three and four back as well."""
+    monkeypatch.setattr(lm_score, "LEAF_WORDS", 1)
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    follows = {w: rng.choice(words) for w in words}
+    texts = []
+    for _ in range(60):
+        w = [rng.choice(words)]
+        while len(w) < 200:
+            w.append(follows[w[-1]] if rng.random() < 0.8 else rng.choice(words))
+        texts.append(" ".join(w).encode())
+    model, parts, known, head = _trained(texts)
+    before = [lm_score.log_probabilities(model, t)[0].copy() for t in parts[-5:]]
+    trainer = lm_score.Trainer(model)
+    for t in parts[:-5]:
+        trainer.learn(t)
+    model.tables = trainer.tables
+    for t, old in zip(parts[-5:], before, strict=True):
+        new, s = lm_score.log_probabilities(model, t)
+        assert new.sum() > old.sum() + 0.3 * len(new) and new[s.rest].sum() > old[s.rest].sum()
 
 
 def test_language_model_sees_four_words_back():
     """Texts that differ only in the class of the third or fourth word before the last are not told the same of it."""
+    model, *_ = _trained([b"aa bb cc dd ee ff"])
 
     def rows(text):
         t = lm_score.Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        of_class, _ = lm_score.features(t)
-        return t.cls.tolist(), [int(r[-2]) for r in of_class]
+        return t.cls.tolist(), [int(r[-2]) for _, r in lm_score.Softmaxes(model, t).parts[0][0]]
 
     (one, a), (two, b), (three, c) = rows(b"aa bb cc dd ee"), rows(b"zq bb cc dd ee"), rows(b"aa zq cc dd ee")
     assert one[0] != two[0] and one[1] != three[1]
-    assert a != b and a != c and max(*a, *b, *c) < lm_score.CLASS_ROWS
+    assert a != b and a != c
+
+
+def test_far_logits_are_moved_back():
+    model, parts, *_ = _trained([b"aa bb cc dd ee ff aa bb"])
+    model.tables[0] += np.float32(500.0)
+    model.tables[5] -= np.float32(500.0)
+    moved, _ = lm_score.log_probabilities(model, parts[0])
+    model.tables[0] -= np.float32(500.0)
+    model.tables[5] += np.float32(500.0)
+    assert np.abs(moved - lm_score.log_probabilities(model, parts[0])[0]).max() < 1e-2
 
 
 def test_empty_tables(spark):

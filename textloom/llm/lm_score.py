@@ -2,12 +2,15 @@
 
 P(w | h) = P(class of w | h) P(member | class, h), both softmaxes over hashed features of
 the words before. The members of a class are its most frequent words and one that stands
-for all others; those share that member's probability by their training counts, smoothed, so
-that the probabilities of all words, unknown ones included, add up to 1.
+for all others, its rest. The rest of a class is a tree with sixteen branches at each node, by digits of the
+word's hash, as deep as the vocabulary needs: P(digit | node, h) is a softmax of the same kind, and the words of a
+leaf share its probability by their training counts, smoothed. So every word has weights that
+depend on the words before it, and the probabilities of all words, unknown ones included, add up to 1.
 
 Tokens are known by a 64-bit hash. Counts cover all training tokens. Gradients are taken on
-the executors, each partition going through its texts once a round from the weights of the
-round before; the weights are then averaged over the partitions, by how often each row was used.
+the executors. Texts are dealt to the rounds by a hash of their ids, so that each is learned from
+once in all; in a round each partition goes through its texts of that round from the weights of the round before, and the
+weights are then averaged over the partitions, by how often each row was used.
 """
 
 from __future__ import annotations
@@ -19,17 +22,23 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm._bytes import PLAIN, U64, Words, mix, slices
+from textloom.llm._bytes import PLAIN, U64, Words, mix, release, slices
 from textloom.llm._spark import written
 
 CLASSES = 32
 #: Members of a class with weights of their own; one more stands for the rest.
-MEMBERS = 48
-BUCKETS = 4096
+MEMBERS = 47
+#: Branches of a node of a class's rest, four bits of the hash, and the deepest tree: its leaves, two million with all classes, are broadcast.
+BRANCHES = 16
+DEEPEST = 4
+#: Words of a leaf from which a tree is deeper.
+LEAF_WORDS = 64
 PAIRS = (CLASSES + 1) ** 2
 BATCH = 8192
-RATE = 0.12
+RATE = 0.2
 ROUNDS = 2
+#: Weight rows travel in packs of so many.
+PACK = 1024
 #: The most frequent tokens whose counts are broadcast (16 bytes each); all others' counts are joined.
 BROADCAST_TOKENS = 1 << 19
 END = U64(0xE0D0E0D0E0D0E0D0)
@@ -68,46 +77,57 @@ class Tokens:
         return out
 
 
-CLASS_ROWS = 2 * BUCKETS + 2 * PAIRS
-_OWN = CLASSES * (CLASSES + 1)
-MEMBER_ROWS = 2 * BUCKETS + 2 * _OWN
+def depth_for(distinct: int) -> int:
+    """The depth of the trees for a vocabulary."""
+    depth = 0
+    while depth < DEEPEST and distinct > CLASSES * BRANCHES**depth * LEAF_WORDS:
+        depth += 1
+    return depth
 
 
-def features(t: Tokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the class weights and of the member weights that are active before each token."""
-    w1, w2 = t.before(t.hash, 1, _BEGIN), t.before(t.hash, 2, _BEGIN)
-    c1, c2, c3, c4 = (t.before(t.cls, k, CLASSES) for k in (1, 2, 3, 4))
-    low = U64(BUCKETS - 1)
-    one, skip = (mix(w1) & low).astype(np.int64), (mix(w2 + U64(1)) & low).astype(np.int64)
-    pair = c1 * (CLASSES + 1) + c2
-    far = c3 * (CLASSES + 1) + c4
-    of_class = [one, BUCKETS + skip, 2 * BUCKETS + pair, 2 * BUCKETS + PAIRS + far]
-    own = (mix(w1 + t.cls.astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(2 * BUCKETS - 1)).astype(np.int64)
-    of_member = [own, 2 * BUCKETS + t.cls * (CLASSES + 1) + c1, 2 * BUCKETS + _OWN + t.cls * (CLASSES + 1) + c2]
-    return of_class, of_member
+def bits_for(distinct: int) -> int:
+    """Bits of the rows of hashed features for a vocabulary; a partition's rows are what travels in a round."""
+    return min(14, max(12, distinct.bit_length() - 4))
+
+
+#: Tables of weights: five for the class, three for the member, one hashed for all trees, and one of nodes for each of their levels.
+CLASS_TABLES, MEMBER_TABLES, TREE_TABLE = range(0, 5), range(5, 8), 8
 
 
 class Model:
-    """Weights, the words that are members, and what the rest of each class counts."""
+    """Weights, the words that are members, and what the leaves of the rest count.
 
-    def __init__(self, head: np.ndarray, head_cls: np.ndarray, head_n: np.ndarray, rest_n: np.ndarray, rest_v: np.ndarray):
-        self.head = head  # sorted hashes
+    head: sorted hashes of the members, with their class and count. leaf_n, leaf_v: tokens and
+    distinct words of each leaf, class by class, without the members.
+    """
+
+    def __init__(self, head: np.ndarray, head_cls: np.ndarray, head_n: np.ndarray, leaf_n: np.ndarray, leaf_v: np.ndarray, bits: int):
+        self.head, self.bits = head, bits
+        self.depth = round(np.log2(len(leaf_n) // CLASSES)) // 4
         self.member = np.zeros(len(head), np.int64)
-        prior = np.full((CLASSES, MEMBERS + 1), -np.inf)
-        total = np.zeros(CLASSES)
-        self.rest = rest_n + 0.1 * (rest_v + 1)
+        self.leaf = leaf_n + 0.1 * (leaf_v + 1)
+        masses = [self.leaf]  # of the nodes, level by level, from the leaves up
+        for _ in range(self.depth):
+            masses.append(masses[-1].reshape(-1, BRANCHES).sum(axis=1))
+        masses.reverse()
+        rest, mass = masses[0], np.zeros((CLASSES, MEMBERS + 1))
         for c in range(CLASSES):
             own = np.flatnonzero(head_cls == c)
             own = own[np.lexsort((head[own], -head_n[own]))]
             self.member[own] = np.arange(len(own))
-            mass = np.append(head_n[own].astype(float), self.rest[c])
-            total[c] = mass.sum()
-            prior[c, : len(own)] = np.log(mass[:-1] / total[c])
-            prior[c, MEMBERS] = np.log(mass[-1] / total[c])
-        self.bias = np.log(total / total.sum()).astype(np.float32)
-        self.prior = np.maximum(prior, -1e30).astype(np.float32)
-        self.w = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.u = np.zeros((MEMBER_ROWS, MEMBERS + 1), np.float32)
+            mass[c, : len(own)] = head_n[own]
+        mass[:, MEMBERS] = rest
+        total = mass.sum(axis=1)
+        with np.errstate(divide="ignore"):
+            prior = np.maximum(np.log(mass / total[:, None]), -1e4).astype(np.float32)
+        zeros = lambda rows, width: np.zeros((rows, width), np.float32)
+        rows = 1 << bits
+        # Tables that every token has one row of begin with the logarithms of the shares.
+        self.tables = [zeros(rows, CLASSES), zeros(rows, CLASSES), zeros(rows, CLASSES), np.tile(np.log(total / total.sum()).astype(np.float32), (PAIRS, 1)), zeros(PAIRS, CLASSES)]
+        self.tables += [zeros(2 * rows, MEMBERS + 1), np.repeat(prior, CLASSES + 1, axis=0), zeros(CLASSES * (CLASSES + 1), MEMBERS + 1)]
+        self.tables.append(zeros(4 * rows, BRANCHES))
+        for level in range(self.depth):
+            self.tables.append((np.log(masses[level + 1].reshape(-1, BRANCHES)) - np.log(masses[level])[:, None]).astype(np.float32))
 
     def members(self, hashes: np.ndarray) -> np.ndarray:
         """The member of each token in its class; the last stands for all other words."""
@@ -118,28 +138,71 @@ class Model:
             out[same] = self.member[at[same]]
         return out
 
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _logits(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, a: int, b: int) -> np.ndarray:
-    out = bias + table[rows[0][a:b]]
-    for r in rows[1:]:
-        out += table[r[a:b]]
-    return out
-
-
-def log_probabilities(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(natural logarithm of P(class) P(member), member) of each token, without the share within the rest of a class."""
-    of_class, of_member = features(t)
-    y, out = model.members(t.hash), np.zeros(len(t.hash))
-    for a in range(0, len(out), BATCH):
-        b = min(a + BATCH, len(out))
-        at, c = np.arange(b - a), t.cls[a:b]
-        out[a:b] = _log_softmax(_logits(model.w, of_class, model.bias, a, b))[at, c] + _log_softmax(_logits(model.u, of_member, model.prior[c], a, b))[at, y[a:b]]
-    return out, y
+    def leaves(self, hashes: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The leaf of each token, were it of the rest."""
+        return (cls << 4 * self.depth) + leaf_digits(hashes, self.depth)
+
+
+def leaf_digits(hashes: np.ndarray, depth: int) -> np.ndarray:
+    return ((hashes >> U64(8)) & U64((1 << 4 * depth) - 1)).astype(np.int64)
+
+
+#: (table, row of each token) of one feature; (features, target of each token) of one softmax.
+Feature = tuple[int, np.ndarray]
+
+
+class Softmaxes:
+    """What a slice's tokens ask of a model: features and targets of the class, the member, and each level of the rest's tree for the tokens there."""
+
+    def __init__(self, model: Model, t: Tokens):
+        w1, w2 = t.before(t.hash, 1, _BEGIN), t.before(t.hash, 2, _BEGIN)
+        c1, c2, c3, c4 = (t.before(t.cls, k, CLASSES) for k in (1, 2, 3, 4))
+        row = lambda x, extra=0: (mix(x) & U64((1 << model.bits + extra) - 1)).astype(np.int64)
+        own, third = w1 + t.cls.astype(U64) * U64(0x9E3779B97F4A7C15), w1 * U64(3) + w2
+        of_class = [(0, row(w1)), (1, row(w2 + U64(1))), (2, row(third)), (3, c1 * (CLASSES + 1) + c2), (4, c3 * (CLASSES + 1) + c4)]
+        of_member = [(5, row(own, 1)), (6, t.cls * (CLASSES + 1) + c1), (7, t.cls * (CLASSES + 1) + c2)]
+        self.member = model.members(t.hash)
+        self.parts: list[tuple[list[Feature], np.ndarray, np.ndarray | None]] = [(of_class, t.cls, None), (of_member, self.member, None)]
+        self.rest = np.flatnonzero(self.member == MEMBERS)
+        self.leaf = model.leaves(t.hash[self.rest], t.cls[self.rest])
+        w1, c1 = w1[self.rest], c1[self.rest].astype(U64)
+        for level in range(model.depth):
+            below = 4 * (model.depth - level)
+            node = self.leaf >> below
+            key = mix(node.astype(U64) + U64((level + 1) << 48))
+            features = [(TREE_TABLE, row(key + w1, 2)), (TREE_TABLE, row(key * U64(5) + c1, 2)), (TREE_TABLE + 1 + level, node)]
+            self.parts.append((features, self.leaf >> below - 4 & BRANCHES - 1, self.rest))
+
+
+def _exponentials(tables: list[np.ndarray], features: list[Feature], a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits, exponentials, their sums) of tokens a to b. Logits begin at the logarithms of shares and stay near; a row that leaves the range of floats is moved back."""
+    x = tables[features[0][0]].take(features[0][1][a:b], axis=0)
+    for k, rows in features[1:]:
+        x += tables[k].take(rows[a:b], axis=0)
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+    total = e @ np.ones(e.shape[1], np.float32)
+    far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+    if len(far):
+        x[far] -= x[far].max(axis=1, keepdims=True)
+        e[far] = np.exp(x[far])
+        total[far] = e[far].sum(axis=1)
+    return x, e, total
+
+
+def log_probabilities(model: Model, t: Tokens) -> tuple[np.ndarray, Softmaxes]:
+    """Natural logarithms of the tokens' probabilities, without the share within a leaf."""
+    s, out = Softmaxes(model, t), np.zeros(len(t.hash))
+    for features, target, where in s.parts:
+        for a in range(0, len(target), BATCH):
+            b = min(a + BATCH, len(target))
+            x, _, total = _exponentials(model.tables, features, a, b)
+            got = x[np.arange(b - a), target[a:b]] - np.log(total)
+            if where is None:
+                out[a:b] += got
+            else:
+                out[where[a:b]] += got
+    return out, s
 
 
 class Trainer:
@@ -147,35 +210,38 @@ class Trainer:
 
     def __init__(self, model: Model, rate: float = RATE):
         self.model, self.rate = model, rate
-        model.w, model.u = model.w.copy(), model.u.copy()
-        self.seen = [np.full(len(model.w), 1e-6, np.float32), np.full(len(model.u), 1e-6, np.float32)]
-        self.used = [np.zeros(len(model.w), np.int64), np.zeros(len(model.u), np.int64)]
-
-    def _apply(self, which: int, rows: list[np.ndarray], grad: np.ndarray, a: int, b: int) -> None:
-        table, seen, used = (self.model.w, self.model.u)[which], self.seen[which], self.used[which]
-        for r in rows:
-            own = r[a:b]
-            order = np.argsort(own.astype(np.uint16), kind="stable")  # a radix sort
-            ordered = own[order]
-            start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            row = ordered[start]
-            total = np.add.reduceat(grad[order], start, axis=0)
-            seen[row] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-            used[row] += np.diff(np.append(start, b - a))
-            table[row] -= (self.rate / np.sqrt(seen[row]))[:, None] * total
+        self.tables = [x.copy() for x in model.tables]
+        self.seen = [np.full(len(x), 1e-6, np.float32) for x in model.tables]
+        self.used = [np.zeros(len(x), np.int64) for x in model.tables]
+
+    def _apply(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        small = len(self.tables[k]) <= 1 << 16
+        order = np.argsort(rows.astype(np.uint16), kind="stable") if small else np.argsort(rows)  # the first is a radix sort
+        ordered = rows[order]
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        row, n = ordered[start], np.diff(np.append(start, len(rows)))
+        total = grad.take(order[start], axis=0)
+        often = n > 1
+        if often.any():
+            own = grad.take(order[np.repeat(often, n)], axis=0)
+            # Pairs of floats are added as one number each.
+            total[often] = np.add.reduceat(own.view(np.complex64), np.cumsum(n[often]) - n[often], axis=0).view(np.float32)
+        seen = self.seen[k][row] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        self.seen[k][row] = seen
+        self.used[k][row] += n
+        total *= (-self.rate / np.sqrt(seen))[:, None]
+        total += self.tables[k].take(row, axis=0)
+        self.tables[k][row] = total
 
     def learn(self, t: Tokens) -> None:
-        of_class, of_member = features(t)
-        y = self.model.members(t.hash)
-        for a in range(0, len(y), BATCH):
-            b = min(a + BATCH, len(y))
-            at, c = np.arange(b - a), t.cls[a:b]
-            grad = np.exp(_log_softmax(_logits(self.model.w, of_class, self.model.bias, a, b)))
-            grad[at, c] -= 1
-            self._apply(0, of_class, grad, a, b)
-            grad = np.exp(_log_softmax(_logits(self.model.u, of_member, self.model.prior[c], a, b)))
-            grad[at, y[a:b]] -= 1
-            self._apply(1, of_member, grad, a, b)
+        for features, target, _ in Softmaxes(self.model, t).parts:
+            for a in range(0, len(target), BATCH):
+                b = min(a + BATCH, len(target))
+                _, grad, total = _exponentials(self.tables, features, a, b)
+                grad *= (1 / total)[:, None]
+                grad[np.arange(b - a), target[a:b]] -= 1
+                for k, rows in features:
+                    self._apply(k, rows[a:b], grad)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,34 +269,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+_PACKS = "part int, pack int, rows binary, used binary, weights binary"
+_PACK_TYPE = pa.schema([("part", pa.int32()), ("pack", pa.int32()), ("rows", pa.binary()), ("used", pa.binary()), ("weights", pa.binary())])
+
+
 def _round(shared, rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import copy
+    """The changes of the rows that a partition uses, as packs; half precision is enough for a change."""
 
-        trainer = Trainer(copy.copy(shared.value), rate)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        trainer = Trainer(model, rate)
         for batch in batches:
             for _, _, data, offs in slices(batch.column(0)):
                 trainer.learn(Tokens(data, offs))
-        for which, table in enumerate((trainer.model.w, trainer.model.u)):
-            rows = np.flatnonzero(trainer.used[which])
-            blob = [table[i].astype(np.float32).tobytes() for i in rows.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), which, np.int32)), pa.array(rows.astype(np.int32)), pa.array(trainer.used[which][rows]), pa.array(blob, pa.binary())], names=["part", "row", "used", "weights"])
+        for k, (new, old, used) in enumerate(zip(trainer.tables, model.tables, trainer.used, strict=True)):
+            rows = np.flatnonzero(used)
+            for own in np.split(rows, np.flatnonzero(np.diff(rows // PACK)) + 1) if len(rows) else ():
+                values = (k, int(own[0]) // PACK, (own % PACK).astype(np.int16).tobytes(), used[own].tobytes(), (new[own] - old[own]).astype(np.float16).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _PACK_TYPE.types, strict=True)], schema=_PACK_TYPE)
+        del trainer
+        release()
 
     return run
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Means of each weight row over the partitions that used it; only the sums of the rows at hand are held."""
-    total: dict[tuple[int, int], np.ndarray] = {}
-    times: dict[tuple[int, int], int] = {}
-    for batch in batches:
-        for part, row, used, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key = (part, row)
-            total[key] = total.get(key, 0.0) + used * np.frombuffer(blob, np.float32).astype(np.float64)
-            times[key] = times.get(key, 0) + used
-    if total:
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([(total[k] / times[k]).astype(np.float32).tobytes() for k in keys], pa.binary())], names=["part", "row", "weights"])
+def _average(width: dict[int, int]):
+    """Means of each row's change over the partitions that used it; only the sums of the packs at hand are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = r["part"], r["pack"]
+                if key not in sums:
+                    sums[key] = np.zeros((PACK, width[r["part"]])), np.zeros(PACK, np.int64)
+                total, times = sums[key]
+                rows, used = np.frombuffer(r["rows"], np.int16), np.frombuffer(r["used"], np.int64)
+                total[rows] += used[:, None] * np.frombuffer(r["weights"], np.float16).reshape(len(rows), -1)
+                times[rows] += used
+        for (part, pack), (total, times) in sums.items():
+            rows = np.flatnonzero(times)
+            values = (part, pack, rows.astype(np.int16).tobytes(), b"", (total[rows] / times[rows, None]).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _PACK_TYPE.types, strict=True)], schema=_PACK_TYPE)
+
+    return run
 
 
 class Lookup:
@@ -269,7 +351,7 @@ def _score(shared, lookup, base_total: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = shared.value, lookup.value
-        log_rest = np.log10(model.rest)
+        log_leaf = np.log10(model.leaf)
         next_row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
@@ -278,8 +360,9 @@ def _score(shared, lookup, base_total: float):
                 known = n > 0
                 # log10(count + 0.1) of the tokens that are not in the lookup is added by the join.
                 share = np.where(known, np.log10(n + 0.1), 0.0)
-                score, member = log_probabilities(model, t)
-                score = score / np.log(10) + np.where(member == MEMBERS, share - log_rest[t.cls], 0.0)
+                score, s = log_probabilities(model, t)
+                score /= np.log(10)
+                score[s.rest] += share[s.rest] - log_leaf[s.leaf]
                 sums = [np.add.reduceat(x, t.bounds[:-1]) for x in (share - log_base, score, known.astype(np.int64))]
                 rare = []
                 unknown = np.flatnonzero(~known)
@@ -316,20 +399,26 @@ def train(texts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[M
     token, cls, n = token[place], cls[place], n[place]
     rank = np.arange(len(cls)) - np.searchsorted(cls, cls)
     token, cls, n = token[rank < MEMBERS], cls[rank < MEMBERS], n[rank < MEMBERS]
-    by_class = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
-    rest_n, rest_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_class:
-        rest_n[r["cls"]], rest_v[r["cls"]] = r["n"], r["k"]
-    np.subtract.at(rest_n, cls, n)
-    np.subtract.at(rest_v, cls, 1)
+    depth = depth_for(distinct)
+    leaf = F.shiftleft(F.col("cls").cast("long"), 4 * depth) + F.shiftrightunsigned("token", 8).bitwiseAND(F.lit((1 << 4 * depth) - 1))
+    # A row a leaf: CLASSES * BRANCHES ** DEEPEST at most.
+    leaves = counts.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toArrow()
+    leaf_n, leaf_v = np.zeros(CLASSES << 4 * depth), np.zeros(CLASSES << 4 * depth)
+    at, leaf_counts, leaf_words = (leaves.column(i).to_numpy() for i in range(3))
+    leaf_n[at], leaf_v[at] = leaf_counts, leaf_words
+    own = (cls.astype(np.int64) << 4 * depth) + leaf_digits(token.view(U64), depth)
+    np.subtract.at(leaf_n, own, n)
+    np.subtract.at(leaf_v, own, 1)
     order = np.argsort(token.view(U64))
-    model = Model(token.view(U64)[order], cls[order], n[order], rest_n, rest_v)
+    model = Model(token.view(U64)[order], cls[order], n[order], leaf_n, leaf_v, bits_for(distinct))
+    width = {k: x.shape[1] for k, x in enumerate(model.tables)}
     for r in range(rounds):
-        part = texts.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(rounds)) == r) if rounds > 1 else texts
         shared = spark.sparkContext.broadcast(model)
-        steps = part.select("text").mapInArrow(_round(shared, rate), "part int, row int, used long, weights binary")
-        for x in steps.repartition("part", "row").mapInArrow(_average, "part int, row int, weights binary").collect():  # the model's rows
-            (model.w, model.u)[x["part"]][x["row"]] = np.frombuffer(x["weights"], np.float32)
+        steps = texts.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(rounds)) == r).select("text").mapInArrow(_round(shared, rate), _PACKS)
+        for x in steps.repartition("part", "pack").mapInArrow(_average(width), _PACKS).toLocalIterator():  # the model's rows
+            rows = x["pack"] * PACK + np.frombuffer(x["rows"], np.int16)
+            model.tables[x["part"]][rows] += np.frombuffer(x["weights"], np.float32).reshape(len(rows), -1)
+        shared.unpersist()
     return model, counts, lookup, total, distinct, least
 
 
