@@ -318,22 +318,60 @@ def test_mix_of_rows_that_share_an_id(spark):
         assert all(r["taken"] <= 3 * r["size"] for r in got)
 
 
-def test_neighbours(spark):
+def neighbours(x, ids, queries, k=20):
+    out = {}
+    for q in queries:
+        s = (x * x[q]).sum(axis=1)
+        out[ids[q]] = [(ids[i], s[i]) for i in sorted(range(len(x)), key=lambda i: (-s[i], ids[i])) if ids[i] != ids[q]][:k]
+    return out
+
+
+@pytest.mark.parametrize(("cell", "block", "query_block"), [(4096, 8192, 2048), (300, 200, 7)])
+def test_neighbours(spark, cell, block, query_block):
     rng = np.random.Generator(np.random.PCG64(1))
-    x = rng.normal(size=(400, 16))
+    x = rng.normal(size=(1200, 16))
     x[100:160] = x[100]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (920, [0.0] * 16), (940, [float("nan")] * 16), (7, [float(v) for v in x[7]])]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=90, query_block=7).collect()
+    rows = [(i, [float(v) for v in r], "a") for i, r in enumerate(x)] + [(9000, None, "a"), (9020, [0.0] * 16, "a"), (9040, [float("nan")] * 16, "a"), (7, [float(v) for v in x[7]], "b"), (None, [1.0] * 16, "a"), (9060, [1.0, 2.0], "a"), (9061, [2.0, 1.0], "a"), (9061, [9.0, 1.0], "a"), (9080, [], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string").repartition(4)
+    got = ann.nearest(df, cell=cell, block=block, query_block=query_block).collect()
     found = defaultdict(list)
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
-        found[r["query_id"]].append(r["vec_id"])
-    hits = total = 0
-    for q in range(0, 400, 20):
-        s = (x * x[q]).sum(axis=1)
-        want = [i for i in sorted(range(400), key=lambda i: (-s[i], i)) if i != q][:20]
-        hits, total = hits + len(set(want) & set(found[q])), total + 20
-    assert set(found) == set(range(0, 400, 20)) and hits / total >= 0.9
-    assert found[100] == list(range(101, 121))
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = neighbours(x, list(range(1200)), range(0, 1200, 20))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in found[q]}) for q in want)
+    assert set(found) == {*want, 9060} and hits / (20 * len(want)) >= 0.9
+    assert [i for i, _ in found[100]] == list(range(101, 121)) and found[9060] == [(9061, 11.0)]
+    for q in want:
+        assert all(s == (x[i] * x[q]).sum() for i, s in found[q]) and found[q] == sorted(found[q], key=lambda r: (-r[1], r[0]))
+    assert all(r["rank"] == i for q in found for i, r in enumerate(sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"]), 1))
+
+
+def test_neighbours_are_verified_until_the_test_holds():
+    """On a full block of points without structure under half of them are verified, and nine in ten neighbours at least are found."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    x = rng.normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    limit = ann.chi_square_quantile(ann.CONFIDENCE, ann.DIMENSIONS)
+    search = ann.Search(x, [np.array([i]) for i in range(len(x))], 1.0, ann.projector(64, ann.DIMENSIONS, 5), limit)
+    queries = range(0, 8192, 256)
+    want = neighbours(x, list(range(len(x))), queries)
+    hits = 0
+    for q in queries:
+        found, worst = search.nearest(x[q], q, 20)
+        hits += len({i for _, i in found} & {i for i, _ in want[q]})
+        assert worst <= want[q][-1][1] + 1e-9
+    share = search.verified / len(queries) / len(x)
+    print(f"verified {share:.2f}, recall {hits / 20 / len(queries):.3f}")
+    assert share < 0.5 and hits >= 0.9 * 20 * len(queries)
+    # A cluster far from the rest is found with its own leaves alone.
+    near = x[:400] * 0.05 + 3.0
+    search = ann.Search(np.concatenate([near, -near, x[:4000] - 9]), [np.array([i]) for i in range(4800)], 3e4, ann.projector(64, ann.DIMENSIONS, 5), limit)
+    search.nearest(near[0], 0, 20)
+    assert search.verified <= 800
+
+
+def test_chi_square_quantiles():
+    assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ann.chi_square_quantile(0.95, 32) - 46.194) < 1e-3
 
 
 def test_classifiers_learn_and_stand_empty(spark):
@@ -352,7 +390,7 @@ def test_classifiers_learn_and_stand_empty(spark):
     assert language_id.predict(df, None).where("lang_pred = 'und'").count() == 120
 
 
-@pytest.mark.parametrize("leaf_words", [64, 1])
+@pytest.mark.parametrize("leaf_words", [1024, 1])
 def test_language_model_is_brute_force(spark, monkeypatch, leaf_words):
     """Counts and base scores against the definition, scores against the model's own probabilities and counts, with tokens that meet their counts by a join."""
     monkeypatch.setattr(lm_score, "BROADCAST_TOKENS", 40)
@@ -372,7 +410,7 @@ def test_language_model_is_brute_force(spark, monkeypatch, leaf_words):
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
     model, counts, lookup, total, distinct, least = lm_score.train(df.where(learn).selectExpr("doc_id key", "text"))
-    assert (total, distinct) == (n, v) and model.depth == (0 if leaf_words == 64 else 1 if v <= 512 else 2)
+    assert (total, distinct) == (n, v) and model.depth == (0 if leaf_words == 1024 else 1 if v <= 512 else 2)
     known = {r["token"] & (1 << 64) - 1: r["n"] for r in counts.collect()}
     for r in got[::7]:
         text = next((t or "") for d, t in docs if d == r["doc_id"] and len(plain(t)) + 1 == r["n_tokens"]).encode()
