@@ -201,6 +201,29 @@ def test_exact_copies_of_short_lines_go(spark):
     assert got == {1: (5, 1, 1, 0, len(long)), 2: (4, 1, 2, 0, 0), 3: (1, 0, 1, 0, 0), 4: (0, 0, 0, 0, 0), 5: (0, 0, 0, 0, 0)}
 
 
+def test_lines_by_large_keys_and_joins(spark, monkeypatch):
+    """Common segments in squares of blocks, keys and names that are not broadcast: the same result."""
+    rnd = random.Random(9)
+    lines = ["head of a common line " + "".join(rnd.choice("ab") for _ in range(12)) for _ in range(90)]
+    df = frame(spark, [(i, "\n".join(rnd.choice(lines) for _ in range(4))) for i in range(40)])
+    want = sorted(map(tuple, line_dedup.digest(df).collect()))
+    assert sum(r[4] for r in want)
+    monkeypatch.setattr(line_dedup, "SQUARE", 7)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    assert sorted(map(tuple, line_dedup.digest(df).collect())) == want
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    line, other = "a line of more than twenty characters", "another line of more than twenty"
+    rows = [(1, f"{line}\n{other}", "a"), (1, f"{line}\n{other}", "a"), (None, other, "b"), (None, None, "c"), (2, "", "d"), (3, "z" * 70_000 + "\n" + line, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").coalesce(1)
+    got = line_dedup.digest(df).collect()
+    assert sorted(((r["doc_id"] or 0, r["n_long"], r["n_copies"], r["kept_chars"]) for r in got)) == [(0, 0, 0, 0), (0, 1, 0, len(other)), (1, 2, 1, len(line)), (1, 2, 2, 0), (2, 0, 0, 0), (3, 2, 1, 70_000)]
+    out = line_dedup.dedup(df)
+    assert out.columns == df.columns and sorted(str(r["text"]) for r in out.collect() if r["doc_id"] == 1) == ["", line]
+    assert sorted(map(str, (r["text"] for r in out.where("doc_id is null").collect()))) == ["None", other]
+
+
 def test_url_rules(spark):
     urls = ["http://a.net/x", "http://a.example.net/en/1", "https://EXAMPLE.com/de/", "http://notexample.com/de/", "http://w.org/fr/x?y#z", "http://a.net", "nothing", None, "", "http://net/?q"]
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm._spark import written
+from textloom.llm._spark import keyed, plain, written
 
 EDITS = 2
 #: Shorter lines are compared as they stand, for exact copies only, and empty ones not at all.
 MIN_CHARS = 20
-#: Keys up to this number may be broadcast (8 bytes each and what a hash table adds); more are joined by a shuffle.
+#: Keys up to this number may be broadcast (8 or 16 bytes each and what a hash table adds); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Lines with a segment in common that meet in one task's block; more are dealt out in squares of such blocks.
+SQUARE = 2000
 
 
 def probes(edits: int = EDITS) -> str:
@@ -34,19 +36,19 @@ def probes(edits: int = EDITS) -> str:
 
 
 def marked(every: DataFrame, edits: int = EDITS) -> DataFrame:
-    """lid, line, key, own of each probe of rows (lid, len, line).
+    """lid, more, key, own of each probe of rows (lid, more, len, line); lines themselves go no further.
 
     The lines are cut in UTF-32, where a substring is found without going through the
     characters before it. Segments are even parts, the longer ones last. One small
     expression a probe, after the array is taken apart: a large one would not be compiled.
     """
     parts = edits + 1
-    each = every.select("lid", "len", "line", F.encode("line", "UTF-32").alias("wide")).select("lid", "line", "wide", "len", F.explode(F.expr(probes(edits))).alias("p"))
-    each = each.select("lid", "line", "wide", F.expr("len - p.less").alias("size"), "p.i", "p.move", "p.own")
-    each = each.selectExpr("lid", "line", "wide", "size", "i", "move", "own", f"cast(size div {parts} as int) as base", f"i - {parts} + size % {parts} as late")
+    each = every.select("lid", "more", "len", F.encode("line", "UTF-32").alias("wide")).select("lid", "more", "wide", "len", F.explode(F.expr(probes(edits))).alias("p"))
+    each = each.select("lid", "more", "wide", F.expr("len - p.less").alias("size"), "p.i", "p.move", "p.own")
+    each = each.selectExpr("lid", "more", "wide", "size", "i", "move", "own", f"cast(size div {parts} as int) as base", f"i - {parts} + size % {parts} as late")
     begin = "i * base + greatest(0, late) + move"
     key = f"xxhash64(size, i, substring(wide, 4 * ({begin}) + 1, 4 * (base + if(late >= 0, 1, 0))))"
-    return each.selectExpr("lid", "line", f"{key} as key", "own")
+    return each.selectExpr("lid", "more", f"{key} as key", "own")
 
 
 def edit_distance(a: str, b: str, edits: int = EDITS) -> str:
@@ -81,89 +83,106 @@ def histogram(line: str) -> str:
 
 
 def apart(a: str, b: str) -> str:
-    """SQL for the difference of two histograms: an edit changes it by 2 at most, a pair within 3 edits has its true difference."""
+    """SQL for the difference of two histograms: an edit changes it by 2 at most, a pair within 7 edits has its true difference."""
     biased = f"(({a} - {b} + {_MASK // 15 * 7}L) & {_MASK}L)"
     return " + ".join(f"abs((shiftright({biased}, {4 * i}) & 15) - 7)" for i in range(_DIGITS))
 
 
-def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, pos, line of every line; null and empty texts have none."""
-    whole = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("__text")).where("__text != ''")
-    return whole.select("doc_id", F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
+def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", row: str = "row") -> DataFrame:
+    """doc_id, row, pos, line of every line; null and empty texts have none."""
+    whole = docs.select(F.col(doc).alias("doc_id"), F.col(row).alias("row"), F.col(text).cast("string").alias("whole")).where("whole != ''")
+    return whole.select("doc_id", "row", F.posexplode(F.split("whole", "\n")).alias("pos", "line"))
 
 
 def _named(each: DataFrame, min_chars: int) -> DataFrame:
-    return each.withColumn("len", F.length("line")).where(F.col("len") >= min_chars).withColumn("lid", F.xxhash64("line", "len"))
+    """Lines of min_chars or more with len and the two halves of their 128-bit name, lid and more."""
+    return each.withColumn("len", F.length("line")).where(F.col("len") >= min_chars).withColumn("lid", F.xxhash64("line", "len")).withColumn("more", F.xxhash64(F.lit(1), "line"))
 
 
-def _only(rows: DataFrame, keys: DataFrame, column: str, n: int) -> DataFrame:
-    """Rows whose key is among n distinct keys; broadcast only if they are few."""
-    return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, column, "left_semi")
+def _only(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose columns are among those of the written keys; broadcast only if they are few."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, columns, "left_semi")
 
 
-def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
-    """lid, len, doc_id, pos, copies, near of each distinct line of min_chars characters or more; with short, of all that are not empty.
+_NAME = ["lid", "more"]
 
-    doc_id and pos are its first occurrence (smallest id, then place); copies the number of
+
+def _met(shared: DataFrame) -> DataFrame:
+    """The pairs of different lines (a, b: struct of name and histogram) that share a key of rows (key, lid, more, h, own), one of them its own.
+
+    Of a key with many lines, the lines are dealt to blocks, and each pair of blocks meets by
+    itself, so that no task has more than SQUARE by SQUARE pairs of a key at once.
+    """
+    blocks = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("blocks"))
+    dealt = shared.join(blocks, "key").withColumn("block", F.pmod("more", F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda x: F.struct("lid", "more", "h").alias(x)
+    left = dealt.where("own = 1").select("key", "block", others.alias("other"), side("a"))
+    right = dealt.select("key", others.alias("block"), F.col("block").alias("other"), side("b"))
+    return left.join(right, ["key", "block", "other"]).where("a.lid != b.lid or a.more != b.more")
+
+
+def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False, row: str = "row") -> DataFrame:
+    """lid, more, len, doc_id, row, pos, copies, near of each distinct line of min_chars characters or more; with short, of all that are not empty.
+
+    docs has a key of its rows. doc_id, row and pos are a line's first occurrence (smallest id, null ids before all, then row, then place); copies the number of
     occurrences; near: an earlier line is within the edits. The relation is not closed under
     chains: a line counts against later ones even if it goes itself.
-    Rows that share a document id are one document to this operator; ids that are null come first.
     """
-    if min_chars < 2 * edits + 2:
-        raise ValueError("min_chars has to be over twice the edits and one")
-    every = _named(lines(docs, doc, text), min_chars)
-    firsts = (_named(lines(docs, doc, text), 1) if short else every).groupBy("lid", "len").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = written(firsts.select("lid", "len", "first.*", "copies"), "lines")
+    if min_chars < 2 * edits + 2 or edits > 7:
+        raise ValueError("min_chars has to be over twice the edits and one, and edits 7 at most")
+    every = _named(lines(docs, doc, text, row), min_chars)
+    firsts = (_named(lines(docs, doc, text, row), 1) if short else every).groupBy(*_NAME, "len").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = written(firsts.select(*_NAME, "len", "first.*", "copies"), "lines")
     marks = marked(every, edits)
     # Nearly all keys belong to one line; they end here, with copies folded before the shuffle.
     met = marks.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.max("own").alias("own"))
     met = written(met.where("low != high and own = 1").select("key"), "line-keys")
-    # Histograms of the lines at hand leave out most pairs that are alike but for a word.
-    shared = _only(marks, met, "key", met.count()).select("key", "lid", "own", F.expr(histogram("line")).alias("h"))
-    shared = written(shared.distinct(), "line-marks")
-    left, right = (shared.select("key", F.col("lid").alias(x), F.col("h").alias(f"h{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
-    close = F.expr(apart("ha", "hb")) <= 2 * edits if edits <= 3 else F.lit(True)
-    pairs = left.where("own_a = 1").join(right, "key").where("a != b").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "line-pairs")
-    needed = written(pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct(), "line-ids")
-    known = _only(every, needed, "lid", needed.count())
-    texts = known.groupBy("lid").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.any_value("line").alias("line"))
-    texts = written(texts.select("lid", "at", "line"), "line-texts")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("at").alias("at_a"), F.split("line", "").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("at").alias("at_b"), F.split("line", "").alias("y")), "b")
-    close = both.where(f"abs(size(x) - size(y)) <= {edits}").where(F.expr(edit_distance("x", "y", edits)) <= edits)
-    later = close.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct().withColumn("near", F.lit(True))
-    return firsts.join(later, "lid", "left").select("lid", "len", "doc_id", "pos", "copies", F.coalesce("near", F.lit(False)).alias("near"))
-
-
-def kept_lines(judged: DataFrame) -> DataFrame:
-    """doc_id and kept, the places of the judged lines that stay: first occurrences without an earlier near line."""
-    return judged.where("not near").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
+    shared = written(_only(marks, met, ["key"]).distinct(), "line-marks")
+    # The lines that share a key, once each, with the histograms that leave out most pairs that are alike but for a word.
+    names = written(shared.select(*_NAME).distinct(), "line-names")
+    texts = _only(every, names, _NAME).groupBy(*_NAME).agg(F.any_value("line").alias("line"))
+    texts = written(texts.withColumn("h", F.expr(histogram("line"))), "line-texts")
+    pairs = _met(shared.join(texts.select(*_NAME, "h"), _NAME)).where(F.expr(apart("a.h", "b.h")) <= 2 * edits)
+    one, two = F.struct("a.lid", "a.more"), F.struct("b.lid", "b.more")
+    pairs = written(pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct().select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in _NAME]), "line-pairs")
+    at = lambda x: texts.join(firsts, _NAME).select(F.col("lid").alias(f"lid_{x}"), F.col("more").alias(f"more_{x}"), F.struct("doc_id", "row", "pos").alias(f"at_{x}"), F.split("line", "").alias(f"line_{x}"))
+    both = pairs.join(at("a"), ["lid_a", "more_a"]).join(at("b"), ["lid_b", "more_b"])
+    close = both.where(f"abs(size(line_a) - size(line_b)) <= {edits}").where(F.expr(edit_distance("line_a", "line_b", edits)) <= edits)
+    later = close.select(*[F.when(F.col("at_a") < F.col("at_b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c) for c in _NAME])
+    return firsts.join(later.distinct().withColumn("near", F.lit(True)), _NAME, "left").select(*_NAME, "len", "doc_id", "row", "pos", "copies", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """The documents, all columns, their texts without the repeated lines; a text of which nothing is left is empty.
 
-    Null texts stay null. The order of the lines stays, and so do empty lines; lines under
+    A line stays where it stands first (smallest id, null ids before all; of rows that share an id, in the order in which
+    they are read), unless an earlier line is near. Null texts stay null. The order of the lines stays, and so do empty lines; lines under
     min_chars go if they are exact copies and short is set, and stay otherwise.
     """
-    kept = kept_lines(judge(docs, edits, min_chars, doc, text, short)).select(F.col("doc_id").alias("__doc"), F.col("kept").alias("__places"))
-    both = docs.join(kept, F.col(doc).eqNullSafe(F.col("__doc")), "left").withColumn("__text", F.col(text).cast("string")).withColumn("__kept", F.coalesce("__places", F.array().cast("array<int>")))
-    rest = f"array_join(filter(split(__text, '\\n'), (line, i) -> length(line) < {1 if short else min_chars} or array_contains(__kept, i)), '\\n')"
-    return both.withColumn(text, F.expr(rest)).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, own = keyed(plain(docs)), names[docs.columns.index(text)]
+    judged = judge(rows, edits, min_chars, names[docs.columns.index(doc)], own, short)
+    kept = judged.where("not near").groupBy("row").agg(F.collect_set("pos").alias("places"))
+    # Texts are dealt out once, and not sorted: each task holds its part of the places.
+    both = rows.join(kept.hint("shuffle_hash"), "row", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    rest = f"array_join(filter(split(cast({own} as string), '\\n'), (line, i) -> length(line) < {1 if short else min_chars} or array_contains(places, i)), '\\n')"
+    return both.withColumn(own, F.expr(rest)).select(*names).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_long, n_copies, n_near, kept_chars of each document.
+    """doc_id, n_lines, n_long, n_copies, n_near, kept_chars of each row; rows that share an id are apart, as in dedup().
 
     n_long: lines of min_chars or more; n_copies: those that are not the first of their kind,
     with short also lines under min_chars that are not empty;
     n_near: firsts with an earlier near line; kept_chars: characters of the long lines that stay.
     """
-    judged = written(judge(docs, edits, min_chars, doc, text, short), "line-verdicts")
+    rows = keyed(docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")))
+    judged = written(judge(rows, edits, min_chars, short=short), "line-verdicts")
     # Only first occurrences can stay, and each stands in judged with its place.
-    stay = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("firsts"), F.count(F.when(F.col("near"), 1)).alias("n_near"), F.sum(F.when(~F.col("near") & (F.col("len") >= min_chars), F.col("len")).otherwise(0)).alias("kept_chars"))
-    sizes = docs.select(F.col(doc).alias("doc_id"), F.when(F.coalesce(F.col(text), F.lit("")) != "", F.split(F.col(text).cast("string"), "\n")).otherwise(F.array().cast("array<string>")).alias("all"))
-    sizes = sizes.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.expr(f"cast(size(filter(all, x -> length(x) >= {min_chars})) as long)").alias("n_long"), F.expr(f"cast(size(filter(all, x -> length(x) >= {1 if short else min_chars})) as long)").alias("n_judged"))
-    both = sizes.join(stay.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    stay = judged.groupBy("row").agg(F.count(F.lit(1)).alias("firsts"), F.count(F.when(F.col("near"), 1)).alias("n_near"), F.sum(F.when(~F.col("near") & (F.col("len") >= min_chars), F.col("len")).otherwise(0)).alias("kept_chars"))
+    sizes = rows.select("doc_id", "row", F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>")).alias("all"))
+    sizes = sizes.select("doc_id", "row", F.size("all").cast("long").alias("n_lines"), F.expr(f"cast(size(filter(all, x -> length(x) >= {min_chars})) as long)").alias("n_long"), F.expr(f"cast(size(filter(all, x -> length(x) >= {1 if short else min_chars})) as long)").alias("n_judged"))
+    both = sizes.join(stay, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return both.select("doc_id", "n_lines", "n_long", (F.col("n_judged") - zero("firsts")).alias("n_copies"), zero("n_near").alias("n_near"), zero("kept_chars").alias("kept_chars"))

@@ -27,22 +27,27 @@ from textloom.llm._spark import written
 
 CLASSES = 32
 #: Members of a class with weights of their own; one more stands for the rest.
-MEMBERS = 47
+MEMBERS = 39
 #: Branches of a node of a class's rest, four bits of the hash, and the deepest tree: its leaves, two million with all classes, are broadcast.
 BRANCHES = 16
 DEEPEST = 4
 #: Words of a leaf from which a tree is deeper.
-LEAF_WORDS = 64
+LEAF_WORDS = 1024
 PAIRS = (CLASSES + 1) ** 2
 BATCH = 8192
 RATE = 0.2
 ROUNDS = 2
+#: Tokens of a round that are planned for one task, and the tasks of a round at least: each sends a model of changes.
+TASK_TOKENS = 1 << 22
+LEAST_TASKS = 12
 #: Weight rows travel in packs of so many.
 PACK = 1024
+_SLOT_BITS = 18
 #: The most frequent tokens whose counts are broadcast (16 bytes each); all others' counts are joined.
 BROADCAST_TOKENS = 1 << 19
 END = U64(0xE0D0E0D0E0D0E0D0)
 _BEGIN = U64(0xB0B0B0B0B0B0B0B0)
+_SPREAD = U64(0xD6E8FEB86659FD93)
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[list(b".,;:!?")] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -104,7 +109,15 @@ class Model:
     def __init__(self, head: np.ndarray, head_cls: np.ndarray, head_n: np.ndarray, leaf_n: np.ndarray, leaf_v: np.ndarray, bits: int):
         self.head, self.bits = head, bits
         self.depth = round(np.log2(len(leaf_n) // CLASSES)) // 4
-        self.member = np.zeros(len(head), np.int64)
+        self.member = np.full(len(head) + 1, MEMBERS, np.int64)
+        self.head_n = head_n
+        # Heads by the first bits of their hashes: those of one slot stand in one table after the other.
+        self.known = np.append(head, U64(0))
+        slot = (head >> U64(64 - _SLOT_BITS)).astype(np.int64)
+        turn = np.arange(len(head)) - np.searchsorted(slot, slot)
+        self.slots = [np.full(1 << _SLOT_BITS, len(head), np.int32) for _ in range(int(turn.max(initial=0)) + 1)]
+        for k, table in enumerate(self.slots):
+            table[slot[turn == k]] = np.flatnonzero(turn == k)
         self.leaf = leaf_n + 0.1 * (leaf_v + 1)
         masses = [self.leaf]  # of the nodes, level by level, from the leaves up
         for _ in range(self.depth):
@@ -129,14 +142,19 @@ class Model:
         for level in range(self.depth):
             self.tables.append((np.log(masses[level + 1].reshape(-1, BRANCHES)) - np.log(masses[level])[:, None]).astype(np.float32))
 
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each token among the heads; the number of heads for all other words."""
+        slot = (hashes >> U64(64 - _SLOT_BITS)).astype(np.int64)
+        out = self.slots[0].take(slot)
+        for more in self.slots[1:]:
+            again = np.flatnonzero(self.known.take(out) != hashes)
+            out[again] = more.take(slot[again])
+        out[self.known.take(out) != hashes] = len(self.head)
+        return out
+
     def members(self, hashes: np.ndarray) -> np.ndarray:
         """The member of each token in its class; the last stands for all other words."""
-        out = np.full(len(hashes), MEMBERS, np.int64)
-        if len(self.head):
-            at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-            same = self.head[at] == hashes
-            out[same] = self.member[at[same]]
-        return out
+        return self.member.take(self.places(hashes))
 
     def leaves(self, hashes: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """The leaf of each token, were it of the rest."""
@@ -157,11 +175,13 @@ class Softmaxes:
     def __init__(self, model: Model, t: Tokens):
         w1, w2 = t.before(t.hash, 1, _BEGIN), t.before(t.hash, 2, _BEGIN)
         c1, c2, c3, c4 = (t.before(t.cls, k, CLASSES) for k in (1, 2, 3, 4))
-        row = lambda x, extra=0: (mix(x) & U64((1 << model.bits + extra) - 1)).astype(np.int64)
+        # Hashes go in, so that a product's first bits are as good as any.
+        row = lambda x, extra=0: ((x * _SPREAD) >> U64(64 - model.bits - extra)).astype(np.int64)
         own, third = w1 + t.cls.astype(U64) * U64(0x9E3779B97F4A7C15), w1 * U64(3) + w2
-        of_class = [(0, row(w1)), (1, row(w2 + U64(1))), (2, row(third)), (3, c1 * (CLASSES + 1) + c2), (4, c3 * (CLASSES + 1) + c4)]
+        of_class = [(0, row(w1)), (1, row(w2)), (2, row(third)), (3, c1 * (CLASSES + 1) + c2), (4, c3 * (CLASSES + 1) + c4)]
         of_member = [(5, row(own, 1)), (6, t.cls * (CLASSES + 1) + c1), (7, t.cls * (CLASSES + 1) + c2)]
-        self.member = model.members(t.hash)
+        self.place = model.places(t.hash)
+        self.member = model.member.take(self.place)
         self.parts: list[tuple[list[Feature], np.ndarray, np.ndarray | None]] = [(of_class, t.cls, None), (of_member, self.member, None)]
         self.rest = np.flatnonzero(self.member == MEMBERS)
         self.leaf = model.leaves(t.hash[self.rest], t.cls[self.rest])
@@ -246,22 +266,23 @@ class Trainer:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """token, cls, n of the tokens of a partition; folded whenever many are held."""
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        token, first, n = np.unique(rows["h"], return_index=True, return_counts=True)
+        token, cls = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(rows["c"][first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["token", "cls", "n"])
+        order = np.argsort(token)
+        token = token[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.append(first, len(token)))
+        return pa.RecordBatch.from_arrays([pa.array(token[first].view(np.int64)), pa.array(cls[order[first]].astype(np.int32)), pa.array(n)], names=["token", "cls", "n"])
 
     for batch in batches:
         for _, _, data, offs in slices(batch.column(0)):
             t = Tokens(data, offs)
-            rows = np.empty(len(t.hash), dtype=[("h", U64), ("c", np.uint8)])
-            rows["h"], rows["c"] = t.hash, t.cls
-            held.append(rows)
-            size += len(rows)
+            held.append((t.hash, t.cls.astype(np.uint8)))
+            size += len(t.hash)
             if size >= 6_000_000:
                 yield flush()
                 size = 0
@@ -351,18 +372,19 @@ def _score(shared, lookup, base_total: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = shared.value, lookup.value
-        log_leaf = np.log10(model.leaf)
+        log_leaf, log_head = np.log10(model.leaf), np.append(np.log10(model.head_n + 0.1), 0.0)
         next_row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
                 t = Tokens(data, offs)
-                n = counts.find(t.hash)
-                known = n > 0
-                # log10(count + 0.1) of the tokens that are not in the lookup is added by the join.
-                share = np.where(known, np.log10(n + 0.1), 0.0)
                 score, s = log_probabilities(model, t)
+                # log10(count + 0.1) of the tokens that are not in the lookup is added by the join.
+                n = counts.find(t.hash[s.rest])
+                own = np.where(n > 0, np.log10(n + 0.1), 0.0)
+                share, known = log_head.take(s.place), np.ones(len(score), dtype=bool)
+                share[s.rest], known[s.rest] = own, n > 0
                 score /= np.log(10)
-                score[s.rest] += share[s.rest] - log_leaf[s.leaf]
+                score[s.rest] += own - log_leaf[s.leaf]
                 sums = [np.add.reduceat(x, t.bounds[:-1]) for x in (share - log_base, score, known.astype(np.int64))]
                 rare = []
                 unknown = np.flatnonzero(~known)
@@ -412,11 +434,12 @@ def train(texts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[M
     order = np.argsort(token.view(U64))
     model = Model(token.view(U64)[order], cls[order], n[order], leaf_n, leaf_v, bits_for(distinct))
     width = {k: x.shape[1] for k, x in enumerate(model.tables)}
+    tasks = max(LEAST_TASKS, -(-total // (rounds * TASK_TOKENS)))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        steps = texts.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(rounds)) == r).select("text").mapInArrow(_round(shared, rate), _PACKS)
+        steps = texts.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(rounds)) == r).select("text").coalesce(tasks).mapInArrow(_round(shared, rate), _PACKS)
         for x in steps.repartition("part", "pack").mapInArrow(_average(width), _PACKS).toLocalIterator():  # the model's rows
-            rows = x["pack"] * PACK + np.frombuffer(x["rows"], np.int16)
+            rows = x["pack"] * PACK + np.frombuffer(x["rows"], np.int16).astype(np.int64)
             model.tables[x["part"]][rows] += np.frombuffer(x["weights"], np.float32).reshape(len(rows), -1)
         shared.unpersist()
     return model, counts, lookup, total, distinct, least
