@@ -116,9 +116,10 @@ def components(docs):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("most", [20, 0])
-def test_ngram_join_is_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "square"), [(20, 1024), (0, 3)])
+def test_ngram_join_is_brute_force(spark, monkeypatch, most, square):
     monkeypatch.setattr(ngram_join, "MOST_COMBINED", most)
+    monkeypatch.setattr(ngram_join, "SQUARE", square)
     docs = corpus(5, 160)
     profile, _, classes = ngram_join.join(frame(spark, docs))
     got = {r[0]: (r[1], r[2]) for r in ngram_join.labelled(profile, classes).collect()}
@@ -138,6 +139,17 @@ def test_texts_without_an_id_link_others(spark):
     assert {r["component_id"] for r in ngram_join.labelled(alone[0], alone[2]).collect()} == {7, 9}
 
 
+def test_ngram_join_of_rows_that_share_an_id(spark):
+    w = " ".join(f"w{i}" for i in range(60))
+    rows = [(-5, w), (-5, w + " more"), (-(1 << 62), "a b c d e f g"), (4, w), (4, "other words than these all the time"), (4, None), (9, ""), (None, "lone text without any id at all")]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, key int, n int, component int")
+    profile, _, classes = ngram_join.join(docs)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.labelled(profile, classes).collect())
+    assert got == sorted([("-5", 56, "-5"), ("-5", 57, "-5"), (str(-(1 << 62)), 3, str(-(1 << 62))), ("4", 56, "-5"), ("4", 3, "4"), ("4", 0, "4"), ("9", 0, "9"), ("None", 3, "None")])
+    out = ngram_join.distinct(docs)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {-5, -(1 << 62), 9, None}
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, ngram_join.components(links).collect()))

@@ -6,7 +6,7 @@ share at least k shingles among the first n - ceil(t n) + k of one and the like
 With k = 2, either one of the shared shingles is rare, and found by itself, or two are
 frequent, and found as a pair. So prefixes are extended by one shingle; rare shingles are
 indexed singly, frequent ones in pairs. Every pair of sets that meets in the index is then
-verified, save pairs already known to be in one component: the join is asked for components
+verified by the hashes of all its shingles, save pairs already known to be in one component: the join is asked for components
 and loses no link between them.
 
 Sets that are equal are one class from the start; all work below is on classes. The key of a
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm._bytes import PLAIN, U64, Words, mix, shingles, slices
+from textloom.llm._bytes import PLAIN, U64, Words, mix, release, shingles, slices
 from textloom.llm._spark import written
 
 WIDTH = 5
@@ -31,10 +31,13 @@ THRESHOLD = (75, 100)
 #: Counters of the frequency sketch: 8 bits of class for each, so 8 MB are broadcast at most.
 SKETCH_BITS = 23
 SEGMENTS = 64
-#: A set with more frequent shingles than this in its prefix indexes them singly, not in pairs.
+#: A set with more frequent shingles than this in its prefix, whose pairs would be more than 190, indexes them singly; it is then
+#: asked for by the lists of single ones, so that no link is lost.
 MOST_COMBINED = 20
+#: Members of a list that meet in one block; longer lists are dealt out in pairs of blocks.
+SQUARE = 1024
 #: Index entries for which one reducer partition is planned.
-SEGMENT_ENTRIES = 1_500_000
+SEGMENT_ENTRIES = 500_000
 #: Bits of the filter by which a pass over the texts finds the sets to verify: 4 MB, broadcast.
 FILTER_BITS = 25
 #: Entries of one packed row, about 10 bytes each: large rows burden the executors' heaps.
@@ -223,7 +226,7 @@ def _postings(threshold: tuple[int, int]):
 
     def segment(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         sig = np.concatenate([np.frombuffer(r["sigs"], U64) for r in rows])
-        base = np.cumsum([0, *(len(r["keys"]) // 8 for r in rows)])
+        base = np.cumsum([0, *(r["keys"].size // 8 for r in rows)])
         owner = np.concatenate([np.frombuffer(r["owners"], np.uint16).astype(np.int64) + b for r, b in zip(rows, base, strict=False)])
         keys = np.concatenate([np.frombuffer(r["keys"], U64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
@@ -275,10 +278,12 @@ def _postings(threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault(r["segment"], []).append(r)
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i, s in enumerate(columns.pop("segment").to_pylist()):
+                held.setdefault(s, []).append({name: c[i].as_buffer() for name, c in columns.items()})
         for s in list(held):
             yield from segment(held.pop(s))
+            release()
 
     return run
 
@@ -318,19 +323,12 @@ def _fetch(packed: bytes, width: int):
                 for d in np.flatnonzero(none[first:end] & wanted).tolist():
                     wanted[d] = int(keys[d]) not in known
                     known.add(int(keys[d]))
-                # 48 bits are enough to tell the shingles of two sets apart; they are sorted again.
-                blobs = [np.sort(mix(token[bounds[d] : bounds[d + 1]]) >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for d in np.flatnonzero(wanted).tolist()]
+                blobs = [token[bounds[d] : bounds[d + 1]].tobytes() for d in np.flatnonzero(wanted).tolist()]
                 yield pa.RecordBatch.from_arrays([chosen.column(0).slice(first, end - first).filter(pa.array(wanted)), pa.array(keys.view(np.int64)[wanted]), pa.array(blobs, pa.binary())], names=["doc_id", "key", "set"])
 
     return run
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(U64).ravel()
-
-
 def _linked(threshold: tuple[int, int]):
     p, q = threshold
 
@@ -341,8 +339,8 @@ def _linked(threshold: tuple[int, int]):
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x = x.as_py()
                 if x is not last:
-                    last, left = x, _unpack(x)
-                right = _unpack(y.as_py())
+                    last, left = x, np.frombuffer(x, U64)
+                right = np.frombuffer(y.as_buffer(), U64)
                 shared = len(left) + len(right) - len(np.union1d(left, right))
                 good[i] = shared * q >= p * (len(left) + len(right) - shared)
             yield batch.select([0, 1]).filter(pa.array(good))
@@ -351,12 +349,12 @@ def _linked(threshold: tuple[int, int]):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of the nodes of links (a, b), a < b, by alternating large and small stars.
+    """node, component (its smallest node) of the nodes of links (a, b), by alternating large and small stars.
 
     Each round is two aggregations and joins of the size of the links and is written to the
     shared folder; no round brings links to the driver.
     """
-    edges = written(links.select("a", "b").distinct(), "edges")
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -398,10 +396,11 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     tried = met.where("a is not null").select("a", "b").distinct()
     tried = written(tried, "tried")
     links = written(_verify(spark, source, profile, tried, width, threshold), "links")
+    nodes = written(_nodes(profile), "nodes")
     # What is left of the longer lists: pairs whose classes are not in one component yet.
     lists = met.where("list is not null").groupBy("list", "kind", "key", "n", "single").agg(F.max("reach").alias("reach"))
-    found = components(links)
-    placed = lists.join(found, lists["key"] == found["node"], "left").select("list", "kind", "key", "n", "single", "reach", F.coalesce("component", "key").alias("c"))
+    found = _classed(nodes, links)
+    placed = lists.join(found, "key", "left").select("list", "kind", "key", "n", "single", "reach", F.coalesce(F.col("component"), _moved("key", -(1 << 65))).alias("c"))
     # Only lists over several components; their largest component's inner pairs need no look.
     # A list of a frequent shingle alone is asked only for the sets that do not index it in pairs.
     spread = placed.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("kind").alias("k"), F.max("single").alias("s")).where("low < high and (k = 0 or s)").select("list")
@@ -414,12 +413,39 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     y = open_.select("list", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("c").alias("cy"), "first", F.col("single").alias("sy"))
     p, q = threshold
     meets = f"cx != cy and (not first or x < y) and (kind = 0 or sx or sy) and least(nx, ny) * {q} >= greatest(nx, ny) * {p} and least(rx, ry) * {p + q} >= (nx + ny) * {p}"
-    rest = x.join(y, "list").where(meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Long lists: each block of one side meets each block of the other by itself.
+    blocks = open_.groupBy("list").agg(F.ceil(F.count(F.when(F.col("first"), 1)) / SQUARE).cast("int").alias("bx"), F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("by"))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = x.join(blocks, "list").withColumn("i", F.pmod(F.xxhash64("x"), F.col("bx")).cast("int")).select("*", span("by").alias("j")).drop("bx", "by")
+    y = y.join(blocks.where("bx > 0"), "list").withColumn("j", F.pmod(F.xxhash64("y"), F.col("by")).cast("int")).select("*", span("bx").alias("i")).drop("bx", "by")
+    rest = x.join(y, ["list", "i", "j"]).where(meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = written(links.unionByName(_verify(spark, source, profile, rest, width, threshold)), "links")
-        found = components(links)
-    return profile.drop("parity"), links, found.select(F.col("node").alias("key"), "component")
+        found = _classed(nodes, links)
+    return profile.drop("parity"), links, found
+
+
+def _moved(value: str, by: int) -> F.Column:
+    """A long moved by a constant, as a decimal."""
+    return F.expr(f"cast(cast({value} as decimal(20,0)) + cast('{by}' as decimal(20,0)) as decimal(20,0))")
+
+
+#: Nodes from here on are classes none of whose rows has an id, by their keys: they stand behind all ids.
+_UNNAMED = 1 << 63
+
+
+def _nodes(profile: DataFrame) -> DataFrame:
+    """key, node of each class: its smallest id, so that a component's smallest node is what its rows are named by."""
+    firsts = profile.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    return firsts.select("key", F.coalesce(F.col("first").cast("decimal(20,0)"), _moved("key", 2 * _UNNAMED)).alias("node"))
+
+
+def _classed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """key, component of the classes of links between keys."""
+    ends = lambda x: nodes.select(F.col("key").alias(x), F.col("node").alias(f"node_{x}"))
+    named = links.select("a", "b").join(ends("a"), "a").join(ends("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return nodes.join(components(named), "node").select("key", "component")
 
 
 def _verify(spark, source: DataFrame, profile: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
@@ -450,11 +476,10 @@ def _verify(spark, source: DataFrame, profile: DataFrame, pairs: DataFrame, widt
 
 
 def labelled(profile: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: the smallest id reachable by links; without words, the row's own."""
-    firsts = profile.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    tied = firsts.join(classes, "key", "left").select("key", "first", F.coalesce("component", "key").alias("c"))
-    low = tied.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = tied.join(low, "c").select("key", "component_id")
+    """doc_id, n_shingles, component_id of each row: the smallest id reachable by links; without words, the row's own, and null if no text of the component has an id."""
+    # A component is named by its smallest id from the start: no component's rows have to meet.
+    named = _nodes(profile).join(classes, "key", "left").select("key", F.coalesce("component", "node").alias("c"))
+    named = named.select("key", F.when(F.expr(f"c < cast('{_UNNAMED}' as decimal(20,0))"), F.col("c").cast("long")).alias("component_id"))
     return profile.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
