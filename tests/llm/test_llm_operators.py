@@ -421,10 +421,75 @@ def test_classifiers_learn_and_stand_empty(spark):
     q = quality.fit(df, labels)
     assert quality.predict(df, q).join(labels, "doc_id").where("predicted != quality").count() == 0
     assert quality.keep(df, q).count() == labels.where("quality = 1").count()
+    odd = spark.createDataFrame([(1, "beta gamma", "p", 1), (1, "beta gamma", "p", 1), (1, "tres uno", "p", 1), (None, "beta", "p", 1), (2, None, "p", 1)], "doc_id long, text string, p string, key int")
+    assert sorted(r["lang_pred"] for r in language_id.predict(odd, model).collect()) == ["und", "xx", "xx", "xx", "yy"]
+    assert sorted(r["predicted"] for r in quality.predict(odd.where("text is not null"), q).collect()) == [0, 1, 1, 1] and quality.keep(odd.where("text is not null"), q).columns == odd.columns
     assert language_id.fit(df.limit(0)) is None and quality.fit(df, labels.limit(0)) is None
     assert language_id.predict(df, None).where("lang_pred = 'und'").count() == 120
 
 
+#: Sentences of languages that the model learns, and of others.
+SENTENCES = {
+    "en": "the house by the river was old and the people who lived there knew every stone of it and would not leave",
+    "de": "das haus am fluss war alt und die leute die dort wohnten kannten jeden stein und wollten nicht fort von hier",
+    "es": "la casa junto al rio era vieja y la gente que vivia en ella conocia cada piedra y no queria marcharse nunca",
+}
+
+
+def _language_rows(n=360):
+    rnd = random.Random(12)
+    for i in range(n):
+        lang = rnd.choice(list(SENTENCES))
+        w = SENTENCES[lang].split()
+        yield i, " ".join(rnd.choice(w) for _ in range(rnd.randrange(6, 40))), lang, None, None
+
+
+def test_language_scores_can_be_used(spark):
+    """Learned languages are told with scores short of certainty; shuffled letters and other languages are rejected."""
+    model = language_id.fit(spark.createDataFrame(list(_language_rows()), DOCS))
+    shuffled = "ehtu sohe yb ehrti vrei saw dlo dna eht lppeoe ohw vdiel hreet wnke yvere tnseo fo ti dna dulow ton aevel"
+    polish = "dom nad rzeka byl stary a ludzie ktorzy tam mieszkali znali kazdy kamien i nigdy nie chcieli odejsc stad"
+    texts = [*SENTENCES.values(), shuffled, polish, "qwx zkv jjq xxz vvk qqj zzx kkw", SENTENCES["en"] * 400]
+    got = language_id.predict(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got[:3]] == list(SENTENCES) and not any(r["rejected"] for r in got[:3])
+    assert all(0.8 < r["score"] < 0.9999 for r in got[:3]) and all(r["rejected"] and r["score"] < 0.8 for r in got[3:6])
+    assert got[6]["lang_pred"] == "en" and not got[6]["rejected"]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 400)
+    rnd = random.Random(5)
+    words = {f"l{k:02d}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(25)}
+    rows = [(i, " ".join(rnd.choice(words[k]) for _ in range(12)), k, None, None) for i, k in enumerate([*words] * 30)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(df, epochs=20)
+    assert model.weight is not None and model.labels == sorted(words)
+    got = language_id.predict(df, model).join(df.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang = lang_pred").count() > 0.95 * len(rows)
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    """Pieces and parts of sums give what the whole text gives but for the n-grams across cuts."""
+    from textloom.llm import _subword
+
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 9))) for _ in range(4000)).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    features = _subword.Features(gram_bits=10, word_bits=10)
+    model = _subword.Model(features, ["a", "b"], np.random.Generator(np.random.PCG64(1)).normal(size=(features.size, 2)).astype(np.float32), np.zeros(2))
+    whole, counts = model.probabilities(data, offs), _subword.extract(features, data, offs)[0]
+    monkeypatch.setattr(_subword, "PIECE", 3000)
+    monkeypatch.setattr(_subword, "_SUMS", 16)
+    assert b"".join(d.tobytes() for d, _ in _subword.pieces(data, offs)) == text
+    for d, _ in _subword.pieces(data, offs):
+        d.tobytes().decode()
+    assert np.abs(model.probabilities(data, offs) - whole).max() < 0.01
+    again = _subword.extract(features, data, offs)[0]
+    assert 0 <= counts[1].sum() - again[1].sum() < 200
+    lone = np.frombuffer("é".encode() * 5000, np.uint8)
+    assert all(d.tobytes().decode() for d, _ in _subword.pieces(lone, np.array([0, len(lone)])))
+
+
 @pytest.mark.parametrize("leaf_words", [1024, 1])
 def test_language_model_is_brute_force(spark, monkeypatch, leaf_words):
     """Counts and base scores against the definition, scores against the model's own probabilities and counts, with tokens that meet their counts by a join."""

@@ -1,7 +1,8 @@
 """Supervised subword embeddings in numpy: hashed n-gram vectors, averaged per text, with a linear softmax.
 
 Used for language identification and for the quality classifier. Training takes a bounded
-sample of labelled rows; scoring runs over whole texts in array operations.
+sample of labelled rows; scoring runs over whole texts in array operations. A text of more than
+PIECE bytes is taken in pieces, cut behind a blank where there is one; only the few n-grams across a cut are left out.
 """
 
 from __future__ import annotations
@@ -17,6 +18,28 @@ from pyspark.sql import DataFrame
 from textloom.llm._bytes import PLAIN, Words, mix, release, slices
 
 _MULT = np.uint32(0x9E3779B1)
+#: Bytes of a text that are taken at once, and sums of n-grams times labels.
+PIECE = 1 << 22
+_SUMS = 1 << 20
+
+
+def pieces(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of a slice of texts, or of a long text's pieces."""
+    if len(data) <= PIECE or len(offs) > 2:
+        yield data, offs
+        return
+    at = 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        if end < len(data):
+            blank = np.flatnonzero(~PLAIN[data[at + PIECE // 2 : end]])
+            if len(blank):
+                end = at + PIECE // 2 + int(blank[-1]) + 1
+            else:
+                while data[end] & 0xC0 == 0x80:  # not within a character
+                    end -= 1
+        yield data[at:end], np.array([0, end - at])
+        at = end
 
 
 @dataclass(frozen=True)
@@ -64,14 +87,22 @@ class Features:
 
 
 def _sums(table: np.ndarray, bucket: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sums of table rows over each text's n-grams."""
-    total = np.zeros((len(bucket) + 1, table.shape[1]))
-    np.cumsum(table[bucket], axis=0, out=total[1:], dtype=np.float64)
-    return total[np.minimum(end, len(bucket))] - total[np.minimum(first, len(bucket))]
+    """Sums of table rows over each text's n-grams, in parts of bounded size."""
+    out, step = np.zeros((len(first), table.shape[1])), max(4096, _SUMS // table.shape[1])
+    for a in range(0, len(bucket), step):
+        b = min(a + step, len(bucket))
+        total = np.zeros((b - a + 1, table.shape[1]))
+        np.cumsum(table[bucket[a:b]], axis=0, out=total[1:], dtype=np.float64)
+        out += total[np.clip(end, a, b) - a] - total[np.clip(first, a, b) - a]
+    return out
 
 
 def extract(features: Features, data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct buckets in order, how often each is met) of each text; without n-grams, empty."""
+    if len(data) > PIECE and len(offs) == 2:
+        parts = [extract(features, d, o)[0] for d, o in pieces(data, offs)]
+        ids, at = np.unique(np.concatenate([i for i, _ in parts]), return_inverse=True)
+        return [(ids, np.bincount(at, np.concatenate([n for _, n in parts]), len(ids)).astype(np.int32))]
     parts = list(features.streams(data, offs))
     out = []
     for d in range(len(offs) - 1):
@@ -81,22 +112,42 @@ def extract(features: Features, data: np.ndarray, offs: np.ndarray) -> list[tupl
     return out
 
 
+def shuffled(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The texts with the bytes of their words in another order, drawn from the text itself: what no language looks like."""
+    out = data.copy()
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        own = data[a:b]
+        letters = np.flatnonzero(PLAIN[own])
+        rng = np.random.Generator(np.random.PCG64(zlib.crc32(own.tobytes())))
+        out[a + letters] = own[rng.permutation(letters)]
+    return out
+
+
 @dataclass
 class Model:
+    """Logits of each bucket, one column a label; or vectors, and the weights that make logits of their average, where labels are more than dimensions.
+
+    With `other` there is one more class behind the labels: texts that are none of them.
+    """
+
     features: Features
     labels: list
-    table: np.ndarray  # logits of each bucket, one column a label
+    table: np.ndarray
     bias: np.ndarray
+    weight: np.ndarray | None = None
+    other: bool = False
     temperature: float = 1.0
     reject_below: float = 0.0
     report: dict = field(default_factory=dict)
 
     def probabilities(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        total, n = np.zeros((len(offs) - 1, len(self.labels))), np.zeros(len(offs) - 1)
-        for bucket, first, end in self.features.streams(data, offs):
-            total += _sums(self.table, bucket, first, end)
-            n += end - first
-        return softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
+        total, n = np.zeros((len(offs) - 1, self.table.shape[1])), np.zeros(len(offs) - 1)
+        for own, bounds in pieces(data, offs):
+            for bucket, first, end in self.features.streams(own, bounds):
+                total += _sums(self.table, bucket, first, end)
+                n += end - first
+        total /= np.maximum(n, 1)[:, None]
+        return softmax(((total if self.weight is None else total @ self.weight) + self.bias) / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -107,11 +158,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def train(features: Features, rows: list[tuple[np.ndarray, np.ndarray, int]], labels: list, dim: int = 8, epochs: int = 6, rate: float = 0.15, seed: int = 7, hold: int = 5, reject_error: float = 0.02) -> Model:
     """Stochastic gradient descent with per-bucket step sizes; every `hold`-th row is kept for calibration.
 
-    The temperature minimises the held rows' negative log-likelihood; rows under
-    reject_below are those beyond which at most reject_error of the held rows are wrong.
+    A row's label is its place in labels, or len(labels) for a text that is none of them; if there
+    are such rows, n-grams that no row has speak for that class. The temperature minimises the held rows' negative
+    log-likelihood, their targets smoothed by one row in as many as are held, so that a classifier
+    without errors does not become certain. Rows under reject_below are rejected: it lies midway between the
+    scores of texts that are none of the labels and those of the rows that are told rightly, all but a share of reject_error of
+    each; where these overlap, or there are no such texts, at most so many rows over it are wrong or none.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
-    k = len(labels)
+    other = any(r[2] == len(labels) for r in rows)
+    k = len(labels) + other
     vectors = np.empty((features.size, dim), np.float32)
     for at in range(0, features.size, 1 << 16):  # drawn in parts: double precision is twice the size
         vectors[at : at + (1 << 16)] = rng.normal(0, 0.1, (min(1 << 16, features.size - at), dim))
@@ -136,33 +192,62 @@ def train(features: Features, rows: list[tuple[np.ndarray, np.ndarray, int]], la
             if len(ids):
                 seen_v[ids] += share**2 * float(back @ back)
                 vectors[ids] = own - (step * share / np.sqrt(seen_v[ids]))[:, None] * back
-    table = (vectors @ weight.T).astype(np.float32)
-    logits = np.array([(r[1] @ table[r[0]] if len(r[0]) else np.zeros(k)) + bias for r in held]).reshape(len(held), k)
+    if other:
+        # The last class's logit of a bucket that was never met: as large as those of the buckets that speak for it.
+        met = np.zeros(features.size, dtype=bool)
+        for ids, _, _ in fit:
+            met[ids] = True
+        own = vectors[met] @ weight.T
+        lead = own[:, -1] - own[:, :-1].max(axis=1)
+        push = weight[-1] - weight[:-1].mean(axis=0)
+        vectors[~met] = push * (np.median(lead[lead > 0]) if (lead > 0).any() else 0.0) / max(float(push @ push), 1e-9)
+    model = Model(features, labels, (vectors @ weight.T).astype(np.float32), bias, None, other) if k <= dim else Model(features, labels, vectors, bias, np.ascontiguousarray(weight.T), other)
+    sums = np.array([r[1] @ model.table[r[0]] if len(r[0]) else np.zeros(model.table.shape[1]) for r in held]).reshape(len(held), -1)
+    logits = (sums if model.weight is None else sums @ model.weight) + bias
     y = np.array([r[2] for r in held], dtype=np.int64)
     at = np.arange(len(y))
-    loss = {t: -np.log(np.maximum(softmax(logits / t)[at, y], 1e-12)).mean() for t in np.geomspace(0.05, 20, 61)} if len(y) else {1.0: 0.0}
-    temperature = min(loss, key=loss.get)
-    model = Model(features, labels, table, bias, float(temperature))
     if len(y):
-        p = softmax(logits / temperature)
+        target = np.full((len(y), k), 1 / (len(y) + 2) / max(k - 1, 1))
+        target[at, y] = 1 - (1 / (len(y) + 2) if k > 1 else 0.0)
+        loss = {t: -(target * np.log(np.maximum(softmax(logits / t), 1e-30))).sum(axis=1).mean() for t in np.geomspace(0.02, 20, 121)}
+        model.temperature = float(min(loss, key=loss.get))
+        p = softmax(logits / model.temperature)[:, : len(labels)]
         order = np.argsort(-p.max(axis=1), kind="stable")
         wrong_share = np.cumsum(p.argmax(axis=1)[order] != y[order]) / (at + 1)
         good = np.flatnonzero(wrong_share <= reject_error)
         model.reject_below = float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0
-        model.report = {"held": len(y), "accuracy": float((p.argmax(axis=1) == y).mean()), "loss": float(loss[temperature])}
+        real, top = y < len(labels), p.max(axis=1)
+        right = real & (p.argmax(axis=1) == y)
+        if right.any() and not real.all():
+            low, high = np.quantile(top[right], reject_error), np.quantile(top[~real], 1 - reject_error)
+            if high < low:
+                model.reject_below = float(low + high) / 2
+        model.report = {"held": len(y), "accuracy": float((p.argmax(axis=1) == y)[real].mean()) if real.any() else 1.0, "loss": float(loss[model.temperature]), "temperature": model.temperature}
     return model
 
 
-def gather(sample: DataFrame, features: Features) -> list[tuple[np.ndarray, np.ndarray, object]]:
+#: Of the sampled rows one in so many is shown a second time, shuffled.
+SHUFFLED = 4
+
+
+def gather(sample: DataFrame, features: Features, other: bool = False) -> list[tuple[np.ndarray, np.ndarray, object]]:
     """(buckets, weights that sum to 1, label) of a bounded sample (key, text, label), taken on the executors, ordered by key.
 
-    Buckets travel as compressed differences and counts, a quarter of their size as arrays.
+    other: some texts come again with their letters shuffled and no label. Buckets travel as
+    compressed differences and counts, a quarter of their size as arrays.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(keys: pa.Array, labels: pa.Array, got: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, labels, pa.array([zlib.compress(np.diff(i, prepend=np.int32(0)).tobytes() + n.tobytes(), 1) for i, n in got], pa.binary())], names=["key", "label", "features"])
+
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
-                got = extract(features, data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array([zlib.compress(np.diff(i, prepend=np.int32(0)).tobytes() + n.tobytes(), 1) for i, n in got], pa.binary())], names=["key", "label", "features"])
+                keys, labels = (batch.column(i).slice(first, end - first) for i in (0, 2))
+                yield packed(keys, labels, extract(features, data, offs))
+                if other:
+                    again = [d for d in range(end - first) if zlib.crc32(data[offs[d] : offs[d + 1]].tobytes()) % SHUFFLED == 0 and offs[d + 1] > offs[d]]
+                    got = [extract(features, shuffled(data[offs[d] : offs[d + 1]], np.array([0, offs[d + 1] - offs[d]])), np.array([0, offs[d + 1] - offs[d]]))[0] for d in again]
+                    yield packed(keys.take(pa.array(again, pa.int64())), pa.nulls(len(again), labels.type), got)
 
     kind = dict(sample.dtypes)["label"]
     rows = sample.select("key", "text", "label").mapInArrow(run, f"key long, label {kind}, features binary").collect()
@@ -178,7 +263,7 @@ def gather(sample: DataFrame, features: Features) -> list[tuple[np.ndarray, np.n
 
 
 def score(docs: DataFrame, model: Model, keep_null: bool = False) -> DataFrame:
-    """doc_id and p, the probabilities in the order of model.labels, of rows (doc_id, text).
+    """doc_id and p, the probabilities in the order of model.labels (and behind them that of none), of rows (doc_id, text).
 
     A null text is scored as an empty one, or with keep_null has a null p.
     """

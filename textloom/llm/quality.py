@@ -14,13 +14,13 @@ ROWS_PER_LABEL = 1200
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = ROWS_PER_LABEL, doc: str = "doc_id", text: str = "text", quality: str = "quality", features: _subword.Features = FEATURES, **options) -> _subword.Model | None:
-    """A model of the labels 0 and 1; None without labelled rows. Repeated labels of one document count as their largest."""
+    """A model of the labels 0 and 1; None without labelled rows. Repeated labels of one document count as their largest; documents that share an id all have its label."""
     known = labels.where(f"{quality} is not null and {doc} is not null").groupBy(F.col(doc).alias("key")).agg((F.max(quality) >= 1).cast("int").cast("string").alias("label"))
     counts = [tuple(r) for r in known.groupBy("label").count().orderBy("label").collect()]
     if not counts:
         return None
     # The sample of ids is bounded, so that it may be broadcast; texts are read once and not shuffled.
-    ids = bounded_sample(known.withColumn("text", F.lit(None).cast("string")), per_label, counts).select("key", "label")
+    ids = bounded_sample(known.withColumn("text", F.lit(None).cast("string")), per_label).select("key", "label")
     rows = docs.select(F.col(doc).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key")
     got = _subword.gather(rows, features)
     share = dict(counts)
@@ -43,7 +43,7 @@ def _log(x: float) -> float:
 
 
 def predict(docs: DataFrame, model: _subword.Model | None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score (probability of label 1) and predicted of each row; a null text is scored as empty. Without a model the score is 1."""
+    """doc_id, score (probability of label 1) and predicted of each row; a null text is scored as empty. Without a model the score is 1. Each row is scored by itself."""
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
