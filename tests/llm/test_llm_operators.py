@@ -244,6 +244,34 @@ def test_url_rules(spark):
     assert got[4][:2] == ("w.org", "/fr/x") and got[7][:2] == ("", "") and got[1][3] == "allow"
 
 
+def test_many_url_rules_are_joined(spark, monkeypatch):
+    """Rules beyond what is broadcast give what the trie gives, and both what the definition says."""
+    rnd = random.Random(7)
+    hosts = ["net", "example.net", "a.example.net", "org", "w.org", "", "x.", "EXAMPLE.com"]
+    rules = [(rnd.choice(["allow", "block"]), rnd.choice(hosts) + rnd.choice(["", "/", "/a", "/a/", "/a/b", "/ab", "/b/c/d"])) for _ in range(40)]
+    urls = [rnd.choice(["http://", "https://", "", "x://"]) + rnd.choice([*hosts, "b.a.example.net", "other.com", "notexample.net"]) + rnd.choice(["", "/", "/a/b/c", "/ab", "/abc?x=/a", "/b/c/de#f", "?q/a"]) for _ in range(200)] + [None, "", "http://"]
+    pages = spark.createDataFrame([(i % 180, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
+    by_trie = sorted(map(str, url_filter.judge(pages, rules, "none").collect()))
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 3)
+    got = url_filter.judge(pages, rules, "none").collect()
+    assert sorted(map(str, got)) == by_trie and len(got) == len(urls)
+    for r in got:
+        fits = []
+        for verdict, rule in rules:
+            host, slash, rest = rule.partition("/")
+            host, path = low(host), slash + rest
+            if (r["host"] == host or r["host"].endswith("." + host)) and r["path"].startswith(path):
+                fits.append((-len(host.split(".")), -len(path), verdict != "allow", rule, verdict))
+        assert (r["rule"], r["verdict"]) == ((min(fits)[3], min(fits)[4]) if fits else (None, "none"))
+
+
+def test_licenses_of_odd_rows(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Released under the MIT License.\n" * 3), (2, "word " * 300_000 + "\nReleased under the BSD 2-Clause License."), (3, None)]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n_lines int, matches string")
+    got = sorted((str(r["doc_id"]), r["n_lines"], len(r["matches"])) for r in license_scan.scan(df).collect())
+    assert [g[:2] for g in got] == [("1", 1), ("1", 1), ("2", 2), ("3", 0), ("None", 4)] and got[0] == got[1] and got[2][2] == 1 and got[3][2] == 0 and got[4][2] >= 3
+
+
 def test_license_lines(spark):
     docs = [(0, "words here\nReleased under the MIT license\nmore"), (1, "Licensed under the Apache License, Version 2.0."), (2, None), (3, ""), (4, "nothing of the kind")]
     got = {r["doc_id"]: [(m["line"], m["license"]) for m in r["matches"]] for r in license_scan.scan(frame(spark, docs)).collect()}
@@ -361,7 +389,7 @@ def neighbours(x, ids, queries, k=20):
     return out
 
 
-@pytest.mark.parametrize(("cell", "block", "query_block"), [(4096, 8192, 2048), (300, 200, 7)])
+@pytest.mark.parametrize(("cell", "block", "query_block"), [(4096, 8192, 2048), (300, 200, 7), (100, 20, 3)])
 def test_neighbours(spark, cell, block, query_block):
     rng = np.random.Generator(np.random.PCG64(1))
     x = rng.normal(size=(1200, 16))
@@ -374,7 +402,7 @@ def test_neighbours(spark, cell, block, query_block):
         found[r["query_id"]].append((r["vec_id"], r["score"]))
     want = neighbours(x, list(range(1200)), range(0, 1200, 20))
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in found[q]}) for q in want)
-    assert set(found) == {*want, 9060} and hits / (20 * len(want)) >= 0.9
+    assert set(found) == {*want, 9060} and hits / (20 * len(want)) >= 0.9 and all(len(found[q]) == 20 for q in want)
     assert [i for i, _ in found[100]] == list(range(101, 121)) and found[9060] == [(9061, 11.0)]
     for q in want:
         assert all(s == (x[i] * x[q]).sum() for i, s in found[q]) and found[q] == sorted(found[q], key=lambda r: (-r[1], r[0]))
@@ -628,7 +656,9 @@ def test_clashing_columns(spark):
     assert out.count() == 20 and len(set(out.columns)) == len(out.columns)
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     found = decontaminate.matches(docs, bench)
-    assert decontaminate.cut(docs.withColumn("contaminated", F.lit(5)), found).count() == 19 == decontaminate.clean(docs, bench).count()
+    odd = docs.withColumn("contaminated", F.lit(5)).withColumn("row", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("spans", F.lit(3)).withColumn("text2", F.lit(4))
+    assert decontaminate.cut(odd, found).count() == 19 == decontaminate.clean(docs, bench).count() and decontaminate.cut(odd, found).columns == odd.columns
+    assert mixing.placed(odd).count() == 20 and line_dedup.dedup(odd).columns == odd.columns and ngram_join.distinct(odd).columns == odd.columns
 
 
 def test_share_of_words_at_its_bound(spark):

@@ -30,7 +30,7 @@ DIMENSIONS = 32
 CONFIDENCE = 0.92
 LEAF = 64
 #: Rows of a cell that are planned, and rows and queries of a meeting at most.
-CELL = 4096
+CELL = 2048
 BLOCK = 8192
 QUERY_BLOCK = 2048
 #: Vectors that the tree is fitted on at most, chosen by hash, and how many there are to a cell at least.
@@ -282,7 +282,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
 
         return run
 
-    def meet(bound_only: bool):
+    def meet(bounds: bool):
         def run(own: pa.Table, asked: pa.Table) -> pa.Table:
             found: list[tuple[int, int | None, float]] = []
             if own.num_rows and asked.num_rows:
@@ -292,13 +292,13 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
                 for q, own_id, worst in zip(_matrix(asked.column("v")), asked.column("vec_id").to_pylist(), asked.column("worst").to_pylist(), strict=True):
                     best, worst = search.nearest(q, own_id, k, -np.inf if worst is None else worst)
                     # The bound is of this part alone, and so of all: its k-th nearest is no nearer than theirs.
-                    found += [(own_id, None, worst)] if bound_only else [(own_id, i, -s) for s, i in best]
+                    found += [(own_id, i, -s) for s, i in best] + [(own_id, None, worst)] * bounds
             return pa.table({"query_id": pa.array([x[0] for x in found], pa.int64()), "vec_id": pa.array([x[1] for x in found], pa.int64()), "score": pa.array([x[2] for x in found], pa.float64())})
 
         return run
 
-    def meetings(asked: DataFrame, bound_only: bool) -> DataFrame:
-        visited = written(asked.mapInArrow(visits(not bound_only), "vec_id long, v array<double>, worst double, d int, cell long, part int"), "visits")
+    def meetings(asked: DataFrame, bounds: bool) -> DataFrame:
+        visited = written(asked.mapInArrow(visits(not bounds), "vec_id long, v array<double>, worst double, d int, cell long, part int"), "visits")
         # Queries of a part in blocks, and its rows once for each of these.
         blocks = visited.groupBy("d", "cell", "part").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("blocks"))
         left = sized.withColumn("part", F.pmod("h", F.col("parts")).cast("int")).join(blocks, ["d", "cell", "part"]).select("ids", "v", "d", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
@@ -307,14 +307,16 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
         # The number of tasks is given: the few bytes of a meeting are much work.
         tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
-        return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet(bound_only), "query_id long, vec_id long, score double")
+        return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet(bounds), "query_id long, vec_id long, score double")
 
     sized = held.join(held.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")), ["d", "cell"])
     asked = queries.select("vec_id", "d", "v", F.lit(None).cast("double").alias("worst"))
-    bounds = meetings(asked, True).groupBy("query_id").agg(F.max("score").alias("worst"))
-    bounds = written(bounds.withColumn("worst", F.when(F.col("worst") > float("-inf"), F.col("worst"))), "bounds")
+    near = written(meetings(asked, True), "near")
+    bounds = near.where("vec_id is null").groupBy("query_id").agg(F.max("score").alias("worst"))
+    bounds = bounds.withColumn("worst", F.when(F.col("worst") > float("-inf"), F.col("worst")))
     asked = queries.join(bounds, queries["vec_id"] == bounds["query_id"], "left").select("vec_id", "d", "v", "worst")
-    met = meetings(asked, False).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # What the first meeting found stays: so every query has its k.
+    met = meetings(asked, False).unionByName(near.where("vec_id is not null")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._bytes import ALNUM, Words, slices
-from textloom.llm._spark import written
+from textloom.llm._spark import keyed, plain
 
 WINDOW = 13
-#: Items are put into automata of at most so many words each, which bounds what is broadcast
-#: and held by a worker; more items mean more passes over the texts, joined by a key of the rows.
+#: Items are put into automata of so many words each, or of one longer item, which bounds what is broadcast
+#: and held by a worker; more items mean more passes over the texts, put together by a key of the rows, with the same results.
 BLOCK_WORDS = 200_000
 
 
@@ -174,16 +174,22 @@ _SPARK = "doc_id long, n_words long, items array<string>, spans array<struct<fir
 _cache: dict[str, Automaton] = {}
 
 
-def _automaton(key: str, items: list[tuple[object, bytes]], window: int) -> Automaton:
+def _automaton(key: str, shared, window: int) -> Automaton:
+    """The automaton of a block of items that was broadcast; a worker keeps the last one."""
     if key not in _cache:
         _cache.clear()
-        _cache[key] = Automaton(items, window)
+        _cache[key] = Automaton(shared.value, window)
     return _cache[key]
 
 
-def _scan(items: list[tuple[object, bytes]], window: int, key: str):
+def _sent(spark, block: list[tuple[object, bytes]], window: int) -> tuple[object, int, str]:
+    """What a scan of the block needs: the items, broadcast, the window, and the name of its automaton."""
+    return spark.sparkContext.broadcast(block), window, hashlib.sha256(repr((window, block)).encode()).hexdigest()
+
+
+def _scan(shared, window: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, items, window)
+        automaton = _automaton(key, shared, window)
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
                 words = Words(data, offs, ALNUM)
@@ -207,11 +213,13 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[o
     """Items in blocks of bounded size; the test set streams through the driver, one partition at a time."""
     block, size = [], 0
     for row in benchmark.where(F.col(text).isNotNull()).select(F.col(item), F.encode(F.col(text), "UTF-8")).toLocalIterator():
-        block.append((row[0], bytes(row[1])))
-        size += len(row[1]) // 6 + 1
-        if size >= BLOCK_WORDS:
+        data = bytes(row[1])
+        n = int(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM).counts[0])
+        if block and size + n > BLOCK_WORDS:
             yield block
             block, size = [], 0
+        block.append((row[0], data))
+        size += n
     if block:
         yield block
 
@@ -222,31 +230,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc: st
     items: the sorted ids, as strings, of the items with a window in the text. spans: the
     runs of hit words, with first and last word and start and end byte. Null and empty texts
     have no words and no spans; items without words, or null, match nothing; an item with a
-    null id marks words but is not listed. Repeated rows give repeated results.
-    Where the test set needs several blocks, rows get a key and are written before they are scanned.
+    null id marks words but is not listed. Repeated rows, and rows whose id is null, are judged each by itself.
+    Where the test set needs several blocks, rows get a key by which the blocks' findings are put together.
     """
     blocks = list(_blocks(benchmark, item, item_text))
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if len(blocks) <= 1:
         return _scanned(source, blocks, window)
-    rows = _keyed(source)
-    found = _scanned(rows.select(F.col("__row").alias("doc_id"), "text"), blocks, window).withColumnRenamed("doc_id", "__row")
-    return rows.select("__row", "doc_id").join(found, "__row").drop("__row")
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    """The rows with a key of their own, __row, that stays the same whenever they are read: ids may be null or repeated."""
-    return written(rows.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    rows = keyed(source)
+    found = _scanned(rows.select(F.col("row").alias("doc_id"), "text"), blocks, window).withColumnRenamed("doc_id", "row")
+    return rows.select("row", "doc_id").join(found, "row").drop("row")
 
 
 def _scanned(source: DataFrame, blocks: list[list[tuple[object, bytes]]], window: int) -> DataFrame:
     """matches() of rows (doc_id, text); with several blocks, doc_id has to be a key."""
-    parts = []
-    for block in blocks:
-        key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-        parts.append(source.mapInArrow(_scan(block, window, key), _SPARK))
-    if not parts:
-        parts.append(source.mapInArrow(_scan([], window, "none"), _SPARK))
+    parts = [source.mapInArrow(_scan(*_sent(source.sparkSession, block, window)), _SPARK) for block in blocks or [[]]]
     if len(parts) == 1:
         return parts[0]
     out = parts[0]
@@ -282,22 +280,23 @@ def digest(found: DataFrame) -> DataFrame:
 def cut(docs: DataFrame, found: DataFrame, span_words: int = WINDOW, share: float = 0.05, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without contamination: those over the coverage share go, spans of span_words or more are cut out of the rest.
 
-    Needs unique document ids. Rows whose id is null are kept as they are.
+    found: matches() of rows whose key is in the column doc; rows whose key is null are kept as they are.
     """
     marks = judged(found, share).where("contaminated or size(filter(spans, s -> s.last - s.first + 1 >= %d)) > 0" % span_words)
-    marks = marks.select(F.col("doc_id").alias("__doc"), F.col("contaminated").alias("__bad"), F.expr(f"filter(spans, s -> s.last - s.first + 1 >= {span_words})").alias("__spans"))
-    both = docs.join(marks, docs[doc] == marks["__doc"], "left").where("__bad is null or not __bad")
-    raw = "encode(__text, 'UTF-8')"
-    kept = f"""decode(aggregate(__spans, named_struct('out', cast('' as binary), 'at', 0), (a, s) ->
+    marks = marks.select(F.col("doc_id").alias("key"), F.col("contaminated").alias("bad"), F.expr(f"filter(spans, s -> s.last - s.first + 1 >= {span_words})").alias("long"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, own = names[docs.columns.index(doc)], names[docs.columns.index(text)]
+    both = plain(docs).join(marks, F.col(key) == F.col("key"), "left").where("bad is null or not bad")
+    raw = f"encode({own}, 'UTF-8')"
+    kept = f"""decode(aggregate(long, named_struct('out', cast('' as binary), 'at', 0), (a, s) ->
         named_struct('out', concat(a.out, substring({raw}, a.at + 1, s.start - a.at)), 'at', s.end),
         a -> concat(a.out, substring({raw}, a.at + 1))), 'UTF-8')"""
-    both = both.withColumn("__text", F.col(text)).withColumn(text, F.when(F.coalesce(F.size("__spans"), F.lit(0)) > 0, F.expr(kept)).otherwise(F.col(text)))
-    return both.select(*docs.columns)
+    return both.withColumn(own, F.when(F.coalesce(F.size("long"), F.lit(0)) > 0, F.expr(kept)).otherwise(F.col(own))).select(*names).toDF(*docs.columns)
 
 
-def _clean(items: list[tuple[object, bytes]], window: int, key: str, column: int, share: float, span_words: int | None = None):
+def _clean(shared, window: int, key: str, column: int, share: float, span_words: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, items, window)
+        automaton = _automaton(key, shared, window)
         for batch in batches:
             good = np.ones(batch.num_rows, dtype=bool)
             rest: dict[int, str] = {}
@@ -337,11 +336,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     if not blocks:
         return docs
     if len(blocks) == 1:
-        key = hashlib.sha256(repr((window, blocks[0])).encode()).hexdigest()
-        return docs.mapInArrow(_clean(blocks[0], window, key, docs.columns.index(text), share, span_words), docs.schema)
-    rows = _keyed(docs)
-    found = _scanned(rows.select(F.col("__row").alias("doc_id"), F.col(text).cast("string").alias("text")), blocks, window)
-    if span_words is not None:
-        return cut(rows, found, span_words, share, "__row", text).select(*docs.columns)
-    bad = judged(found, share).where("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+        return docs.mapInArrow(_clean(*_sent(docs.sparkSession, blocks[0], window), docs.columns.index(text), share, span_words), docs.schema)
+    rows = keyed(plain(docs))
+    own = f"c{docs.columns.index(text)}"
+    found = _scanned(rows.select(F.col("row").alias("doc_id"), F.col(own).cast("string").alias("text")), blocks, window)
+    # Without spans to cut, no run of words is long enough.
+    return cut(rows, found, span_words if span_words is not None else 1 << 30, share, "row", own).drop("row").toDF(*docs.columns)
