@@ -138,6 +138,13 @@ def test_findings_and_ties(spark):
     assert sorted(rows(measure.findings(df, "g", {"x": (F.col("v"), None), "y": (F.col("v"), F.col("g") != "a")}))) == [("x", "a"), ("y", "b")]
 
 
+@pytest.mark.parametrize(("family", "dim", "layers", "hidden", "want"), [("dense", 104, 2, 416, 992_992), ("moe", 88, 4, 352, 995_984), ("modern_moe", 88, 4, 256, 924_440)])
+def test_parameter_counts(spark, family, dim, layers, hidden, want):
+    """Active parameters of published models with 6000 tokens, tied, with one of four experts."""
+    df = spark.createDataFrame([(family, 6000, dim, layers, hidden, 4, 1, True)], "f string, v long, d long, l long, h long, e long, a long, t boolean")
+    assert rows(df.select(measure.parameter_counts(*[F.col(c) for c in "fvdlheat"])["active"])) == [(want,)]
+
+
 def test_pending_seeds_and_compatible(spark):
     seeds = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "seed_id long, t string")
     done = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (2, 7)], "seed_id long, sample_index int")
