@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans import queries as own, report_queries, run_queries  # noqa: F401
+from textloom.plans import queries as own, report_queries, run_queries, store_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
