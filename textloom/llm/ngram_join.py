@@ -406,18 +406,18 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     spread = placed.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("kind").alias("k"), F.max("single").alias("s")).where("low < high and (k = 0 or s)").select("list")
     open_ = placed.join(spread, "list")
     top = open_.groupBy("list", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.max(F.struct("k", "c")).alias("t")).select("list", F.col("t.c").alias("t"))
-    sides = open_.join(top, "list").groupBy("list", "t").agg(F.sum(F.expr("if(c != t, 1, 0)")).alias("strays"), F.sum(F.expr("if(single, 1, 0)")).alias("singles"))
+    sides = open_.join(top, "list").groupBy("list", "t").agg(F.sum(F.expr("if(c != t, 1, 0)")).alias("strays"), F.sum(F.expr("if(single, 1, 0)")).alias("singles"), F.max("kind").alias("of"), F.count(F.lit(1)).alias("all"))
     # Every pair asked for has a side outside the largest component, and in such a list a side that is single: the fewer go first.
-    open_ = written(open_.join(sides, "list").withColumn("first", F.expr("if(kind = 1 and singles < strays, single, c != t)")), "open")
-    x = open_.where("first").select("list", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("c").alias("cx"), "kind", F.col("single").alias("sx"))
-    y = open_.select("list", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("c").alias("cy"), "first", F.col("single").alias("sy"))
+    # Of long lists each block of one side meets each block of the other by itself.
+    sides = sides.withColumn("by_single", F.expr("of = 1 and singles < strays"))
+    sides = sides.select("list", "t", "by_single", F.expr(f"cast(ceil(if(by_single, singles, strays) / {SQUARE}) as int)").alias("bx"), F.expr(f"cast(ceil(all / {SQUARE}) as int)").alias("by"))
+    open_ = written(open_.join(sides, "list").withColumn("first", F.expr("if(by_single, single, c != t)")).drop("t", "by_single"), "open")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    x = open_.where("first").select("list", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("c").alias("cx"), "kind", F.col("single").alias("sx"), place("bx").alias("i"), span("by").alias("j"))
+    y = open_.where("bx > 0").select("list", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("c").alias("cy"), "first", F.col("single").alias("sy"), place("by").alias("j"), span("bx").alias("i"))
     p, q = threshold
     meets = f"cx != cy and (not first or x < y) and (kind = 0 or sx or sy) and least(nx, ny) * {q} >= greatest(nx, ny) * {p} and least(rx, ry) * {p + q} >= (nx + ny) * {p}"
-    # Long lists: each block of one side meets each block of the other by itself.
-    blocks = open_.groupBy("list").agg(F.ceil(F.count(F.when(F.col("first"), 1)) / SQUARE).cast("int").alias("bx"), F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("by"))
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = x.join(blocks, "list").withColumn("i", F.pmod(F.xxhash64("x"), F.col("bx")).cast("int")).select("*", span("by").alias("j")).drop("bx", "by")
-    y = y.join(blocks.where("bx > 0"), "list").withColumn("j", F.pmod(F.xxhash64("y"), F.col("by")).cast("int")).select("*", span("bx").alias("i")).drop("bx", "by")
     rest = x.join(y, ["list", "i", "j"]).where(meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
