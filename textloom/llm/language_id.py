@@ -22,10 +22,10 @@ def fold(doc: str, parts: int) -> Column:
 
 def bounded_sample(rows: DataFrame, per_label: int) -> DataFrame:
     """At most per_label rows (key, text, label) of each label, the first by a hash of the key."""
+    # A row a label; the labels are part of the model that every task will hold, and so may be broadcast. Texts stay where they are until they are drawn.
     counts = rows.groupBy("label").count()
     share = F.when(F.col("count") <= 2 * per_label, 1.0).otherwise(2.0 * per_label / F.col("count"))
-    # A row a label, which Spark broadcasts if it is small: texts stay where they are until they are drawn.
-    drawn = rows.withColumn("__h", F.xxhash64(F.col("key"), F.lit(11))).join(counts.select("label", share.alias("__share")), "label")
+    drawn = rows.withColumn("__h", F.xxhash64(F.col("key"), F.lit(11))).join(F.broadcast(counts.select("label", share.alias("__share"))), "label")
     drawn = drawn.where((F.pmod("__h", F.lit(1 << 30)) / float(1 << 30)) < F.col("__share"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("__h", "key", F.xxhash64("text")))
     return drawn.withColumn("__n", place).where(F.col("__n") <= per_label).select("key", "text", "label")
