@@ -6,14 +6,13 @@ task results), columns of `lineitem`, `orders` and `events` stand in; the docstr
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import hashing, text as T
 from textloom.operators import code, curate, measure, order, pack, prefer, tokenize
-from textloom.session import shared_dir, table
+from textloom.session import table, temporary
 from textloom.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,7 +481,7 @@ def code_counters(spark, sf_dir):
 
 def _stream(spark, sf_dir, name: str) -> tuple[DataFrame, str]:
     """The events as a stream of files in order of time, and a folder for its results."""
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = temporary(spark, name)
     source = table(spark, sf_dir, "events")
     source.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
     return stream.parquet_stream(spark, f"{base}/in", source.schema).withColumn("ts", F.col("ts").cast("timestamp")), base

@@ -5,21 +5,15 @@ As in plans.queries, columns of the driver's tables stand in for records that th
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from textloom.functions import json_fields, text as T
 from textloom.operators import curate, measure, order, pack, prefer, records, report, tokenize
 from textloom.plans.queries import DOCS, FRACTION, docs, query
-from textloom.session import shared_dir, table
+from textloom.session import table, temporary
 from textloom.sources import manifests, readers
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""select 'train-' || lpad((r - 1)::varchar, 8, '0') as document_id, 'train' as split, sha256(source || ': ' || text) as h from (select *, row_number() over (order by doc_id) as r from documents where lang in ('en', 'de')) where r <= 100
 union all select 'validation-' || lpad((r - 21)::varchar, 8, '0'), 'validation', sha256(source || ': ' || text) from (select *, row_number() over (order by doc_id) as r from documents where lang in ('en', 'de')) where r > 20""")
 def dataset_splits(spark, sf_dir):
@@ -32,7 +26,7 @@ def dataset_splits(spark, sf_dir):
 @query("select source as split, count(*) as documents, sum(strlen(text))::BIGINT as bytes, sum(length(text))::BIGINT as characters, true as shards from documents group by 1")
 def corpus_shards(spark, sf_dir):
     """Documents written as shards by source, and what their manifest says; shards: whether there are enough of them for 50 documents each."""
-    path = _folder(spark, "corpus")
+    path = temporary(spark, "corpus")
     readers.write_shards(table(spark, sf_dir).withColumn("split", F.col("source")), path, 50)
     said = manifests.read_manifest(spark, path)
     there = readers.shard_list(spark, path).groupBy("split").count()
@@ -53,7 +47,7 @@ def manifest_merge(spark, sf_dir):
 @query("select event_id, user_id, event_type, value from events")
 def json_lines_sink(spark, sf_dir):
     """Events written as lines of JSON and read again, under a schema that a line has to fit."""
-    path = _folder(spark, "lines")
+    path = temporary(spark, "lines")
     manifests.write_json_lines(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), path)
     return readers.json_lines(spark, path, "event_id long, user_id long, event_type string, value double")
 
@@ -233,7 +227,7 @@ def pack_run(spark, sf_dir):
     source = docs(spark, sf_dir)
     vocabulary = {r["token"]: r["id"] for r in tokenize.character_vocabulary(source, specials=specials).collect()}
     rows = pack.pack(pack.training_split(source), lambda df: tokenize.character_encode(df, vocabulary, specials=specials), 64, 2, 0, 1, fim={"probability": 0.5, "least": 10})
-    return pack.write_shards(rows, _folder(spark, "packed"), 65, 6500)
+    return pack.write_shards(rows, temporary(spark, "packed"), 65, 6500)
 
 
 @query("""with r as (select l_orderkey as shard, l_linenumber as row, sha256('3:1:' || l_orderkey || ':' || l_linenumber) as h from lineitem), s as (select shard, row_number() over (order by sha256('3:1:' || shard)) - 1 as p from (select distinct shard from r))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
+import re
 import zipfile
 from pathlib import Path
 
@@ -16,16 +16,13 @@ from pyspark.sql import functions as F
 from textloom.operators import curate, order, report, tokenize
 from textloom.plans import lineage
 from textloom.plans.queries import docs, query
-from textloom.session import shared_dir, table
+from textloom.session import table, temporary
 from textloom.sources import archives, manifests, readers
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _local(spark, name: str) -> Path:
-    path = Path(_folder(spark, name).removeprefix("file://"))
+    """A folder for local sources and stages, for which the shared folder has to be a local one."""
+    path = Path(re.sub("^file:/*", "/", temporary(spark, name)))
     path.mkdir(parents=True)
     return path
 
@@ -52,7 +49,7 @@ def local_documents(spark, sf_dir):
 @query("select doc_id, sha256(text) as h from documents where source = 'src0'")
 def shard_scan(spark, sf_dir):
     """One split of documents that were written as shards by source."""
-    path = _folder(spark, "shards")
+    path = temporary(spark, "shards")
     readers.write_shards(table(spark, sf_dir).withColumn("split", F.col("source")), path, 100)
     return readers.documents(spark, {"type": "shards", "path": path, "split": "src0"}).select("doc_id", F.sha2("text", 256).alias("h"))
 
@@ -60,7 +57,7 @@ def shard_scan(spark, sf_dir):
 @query("select 'p' || o_orderkey as task_id, o_totalprice as chosen_score, o_custkey::DOUBLE as rejected_score, o_totalprice - o_custkey as score_margin from orders")
 def preference_lines(spark, sf_dir):
     """Orders as preference records, written as lines of JSON and read with their fixed fields."""
-    path = _folder(spark, "preferences")
+    path = temporary(spark, "preferences")
     rows = table(spark, sf_dir, "orders").select(F.format_string("p%d", "o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("prompt"), F.lit("x").alias("chosen_completion"), F.lit("y").alias("rejected_completion"), F.col("o_totalprice").alias("chosen_score"), F.col("o_custkey").cast("double").alias("rejected_score"), (F.col("o_totalprice") - F.col("o_custkey")).alias("score_margin"), F.lit(0).alias("chosen_sample_index"), F.lit(1).alias("rejected_sample_index"))
     manifests.write_json_lines(rows, path)
     return readers.preferences(spark, path).select("task_id", "chosen_score", "rejected_score", "score_margin")
@@ -69,7 +66,7 @@ def preference_lines(spark, sf_dir):
 @query("select 't' || p_partkey as task_id, p_name as prompt, 2 as n_checks, row_number() over (order by p_partkey) as place from part order by p_partkey limit 300")
 def task_lines(spark, sf_dir):
     """The first 300 tasks of a file of lines: the operator's own limit."""
-    path = _folder(spark, "tasks")
+    path = temporary(spark, "tasks")
     rows = table(spark, sf_dir, "part").orderBy("p_partkey").select(F.format_string("t%d", "p_partkey").alias("task_id"), F.col("p_name").alias("prompt"), F.array(F.lit("a"), F.lit("b")).alias("checks"))
     manifests.write_json_lines(rows.coalesce(1), path)
     return order.number(readers.tasks(spark, path, 300), out="place").select("task_id", "prompt", F.size("checks").alias("n_checks"), (F.col("place") + 1).alias("place"))
@@ -78,7 +75,7 @@ def task_lines(spark, sf_dir):
 @query("select distinct l_orderkey as seed_id, l_linenumber as sample_index from lineitem where l_orderkey % 3 != 0")
 def completed_attempts(spark, sf_dir):
     """A log of attempts in which a third of the lines are damaged."""
-    path = _folder(spark, "attempts")
+    path = temporary(spark, "attempts")
     whole = F.to_json(F.struct(F.struct(F.col("l_orderkey").alias("seed_id")).alias("seed"), F.col("l_linenumber").alias("sample_index")))
     table(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, F.substr(whole, F.lit(1), F.lit(12))).otherwise(whole).alias("value")).write.text(path)
     return readers.completed_attempts(spark, path).select(F.col("seed_id"), F.col("sample_index"))

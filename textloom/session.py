@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,6 +59,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _folders[context.applicationId]
 
 
+_made: list[str] = []
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what only this program reads; it is deleted when the program ends."""
+    if not _made:
+        atexit.register(_clear)
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _clear() -> None:
+    session = SparkSession.getActiveSession()
+    while _made:
+        path = _made.pop()
+        local = re.sub("^file:/*", "/", path)
+        if os.path.isdir(local):
+            shutil.rmtree(local, ignore_errors=True)
+        elif session is not None:
+            try:
+                delete(session, path)
+            except Exception:  # the session has ended before: the folder's owner has to clear it
+                return
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate files, wherever it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
