@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.session import delete, shared_dir
+from textloom.session import delete, temporary
 
 _open: list[list[str]] = []
 
@@ -16,10 +15,11 @@ _open: list[list[str]] = []
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
-    Later stages recompute nothing above this point and survive a lost executor.
+    Later stages recompute nothing above this point and survive a lost executor. The table is
+    deleted when the program ends, or scratch() before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     df.write.parquet(path)
     if _open:
         _open[-1].append(path)
