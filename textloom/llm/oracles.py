@@ -37,4 +37,20 @@ rules as (select * from (values ('block', 'net/', 'net', '/'), ('allow', 'exampl
 f as (select page_id, rule, verdict, row_number() over (partition by page_id order by length(rule) desc) as k from p join rules on (host = h or suffix(host, '.' || h)) and prefix(path, s))
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join f on f.page_id = p.page_id and k = 1"""
 
-SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_ngram_join": _OP2, "op9_url_filter": _OP9}
+#: All pairs of lines of 20 characters or more. DuckDB's distance counts bytes: other characters than ASCII are
+#: exchanged for ones of ASCII that no document has.
+_OP10 = """with chars as (select distinct unnest(string_split(text, '')) as c from documents),
+odd as (select c, row_number() over (order by c) as k from chars where length(c) > 0 and ord(c) > 127),
+free as (select c, row_number() over (order by c) as k from (select chr(i::INT) as c from range(1, 128) t(i)) where c not in (select c from chars)),
+swap as (select coalesce(string_agg(odd.c, '' order by k), '') as a, coalesce(string_agg(free.c, '' order by k), '') as b from odd left join free using (k)),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents where text != ''),
+f as (select line, length(line) as len, count(*) as copies, min({'d': doc_id, 'p': pos}) as spot from l where line != '' group by 1),
+g as (select line, len, spot, translate(line, a, b) as s from f, swap where len >= 20),
+near as (select distinct y.line from g x join g y on abs(x.len - y.len) <= 2 and x.spot < y.spot and levenshtein(x.s, y.s) <= 2),
+judged as (select f.*, near.line is not null as near from f left join near on f.line = near.line),
+stay as (select spot.d as doc_id, count(*) as firsts, count(*) filter (near) as n_near, sum(case when not near and len >= 20 then len else 0 end) as kept from judged group by 1),
+sizes as (select doc_id, count(*) as n_lines, count(*) filter (length(line) >= 20) as n_long, count(*) filter (line != '') as n_judged from l group by 1)
+select d.doc_id, coalesce(n_lines, 0)::BIGINT as n_lines, coalesce(n_long, 0)::BIGINT as n_long, (coalesce(n_judged, 0) - coalesce(firsts, 0))::BIGINT as n_copies, coalesce(n_near, 0)::BIGINT as n_near, coalesce(kept, 0)::BIGINT as kept_chars
+from documents d left join sizes using (doc_id) left join stay using (doc_id)"""
+
+SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_ngram_join": _OP2, "op9_url_filter": _OP9, "op10_line_dedup": _OP10}
