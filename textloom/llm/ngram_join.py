@@ -480,6 +480,8 @@ def labelled(profile: DataFrame, classes: DataFrame) -> DataFrame:
     # A component is named by its smallest id from the start: no component's rows have to meet.
     named = _nodes(profile).join(classes, "key", "left").select("key", F.coalesce("component", "node").alias("c"))
     named = named.select("key", F.when(F.expr(f"c < cast('{_UNNAMED}' as decimal(20,0))"), F.col("c").cast("long")).alias("component_id"))
+    # Written, so that the rows of a class with many copies can be dealt out when they meet its name.
+    named = written(named, "named")
     return profile.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
