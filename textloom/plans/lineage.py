@@ -7,8 +7,8 @@ import json
 import os
 import shutil
 import socket
-import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -67,7 +67,7 @@ def write_manifest(folder: str | Path, body: dict) -> None:
     """Writes manifest.json into a local artifact: under a name of its own, then renamed, so that readers see a whole one."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
-    pending = folder / f"manifest.json.{os.getpid()}.{threading.get_ident()}.pending"
+    pending = folder / f".manifest-{uuid.uuid4().hex}"
     pending.write_text(json.dumps(body, indent=2, sort_keys=True), encoding="utf-8")
     os.replace(pending, folder / "manifest.json")
 
