@@ -426,11 +426,13 @@ def test_neighbours_are_verified_until_the_test_holds():
     share = search.verified / len(queries) / len(x)
     print(f"verified {share:.2f}, recall {hits / 20 / len(queries):.3f}")
     assert share < 0.5 and hits >= 0.9 * 20 * len(queries)
-    # A cluster far from the rest is found with its own leaves alone.
-    near = x[:400] * 0.05 + 3.0
-    search = ann.Search(np.concatenate([near, -near, x[:4000] - 9]), [np.array([i]) for i in range(4800)], 3e4, ann.projector(64, ann.DIMENSIONS, 5), limit)
-    search.nearest(near[0], 0, 20)
-    assert search.verified <= 800
+    # A cluster far from the rest is all that is looked at.
+    middle = x[0]
+    near, rest = middle + 0.3 * x[:400], -middle + x[400:4400]
+    both = np.concatenate([near / np.linalg.norm(near, axis=1)[:, None], rest / np.linalg.norm(rest, axis=1)[:, None]])
+    search = ann.Search(both, [np.array([i]) for i in range(len(both))], 1.0, ann.projector(64, ann.DIMENSIONS, 5), limit)
+    found, _ = search.nearest(both[7], 7, 20)
+    assert search.verified <= 400 and all(i < 400 for _, i in found)
 
 
 def test_chi_square_quantiles():
