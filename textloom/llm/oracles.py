@@ -53,4 +53,35 @@ sizes as (select doc_id, count(*) as n_lines, count(*) filter (length(line) >= 2
 select d.doc_id, coalesce(n_lines, 0)::BIGINT as n_lines, coalesce(n_long, 0)::BIGINT as n_long, (coalesce(n_judged, 0) - coalesce(firsts, 0))::BIGINT as n_copies, coalesce(n_near, 0)::BIGINT as n_near, coalesce(kept, 0)::BIGINT as kept_chars
 from documents d left join sizes using (doc_id) left join stay using (doc_id)"""
 
-SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_ngram_join": _OP2, "op9_url_filter": _OP9, "op10_line_dedup": _OP10}
+_OP11 = """with d as (select doc_id, coalesce(text, '') as t from documents), g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join g using (t)"""
+
+_VECTORS = "(select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) as x from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0{0})"
+
+
+def _rounds(name: str, count: int, entries: str, unit: str, assigned: str) -> str:
+    """Rounds of Lloyd: {name}k assigns by the entries e(k-1) and ek has the means; unused entries stay."""
+    out = []
+    for k in range(1, count + 1):
+        out.append(f"{name}{k} as materialized ({assigned.format(k - 1)})")
+        means = f"select {unit}, j, q, floor(sum(c)::DOUBLE / count(*))::BIGINT as m from {name}{k} join cells using ({unit}, vec_id) group by 1, 2, 3"
+        out.append(f"e{k} as materialized (select o.{unit}, o.j, o.q, coalesce(n.m, o.m) as m from e{k - 1} o left join ({means}) n on n.{unit} = o.{unit} and n.j = o.j and n.q = o.q)")
+    return ",\n".join([f"e0 as materialized ({entries})", *out, f"last as materialized ({assigned.format(count)})"])
+
+
+#: Plain rounds: every distance is computed; p is the part, j the entry and q the position in the part. No vector has repeated ids.
+_NEAREST = "select p, vec_id, arg_min(j, (d, j)) as j, min(d) as d from (select p, vec_id, j, sum((c - m) * (c - m))::BIGINT as d from cells join e{0} using (p, q) group by 1, 2, 3) group by 1, 2"
+_OP12 = f"""with v as materialized {_VECTORS.format('')},
+cells as materialized (select vec_id, p, q, x[p * w + q + 1] as c from (select vec_id, x, len(x) // 4 as w, unnest(range(0, 4)) as p, range(0, len(x) // 4) as qs from v), unnest(qs) t(q)),
+{_rounds('a', 4, 'select p, r as j, q, c as m from cells join (select vec_id, row_number() over (order by vec_id) - 1 as r from v) using (vec_id) where r < 256', 'p', _NEAREST)},
+books as (select sha256(string_agg(m::VARCHAR, ',' order by p, j, q)) as h from e4),
+codes as (select vec_id, string_agg(lpad(lower(to_hex(j)), 2, '0'), '' order by p) as code, sum(d)::BIGINT as error from last group by 1)
+select vec_id, code, error, (sum(error) over (partition by label))::BIGINT as label_error, h as codebooks_sha256 from codes join v using (vec_id), books"""
+
+_OP13 = f"""with v as materialized {_VECTORS.format(' and len(embedding) = 64')},
+cells as materialized (select 0 as p, vec_id, q, x[q + 1] as c from v, unnest(range(0, 64)) t(q)),
+{_rounds('a', 10, "select p, r as j, q, c as m from cells join (select vec_id, row_number() over (order by sha256('3:' || vec_id::VARCHAR)) - 1 as r from v) using (vec_id) where r < 8", 'p', _NEAREST)},
+names as (select j, sha256(string_agg(m::VARCHAR, ',' order by q)) as h from e10 group by 1)
+select vec_id, j::INT as cluster, d as distance, (sum(d) over (partition by j))::BIGINT as cluster_inertia, (sum(d) over ())::BIGINT as inertia, h as centroid_sha256 from last join names using (j)"""
+
+SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_ngram_join": _OP2, "op9_url_filter": _OP9, "op10_line_dedup": _OP10, "op11_exact_dedup": _OP11, "op12_vector_codes": _OP12, "op13_centroids": _OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import ann, decontaminate, language_id, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, url_filter
+from textloom.llm import ann, centroids, decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, url_filter, vector_codes
 from textloom.session import table as documents
 
 #: (verdict, rule) of the op9 query.
@@ -76,4 +76,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir), short=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op5_lm_score, op6_license_scan, op7_quality, op8_nearest, op9_url_filter, op10_line_dedup)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of all with its text, that of the largest id."""
+    return exact_dedup.digest(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in four parts of 256 entries each, after four rounds."""
+    return vector_codes.digest(documents(spark, sf_dir, "embeddings")).drop("distances")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 components, after ten rounds."""
+    return centroids.digest(documents(spark, sf_dir, "embeddings")).drop("distances")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_language_id, op4_mix_sources, op5_lm_score, op6_license_scan, op7_quality, op8_nearest, op9_url_filter, op10_line_dedup, op11_exact_dedup, op12_vector_codes, op13_centroids)}
