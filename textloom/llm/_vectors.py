@@ -13,17 +13,22 @@ _EXACT = 1 << 21
 
 
 def integers(table: DataFrame, scale: int, vector: str, *others: str) -> DataFrame:
-    """The other columns and x array<long>, floor(scale * component), of rows whose vector is not null and not empty, nor holds null or a number that is not finite. Components of LARGEST or more, scaled, are an error."""
+    """The other columns and x array<long>, floor(scale * component), of rows whose vector is not null and not empty, nor holds null or a number that is not finite."""
     held = table.select(*others, F.col(vector).cast("array<double>").alias("v"))
     fine = held.where("v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))")
-    scaled = fine.select(*others, F.expr(f"transform(v, x -> floor(x * {scale}D))").alias("x"))
-    large = F.expr(f"exists(x, c -> c >= {LARGEST} or c <= -{LARGEST})")
-    return scaled.withColumn("x", F.when(large, F.raise_error(F.lit("a component is too large")).cast("array<bigint>")).otherwise(F.col("x")))
+    return fine.select(*others, F.expr(f"transform(v, x -> floor(x * {scale}D))").alias("x"))
+
+
+def checked(x: np.ndarray) -> np.ndarray:
+    """x; components of LARGEST or more are an error."""
+    if x.size and (x.max() >= LARGEST or x.min() <= -LARGEST):
+        raise ValueError("a component is too large")
+    return x
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Lists of longs, all of one length, as a matrix."""
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(column), -1)
+    return checked(np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(column), -1))
 
 
 def binaries(rows: np.ndarray) -> pa.Array:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._spark import written
-from textloom.llm._vectors import binaries, from_binaries, integers, matrix
+from textloom.llm._vectors import binaries, checked, from_binaries, integers, matrix
 
 CLUSTERS = 8
 ROUNDS = 10
@@ -118,7 +118,7 @@ def cluster(table: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, sc
     first = rows.withColumn("h", h).orderBy(F.col("h").asc_nulls_last(), "x").select("x").limit(clusters).collect()
     if not first:
         return None
-    centroids = np.array([r["x"] for r in first], np.int64)
+    centroids = checked(np.array([r["x"] for r in first], np.int64))
     held = written(rows.mapInArrow(_compressed(segment), "vec_id long, x binary, norms binary"), "vectors")
     for _ in range(rounds):
         partial = held.select("x", "norms").mapInArrow(_sums(centroids, segment), "cluster int, n long, s array<long>")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._spark import scratch, written
-from textloom.llm._vectors import binaries, down, floats_below, from_binaries, integers, matrix, squares, up
+from textloom.llm._vectors import binaries, checked, down, floats_below, from_binaries, integers, matrix, squares, up
 
 PARTS = 4
 ENTRIES = 256
@@ -158,7 +158,7 @@ def _means(state: DataFrame, books: np.ndarray) -> np.ndarray:
 def encode(table: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding", label: str | None = "label") -> Codes | None:
     """The codes of all vectors and their codebooks; None if there is no vector.
 
-    Vectors that are null or empty, or hold null or components that are not finite, take no part; nor do
+    Vectors that are null or empty, or hold null or components that are not finite, take no part; components of LARGEST or more, scaled, are an error. Nor do
     those of another length than the first's (smallest id, null ids last, then by components) among the lengths that `parts` divides. Codebooks begin as the
     parts of the first `entries` vectors in this order; with fewer vectors they have fewer entries. Rows that share an id are rows of their own.
     """
@@ -171,7 +171,7 @@ def encode(table: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds:
     if not first:
         return None
     rows = rows.where(F.size("x") == len(first[0]["x"]))
-    seeds = np.array([r["x"] for r in rows.orderBy(*order).select("x").limit(entries).collect()], np.int64)
+    seeds = checked(np.array([r["x"] for r in rows.orderBy(*order).select("x").limit(entries).collect()], np.int64))
     books = np.ascontiguousarray(seeds.reshape(len(seeds), parts, -1).transpose(1, 0, 2))
     with scratch(table.sparkSession) as paths:
         state = written(rows.mapInArrow(_begin(books), _STATE), "vector-bounds")
