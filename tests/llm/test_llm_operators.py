@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from textloom.llm import ann, decontaminate, language_id, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, url_filter
 
@@ -147,7 +147,16 @@ def test_ngram_join_of_rows_that_share_an_id(spark):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.labelled(profile, classes).collect())
     assert got == sorted([("-5", 56, "-5"), ("-5", 57, "-5"), (str(-(1 << 62)), 3, str(-(1 << 62))), ("4", 56, "-5"), ("4", 3, "4"), ("4", 0, "4"), ("9", 0, "9"), ("None", 3, "None")])
     out = ngram_join.distinct(docs)
-    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {-5, -(1 << 62), 9, None}
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns and len(kept) == 6 and {*kept} >= {(-(1 << 62), "a b c d e f g"), (4, rows[4][1]), (4, None), (9, ""), rows[-1]}
+    assert len({(-5, w), (-5, w + " more")} & {*kept}) == 1
+
+
+def test_a_text_that_shares_its_id_is_not_lost(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b + " and"), (3, "c d e f g h"), (4, a), (4, a), (5, "m n o p q r"), (5, "m n o p q r"), (None, a), (None, b)]
+    kept = ngram_join.distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, kept)) == sorted(str(Row(doc_id=d, text=t)) for d, t in [(1, a), (2, b), (3, "c d e f g h"), (5, "m n o p q r"), (None, a), (None, b)])
 
 
 def test_components_of_chains(spark):
@@ -381,6 +390,29 @@ def test_mix_of_rows_that_share_an_id(spark):
         assert all(r["taken"] <= 3 * r["size"] for r in got)
 
 
+def test_mix_does_not_follow_files_and_tasks(spark, tmp_path):
+    """The same rows in one file or many, in any order, under two sizes of splits and numbers of shuffle partitions: the same words are taken."""
+    docs = [(d if d % 13 else None, t, None, "ab"[d % 2] if d % 5 else None, 0) for d, t in corpus(8, 300)]
+    docs += docs[40:60] + [(7, "again and again", None, "a", 0)] * 50
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.createDataFrame(docs, DOCS).coalesce(1).write.parquet(one)
+    spark.createDataFrame(docs[::-1], DOCS).repartition(9).write.parquet(many)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    found, placed = [], []
+    try:
+        for path, split, parts in ((one, "128m", "4"), (one, "20k", "7"), (many, "3k", "3")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = spark.read.parquet(path)
+            found.append(sorted(str(tuple(r)) for r in mixing.digest(df).collect()))
+            placed.append(sorted(str(tuple(r)) for r in mixing.placed(df).collect()))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(docs)
+    assert placed[0] == placed[1] == placed[2]
+
+
 def neighbours(x, ids, queries, k=20):
     out = {}
     for q in queries:
@@ -654,8 +686,9 @@ def test_clashing_columns(spark):
     docs = frame(spark, corpus()[:20]).withColumn("key", F.lit(1)).withColumn("n", F.lit(2)).withColumn("kept", F.lit(3)).withColumn("size", F.lit(4)).withColumn("line", F.lit("x"))
     assert line_dedup.dedup(docs).columns == docs.columns and ngram_join.distinct(docs).columns == docs.columns
     assert mixing.digest(docs).count() == 20
-    out = mixing.placed(docs)
-    assert out.count() == 20 and len(set(out.columns)) == len(out.columns)
+    out = mixing.placed(docs.withColumn("Taken", F.lit("t")).withColumn("mix_size", F.lit("m")))
+    assert out.count() == 20 and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert out.where("size = 4 and Taken = 't' and mix_size = 'm' and mix_mix_size >= mix_taken / 3 and target is not null").count() == 20
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     found = decontaminate.matches(docs, bench)
     odd = docs.withColumn("contaminated", F.lit(5)).withColumn("row", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("spans", F.lit(3)).withColumn("text2", F.lit(4))

@@ -59,3 +59,21 @@ def keyed(df: DataFrame, name: str = "row") -> DataFrame:
 def plain(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1, ... in their order: names of an operator's own cannot clash with them."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+#: A key with more than one in so many of all rows is hot, so that there are fewer hot keys than that.
+HOT = 1024
+
+
+def meet(rows: DataFrame, table: DataFrame, key: list[str], times: str, total: int) -> DataFrame:
+    """rows, which have a column row, with the columns of the table's row of their key; rows whose key it lacks go. times: how many of the total rows have the key.
+
+    The rows of hot keys are dealt out by a salt, and the table's rows of these keys are there once for each salt.
+    Only the hot keys are broadcast, fewer than HOT.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(times) * HOT > F.lit(total)
+    hot = table.where(is_hot).select(*key, F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(salts))).otherwise(0)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, F.lit(salts - 1)).otherwise(0).cast("long")))).drop(times)
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt.cast("long")).drop("hot").join(salted, [*key, "salt"]).drop("salt")

@@ -13,12 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm._spark import keyed, plain, written
+from textloom.llm._spark import keyed, meet, plain, written
 
 #: Bytes of a block.
 BLOCK = 512
-#: A key with more than one in so many of all rows is hot, so that there are fewer hot keys than that.
-HOT = 1024
 #: Rows up to this number may be broadcast to leave their documents out; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,20 +26,6 @@ def as_it_is(text: Column) -> Column:
     return text
 
 
-def _meet(rows: DataFrame, table: DataFrame, key: list[str], times: str, total: int) -> DataFrame:
-    """rows with the columns of the table's row of their key; rows whose key it lacks go. times: how many of the total rows have the key.
-
-    The rows of hot keys are dealt out by a salt, and the table's rows of these keys are there once for each salt.
-    Only the hot keys are broadcast, fewer than HOT.
-    """
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_hot = F.col(times) * HOT > F.lit(total)
-    hot = table.where(is_hot).select(*key, F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(salts))).otherwise(0)
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, F.lit(salts - 1)).otherwise(0).cast("long")))).drop(times)
-    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt.cast("long")).drop("hot").join(salted, [*key, "salt"]).drop("salt")
-
-
 def cut(rows: DataFrame, text: Column, block: int = BLOCK) -> DataFrame:
     """row, n, i, block: the n blocks of each row's text by their places i, the last one as long as it is; an empty text is one empty block."""
     # The bytes are bound once, so that a block costs its own bytes however long the text is.
@@ -59,7 +43,7 @@ def _named(parts: DataFrame, key: list[str]) -> DataFrame:
     ordered = met.where("low < high").select(*key, "times").repartitionByRange(*key).sortWithinPartitions(*key)
     names = written(ordered.withColumn("name", F.monotonically_increasing_id()), "block-names")
     lone = met.where("low = high").select(F.col("low").alias("row")).distinct()
-    return _meet(parts, names, key, "times", total).join(lone, "row", "left_anti").select("row", "n", "i", "name")
+    return meet(parts, names, key, "times", total).join(lone, "row", "left_anti").select("row", "n", "i", "name")
 
 
 def identities(rows: DataFrame, text: str = "text", block: int = BLOCK, prepare: Callable[[Column], Column] = as_it_is) -> DataFrame:
@@ -88,7 +72,7 @@ def judge(rows: DataFrame, doc: str = "doc_id", text: str = "text", block: int =
     tagged = written(rows.select("row", F.col(doc).alias("doc_id")).join(found, "row"), "block-identities")
     groups = tagged.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep"))
     groups = written(groups.where("group_size > 1").select("level", "name", "group_size", F.col("group_size").alias("times"), F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row")), "block-groups")
-    return _meet(tagged, groups, ["level", "name"], "times", tagged.count()).select("row", "keep_id", "keep_row", "group_size")
+    return meet(tagged, groups, ["level", "name"], "times", tagged.count()).select("row", "keep_id", "keep_row", "group_size")
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", block: int = BLOCK, prepare: Callable[[Column], Column] = as_it_is) -> DataFrame:

@@ -92,19 +92,36 @@ def slots(by_source: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLO
     return each.select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"pmod(at, {shard_slots})").alias("place"), "sid", "slot", "block", "most")
 
 
+def _numbered(sized: DataFrame, groups: int) -> DataFrame:
+    """sized (row, h and what h is of) with k, which numbers the rows that are alike in all but their row, from 0.
+
+    Most have no equal. The others are numbered within lots, dealt out by row, from where the lots before have ended, so that no task has all of them.
+    """
+    same = ["h", "doc_id", "t", "size"]
+    lots = sized.withColumn("lot", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    counts = lots.groupBy(*same, "lot").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*same).orderBy("lot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    ends = counts.select(*[F.col(c).alias(f"{c}_") for c in same], F.col("lot").alias("lot_"), before.alias("before")).where("before > 0")
+    inside = F.row_number().over(Window.partitionBy(*same, "lot").orderBy("row")) - 1
+    alike = [F.col("lot") == F.col("lot_"), *(F.col(c).eqNullSafe(F.col(f"{c}_")) for c in same)]
+    joined = lots.withColumn("k", inside.cast("long")).join(ends, alike, "left")
+    return joined.withColumn("k", F.col("k") + F.coalesce("before", F.lit(0))).select(*sized.columns, "k")
+
+
 def pieces(sized: DataFrame, by_source: DataFrame, rows: int, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """sid, block, row, doc_id, size, at, off, n: the n tokens from token `at` of each document row that stand in a block, from its token `off` on.
 
-    sized: rows (row, doc_id, sid, size > 0).
+    sized: rows (row, doc_id, sid, t, size > 0). The order follows ids and texts, whose hash t is, and not where rows stand in
+    their files: of rows alike in these any may come first, as they are the same.
     """
     groups = max(1, -(-rows // GROUP_ROWS))
-    placed = sized.withColumn("h", F.xxhash64(F.lit(seed + 4), "doc_id", "size")).withColumn("g", F.pmod(F.xxhash64(F.lit(seed + 5), "h", "row"), F.lit(groups)))
+    placed = _numbered(sized.withColumn("h", F.xxhash64(F.lit(seed + 4), "sid", "doc_id", "t", "size")), groups).withColumn("g", F.pmod(F.xxhash64(F.lit(seed + 5), "h", "k"), F.lit(groups)))
     sums = placed.groupBy("sid", "g").agg(F.sum("size").alias("s")).withColumn("top", F.expr(f"g div {GROUPS}"))
     tops = sums.groupBy("sid", "top").agg(F.sum("s").alias("t"))
     tops = tops.withColumn("t0", F.sum("t").over(Window.partitionBy("sid").orderBy("top")) - F.col("t")).drop("t")
     sums = sums.withColumn("s0", F.sum("s").over(Window.partitionBy("sid", "top").orderBy("g")) - F.col("s"))
     base = sums.join(tops, ["sid", "top"]).select("sid", "g", (F.col("s0") + F.col("t0")).alias("base"))
-    inside = Window.partitionBy("sid", "g").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("sid", "g").orderBy("h", "doc_id", "t", "size", "k").rowsBetween(Window.unboundedPreceding, 0)
     begun = placed.withColumn("to", F.sum("size").over(inside)).join(base, ["sid", "g"])
     begun = begun.withColumn("begin", F.col("base") + F.col("to") - F.col("size"))
     first, last = F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}")
@@ -117,11 +134,11 @@ def pieces(sized: DataFrame, by_source: DataFrame, rows: int, block: int = BLOCK
 
 def _sized(rows: DataFrame, doc: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, sid, size of each row; sources): texts are read once, and sizes written to the shared folder."""
-    sized = written(rows.select("row", F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size")), "mix-sizes")
+    sized = written(rows.select("row", F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text).cast("string")).alias("t"), n_words(text).alias("size")), "mix-sizes")
     sources = written(targets(sized), "mix-sources")
     # One row a source: small next to the documents; Spark broadcasts it if it is under its own threshold.
     tagged = sized.join(sources.select("sid", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of")))
-    return tagged.select("row", "doc_id", "sid", "size"), sources
+    return tagged.select("row", "doc_id", "sid", "t", "size"), sources
 
 
 def digest(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -145,8 +162,8 @@ def placed(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_i
     """The documents with size, source_size, target, taken and placements (shard, place, at, n): where the mix puts which of their words.
 
     Placements are in the order of shard and place. A document that no slot takes has none and
-    stays; null sources, null texts and rows that share an id are as in digest(). Columns of the
-    documents by these five names give way.
+    stays; null sources, null texts and rows that share an id are as in digest(). Where the documents have a column of such a name, theirs
+    stays as it is and the new one gets mix_ before its name.
     """
     names = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns))), strict=True))
     rows = keyed(plain(docs))
@@ -158,6 +175,12 @@ def placed(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_i
     notes = tagged.join(sources, "sid").join(put, "row", "left").select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("placements", none).alias("placements"))
     # Texts are dealt out once, and not sorted: each task holds its part of the notes.
     both = rows.join(notes.hint("shuffle_hash"), "row")
-    new = [c for c in notes.columns if c != "row"]
-    kept = [(c, n) for c, n in names.items() if c not in new]
-    return both.select(*(F.col(n).alias(c) for c, n in kept), *new)
+    given = {c.lower() for c in docs.columns}
+    new = [F.col(c).alias(_free(c, given)) for c in notes.columns if c != "row"]
+    return both.select(*(F.col(n).alias(c) for c, n in names.items()), *new)
+
+
+def _free(name: str, given: set[str]) -> str:
+    while name in given:
+        name = f"mix_{name}"
+    return name

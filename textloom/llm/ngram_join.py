@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._bytes import PLAIN, U64, Words, mix, release, shingles, slices
-from textloom.llm._spark import written
+from textloom.llm._spark import keyed, meet, plain, written
 
 WIDTH = 5
 THRESHOLD = (75, 100)
@@ -490,11 +490,19 @@ BROADCAST_IDS = 1_000_000
 
 
 def distinct(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with one, that of the smallest id, of each component.
+    """The documents, all columns, with one row, that of the smallest id, of each component.
 
-    Texts without words, and rows whose id is null, stay. Rows that share an id are one document.
+    Texts without words, and rows whose id is null, stay. Rows that share an id are judged each by its text: of those with
+    the smallest id of their component one stays.
     """
-    profile, _, classes = join(docs, width, threshold, doc, text)
-    gone = written(labelled(profile, classes).where("component_id < doc_id").select(F.col("doc_id").alias("__doc")).distinct(), "copies")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = keyed(plain(docs))
+    # The key of a row stands for its id, so that texts that share an id are not one.
+    profile, _, classes = join(rows, width, threshold, "row", names[docs.columns.index(text)])
+    each = labelled(profile, classes).where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    ids = rows.select("row", F.col(names[docs.columns.index(doc)]).cast("long").alias("id")).where("id is not null")
+    each = written(each.join(ids, "row"), "members")
+    first = each.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "row"))["row"].alias("first")).where("times > 1")
+    gone = written(meet(each, written(first, "firsts"), ["component"], "times", each.count()).where("row != first").select("row"), "copies")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[doc] == gone["__doc"], "left_anti")
+    return rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*names).toDF(*docs.columns)
