@@ -45,7 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near copies (2).
 
-    Rows that share an id are one document and stay together; rows whose id is null, and texts without words, stay.
+    Rows that share an id are judged each by its text; rows whose id is null, and texts without words, stay.
     """
     return ngram_join.distinct(docs)
 
