@@ -27,12 +27,12 @@ from textloom.llm._spark import written
 
 CLASSES = 32
 #: Members of a class with weights of their own; one more stands for the rest.
-MEMBERS = 39
+MEMBERS = 47
 #: Branches of a node of a class's rest, four bits of the hash, and the deepest tree: its leaves, two million with all classes, are broadcast.
 BRANCHES = 16
 DEEPEST = 4
 #: Words of a leaf from which a tree is deeper.
-LEAF_WORDS = 1024
+LEAF_WORDS = 64
 PAIRS = (CLASSES + 1) ** 2
 BATCH = 8192
 RATE = 0.2
