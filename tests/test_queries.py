@@ -40,12 +40,3 @@ def test_documents_are_packed_in_one_stream(spark):
     rows = {r["k"]: r["ids"].split() for r in run("pack_cross_document")}
     n = -(-(len(stream) - 1) // 64)
     assert rows == {k: stream[64 * k : 64 * k + 65] + ["2"] * (65 - len(stream[64 * k : 64 * k + 65])) for k in range(n)}
-
-
-def test_merges_of_all_documents_are_those_of_a_sample_of_all(spark):
-    from textloom.operators import order, tokenize
-
-    docs = own.docs(spark, DIR)
-    want = [(r["left"], r["right"]) for r in sorted(tokenize.train_on(docs, 12).collect(), key=lambda r: r["rank"])]
-    assert [(r["left"], r["right"]) for r in sorted(entry.queries()["bpe_train_distributed"](spark, DIR).collect(), key=lambda r: r["rank"])] == want
-    assert order.bounded_prefix(docs, 3, 1 << 40, strict=True).count() == 3

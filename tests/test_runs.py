@@ -280,15 +280,6 @@ def test_merges_and_marks():
         tokenize.BytePairs(((b"ab", b"c"),))
 
 
-def test_runs_of_one_token_merge_in_pairs():
-    import numpy as np
-
-    for n in range(1, 9):
-        text = b"a" * n + b"b" + b"a" * (n % 3)
-        got = tokenize.merge_ids(np.frombuffer(text, np.uint8).astype(np.int64), 97, 97, 256).tolist()
-        assert got == [256 if x == b"aa" else x[0] for x in tokenize.merge([bytes([c]) for c in text], b"a", b"a")]
-
-
 def test_batch_encoding_is_that_of_the_definition():
     import random
 
@@ -327,13 +318,6 @@ def test_characters_with_marks(spark, tmp_path):
     assert tokenize.BytePairs.load(spark, str(tmp_path / "b")) == t
 
 
-def test_distributed_merges(spark):
-    texts = ["abababab", "bcbcbcbc", "ababcccc", "ddddeeee"]
-    df = readers.inline(spark, texts).repartition(3)
-    assert tokenize.train_distributed(df, 10) == tokenize.train_merges(iter(texts), 10)
-    assert tokenize.train_distributed(df.limit(0), 3) == []
-
-
 def test_bounded_prefix_needs_a_document(spark):
     df = readers.inline(spark, ["aaaa", "bbbb", "cccc"])
     assert order.bounded_prefix(df, 10, 8, strict=True).count() == 2

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from textloom.operators import byte_pairs
 from textloom.sources.manifests import read_text, write_text
 
 SPECIALS = ("<bos>", "<eos>", "<pad>")
@@ -79,7 +80,7 @@ def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for texts in _groups(batch.column(0).to_pylist()):
-            ids = _joined(texts)
+            ids = byte_pairs.joined(texts)
             real = (ids[:-1] >= 0) & (ids[1:] >= 0)
             total += np.bincount(ids[:-1][real] * 256 + ids[1:][real], minlength=1 << 16)
     found = np.flatnonzero(total)
@@ -106,7 +107,7 @@ def merge(tokens: list[bytes], left: bytes, right: bytes) -> list[bytes]:
 
 
 def train_merges(texts: Iterator[str], merges: int) -> list[tuple[bytes, bytes]]:
-    """Byte-pair merges of a bounded sample: the most frequent pair each time, the smallest of equals.
+    """Byte-pair merges of a few texts, one by one, as byte_pairs.train learns them of a table: the most frequent pair each time, the smallest of equals.
 
     Ends early when no pair is left or the merged bytes exist already. Counts are kept up to
     date for the sequences that a merge touches.
@@ -138,30 +139,10 @@ def train_merges(texts: Iterator[str], merges: int) -> list[tuple[bytes, bytes]]
     return out
 
 
-def train_on(sample: DataFrame, merges: int, text: str = "text", pos: str = "pos") -> DataFrame:
-    """rank, left, right (hex) of the merges of a sample that has been bounded before; one task holds it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True) if batches else pd.DataFrame()
-        got = train_merges(iter(rows.sort_values("pos")["text"].tolist()), merges) if len(rows) else []
-        yield pd.DataFrame({"rank": range(len(got)), "left": [a.hex() for a, _ in got], "right": [b.hex() for _, b in got]}).astype({"rank": "int32", "left": "str", "right": "str"})
-
-    return sample.select(F.col(pos).alias("pos"), F.col(text).alias("text")).coalesce(1).mapInPandas(run, "rank int, left string, right string")
-
-
-def merge_ids(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
-    """merge() on an array of token ids in array operations."""
-    at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
-    if left == right and len(at):
-        # In a run of equal tokens every second place of a match begins one.
-        first = np.concatenate([[True], np.diff(at) != 1])
-        begin = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-        at = at[(at - begin) % 2 == 0]
-    if not len(at):
-        return ids
-    out = ids.copy()
-    out[at] = new
-    return np.delete(out, at + 1)
+def train_on(df: DataFrame, merges: int, text: str = "text") -> DataFrame:
+    """rank, left, right (hex) of the merges of a table, which byte_pairs.train learns on the executors. A row a merge."""
+    got = [(i, a.hex(), b.hex()) for i, (a, b) in enumerate(byte_pairs.train(df, merges, text))]
+    return df.sparkSession.createDataFrame(got, "rank int, left string, right string")
 
 
 #: Texts are put together in groups of about so many bytes.
@@ -180,67 +161,6 @@ def _groups(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
         yield held
 
 
-def _joined(texts: Sequence[bytes]) -> np.ndarray:
-    """The bytes of all texts, -1 behind each: no pair goes from one to the next."""
-    ids = np.empty(sum(map(len, texts)) + len(texts), np.int64)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    inside = np.ones(len(ids), dtype=bool)
-    inside[ends] = False
-    ids[inside] = np.frombuffer(b"".join(texts), np.uint8)
-    ids[ends] = -1
-    return ids
-
-
-def _pairs_of(steps: Sequence[tuple[int, int]], token: Sequence[bytes]):
-    """Per partition, the counts of neighbouring tokens after the merges so far."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(token)
-        total: Counter = Counter()
-        for batch in batches:
-            for texts in _groups(batch.column(0).to_pylist()):
-                ids = _joined(texts)
-                for k, (left, right) in enumerate(steps):
-                    ids = merge_ids(ids, left, right, 256 + k)
-                real = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                code = ids[:-1][real] * size + ids[1:][real]
-                if size <= 2048:
-                    n = np.bincount(code, minlength=1)
-                    pairs = np.flatnonzero(n)
-                    n = n[pairs]
-                else:
-                    pairs, n = np.unique(code, return_counts=True)
-                total.update(dict(zip(pairs.tolist(), n.tolist(), strict=True)))
-        left, right = [p // size for p in total], [p % size for p in total]
-        yield pa.RecordBatch.from_arrays([pa.array([token[x].hex() for x in left], pa.string()), pa.array([token[x].hex() for x in right], pa.string()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(list(total.values()), pa.int64())], names=["left", "right", "l", "r", "n"])
-
-    return run
-
-
-def train_distributed(df: DataFrame, merges: int, text: str = "text") -> list[tuple[bytes, bytes]]:
-    """train_merges over all texts of a table, of any size: each merge is a count over the executors, of which one row comes back.
-
-    Counts fold in each task; the driver holds the merges alone. Every round reads the texts
-    and applies the merges so far, so that nothing has to be kept and a lost executor costs its tasks only.
-    """
-    raw = df.where(F.col(text).isNotNull()).select(F.encode(text, "UTF-8").alias("b"))
-    token, out, steps = [bytes([b]) for b in range(256)], [], []
-    known = set(token)
-    while len(out) < merges:
-        counted = raw.mapInArrow(_pairs_of(tuple(steps), tuple(token)), "left string, right string, l long, r long, n long").groupBy("left", "right", "l", "r").agg(F.sum("n").alias("n"))
-        best = counted.orderBy(F.desc("n"), "left", "right").first()
-        if best is None:
-            break
-        pair = (token[best["l"]], token[best["r"]])
-        if pair[0] + pair[1] in known:
-            break
-        known.add(pair[0] + pair[1])
-        out.append(pair)
-        steps.append((best["l"], best["r"]))
-        token.append(pair[0] + pair[1])
-    return out
-
-
 @dataclass(frozen=True)
 class BytePairs:
     """Merges and special tokens. Ids: special tokens in their order, then the 256 bytes, then the merges."""
@@ -277,23 +197,27 @@ class BytePairs:
     def encode_all(self, texts: Sequence[str], bos: bool = False, eos: bool = False) -> list[np.ndarray]:
         """The ids of each text. Special tokens in a text are one id each; its plain parts are merged by themselves.
 
-        As each merge is made of earlier tokens, the lowest-ranked pair that is left is always
-        found by going through the merges once, over all texts together.
+        The lowest-ranked pair that is left is always merged next, by a queue of ranks over all texts
+        of a group together; equal texts are looked at once.
         """
+        found: dict[str, np.ndarray] = {}
         out: list[np.ndarray] = []
-        base, code = len(self.marks), {t: k for k, t in enumerate(self.marks)}
-        for group in _groups([t.encode() for t in texts]):
+        base, code, steps = len(self.marks), {t: k for k, t in enumerate(self.marks)}, byte_pairs.Steps(self.steps)
+        distinct = list(dict.fromkeys(texts))
+        for group in _groups([t.encode() for t in distinct]):
             pieces = [_pieces(t.decode(), self.specials) for t in group]
-            ids = _joined([p.encode() for text in pieces for p in text[::2]])
+            ids = byte_pairs.joined([p.encode() for text in pieces for p in text[::2]])
             # Behind each plain part but a text's last stands its special token; -1 ends a text.
             ids[ids < 0] = [x for text in pieces for x in (*(-2 - code[p] for p in text[1::2]), -1)]
-            for k, (left, right) in enumerate(self.steps):
-                ids = merge_ids(ids, left, right, 256 + k)
+            chain = byte_pairs.Chain(ids, steps)
+            chain.run()
+            ids = chain.tokens()
             ends = np.flatnonzero(ids == -1)
             ids = np.where(ids >= 0, ids + base, -2 - ids).astype(np.int32)
             out += [ids[a:b] for a, b in zip(np.append(0, ends[:-1] + 1), ends, strict=True)]
         first, last = ([self.id_of(t)] if wanted else [] for t, wanted in ((self.bos, bos), (self.eos, eos)))
-        return [np.concatenate([first, x, last]).astype(np.int32) for x in out] if bos or eos else out
+        found.update(zip(distinct, [np.concatenate([first, x, last]).astype(np.int32) for x in out] if bos or eos else out, strict=True))
+        return [found[t] for t in texts]
 
     def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
         return self.encode_all([text], bos, eos)[0].tolist()

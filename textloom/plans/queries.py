@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import hashing, text as T
-from textloom.operators import code, curate, measure, order, pack, prefer, tokenize
+from textloom.operators import byte_pairs, code, curate, measure, order, pack, prefer, tokenize
 from textloom.session import table, temporary
 from textloom.streaming import events as stream
 
@@ -191,17 +191,39 @@ def best_pair(spark, sf_dir):
     return tokenize.pair_counts(table(spark, sf_dir)).orderBy(F.desc("n"), "left", "right").limit(1)
 
 
-@query()
+def _merges_in_sql(rows: int, size: int, merges: int) -> str:
+    """Each merge in turn over a prefix of the documents: tokens stand in angle brackets in hex, so that a merge is a replacement."""
+    parts = [f"""t0 as materialized (select pos, regexp_replace(hex(encode(text)), '(..)', '<\\1>', 'g') as t from (select pos, text, row_number() over (order by pos) as r, sum(strlen(text)) over (order by pos) as s from {DOCS}) where r <= {rows} and s <= {size})"""]
+    for k in range(merges):
+        tokens = f"(select regexp_extract_all(t, '<([0-9A-F]+)>', 1) as l from t{k})"
+        parts.append(f"""p{k} as materialized (select a, b from (select unnest(l[1 : len(l) - 1]) as a, unnest(l[2 : len(l)]) as b from {tokens} where len(l) >= 2) group by a, b order by count(*) desc, a, b limit 1)""")
+        parts.append(f"t{k + 1} as materialized (select pos, replace(t, '<' || a || '><' || b || '>', '<' || a || b || '>') as t from t{k}, p{k})")
+    each = " union all ".join(f'select {k}::INT as rank, lower(a) as "left", lower(b) as "right" from p{k}' for k in range(merges))
+    return "with " + ",\n".join(parts) + "\n" + each
+
+
+@query(_merges_in_sql(200, 200_000, 60))
 def bpe_train(spark, sf_dir):
     """Merges of a sample bounded by documents and bytes."""
     return tokenize.train_on(order.bounded_prefix(docs(spark, sf_dir), 200, 200_000, strict=True), 60)
 
 
+#: Merges of all documents that bpe_train_distributed learns.
+MERGES = 2000
+
+
 @query()
 def bpe_train_distributed(spark, sf_dir):
-    """The first merges of all documents, counted on the executors."""
-    merges = tokenize.train_distributed(docs(spark, sf_dir), 12)
-    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+    """The merges of all documents; SQL that merges one by one is too slow for so many, so that bpe_train has it and this is tested against a plain version."""
+    return tokenize.train_on(docs(spark, sf_dir), MERGES)
+
+
+@query()
+def bpe_encode_trained(spark, sf_dir):
+    """Bytes and tokens of every document under 1,000 merges of all documents, and whether decoding gives the text back."""
+    merges = byte_pairs.train(docs(spark, sf_dir), 1000)
+    ids = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null").withColumn("ids", tokenize.bpe_encode(merges)("text"))
+    return ids.select("pos", F.octet_length("text").alias("bytes"), F.size("ids").alias("tokens"), (tokenize.bpe_decode(merges)("ids") == F.col("text")).alias("same"))
 
 
 @query("select doc_id as pos, strlen(text)::INT as bytes, true as same, true as fewer from documents where text is not null")
