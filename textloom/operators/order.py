@@ -2,32 +2,75 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows of one bucket of positions; a bucket is one task's window.
+#: Rows that a bucket of positions has on average, and the buckets there are at most.
 BUCKET = 10_000
+BUCKETS = 1 << 14
 
 
-def running_sum(df: DataFrame, value: Column, pos: str = "pos", out: str = "running") -> DataFrame:
-    """df with the sum of value over all rows up to and including each, by pos (a long).
+#: Ranges that the pass over the positions that counts rows tells apart; more take a second pass.
+_SKETCH = 256
 
-    Sums of buckets of positions come first; only those, one row for BUCKET positions, are
-    summed in one place. Positions that are not dense make more or emptier buckets.
+
+def _edges(df: DataFrame, value: Column) -> tuple[int, list[int]]:
+    """(number of ranges wanted, the positions that end all but the last of them, repeated where a position fills several)."""
+    cut = lambda n: F.percentile_approx(value, F.array(*[F.lit(k / n) for k in range(1, n)]), 8 * n).alias("b")
+    rows, bounds = df.agg(F.count(F.lit(1)), cut(_SKETCH)).first()
+    wanted = max(1, min(BUCKETS, -(-rows // BUCKET)))
+    if wanted > _SKETCH:
+        bounds = df.agg(cut(wanted)).first()[0]
+    elif bounds:
+        bounds = [bounds[-(-k * _SKETCH // wanted) - 1] for k in range(1, wanted)]
+    return wanted, bounds or []
+
+
+def _bucketed(df: DataFrame, pos: str, split: bool) -> DataFrame:
+    """df with __bucket, a struct (place, lot) in the order of positions: ranges of positions with as many rows each, as far as a sketch of them tells.
+
+    With split, a position that fills several ranges has its rows dealt out to as many lots by what else they hold. Nulls come first.
+    """
+    value = F.col(pos).cast("long")
+    wanted, bounds = _edges(df, value)
+    edges = sorted(set(bounds))
+    table = F.array(*[F.lit(e).cast("long") for e in edges])
+    # The number of edges below a position, by halving steps: a range ends with its edge.
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(len(edges).bit_length()))])
+    below = lambda at: F.get(table, F.least(at, F.lit(len(edges))) - 1) < value
+    place = F.aggregate(halves, F.lit(0), lambda low, s: F.when((low + s <= len(edges)) & below(low + s), low + s).otherwise(low)) if edges else F.lit(0)
+    lot = F.lit(0).cast("long")
+    often = {e: n for e, n in Counter(bounds).items() if n > 1}
+    if split and wanted > 1:
+        lots = F.when(value.isNull(), wanted)
+        for n in sorted(set(often.values())):
+            lots = lots.when(value.isin([e for e, k in often.items() if k == n]), n + 1)
+        rest = F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+        # A range's edge stands behind the other positions of the range, and so do its lots.
+        lot = F.pmod(rest, lots.otherwise(1).cast("long")) + F.when(value.isin(list(often)), 1).otherwise(0) if often else F.pmod(rest, lots.otherwise(1).cast("long"))
+    return df.withColumn("__bucket", F.struct(F.when(value.isNull(), -1).otherwise(place).alias("place"), lot.alias("lot")))
+
+
+def running_sum(df: DataFrame, value: Column, pos: str = "pos", out: str = "running", then: Sequence[str] = ()) -> DataFrame:
+    """df with the sum of value over all rows up to and including each, by pos (a long) and, where positions are equal, by `then`; otherwise equals come in any order. Null positions come first.
+
+    Two passes: sums of ranges of positions with about BUCKET rows each, then running sums within each range from where
+    those before it end. Positions may be sparse or repeated: without `then`, rows of a position that many rows have are dealt out, rows alike in all columns excepted. The sums, of which there are twice BUCKETS at most, are all that meets in one place.
     """
-    bucketed = df.withColumn("__bucket", F.floor(F.col(pos) / BUCKET)).withColumn("__value", value)
+    bucketed = _bucketed(df, pos, not then).withColumn("__value", value)
     totals = bucketed.groupBy("__bucket").agg(F.sum("__value").alias("__total"))
     base = totals.withColumn("__base", F.sum("__total").over(Window.orderBy("__bucket")) - F.col("__total")).drop("__total")
-    inside = Window.partitionBy("__bucket").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    both = bucketed.withColumn("__in", F.sum("__value").over(inside)).join(base, "__bucket")
+    inside = Window.partitionBy("__bucket").orderBy(pos, *then).rowsBetween(Window.unboundedPreceding, 0)
+    both = bucketed.withColumn("__in", F.sum("__value").over(inside)).join(F.broadcast(base), "__bucket")
     return both.withColumn(out, F.col("__in") + F.col("__base")).drop("__bucket", "__value", "__in", "__base")
 
 
-def number(df: DataFrame, pos: str = "pos", out: str = "n") -> DataFrame:
+def number(df: DataFrame, pos: str = "pos", out: str = "n", then: Sequence[str] = ()) -> DataFrame:
     """df with the row number by pos, from 0."""
-    return running_sum(df, F.lit(1).cast("long"), pos, out).withColumn(out, F.col(out) - 1)
+    return running_sum(df, F.lit(1).cast("long"), pos, out, then).withColumn(out, F.col(out) - 1)
 
 
 def bounded_prefix(df: DataFrame, max_rows: int, max_bytes: int, text: str = "text", pos: str = "pos", strict: bool = False) -> DataFrame:
@@ -69,13 +112,16 @@ def keep_first(df: DataFrame, by: Column, *order: Column | str) -> DataFrame:
 
 
 def concat(*frames: DataFrame, pos: str = "pos") -> DataFrame:
-    """The frames one after the other: each one's positions begin behind the largest of those before it."""
-    out, base = frames[0], frames[0].agg((F.coalesce(F.max(pos), F.lit(-1)) + 1).alias("__base"))
-    for df in frames[1:]:
-        columns = df.columns
-        out = out.unionByName(df.crossJoin(F.broadcast(base)).withColumn(pos, F.col(pos) + F.col("__base")).select(*columns))  # base is one row
-        base = out.agg((F.coalesce(F.max(pos), F.lit(-1)) + 1).alias("__base"))
-    return out
+    """The frames one after the other: each one's positions, from 0, begin behind the largest of those before it.
+
+    Each frame is read twice: for its largest position, of which there is one row a frame, and in the union.
+    """
+    tagged = [df.select(*frames[0].columns, F.lit(i).alias("__frame")) for i, df in enumerate(frames)]
+    every = reduce(DataFrame.unionByName, tagged)
+    widths = every.groupBy("__frame").agg(F.greatest(F.max(pos) + 1, F.lit(0)).alias("__width"))
+    before = Window.orderBy("__frame").rowsBetween(Window.unboundedPreceding, -1)  # a row a frame
+    base = widths.select("__frame", F.coalesce(F.sum("__width").over(before), F.lit(0)).alias("__base"))
+    return every.join(F.broadcast(base), "__frame").withColumn(pos, F.col(pos) + F.col("__base")).select(*frames[0].columns)
 
 
 def union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -97,19 +143,44 @@ def batches(df: DataFrame, size: int, pos: str = "pos", out: str = "batch") -> D
     return number(df, pos, out).withColumn(out, F.floor(F.col(out) / size))
 
 
+#: Rounds of the permutation of a turn's choices.
+ROUNDS = 16
+
+
+def _drawn(seed: int, *what: Column) -> Column:
+    """60 bits of the SHA-256 of what is named."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[w.cast("string") for w in what]), 256), 1, 15), 16, 10).cast("long")
+
+
+def permuted(x: Column, total: int, turn: Column, seed: int) -> Column:
+    """The place of x in a permutation of 0 to total - 1, one for each turn: in each round x and its mirror image about a drawn centre change places, or not.
+
+    A place is computed by itself; no order of all rows is needed.
+    """
+
+    def round_(x: Column, r: Column) -> Column:
+        mirror = F.array(F.pmod(_drawn(seed, turn, r) - x, F.lit(total).cast("long")))
+        # As an element of an array it is computed once.
+        return F.get(F.transform(mirror, lambda m: F.when(_drawn(seed, turn, r, F.greatest(x, m)) % 2 == 1, m).otherwise(x)), 0)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x.cast("long"), round_)
+
+
 def seeded_choice(df: DataFrame, key: str, count: int, seed: int, out: str = "n") -> DataFrame:
     """`count` rows in an order drawn from the seed, numbered from 0; once all are used, a new order begins.
 
-    Keys have to be distinct. Orders come from SHA-256, so reruns and other machines agree.
+    Keys have to be distinct. Choice k takes the row whose number by key the permutation of turn k // rows names for k % rows: rows
+    meet their choices by number. Orders come from SHA-256, so reruns and other machines agree. Keys that are no
+    numbers are numbered in the order of their hashes.
     """
     total = df.count()
     if not total:
         raise ValueError("there is nothing to choose from")
-    cycles = -(-count // total)
-    turns = df.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
-    keyed = turns.withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("__turn").cast("string"), F.col(key).cast("string")), 256))
-    chosen = keyed.orderBy("__turn", "__h").limit(count)
-    return chosen.withColumn(out, F.row_number().over(Window.orderBy("__turn", "__h")) - 1).withColumn(out, F.col(out).cast("long")).drop("__turn", "__h")
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    rows = number(df.withColumn("__key", F.col(key) if whole else _drawn(seed, F.col(key))), "__key", "__at", (key,)).drop("__key")
+    k = F.col("id")
+    choices = df.sparkSession.range(count).select(k.alias(out), permuted(k % total, total, F.floor(k / total), seed).alias("__at"))
+    return choices.join(rows, "__at").select(*df.columns, out)
 
 
 def shard_index(shards: DataFrame, rows: str = "rows", pos: str = "shard") -> DataFrame:
@@ -131,7 +202,9 @@ def locate(ids: DataFrame, index: DataFrame, row: str = "row_id", rows: str = "r
 def shuffled_shards(shards: DataFrame, shard: str, seed: int, epoch: int, workers: int) -> DataFrame:
     """The place of each shard in an epoch's hash order, and the worker that reads it, in turn."""
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(shard).cast("string")), 256)
-    placed = shards.withColumn("place", F.row_number().over(Window.orderBy(h)).cast("long") - 1)  # one row a shard
+    # The hash's first digits are the position, the whole of it decides between equals.
+    keyed = shards.withColumn("__hash", h).withColumn("__at", F.conv(F.substring("__hash", 1, 15), 16, 10).cast("long"))
+    placed = number(keyed, "__at", "place", ("__hash",)).drop("__hash", "__at")
     return placed.withColumn("worker", F.col("place") % workers)
 
 

@@ -6,38 +6,48 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.curate import fill_in_middle
 from textloom.operators.order import running_sum
+from textloom.session import temporary
 
 
 def per_document(df: DataFrame, context: int, pad: int, tokens: str = "tokens", pos: str = "pos") -> DataFrame:
-    """pos, k, token_ids: each document's own rows, the last one padded; documents of under two tokens have none."""
-    t = F.col(tokens)
-    rows = df.where(F.size(t) >= 2).select(pos, t.alias("t"), F.explode(F.sequence(F.lit(0), F.ceil((F.size(t) - 1) / context).cast("int") - 1)).alias("k"))
-    part = F.slice("t", F.col("k") * context + 1, F.lit(context + 1))
-    return rows.select(pos, "k", F.concat(part, F.array_repeat(F.lit(pad), context + 1 - F.size(part))).alias("token_ids"))
+    """pos, k, token_ids: each document's own rows, the last one padded; documents of under two tokens have none.
+
+    A document is cut before its rows are made, so that no row has more than its own tokens.
+    """
+    last = F.ceil((F.size(tokens) - 1) / context).cast("int") - 1
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), F.slice(tokens, k * context + 1, F.lit(context + 1)).alias("p")))
+    rows = df.where(F.size(tokens) >= 2).select(pos, F.explode(cut).alias("c")).select(pos, "c.k", "c.p")
+    return rows.select(pos, "k", F.concat("p", F.array_repeat(F.lit(pad), context + 1 - F.size("p"))).alias("token_ids"))
 
 
 def across_documents(df: DataFrame, context: int, pad: int, tokens: str = "tokens", pos: str = "pos") -> DataFrame:
     """k, token_ids: rows of one stream of all documents by pos; the last row is padded if two tokens or more are left for it.
 
-    Each document is cut at the rows it reaches, from its offset in the stream, and the
-    pieces of a row meet by a shuffle: no task walks the whole stream.
+    Tokens are written once beside their numbers, from which each document's offset comes. Each document is cut at the rows it reaches,
+    and the pieces of a row meet by a shuffle: no task walks the whole stream, and no row but a document's own holds all its tokens.
     """
-    kept = df.where(F.size(tokens) >= 2).select(pos, F.col(tokens).alias("t"), F.size(tokens).cast("long").alias("n"))
-    placed = running_sum(kept, F.col("n"), pos, "end").withColumn("start", F.col("end") - F.col("n"))
-    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    spark = df.sparkSession
+    sized = df.where(F.size(tokens) >= 2).select(F.col(pos).alias("pos"), F.col(tokens).cast("array<int>").alias("t"), F.size(tokens).cast("long").alias("n"))
+    path = temporary(spark, "tokens")
+    sized.write.parquet(path)
+    kept = spark.read.schema(sized.schema).parquet(path)
+    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = -(-(total - 1) // context) if total else 0
+    placed = running_sum(kept, F.col("n"), "pos", "end").withColumn("start", F.col("end") - F.col("n"))
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("start") - context) / context))
-    last = F.floor((F.col("end") - 1) / context)
-    # One row, the stream's length, beside every document: a broadcast of eight bytes.
-    each = placed.join(F.broadcast(total)).select("t", "n", "start", "total", F.explode(F.sequence(first, last)).alias("k")).where(F.col("k") < F.ceil((F.col("total") - 1) / context))
-    a = F.greatest(F.col("k") * context, F.col("start"))
-    b = F.least((F.col("k") + 1) * context, F.col("start") + F.col("n") - 1)
-    pieces = each.where(b >= a).select("k", a.alias("a"), F.slice("t", (a - F.col("start") + 1).cast("int"), (b - a + 1).cast("int")).alias("p"))
-    rows = pieces.groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", "p"))), lambda x: x["p"])).alias("x"))
-    return rows.select("k", F.concat("x", F.array_repeat(F.lit(pad), context + 1 - F.size("x"))).alias("token_ids"))
+    last = F.least(F.floor((F.col("end") - 1) / context), F.lit(rows - 1).cast("long"))
+
+    def piece(k: Column) -> Column:
+        a, b = F.greatest(k * context, F.col("start")), F.least((k + 1) * context, F.col("end") - 1)
+        return F.struct(k.alias("k"), a.alias("a"), F.slice("t", (a - F.col("start") + 1).cast("int"), F.greatest(b - a + 1, F.lit(0)).cast("int")).alias("p"))
+
+    pieces = placed.where(first <= last).select(F.explode(F.transform(F.sequence(first, last), piece)).alias("c")).select("c.*").where(F.size("p") > 0)
+    whole = pieces.groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", "p"))), lambda x: x["p"])).alias("x"))
+    return whole.select("k", F.concat("x", F.array_repeat(F.lit(pad), context + 1 - F.size("x"))).alias("token_ids"))
 
 
 def statistics(rows: DataFrame, pad: int) -> DataFrame:

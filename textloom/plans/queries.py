@@ -241,13 +241,15 @@ def pack_per_document(spark, sf_dir):
     return rows.select("pos", "k", _spaced("token_ids").alias("ids"))
 
 
-STREAM = f"(select list(x order by pos, i) as s from (select pos, unnest(t) as x, generate_subscripts(t, 1) as i from {ENCODED} where len(t) >= 2))"
-PACKED = f"(select k, list_concat(s[k * 64 + 1 : k * 64 + 65], list_transform(range(0, greatest(0, 65 - (len(s) - k * 64))), lambda x: 2)) as ids from (select s, unnest(range(0, ceil((len(s) - 1) / 64.0)::BIGINT)) as k from {STREAM}))"
+# Every token with its place in the stream of all documents; the first of a row is also the last of the row before.
+_PLACES = f"(select s + generate_subscripts(t, 1) - 1 as g, unnest(t) as id from (select t, sum(len(t)) over (order by pos) - len(t) as s from {ENCODED} where len(t) >= 2))"
 
 
-@query()
+@query(f"""with x as materialized {_PLACES}, r as (select g // 64 as k, g, id from x union all select g // 64 - 1, g, id from x where g % 64 = 0 and g > 0),
+p as (select k::BIGINT as k, list(id order by g) as l from r where k < (select ceil((count(*) - 1) / 64.0) from x) group by 1)
+select k, array_to_string(list_concat(l, list_transform(range(0, 65 - len(l)), lambda i: 2)), ' ') as ids from p""")
 def pack_cross_document(spark, sf_dir):
-    """Rows of one stream of all documents; SQL over one list of all tokens is too slow, so that pack_stats has SQL of a closed form instead."""
+    """Rows of one stream of all documents."""
     rows = pack.checked(pack.across_documents(_encoded(spark, sf_dir), 64, 2))
     return rows.select("k", _spaced("token_ids").alias("ids"))
 

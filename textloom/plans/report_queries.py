@@ -108,8 +108,22 @@ def prompt_batches(spark, sf_dir):
     return order.batches(rows, 8).select("conv_id", "turn", "batch")
 
 
-@query("""with b as (select distinct p_brand as k from part), t as (select k, c, sha256('7:' || c || ':' || k) as h from b, (select unnest(range(0, (select (70 + count(*) - 1) // count(*) from b))) as c))
-select (row_number() over (order by c, h) - 1)::BIGINT as seed_id, k from t order by 1 limit 70""")
+_DIGITS = "('0x' || substr(sha256({0}), 1, 15))::BIGINT"
+
+
+def _permuted_in_sql(rounds: int) -> str:
+    """c{rounds}: the choices (id, turn, x, n) after all rounds."""
+    out = []
+    for r in range(rounds):
+        mirror = f"(({_DIGITS.format(f"'7:' || turn || ':{r}'")} - x) % n + n) % n"
+        bit = _DIGITS.format(f"'7:' || turn || ':{r}:' || greatest(x, m)")
+        out.append(f"c{r + 1} as (select id, turn, n, case when {bit} % 2 = 1 then m else x end as x from (select *, {mirror} as m from c{r}))")
+    return ", ".join(out)
+
+
+@query(f"""with b as (select k, row_number() over (order by {_DIGITS.format("'7:' || k")}, k) - 1 as spot from (select distinct p_brand as k from part)),
+c0 as (select id, id // n as turn, id % n as x, n from (select unnest(range(0, 70)) as id, (select count(*) from b) as n)), {_permuted_in_sql(16)}
+select id::BIGINT as seed_id, k from c16 join b on spot = x""")
 def seeded_choice(spark, sf_dir):
     """Seventy brands of fewer, drawn in new orders until there are enough: the operator's own limit."""
     return order.seeded_choice(table(spark, sf_dir, "part").select(F.col("p_brand").alias("k")).distinct(), "k", 70, 7, "seed_id").select("seed_id", "k")
