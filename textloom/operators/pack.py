@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.curate import fill_in_middle
 from textloom.operators.order import running_sum
-from textloom.session import temporary
+from textloom.session import delete, temporary
 
 
 def per_document(df: DataFrame, context: int, pad: int, tokens: str = "tokens", pos: str = "pos") -> DataFrame:
@@ -99,13 +99,16 @@ def write_shards(rows: DataFrame, path: str, row_tokens: int, max_tokens: int) -
         raise ValueError("a shard has to hold a row")
     spark = rows.sparkSession
     even = F.when(F.size("token_ids") == row_tokens, F.col("token_ids")).otherwise(F.raise_error(F.lit("a row of another length")).cast("array<int>"))
-    placed = checked(rows.withColumn("token_ids", even)).withColumn("shard", shard_of("k", row_tokens, max_tokens))
+    # The rows are made once; the shards and their index are both of this table.
+    held = temporary(spark, "packed-rows")
+    checked(rows.withColumn("token_ids", even)).withColumn("shard", shard_of("k", row_tokens, max_tokens)).write.parquet(held)
+    placed = spark.read.parquet(held)
     placed.repartition("shard").sortWithinPartitions("shard", "k").write.partitionBy("shard").parquet(f"{path}/shards")
-    written = spark.read.schema(placed.schema).parquet(f"{path}/shards").groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence"))
-    index = written.withColumn("tokens", F.col("sequences") * row_tokens)
+    index = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence")).withColumn("tokens", F.col("sequences") * row_tokens)
     if index.isEmpty():
         raise ValueError("packing made no rows")
     index.write.parquet(f"{path}/index")
+    delete(spark, held)
     return spark.read.parquet(f"{path}/index")
 
 

@@ -35,6 +35,11 @@ def _pieces(text: str, specials: Sequence[str]) -> list[str]:
     return re.split("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")", text)
 
 
+def once(function):
+    """A Python function whose result is computed once where it is used often: Spark leaves such a call where it stands."""
+    return function.asNondeterministic()
+
+
 #: Code points there are: an alphabet is no larger, which bounds what encoding broadcasts to 4.5 MB.
 _POINTS = 0x110000
 
@@ -61,7 +66,7 @@ def character_encode(df: DataFrame, vocabulary: dict[str, int], text: str = "tex
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else encode(v))
 
-    return df.withColumn("tokens", run(text))
+    return df.withColumn("tokens", once(run)(text))
 
 
 def character_decode(df: DataFrame, vocabulary: dict[str, int], tokens: str = "tokens", specials: Sequence[str] = SPECIALS, out: str = "decoded") -> DataFrame:
@@ -146,7 +151,7 @@ def train_on(df: DataFrame, merges: int, text: str = "text") -> DataFrame:
 
 
 #: Texts are put together in groups of about so many bytes.
-_GROUP_BYTES = 1 << 20
+_GROUP_BYTES = 1 << 21
 
 
 def _groups(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
@@ -264,7 +269,7 @@ def bpe_encode(merges: Sequence[tuple[bytes, bytes]] | BytePairs, bos: bool = Fa
         out[known] = pd.Series(tokens.encode_all(values[known].tolist(), bos, eos), index=values.index[known], dtype=object)
         return out
 
-    return run
+    return once(run)
 
 
 def bpe_decode(merges: Sequence[tuple[bytes, bytes]] | BytePairs):

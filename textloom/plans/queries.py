@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import hashing, text as T
 from textloom.operators import byte_pairs, code, curate, measure, order, pack, prefer, tokenize
-from textloom.session import table, temporary
-from textloom.streaming import events as stream
+from textloom.session import spread, table, temporary
+from textloom.streaming import events as stream, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,7 +154,7 @@ def char_vocab(spark, sf_dir):
 
 def _encoded(spark, sf_dir):
     """documents as (pos, text, tokens). The alphabet that comes to the driver has a row a code point at most."""
-    rows = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text")
+    rows = spread(table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text"))
     return tokenize.character_encode(rows, {r["token"]: r["id"] for r in tokenize.character_vocabulary(rows).collect()})
 
 
@@ -222,7 +222,7 @@ def bpe_train_distributed(spark, sf_dir):
 def bpe_encode_trained(spark, sf_dir):
     """Bytes and tokens of every document under 1,000 merges of all documents, and whether decoding gives the text back."""
     merges = byte_pairs.train(docs(spark, sf_dir), 1000)
-    ids = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null").withColumn("ids", tokenize.bpe_encode(merges)("text"))
+    ids = spread(table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null")).withColumn("ids", tokenize.bpe_encode(merges)("text"))
     return ids.select("pos", F.octet_length("text").alias("bytes"), F.size("ids").alias("tokens"), (tokenize.bpe_decode(merges)("ids") == F.col("text")).alias("same"))
 
 
@@ -230,7 +230,7 @@ def bpe_encode_trained(spark, sf_dir):
 def bpe_encode_stats(spark, sf_dir):
     """Bytes of every document, and whether decoding its tokens gives the text back and there are no more of them than bytes; under the merges of bpe_train's bounded sample."""
     merges = [(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])) for r in sorted(bpe_train(spark, sf_dir).collect(), key=lambda r: r["rank"])]
-    ids = table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null").withColumn("ids", tokenize.bpe_encode(merges)("text"))
+    ids = spread(table(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text").where("text is not null")).withColumn("ids", tokenize.bpe_encode(merges)("text"))
     return ids.select("pos", F.octet_length("text").alias("bytes"), (tokenize.bpe_decode(merges)("ids") == F.col("text")).alias("same"), (F.size("ids") <= F.octet_length("text")).alias("fewer"))
 
 
@@ -391,12 +391,13 @@ def worst_layer(spark, sf_dir):
 _FALLS = "(0.1::DOUBLE + 0.9::DOUBLE * ({0}))"
 
 
-@query(f"""select s::BIGINT as step, 0.01::DOUBLE as fixed, round(0.01::DOUBLE * case when s <= 100 then s / 100.0::DOUBLE else {_FALLS.format('1 - (s - 101) / 899.0::DOUBLE')} end, 12) as linear,
-round(0.01::DOUBLE * case when s <= 100 then s / 100.0::DOUBLE else {_FALLS.format('0.5::DOUBLE * (1 + cos(pi() * (s - 101) / 899.0::DOUBLE))')} end, 12) as cosine from range(1, 1001) t(s)""")
+@query(f"""select o_orderkey, 0.01::DOUBLE as fixed, round(0.01::DOUBLE * case when s <= 100 then s / 100.0::DOUBLE else {_FALLS.format('1 - (s - 101) / 899.0::DOUBLE')} end, 12) as linear,
+round(0.01::DOUBLE * case when s <= 100 then s / 100.0::DOUBLE else {_FALLS.format('0.5::DOUBLE * (1 + cos(pi() * (s - 101) / 899.0::DOUBLE))')} end, 12) as cosine from (select o_orderkey, o_orderkey % 1000 + 1 as s from orders)""")
 def lr_schedule(spark, sf_dir):
-    """Steps 1 to 1000, a warm-up of 100 and a tenth of the rate at the end."""
-    s = F.col("id")
-    return spark.range(1, 1001).select(s.alias("step"), measure.learning_rate(s, "fixed", 0.01, 0, 1000).alias("fixed"), *[F.round(measure.learning_rate(s, k, 0.01, 100, 1000, 0.1), 12).alias(k) for k in ("linear", "cosine")])
+    """Orders stand in for training records at steps from 1 to 1000: the rates with a warm-up of 100 and a tenth of the rate at the end."""
+    s = F.col("o_orderkey") % 1000 + 1
+    rates = [F.round(measure.learning_rate(s, k, 0.01, 100, 1000, 0.1), 12).alias(k) for k in ("linear", "cosine")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", measure.learning_rate(s, "fixed", 0.01, 0, 1000).alias("fixed"), *rates)
 
 
 _SEEDS = "(select (row_number() over (order by p, b, s) - 1)::BIGINT as seed_id, p, b, s from (select distinct p_brand as b from part), (select distinct p_size as s from part where p_size <= 10), (select unnest(['add', 'scale', 'join']) as p))"
@@ -526,3 +527,24 @@ def event_windows(spark, sf_dir):
     stream.drain_updates(stream.windowed_counts(events, "ts", "event_type", lateness="10 days"), f"{base}/out", f"{base}/offsets")
     out = stream.latest(spark.read.parquet(f"{base}/out/*"), "start", "event_type")
     return out.withColumn("start", F.col("start").cast(dict(table(spark, sf_dir, "events").dtypes)["ts"]))
+
+
+_STATUS = "case when event_id % 11 = 3 then 'damaged' when event_type < 'd' then 'unsupported' when event_id % 4 = 0 then 'due' else 'passed' end"
+
+
+@query(f"select {_STATUS} as status, count(*) as events, sum(case when {_STATUS} = 'damaged' then null else event_id end)::BIGINT as steps from events group by 1")
+def polled_events(spark, sf_dir):
+    """Events as files of a folder that is polled until it is empty, in batches that a ledger enters; each event of a supported kind at every fourth step is due.
+
+    One line in eleven is damaged. A second run over the same folder finds nothing new.
+    """
+    base = temporary(spark, "polled")
+    kind = F.when(F.col("event_id") % 11 == 3, F.lit('{"step": ')).otherwise(F.to_json(F.struct(F.col("event_id").alias("step"), F.col("event_type").alias("kind"))))
+    table(spark, sf_dir, "events").repartitionByRange(6, "ts").select(kind.alias("value")).write.text(f"{base}/in")
+    files = ledger.event_files(spark, f"{base}/in", "step long, kind string", "*.txt", 2)
+    found = ledger.judged(files, F.col("event.kind") >= "d", F.col("event.step"), 4).select(F.col("event.step").alias("step"), "status")
+    book = ledger.Ledger(spark, f"{base}/out")
+    for _ in range(2):
+        book.drain(found)
+    rows = book.rows("step long, status string")
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("events"), F.sum("step").alias("steps"))

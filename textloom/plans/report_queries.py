@@ -171,12 +171,23 @@ def candidate_tasks(spark, sf_dir):
 AXES = {"edge": ["return None", "return zero"], "output": ["a boolean", "a number or None", "a dictionary"], "style": ["early return", "comprehension", "dictionary accumulator", "loop"], "operation": ["find the first item", "check each item", "sum the items"]}
 
 
-@query(f"""select * from {', '.join(f"(select unnest({values}) as {name})" for name, values in AXES.items())}
+def _axes() -> list[tuple[str, list[str], int]]:
+    """The axes with their values and by how much a part's key is divided before it chooses one."""
+    out, by = [], 1
+    for name, values in AXES.items():
+        out.append((name, values, by))
+        by *= len(values)
+    return out
+
+
+@query(f"""select * from (select p_partkey, {', '.join(f"({values})[(p_partkey // {by}) % {len(values)} + 1] as {name}" for name, values, by in _axes())} from part)
 where not (contains(edge, 'return None') and not contains(output, 'or None')) and not (contains(style, 'dictionary accumulator') and not contains(output, 'dictionary'))
 and not (contains(style, 'comprehension') and starts_with(operation, 'find the first'))
 and not (contains(style, 'early return') and not (output = 'a boolean' or contains(output, 'or None') or starts_with(operation, 'find') or starts_with(operation, 'check')))""")
 def seed_compatible(spark, sf_dir):
-    return spark.sql(f"select * from {prefer.product(**AXES)}").where(prefer.compatible())
+    """A task seed for each part, of which those stay whose axes go together."""
+    chosen = [F.get(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("p_partkey") / by) % len(values)).cast("int")).alias(name) for name, values, by in _axes()]
+    return table(spark, sf_dir, "part").select("p_partkey", *chosen).where(prefer.compatible())
 
 
 @query("""select conv_id, turn, sha256(case when a is null then '' else a end || case when turn % 2 = 0 and not starts_with(b, chr(10)) and b != '' then chr(10) else '' end || b) as h from

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import json_fields, text as T
-from textloom.operators import curate, measure, order, pack, prefer, records, report, tokenize
+from textloom.operators import byte_pairs, curate, measure, order, pack, prefer, records, report, tokenize
 from textloom.plans.queries import DOCS, FRACTION, docs, query
-from textloom.session import table, temporary
+from textloom.session import spread, table, temporary
 from textloom.sources import manifests, readers
 
 
@@ -224,12 +224,31 @@ _RUN = f"(select sum(case when x < 0.5::DOUBLE and n >= 30 then n + 3 else n end
 def pack_run(spark, sf_dir):
     """Whole documents with middles to fill in, tokenized with their marks as single tokens, packed across documents and written as shards: the index that is written."""
     specials = ("<bos>", "<eos>", "<pad>", "<fim_prefix>", "<fim_suffix>", "<fim_middle>")
-    source = docs(spark, sf_dir)
+    source = spread(docs(spark, sf_dir))
     vocabulary = {r["token"]: r["id"] for r in tokenize.character_vocabulary(source, specials=specials).collect()}
     rows = pack.pack(pack.training_split(source), lambda df: tokenize.character_encode(df, vocabulary, specials=specials), 64, 2, 0, 1, fim={"probability": 0.5, "least": 10})
     return pack.write_shards(rows, temporary(spark, "packed"), 65, 6500)
 
 
+#: Merges of pack_run_pairs.
+PAIRS = 500
+
+
+@query()
+def pack_run_pairs(spark, sf_dir):
+    """pack_run with byte pairs: tokens of merges of all documents, marks as single tokens, rows of 256 tokens that overlap by one and shards of a million tokens.
+
+    SQL that merges one by one is too slow; tested against a plain version.
+    """
+    source = spread(docs(spark, sf_dir))
+    marks = ("<fim_prefix>", "<fim_suffix>", "<fim_middle>")
+    tokens = tokenize.BytePairs(tuple(byte_pairs.train(source, PAIRS)), marks, "<bos>", "<eos>", "<pad>")
+    encode = lambda df: df.withColumn("tokens", tokenize.bpe_encode(tokens)("text"))
+    ends = (tokens.id_of("<pad>"), tokens.id_of("<bos>"), tokens.id_of("<eos>"))
+    rows = pack.pack(pack.training_split(source), encode, 256, *ends, fim={"probability": 0.5, "least": 10})
+    return pack.write_shards(rows, temporary(spark, "packed"), 257, 1_000_000)
+
+
 @query("""with r as (select l_orderkey as shard, l_linenumber as row, sha256('3:1:' || l_orderkey || ':' || l_linenumber) as h from lineitem), s as (select shard, row_number() over (order by sha256('3:1:' || shard)) - 1 as p from (select distinct shard from r))
 select r.shard, row, p::BIGINT as shard_place, (p % 6)::BIGINT as worker, (row_number() over (partition by r.shard order by h) - 1)::BIGINT as row_place from r join s using (shard)""")
 def shuffled_rows(spark, sf_dir):
