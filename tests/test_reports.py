@@ -91,7 +91,8 @@ def test_archives_in_archives(spark, tmp_path):
     got = rows(archives.nested(spark, str(tmp_path / "*.zip")).select(F.regexp_replace("archive", "^.*/(?=[op].zip)", ""), "path", F.decode("content", "UTF-8")))
     assert set(got) == {("o.zip", "a/manifest.json", "{}"), ("o.zip!a/bundle.zip", "r.json", "[1]"), ("p.zip", None, None)} and len(got) == 3
     entries = spark.createDataFrame([("b", b"2"), ("a", b"1")], "path string, content binary")
-    assert zipfile.ZipFile(io.BytesIO(archives.bundle(entries))).namelist() == ["a", "b"]
+    archives.bundle(entries, f"{tmp_path}/made.zip")
+    assert zipfile.ZipFile(tmp_path / "made.zip").namelist() == ["a", "b"]
 
 
 def test_lock_is_held_and_taken_over(tmp_path):

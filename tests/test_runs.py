@@ -1,5 +1,6 @@
 """Sources, sinks, tokenizers, packing runs and stages: the cases that tables do not hold."""
 
+import hashlib
 import json
 import struct
 import zipfile
@@ -228,35 +229,86 @@ def test_small_files_are_replaced_whole(spark, tmp_path):
     assert not [p for p in (tmp_path / "x").iterdir() if "pending" in p.name and not p.name.endswith(".crc")] and manifests.exists(spark, path)
 
 
-def _record(data: bytes) -> bytes:
-    return struct.pack("<QI", len(data), 0) + data + struct.pack("<I", 0)
-
-
 def _field(number: int, data: bytes) -> bytes:
     return bytes([number << 3 | 2, len(data)]) + data
 
 
-def _event(step: int, tag: str, value: float) -> bytes:
-    number = _field(1, tag.encode()) + b"\x15" + struct.pack("<f", value)
-    return _record(b"\x09" + struct.pack("<d", 0.0) + b"\x10" + bytes([step]) + _field(5, _field(1, number)))
+def test_checksums_are_those_of_the_format():
+    """Known values of CRC-32C, before they are turned."""
+    turned = lambda c: ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    assert scalars.checksum(b"123456789") == turned(0xE3069283) and scalars.checksum(b"") == turned(0) and scalars.checksum(bytes(32)) == turned(0x8A9136AA)
 
 
 def test_scalar_events(spark, tmp_path):
     tensor = _field(1, b"t") + _field(8, b"\x08\x01" + _field(4, struct.pack("<f", 2.5)))
-    version = _record(b"\x09" + struct.pack("<d", 0.0) + _field(3, b"brain.Event:2"))
-    data = version + _event(2, "loss", 0.5) + _event(1, "loss", 1.0) + _record(b"\x10\x07" + _field(5, _field(1, tensor))) + b"cut off"
+    version = scalars.record(b"\x09" + struct.pack("<d", 0.0) + _field(3, b"brain.Event:2"))
+    data = version + scalars.record(scalars.event(2, "loss", 0.5)) + scalars.record(scalars.event(1, "loss", 1.0)) + scalars.record(b"\x10\x07" + _field(5, _field(1, tensor))) + b"cut off"
     (tmp_path / "events.out.tfevents.1").write_bytes(data)
+    (tmp_path / "events.out.tfevents.2").write_bytes(b"")
     found = scalars.scalar_events(spark, str(tmp_path))
     assert sorted(rows(found.select("tag", "step", "value"))) == [("loss", 1, 1.0), ("loss", 2, 0.5), ("t", 7, 2.5)]
     points = {r["tag"]: [tuple(p) for p in r["points"]] for r in scalars.series(found).collect()}
     assert points["loss"] == [(1, 1.0), (2, 0.5)] and rows(scalars.step_of(found)) == [(7,)]
 
 
-def test_bundles_list_their_files(spark):
-    df = spark.createDataFrame([("b", bytearray(b"old"), 0), ("a", bytearray(b"x"), 1), ("b", bytearray(b"new"), 2)], "path string, content binary, pos long")
-    with zipfile.ZipFile(BytesIO(archives.bundle(df, pos="pos", manifest="manifest.json"))) as z:
-        assert z.namelist() == ["manifest.json", "a", "b"] and z.read("b") == b"new"
-        assert [(f["path"], f["size"]) for f in json.loads(z.read("manifest.json"))["files"]] == [("a", 1), ("b", 3)]
+@pytest.mark.parametrize("piece", [40, 333, 5000])
+def test_files_are_read_in_pieces_up_to_their_damage(spark, monkeypatch, piece):
+    """A file that is whole, one cut off, and ones with a wrong byte in a length, in data and in a checksum; the same rows for any size of pieces."""
+    step = lambda i: (i * i) << (i % 3 * 20)
+    made = [scalars.record(scalars.event(step(i), "x" * (i % 40), i / 2)) for i in range(60)]
+    at = [sum(map(len, made[:i])) for i in range(61)]
+    whole = b"".join(made)
+    bad = lambda place: whole[:place] + bytes([whole[place] ^ 1]) + whole[place + 1 :]
+    files = {"whole": (whole, 60), "cut": (whole[: at[50] + 20], 50), "length": (bad(at[33] + 1), 33), "data": (bad(at[20] + 14), 20), "check": (bad(at[8] - 1), 7), "first": (bad(0), 0), "none": (b"", 0), "text": (b"no event file at all, " * 50, 0)}
+    monkeypatch.setattr(scalars, "PIECE", piece)
+    monkeypatch.setattr(scalars, "LARGEST", 200)
+    df = spark.createDataFrame([(k, bytearray(v)) for k, (v, _) in files.items()] + [("null", None)], "path string, content binary")
+    got = rows(scalars.scalars_in(df))
+    assert sorted(got) == sorted((k, "x" * (i % 40), step(i), i / 2) for k, (_, n) in files.items() for i in range(n))
+
+
+def test_bundles_list_their_files(spark, tmp_path, monkeypatch):
+    """Any reader opens a bundle; it holds the last entry of each path, in order, also in many pieces."""
+    rows_ = [("b", bytearray(b"old"), 0), ("a", bytearray(b"x"), 1), ("b", bytearray(b"new"), 2), ("d/\u00e9", bytearray(b""), 3), ("e", None, 4), ("z" * 300, bytearray(bytes(range(256)) * 99), 5)]
+    rows_ += [(f"k{i:03d}", bytearray(f"member {i} ".encode() * (i % 7)), 9) for i in range(200)]
+    df = spark.createDataFrame(rows_, "path string, content binary, pos long").repartition(5)
+    for piece in (1 << 24, 500):
+        monkeypatch.setattr(archives, "PIECE", piece)
+        size = archives.bundle(df, f"{tmp_path}/b{piece}.zip", pos="pos", manifest="manifest.json")
+        data = (tmp_path / f"b{piece}.zip").read_bytes()
+        with zipfile.ZipFile(BytesIO(data)) as z:
+            want = {p: bytes(c or b"") for p, c, _ in rows_ if p != "b"} | {"b": b"new"}
+            assert size == len(data) and z.testzip() is None
+            assert z.namelist() == ["manifest.json", *sorted(want)] and all(z.read(n) == c for n, c in want.items())
+            told = json.loads(z.read("manifest.json"))["files"]
+            assert [(f["path"], f["size"], f["sha256"]) for f in told] == [(n, len(want[n]), hashlib.sha256(want[n]).hexdigest()) for n in sorted(want)]
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith("pending")]
+    with pytest.raises(ValueError, match="one path"):
+        archives.bundle(df, f"{tmp_path}/c.zip")
+    archives.bundle(df.limit(0), f"{tmp_path}/none.zip")
+    assert zipfile.ZipFile(f"{tmp_path}/none.zip").namelist() == []
+
+
+def test_directories_of_large_bundles():
+    """Offsets beyond 4 GB and more members than 16 bits count stand in the longer fields."""
+    members = [archives.Member(f"m{i}", 1, 3, 0x12345678, "") for i in range(70_000)]
+    found = [(m, i * 100_000) for i, m in enumerate(members)]
+    at = 7_000_000_000
+
+    class Sparse(BytesIO):
+        """A file whose first bytes are not there."""
+
+        def __init__(self, data):
+            super().__init__(data)
+
+        def seek(self, to, how=0):
+            return at + super().seek(to - at if how == 0 else to, how)
+
+        def tell(self):
+            return at + super().tell()
+
+    with zipfile.ZipFile(Sparse(b"".join(archives._directory(found, at)))) as z:
+        assert len(z.infolist()) == 70_000 and all(i.header_offset == k * 100_000 and i.CRC == 0x12345678 for k, i in enumerate(z.infolist()))
 
 
 def test_shared_folder_has_to_be_named():

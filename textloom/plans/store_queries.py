@@ -6,18 +6,17 @@ Files go to the session's shared folder. Local sources and stages need it to be
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from textloom.operators import curate, order, report, tokenize
+from textloom.operators import curate, order, tokenize
 from textloom.plans import lineage
 from textloom.plans.queries import docs, query
 from textloom.session import table, temporary
-from textloom.sources import archives, manifests, readers
+from textloom.sources import archives, manifests, readers, scalars
 
 
 def _local(spark, name: str) -> Path:
@@ -104,10 +103,10 @@ def archive_scan(spark, sf_dir):
 def bundle_entries(spark, sf_dir):
     """Orders as entries of a bundle by priority and status, of which the last of a path wins; the files of the bundle."""
     entries = table(spark, sf_dir, "orders").select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("path"), F.encode(F.format_string("order %d", "o_orderkey"), "UTF-8").alias("content"), F.col("o_orderkey").alias("pos"))
-    kept = report.last_entries(entries, "path", "pos")
-    with zipfile.ZipFile(io.BytesIO(archives.bundle(kept, manifest="bundle_manifest.json"))) as z:
-        told = [f["path"] for f in json.loads(z.read("bundle_manifest.json"))["files"]]
-        return spark.createDataFrame([(n, z.read(n).decode()) for n in told], "path string, content string")
+    target = f"{temporary(spark, 'bundle')}.zip"
+    archives.bundle(entries, target, pos="pos", manifest="bundle_manifest.json")
+    got = archives.nested(spark, target)
+    return got.where("path != 'bundle_manifest.json'").select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 _PRINT = "sha256('{\"config\":\"' || sha256('{\"k\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}') || '\",\"parents\":' || {0} || ',\"stage\":\"{1}\",\"version\":1}')"
@@ -185,3 +184,21 @@ def normal_forms(spark, sf_dir):
     longer = F.octet_length("NFD") >= F.octet_length("NFC")
     checked = F.when(longer & F.col("NFKD").isNotNull() & F.col("NFKC").isNotNull(), F.octet_length("NFC"))
     return both.agg(F.count(F.lit(1)).alias("documents"), F.sum(checked.cast("long")).alias("bytes"))
+
+
+_SCALARS = "(select event_type as run, event_id as step, user_id % 5 as tag, event_id // 400 as part, value, event_id % 400 as place from events where value is not null)"
+
+
+@query(f"""with s as {_SCALARS}, files as (select run, part, max(place) as last from s group by all), whole as (select s.* from s join files using (run, part) where part % 4 != 1 or place < last)
+select run, 'tag' || tag as tag, count(*) as points, min(step) as first_step, max(step) as last_step, round(sum(value::FLOAT::DOUBLE), 3) as total from whole group by all""")
+def scalar_logs(spark, sf_dir):
+    """Events as scalars in event files, one for each type and 400 ids; of every fourth file the last record is cut off and does not count."""
+    rows = table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.floor(F.col("event_id") / 400).alias("part"), scalars.event_record("event_id", F.concat(F.lit("tag"), (F.col("user_id") % 5).cast("string")), "value").alias("record"))
+    # A file has 400 records at most.
+    files = rows.groupBy("run", "part").agg(F.array_sort(F.collect_list(F.struct("step", "record"))).alias("all"))
+    content = F.aggregate("all", F.lit(b""), lambda whole, r: F.concat(whole, r["record"]))
+    made = files.select(F.concat_ws("/", "run", "part").alias("path"), "part", content.alias("content"))
+    path = temporary(spark, "event-files")
+    made.select("path", F.when(F.col("part") % 4 == 1, F.expr("substring(content, 1, octet_length(content) - 3)")).otherwise(F.col("content")).alias("content")).write.parquet(path)
+    found = scalars.scalars_in(spark.read.parquet(path))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("run"), "tag").agg(F.count(F.lit(1)).alias("points"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.round(F.sum("value"), 3).alias("total"))
