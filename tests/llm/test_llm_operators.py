@@ -96,6 +96,55 @@ def test_decontamination_in_blocks_keeps_rows_apart(spark, monkeypatch):
     assert got[0] == got[1]
 
 
+def test_many_items_of_the_same_words_are_one(spark):
+    """100,000 copies of a short item and 20,000 of a long one: an occurrence costs as much as one's, and all ids are listed."""
+    long_ = " ".join(f"w{i}" for i in range(20))
+    items = [([k], b"a b c") for k in range(100_000)] + [([-k], b"A, b c!") for k in range(1, 4)] + [([10**6 + k], long_.encode()) for k in range(20_000)] + [([None], b"b c")]
+    block = decontaminate.Automaton(items)
+    assert sorted(map(len, block.names)) == [0, 20_000, 100_003] and all(len(s) <= 2 for s in block.short) and all(len(s) == 1 for s in block.of.values())
+    bench = spark.createDataFrame([(k[0], t.decode()) for k, t in items], "item_id long, text string")
+    docs = [(1, "a b c " * 5000), (2, f"x {long_} " * 50), (3, "b c d"), (4, None)]
+    got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.matches(frame(spark, docs), bench)).collect()}
+    assert [(got[d]["n_words"], got[d]["n_hit"], got[d]["n_items"]) for d in (1, 2, 3, 4)] == [(15_000, 15_000, 100_003), (1050, 1000, 20_000), (3, 2, 0), (0, 0, 0)]
+
+
+def test_fifty_blocks_are_one_after_the_other(spark, monkeypatch):
+    docs = corpus()
+    items = [(i, t) for i, t in docs[7:57]] + [(99, docs[9][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.digest(decontaminate.matches(frame(spark, docs), bench)).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    sent = []
+    real = decontaminate._sent
+    monkeypatch.setattr(decontaminate, "_sent", lambda *a: sent.append(real(*a)) or sent[-1])
+    assert sorted(map(str, decontaminate.digest(decontaminate.matches(frame(spark, docs), bench)).collect())) == whole
+    # A block of one item each; what has been sent of it is gone when the next one is.
+    assert 40 < len(sent) <= len(items)
+
+
+def test_lines_of_a_very_long_text(spark):
+    """Half a million lines in one text, of which every other one stays."""
+    lines = [f"this is line {i // 2 * 7} of a long text" for i in range(500_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:4]) + "\n\nshort")], "doc_id long, text string")
+    names = [f"c{i}" for i in range(2)]
+    rows = docs.toDF(*names).withColumn("row", F.monotonically_increasing_id())
+    places = rows.select("row", F.when(F.col("c0") == 1, F.expr("transform(sequence(0, 249999), i -> 2 * i)")).otherwise(F.array().cast("array<int>")).alias("places"))
+    kept = line_dedup.without(rows.join(places, "row"), "c1", 20)
+    got = {r["c0"]: r["c1"] for r in kept.collect()}
+    assert got == {1: "\n".join(lines[::2]), 2: "\nshort"}
+
+
+def test_one_of_the_documents_that_share_an_id_teaches(spark, monkeypatch):
+    from textloom.llm import _subword
+
+    held = []
+    real = _subword.gather
+    monkeypatch.setattr(quality._subword, "gather", lambda rows, *a, **b: held.append(rows.count()) or real(rows, *a, **b))
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(5000)] + [(2, "bad words"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    assert quality.fit(docs, labels) is not None and held == [3]
+
+
 def components(docs):
     sets = {}
     for d, t in docs:

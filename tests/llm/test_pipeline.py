@@ -164,7 +164,7 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, wider, DIR).columns == wider.columns, name
     assert {(r["doc_id"], r["text"]) for r in pipeline.drop_lines(spark, docs, DIR).collect()} == {(None, good), (None, None), (1, ""), (1, "   "), (2, good + " twice"), (3, rows[6][1]), (4, "one two"), (4, "three four")}
-    assert pipeline.drop_copies(spark, docs, DIR).count() == len(rows)
+    assert pipeline.drop_copies(spark, docs, DIR).count() == len(rows) - 1  # of the two equal rows of id 2 one stays
 
 
 def test_benchmark_passages_do_not_stay(spark, monkeypatch):

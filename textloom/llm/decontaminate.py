@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._bytes import ALNUM, Words, slices
-from textloom.llm._spark import keyed, plain
+from textloom.llm._spark import keyed, plain, written
 
 WINDOW = 13
 #: Items are put into automata of so many words each, or of one longer item, which bounds what is broadcast
@@ -26,10 +27,10 @@ BLOCK_WORDS = 200_000
 class Automaton:
     """Suffix automaton of several word sequences, with the windows of each item marked.
 
-    A window is `window` consecutive words of an item, or the whole of a shorter one.
+    A window is `window` consecutive words of an item, or the whole of a shorter one. Items (ids, text) of the same words are one.
     """
 
-    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[list, bytes]], window: int = WINDOW):
         self.window = window
         texts = pa.array([t for _, t in items], pa.binary())
         hashes, bounds = [np.zeros(0, np.uint64)], [0]
@@ -39,8 +40,12 @@ class Automaton:
             bounds += list(bounds[-1] + w.bounds[1:])
         flat = np.concatenate(hashes)
         self.vocab, ids = np.unique(flat, return_inverse=True)
-        self.names = [k for k, _ in items]
-        sequences = [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(items))]
+        # The names of each distinct sequence of words: however many items have it, it is marked once.
+        named: dict[tuple[int, ...], set[str]] = {}
+        for i, (keys, _) in enumerate(items):
+            named.setdefault(tuple(ids[bounds[i] : bounds[i + 1]].tolist()), set()).update(str(k) for k in keys if k is not None)
+        self.names = [sorted(x) for x in named.values()]
+        sequences = [list(s) for s in named]
         self.least = min([min(len(s), window) for s in sequences if s], default=0)
         self._next: list[dict[int, int]] = [{}]
         self._link, self._len = [-1], [0]
@@ -109,7 +114,7 @@ class Automaton:
                 self.short[s] = (*self.short[self._link[s]], *own.get(s, ()))
 
     def match(self, words: Words) -> tuple[np.ndarray, list[set[int]]]:
-        """(which words are hit, the items of each document) of one slice of texts."""
+        """(which words are hit, the distinct sequences of each document) of one slice of texts."""
         hit = np.zeros(len(words.starts) + 1, np.int64)
         found: list[set[int]] = [set() for _ in words.counts]
         if not self.least or not len(words.starts):
@@ -143,9 +148,17 @@ class Automaton:
         long = ends - begins >= self.least
         for b, e in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
             self._walk(ids[b:e].tolist(), b, hit, found[document[b]])
-        return np.cumsum(hit)[:-1] > 0, found
+        return np.cumsum(hit)[:-1] > 0, [self._sequences(marks) for marks in found]
 
-    def _walk(self, ids: list[int], base: int, hit: np.ndarray, items: set[int]) -> None:
+    def _sequences(self, marks: set[int]) -> set[int]:
+        """What the marks of a document stand for: a window's state all sequences with that window, a negative number one short sequence."""
+        out = {-1 - m for m in marks if m < 0}
+        for m in marks:
+            if m >= 0:
+                out |= self.of.get(m, set())
+        return out
+
+    def _walk(self, ids: list[int], base: int, hit: np.ndarray, marks: set[int]) -> None:
         nxt, link, length, window = self._next, self._link, self._len, self.window
         state = matched = 0
         for i, word in enumerate(ids, base + 1):
@@ -160,12 +173,12 @@ class Automaton:
             if matched >= window:
                 hit[i - window] += 1
                 hit[i] -= 1
-                items |= self.of.get(self.anchor[state], set())
-            for n, item in self.short[state]:
+                marks.add(self.anchor[state])
+            for n, short in self.short[state]:  # one of each length at most
                 if n <= matched:
                     hit[i - n] += 1
                     hit[i] -= 1
-                    items.add(item)
+                    marks.add(-1 - short)
 
 
 _TYPE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))])
@@ -182,7 +195,7 @@ def _automaton(key: str, shared, window: int) -> Automaton:
     return _cache[key]
 
 
-def _sent(spark, block: list[tuple[object, bytes]], window: int) -> tuple[object, int, str]:
+def _sent(spark, block: list[tuple[list, bytes]], window: int) -> tuple[object, int, str]:
     """What a scan of the block needs: the items, broadcast, the window, and the name of its automaton."""
     return spark.sparkContext.broadcast(block), window, hashlib.sha256(repr((window, block)).encode()).hexdigest()
 
@@ -203,25 +216,34 @@ def _scan(shared, window: int, key: str):
                         base = int(words.bounds[d])
                         spans[d].append({"first": b - base, "last": stop - 1 - base, "start": int(words.starts[b] - offs[d]), "end": int(words.ends[stop - 1] - offs[d])})
                         b = stop
-                names = [sorted({str(automaton.names[i]) for i in s if automaton.names[i] is not None}) for s in found]
+                names = [sorted({n for i in s for n in automaton.names[i]}) if len(s) > 1 else [n for i in s for n in automaton.names[i]] for s in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(names, _TYPE.field(2).type), pa.array(spans, _TYPE.field(3).type)], schema=_TYPE)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, bytes]]]:
-    """Items in blocks of bounded size; the test set streams through the driver, one partition at a time."""
-    block, size = [], 0
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[list, bytes]]]:
+    """Distinct texts with their ids in blocks of bounded size; the test set streams through the driver, one partition and one block at a time."""
+    block: dict[bytes, list] = {}
+    size = 0
     for row in benchmark.where(F.col(text).isNotNull()).select(F.col(item), F.encode(F.col(text), "UTF-8")).toLocalIterator():
         data = bytes(row[1])
-        n = int(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM).counts[0])
-        if block and size + n > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((row[0], data))
-        size += n
+        if data not in block:
+            n = int(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM).counts[0])
+            if block and size + n > BLOCK_WORDS:
+                yield [(k, d) for d, k in block.items()]
+                block, size = {}, 0
+            size += n
+        block.setdefault(data, []).append(row[0])
     if block:
-        yield block
+        yield [(k, d) for d, k in block.items()]
+
+
+def _first(benchmark: DataFrame, item: str, text: str) -> tuple[list[tuple[list, bytes]], Iterator[list[tuple[list, bytes]]] | None]:
+    """The first block, and all of them if there are more."""
+    blocks = _blocks(benchmark, item, text)
+    first, second = next(blocks, []), next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -233,20 +255,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc: st
     null id marks words but is not listed. Repeated rows, and rows whose id is null, are judged each by itself.
     Where the test set needs several blocks, rows get a key by which the blocks' findings are put together.
     """
-    blocks = list(_blocks(benchmark, item, item_text))
+    first, blocks = _first(benchmark, item, item_text)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if len(blocks) <= 1:
-        return _scanned(source, blocks, window)
+    if blocks is None:
+        return source.mapInArrow(_scan(*_sent(docs.sparkSession, first, window)), _SPARK)
     rows = keyed(source)
     found = _scanned(rows.select(F.col("row").alias("doc_id"), "text"), blocks, window).withColumnRenamed("doc_id", "row")
     return rows.select("row", "doc_id").join(found, "row").drop("row")
 
 
-def _scanned(source: DataFrame, blocks: list[list[tuple[object, bytes]]], window: int) -> DataFrame:
-    """matches() of rows (doc_id, text); with several blocks, doc_id has to be a key."""
-    parts = [source.mapInArrow(_scan(*_sent(source.sparkSession, block, window)), _SPARK) for block in blocks or [[]]]
-    if len(parts) == 1:
-        return parts[0]
+def _scanned(source: DataFrame, blocks: Iterator[list[tuple[list, bytes]]], window: int) -> DataFrame:
+    """matches() of rows (doc_id, text) under several blocks, one after the other; doc_id has to be a key.
+
+    Each block's findings are written before the next one is sent, so that the driver and the workers hold one at a time.
+    """
+    parts = []
+    for block in blocks:
+        sent = _sent(source.sparkSession, block, window)
+        part = source.mapInArrow(_scan(*sent), _SPARK)
+        # All rows come from the first block, of the others those with hits.
+        parts.append(written(part.where("size(spans) > 0") if parts else part, "block-hits"))
+        sent[0].destroy()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -332,11 +361,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     judged where they are, and texts are not shuffled; with more, rows get a key by which
     verdicts meet them.
     """
-    blocks = list(_blocks(benchmark, item, item_text))
-    if not blocks:
+    first, blocks = _first(benchmark, item, item_text)
+    if not first:
         return docs
-    if len(blocks) == 1:
-        return docs.mapInArrow(_clean(*_sent(docs.sparkSession, blocks[0], window), docs.columns.index(text), share, span_words), docs.schema)
+    if blocks is None:
+        return docs.mapInArrow(_clean(*_sent(docs.sparkSession, first, window), docs.columns.index(text), share, span_words), docs.schema)
     rows = keyed(plain(docs))
     own = f"c{docs.columns.index(text)}"
     found = _scanned(rows.select(F.col("row").alias("doc_id"), F.col(own).cast("string").alias("text")), blocks, window)

@@ -166,8 +166,13 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc:
     kept = judged.where("not near").groupBy("row").agg(F.collect_set("pos").alias("places"))
     # Texts are dealt out once, and not sorted: each task holds its part of the places.
     both = rows.join(kept.hint("shuffle_hash"), "row", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
-    rest = f"array_join(filter(split(cast({own} as string), '\\n'), (line, i) -> length(line) < {1 if short else min_chars} or array_contains(places, i)), '\\n')"
-    return both.withColumn(own, F.expr(rest)).select(*names).toDF(*docs.columns)
+    return without(both, own, 1 if short else min_chars).select(*names).toDF(*docs.columns)
+
+
+def without(rows: DataFrame, text: str, judged: int) -> DataFrame:
+    """rows (places, text) with the lines at the places and those of under `judged` characters, in their order: no line is looked for among the places."""
+    never = f"filter(sequence(0, size(all) - 1), i -> length(all[i]) < {judged})"
+    return rows.withColumn(text, F.expr(f"transform(array(split(cast({text} as string), '\\n')), all -> array_join(transform(array_sort(concat(places, {never})), i -> all[i]), '\\n'))[0]"))
 
 
 def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:

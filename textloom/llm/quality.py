@@ -14,14 +14,16 @@ ROWS_PER_LABEL = 1200
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = ROWS_PER_LABEL, doc: str = "doc_id", text: str = "text", quality: str = "quality", features: _subword.Features = FEATURES, **options) -> _subword.Model | None:
-    """A model of the labels 0 and 1; None without labelled rows. Repeated labels of one document count as their largest; documents that share an id all have its label."""
+    """A model of the labels 0 and 1; None without labelled rows. Repeated labels of one document count as their largest; documents that share an id have its label, and one of them, chosen by a hash of its text, is learned from."""
     known = labels.where(f"{quality} is not null and {doc} is not null").groupBy(F.col(doc).alias("key")).agg((F.max(quality) >= 1).cast("int").cast("string").alias("label"))
     counts = [tuple(r) for r in known.groupBy("label").count().orderBy("label").collect()]
     if not counts:
         return None
-    # The sample of ids is bounded, so that it may be broadcast; texts are read once and not shuffled.
+    # The sample of ids is bounded, so that it may be broadcast; only its texts are shuffled. Of documents that share an id one teaches.
     ids = bounded_sample(known.withColumn("text", F.lit(None).cast("string")), per_label).select("key", "label")
-    rows = docs.select(F.col(doc).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key")
+    own = docs.select(F.col(doc).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key")
+    rows = own.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("key", "text", "label")
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     got = _subword.gather(rows, features)
     share = dict(counts)
     names = sorted(share)
