@@ -108,3 +108,27 @@ def test_lock_is_held_and_taken_over(tmp_path):
 
 def test_grid():
     assert [m["name"] for m in lineage.grid({"a": [1, 2], "b": [3]}, "{a}-{b}")] == ["1-3", "2-3"]
+
+
+def test_fingerprints_of_rows_are_those_of_stages(spark):
+    configs = [{"k": 1, "name": "a"}, {"k": -2, "name": 'with "quotes" and 100%'}]
+    from textloom.sources.readers import canonical_json
+
+    df = spark.createDataFrame([(canonical_json(c),) for c in configs], "config string")
+    df = df.withColumn("a", lineage.fingerprint_of("a", F.col("config"), {})).withColumn("c", lineage.fingerprint_of('c "%s"', F.col("config"), {"b": F.col("a"), "a": F.col("a")}, 3))
+    for c, r in zip(configs, df.collect(), strict=True):
+        a = lineage.fingerprint("a", c, {})
+        assert (r["a"], r["c"]) == (a, lineage.fingerprint('c "%s"', c, {"a": a, "b": a}, 3))
+
+
+def test_sweeps_have_all_values_and_names(spark):
+    got = rows(lineage.swept(spark.range(2), {"d": [2, 4], "w": ["x"]}, "run{id}-{d}_{w}").select("id", "d", "w", "name"))
+    assert sorted(got) == [(i, d, "x", f"run{i}-{d}_x") for i in range(2) for d in (2, 4)]
+    assert [m["name"] for m in lineage.grid({"d": [2, 4]}, "d{d}")] == ["d2", "d4"]
+
+
+def test_archives_are_made_of_rows(spark):
+    df = spark.createDataFrame([("a.zip", "2", b"two"), ("a.zip", "1", b"one"), ("b.zip", "x", None)], "archive string, path string, content binary")
+    made = archives.zipped(df, "archive")
+    assert sorted(rows(archives.nested_in(made).select("archive", "path", F.decode("content", "UTF-8"), "damaged"))) == [("a.zip", "1", "one", None), ("a.zip", "2", "two", None), ("b.zip", "x", "", None)]
+    assert archives.nested_in(made.withColumn("content", F.lit(None).cast("binary"))).count() == 0

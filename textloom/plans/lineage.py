@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import socket
 import time
@@ -13,6 +14,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame, functions as F
+
 from textloom.sources.readers import canonical_json
 
 
@@ -21,6 +24,14 @@ def fingerprint(stage: str, config: object, parents: dict[str, str], version: in
     return hashlib.sha256(canonical_json(body).encode()).hexdigest()
 
 
+def fingerprint_of(stage: str, config: Column, parents: dict[str, Column], version: int = 1) -> Column:
+    """fingerprint() of each row: config is a column of canonical JSON, parents are columns of fingerprints."""
+    inner = ",".join(f"{json.dumps(name)}:%s" for name in sorted(parents))
+    body = '{"config":%s,"parents":{' + inner + '},"stage":' + json.dumps(stage).replace("%", "%%") + f',"version":{version}}}'
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    return F.sha2(F.format_string(body, quoted(F.sha2(config, 256)), *[quoted(parents[name]) for name in sorted(parents)]), 256)
+
+
 @dataclass
 class Stage:
     name: str
@@ -129,6 +140,14 @@ def grid(axes: dict[str, list], name: str) -> list[dict]:
     return [m | {"name": name.format(**m)} for m in made]
 
 
+def swept(df: DataFrame, axes: dict[str, list], name: str, out: str = "name") -> DataFrame:
+    """df with the product of the axes for every row, and a name filled in from its columns: {column} stands for a column's value."""
+    for axis, values in axes.items():
+        df = df.withColumn(axis, F.explode(F.array(*[F.lit(v) for v in values])))
+    parts = [F.col(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"\{(\w+)\}", name))]
+    return df.withColumn(out, F.concat(*parts))
+
+
 class Lock:
     """A folder lock on a local artifact: held by one process, taken over once its holder is gone.
 

@@ -230,10 +230,11 @@ def preference_encode(spark, sf_dir):
     return e.select("o_orderkey", text("chosen_input").alias("chosen"), text("rejected_input").alias("rejected"), *[F.size(F.filter(f"{s}_mask", lambda x: x)).alias(f"{s}_tokens") for s in ("chosen", "rejected")])
 
 
-@query("select 'd' || d || '_w' || w as name, d, w, d * w as cells from (select unnest([2, 4, 10]) as d), (select unnest([64, 128]) as w)")
+@query("select s_suppkey, 's' || s_suppkey || '_d' || d || '_w' || w as name, d, w, d * w as cells from supplier, (select unnest([2, 4, 10])::INT as d), (select unnest([64, 128])::INT as w)")
 def sweep_grid(spark, sf_dir):
-    made = lineage.grid({"d": [2, 4, 10], "w": [64, 128]}, "d{d}_w{w}")
-    return spark.createDataFrame([(m["name"], m["d"], m["w"]) for m in made], "name string, d int, w int").withColumn("cells", F.col("d") * F.col("w"))
+    """A sweep over two axes for the configuration of each supplier."""
+    made = lineage.swept(table(spark, sf_dir, "supplier").select("s_suppkey"), {"d": [2, 4, 10], "w": [64, 128]}, "s{s_suppkey}_d{d}_w{w}")
+    return made.withColumn("cells", F.col("d") * F.col("w"))
 
 
 _WITH_IMPORTS = ["import os\nfrom re import (\n    sub,\n)\n\ndef f{k}(x):\n    return x\n", "import os\nx = {k}\ndef f(): pass\n", "def broken{k}(:", "def f{k}(x):\n    return x\n", "import os; import sys\ndef f{k}(x):\n    return x", "import os{k}\n"]
@@ -259,18 +260,23 @@ def parse_checks(spark, sf_dir):
     return rows.select("p_partkey", F.array_join("c.checks", ";").alias("checks"), "c.reason")
 
 
-TRUSTED = [("right", "def add(a, b):\n    return a + b\n"), ("wrong", "def add(a, b):\n    return a - b\n"), ("raises", "raise SystemExit(3)\n"), ("silent", "import os\nos._exit(0)\n"), ("late", "import time\ntime.sleep(60)\n")]
+#: Sources of this module by kind. The checks name a part's size, the only thing of a row that gets into them.
+TRUSTED = ["def add(a, b):\n    return a + b\n", "def add(a, b):\n    return a - b\n", "raise SystemExit(3)\n", "import os\nos._exit(0)\n", "import time\ntime.sleep(60)\n"]
+_SIZE = "987654321"
 
 
-@query("""select * from (values ('right', 0, true, 2, 2, null), ('wrong', 0, true, 1, 2, 'checks_do_not_pass_reference'), ('raises', 3, false, 0, 0, 'checks_execution_failed'), ('silent', 0, false, 0, 0, 'checks_marker_missing'),
-('late', null, false, 0, 0, 'checks_timed_out')) t(id, return_code, found, passed, total, reason)""")
+@query("""select p_size, kind, case kind when 2 then 3 when 4 then null else 0 end::INT as return_code, kind < 2 as found, case kind when 0 then 2 when 1 then 1 else 0 end::INT as passed, case when kind < 2 then 2 else 0 end::INT as total,
+case kind when 1 then 'checks_do_not_pass_reference' when 2 then 'checks_execution_failed' when 3 then 'checks_marker_missing' when 4 then 'checks_timed_out' end as reason
+from (select distinct p_size, case when p_partkey % 4 = 3 and p_size % 25 = 0 then 4 else p_partkey % 4 end::INT as kind from part)""")
 def run_checks(spark, sf_dir):
-    """Two checks against sources of this module; no row of a table is ever run."""
-    rows = [(i, code.harness(s, ["add(2, 0) == 2", "add(1, 2) == 3"])) for i, s in TRUSTED]
-    ran = code.run_sources(spark.createDataFrame(rows, "id string, source string"), "source", 5.0, allow=True)
-    m = ran.withColumn("m", T.check_marker("output"))
+    """Two checks, of the size of a part, against sources of this module, for each size and kind of parts; no row of a table is ever run."""
+    kind = F.when((F.col("p_partkey") % 4 == 3) & (F.col("p_size") % 25 == 0), 4).otherwise(F.col("p_partkey") % 4).cast("int")
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("p_size"), kind.alias("kind")).distinct().repartition(spark.sparkContext.defaultParallelism)
+    texts = F.array(*[F.lit(code.harness(s, [f"add({_SIZE}, 0) == {_SIZE}", f"add(1, {_SIZE}) == {_SIZE} + 1"])) for s in TRUSTED])
+    sources = rows.withColumn("source", F.replace(F.get(texts, F.col("kind")), F.lit(_SIZE), F.col("p_size").cast("string")))
+    m = code.run_sources(sources, "source", 5.0, allow=True).withColumn("m", T.check_marker("output"))
     reason = code.reference_reason(F.col("timed_out"), F.col("return_code"), F.col("m.found"), F.col("m.passed"), F.col("m.total"))
-    return m.select("id", "return_code", "m.found", F.col("m.passed").cast("int").alias("passed"), F.col("m.total").cast("int").alias("total"), reason.alias("reason"))
+    return m.select("p_size", "kind", "return_code", "m.found", F.col("m.passed").cast("int").alias("passed"), F.col("m.total").cast("int").alias("total"), reason.alias("reason"))
 
 
 @query("select replace(replace(replace('python_' || replace(lower(p_type), ' ', '_') || '_small', 'python_', ''), '_small', ''), '_', '-') as short, count(*) as n from part group by 1")

@@ -5,9 +5,7 @@ Files go to the session's shared folder. Local sources and stages need it to be
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -80,23 +78,15 @@ def completed_attempts(spark, sf_dir):
     return readers.completed_attempts(spark, path).select(F.col("seed_id"), F.col("sample_index"))
 
 
-@query("select 'inner-' || n_regionkey || '.zip' as inside, n_name || '.txt' as path, length(n_name)::BIGINT as size, n_name as text, null::VARCHAR as damaged from nation")
+@query("select 'outer-' || doc_id // 1000 || '.zip!inner-' || doc_id // 100 || '.zip' as inside, lpad(doc_id::varchar, 6, '0') || '.txt' as path, strlen(text)::BIGINT as size, sha256(text) as h, null::VARCHAR as damaged from documents where text is not null")
 def archive_scan(spark, sf_dir):
-    """Nations as files of an archive for each region, all in one archive."""
-    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_name").collect()
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as outer:
-        for region in sorted({r["n_regionkey"] for r in rows}):
-            inner = io.BytesIO()
-            with zipfile.ZipFile(inner, "w") as archive:
-                for r in rows:
-                    if r["n_regionkey"] == region:
-                        archive.writestr(f"{r['n_name']}.txt", r["n_name"])
-            outer.writestr(f"inner-{region}.zip", inner.getvalue())
-    folder = _local(spark, "archives")
-    (folder / "all.zip").write_bytes(out.getvalue())
-    got = archives.nested(spark, f"file://{folder}/all.zip")
-    return got.select(F.substring_index("archive", "!", -1).alias("inside"), "path", "size", F.decode("content", "UTF-8").alias("text"), "damaged")
+    """Documents as files of an archive for each hundred ids, ten of which stand in another one."""
+    ids = lambda kind, by: F.concat(F.lit(kind), F.floor(F.col("doc_id") / by).cast("string"), F.lit(".zip"))
+    rows = table(spark, sf_dir).where("text is not null").select("doc_id", F.format_string("%06d.txt", "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"), ids("inner-", 100).alias("archive"))
+    inner = archives.zipped(rows, "archive")
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    outer = archives.zipped(inner.withColumn("archive", F.concat(F.lit("outer-"), F.floor(number / 10).cast("string"), F.lit(".zip"))), "archive")
+    return archives.nested_in(outer).select(F.col("archive").alias("inside"), "path", "size", F.sha2("content", 256).alias("h"), "damaged")
 
 
 @query("select o_orderpriority || '/' || o_orderstatus as path, arg_max(o_clerk, o_orderkey) as content from (select *, 'order ' || o_orderkey as o_clerk from orders) group by 1")
@@ -116,12 +106,9 @@ _PRINT = "sha256('{\"config\":\"' || sha256('{\"k\":' || n_nationkey || ',\"name
 select n_nationkey::BIGINT as k, p as parent, {_PRINT.replace('{0}', "('{" + chr(34) + "a" + chr(34) + ":" + chr(34) + "' || p || '" + chr(34) + "}')").replace('{1}', 'b')} as child from a""")
 def stage_fingerprints(spark, sf_dir):
     """Nations as configurations of two stages, one the other's parent."""
-    made = []
-    for r in table(spark, sf_dir, "nation").collect():
-        config = {"name": r["n_name"], "k": int(r["n_nationkey"])}
-        prints = lineage.resolve([lineage.Stage("b", config, ["a"]), lineage.Stage("a", config)])
-        made.append((config["k"], prints["a"], prints["b"]))
-    return spark.createDataFrame(made, "k long, parent string, child string")
+    config = F.to_json(F.struct(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name")))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), config.alias("config"))
+    return rows.withColumn("parent", lineage.fingerprint_of("a", F.col("config"), {})).withColumn("child", lineage.fingerprint_of("b", F.col("config"), {"a": F.col("parent")})).drop("config")
 
 
 @query("""select * from (values ('first', 'a', 'complete'), ('first', 'b', 'failed: ValueError: bad'), ('first', 'c', 'skipped'), ('first', 'd', 'complete'), ('again', 'a', 'cached'), ('again', 'b', 'failed: ValueError: bad'), ('again', 'c', 'skipped'), ('again', 'd', 'cached'),

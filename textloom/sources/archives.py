@@ -39,15 +39,34 @@ def members(archive: str, data: bytes, inner: str = ".zip") -> Iterator[tuple]:
                 yield archive, info.filename, info.file_size, content, bad
 
 
-def nested(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A row for each file in the archives and in archives within them; one archive is one task's work."""
+def nested_in(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """A row for each file in the archives (path, content) and in archives within them; one archive is one task's work. Null contents have no files."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                yield pd.DataFrame(members(path, bytes(content)), columns=["archive", "path", "size", "content", "damaged"])
+            for name, data in zip(part["path"], part["content"], strict=True):
+                yield pd.DataFrame(members(name, bytes(data)), columns=["archive", "path", "size", "content", "damaged"])
+
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).where("content is not null").mapInPandas(run, MEMBER)
+
+
+def nested(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A row for each file in the archives at the paths and in archives within them."""
+    return nested_in(spark.read.format("binaryFile").load(paths))
+
+
+def zipped(entries: DataFrame, archive: str, path: str = "path", content: str = "content") -> DataFrame:
+    """path, content: a small zip for each value of the column `archive`, its name, of its entries in order of their paths. An archive is of bounded size, as one task makes it; a large one is a bundle."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+            for _, name, data in sorted(zip(part["archive"], part["path"], part["content"], strict=True), key=lambda r: r[1]):
+                made.writestr(zipfile.ZipInfo(name), bytes(data), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"path": part["archive"].iloc[:1], "content": [out.getvalue()]})
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, MEMBER)
+    own = entries.select(F.col(archive).alias("archive"), F.col(path).alias("path"), F.coalesce(F.col(content), F.lit(b"")).alias("content"))
+    return own.groupBy("archive").applyInPandas(run, "path string, content binary")
 
 
 class Member(NamedTuple):
