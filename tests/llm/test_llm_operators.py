@@ -431,6 +431,22 @@ def test_mix_shards_are_full_draws(spark):
     assert all(abs(own[s] / 100 - share) < 0.2 for s in range(last)) and len({own[s] for s in range(last)}) > 1
 
 
+def test_mix_counts_of_shards_follow_their_law(spark):
+    """A shard's counts of the sources are those of a draw of its places out of all slots: mean and variance over 100 shards, and between sources."""
+    sources = spark.createDataFrame([(0, 200_000, 64.0 * 3200), (1, 90_000, 64.0 * 1920), (2, 90_000, 64.0 * 1280)], "sid long, source_size long, target double")
+    for seed in (0, 1, 2):
+        got = mixing.slots(sources, 64, 64, seed).groupBy("shard", "sid").count().collect()
+        n = {(r["shard"], r["sid"]): r["count"] for r in got}
+        total, shards = sum(n.values()), max(s for s, _ in n)  # the last one may be short
+        for sid in range(3):
+            share = sum(n.get((s, sid), 0) for s in range(shards + 1)) / total
+            spread = 64 * share * (1 - share) * (total - 64) / (total - 1)
+            z = sum((n.get((s, sid), 0) - 64 * share) ** 2 for s in range(shards)) / spread
+            assert 55 < z < 155, (seed, sid, z)  # chi-square of about 99 degrees: a thousandth lies outside on either side
+        a, b = ([n.get((s, sid), 0) for s in range(shards)] for sid in (0, 1))
+        assert np.corrcoef(a, b)[0, 1] < -0.4  # -0.65 by the law
+
+
 def test_mix_of_rows_that_share_an_id(spark):
     rows = [(1, "a b c d", None, "s", 0), (1, "a b", None, "s", 0), (1, "a b", None, "s", 0), (None, "x y z", None, None, 0), (None, None, None, None, 0)]
     df = spark.createDataFrame(rows, DOCS)
