@@ -1,5 +1,6 @@
 """Prefix scans over ranges of positions, ordered unions, drawn orders and packing, against plain versions."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -133,3 +134,24 @@ def test_no_row_carries_a_whole_document(spark):
         assert plan.count("Generate explode") == 1
         above = plan.split("Generate explode")[0]
         assert not re.search(r"\b(tokens|t)#\d+", above)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_a_packing_run_on_byte_pairs(spark, monkeypatch):
+    """The index of the shards against a plain run: rewritten texts, their ids between marks, one stream, rows and shards."""
+    from textloom.operators import byte_pairs, curate, tokenize
+    from textloom.plans import queries, run_queries
+
+    monkeypatch.setattr(run_queries, "PAIRS", 150)
+    source = queries.docs(spark, "/root/testdata/sf0.001")
+    index = sorted(map(tuple, run_queries.pack_run_pairs(spark, "/root/testdata/sf0.001").select("shard", "first_sequence", "sequences", "tokens").collect()))
+    marks = ("<fim_prefix>", "<fim_suffix>", "<fim_middle>")
+    tokens = tokenize.BytePairs(tuple(byte_pairs.train(source, 150)), marks, "<bos>", "<eos>", "<pad>")
+    texts = [r["text"] for r in curate.fill_in_middle(source, 0.5, 10).orderBy("pos").collect() if r["text"] is not None]
+    assert any(m in t for t in texts for m in marks)
+    ids = [tokens.encode(t, True, True) for t in texts]
+    assert all(tokens.decode(i) == re.sub("|".join(marks), "", t) for i, t in zip(ids, texts, strict=True))
+    total = sum(map(len, ids))
+    rows = -(-(total - 1) // 256)
+    held = 1_000_000 // 257
+    assert index == [(k, k * held, min(held, rows - k * held), min(held, rows - k * held) * 257) for k in range(-(-rows // held))]
