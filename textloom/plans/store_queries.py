@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.operators import curate, order, tokenize
 from textloom.plans import lineage
 from textloom.plans.queries import docs, query
-from textloom.session import table, temporary
+from textloom.session import spread, table, temporary
 from textloom.sources import archives, manifests, readers, scalars
 
 
@@ -35,10 +35,14 @@ def inline_documents(spark, sf_dir):
 def local_documents(spark, sf_dir):
     """Benchmark items as local files, found by a pattern and by name; pos is that of the path."""
     folder = _local(spark, "texts")
-    rows = table(spark, sf_dir, "benchmark").collect()  # a local source: its files are written here
-    for r in rows:
-        (folder / f"{r['item_id']:06d}.txt").write_text(r["text"], encoding="utf-8")
-    config = {"type": "local_text", "glob_patterns": [f"{folder}/**/*.txt"], "paths": [str(folder / f"{rows[0]['item_id']:06d}.txt")]}
+    rows = table(spark, sf_dir, "benchmark").select(F.format_string("%06d.txt", "item_id").alias("name"), "text")
+
+    def put(part):
+        for r in part:
+            (folder / r["name"]).write_text(r["text"], encoding="utf-8")
+
+    rows.foreachPartition(put)  # each task writes its files into the folder that all share
+    config = {"type": "local_text", "glob_patterns": [f"{folder}/**/*.txt"], "paths": [str(folder / rows.agg(F.min("name")).first()[0])]}
     got = readers.documents(spark, config)
     return got.select(F.sha2("text", 256).alias("h"), "pos", F.col("document_id").rlike("^local-text-[0-9a-f]{24}$").alias("named"))
 
@@ -154,6 +158,16 @@ def merged_pairs(spark, sf_dir):
     return rows.select("pos", F.size("plain").alias("tokens"), F.size("around").alias("marked"), tokenize.bpe_decode(tokens)("around").alias("back"))
 
 
+@query("select doc_id as pos, length(text)::INT as characters, (strlen(text) - len(regexp_extract_all(text, 'th')))::INT as pairs from documents where text is not null")
+def tokenizer_files(spark, sf_dir):
+    """Documents under a character vocabulary and byte pairs that were saved, and loaded again."""
+    folder, rows = temporary(spark, "tokenizers"), spread(table(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("pos"), "text"))
+    tokenize.save_characters(spark, {r["token"]: r["id"] for r in tokenize.character_vocabulary(rows).collect()}, f"{folder}/characters")
+    tokenize.BytePairs(((b"t", b"h"),), eos="<eos>").save(spark, f"{folder}/pairs")
+    counted = tokenize.character_encode(rows, tokenize.load_characters(spark, f"{folder}/characters")).withColumn("characters", F.size("tokens"))
+    return counted.withColumn("ids", tokenize.bpe_encode(tokenize.BytePairs.load(spark, f"{folder}/pairs"))("text")).select("pos", "characters", F.size("ids").alias("pairs"))
+
+
 @query("select doc_id as pos, true as same, true as fewer from documents where text is not null")
 def library_pairs(spark, sf_dir):
     """Documents under the library's merges of a bounded sample: whether they come back whole, from fewer tokens than bytes."""
