@@ -95,9 +95,11 @@ def slots(by_source: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLO
 def _numbered(sized: DataFrame, groups: int) -> DataFrame:
     """sized (row, h and what h is of) with k, which numbers the rows that are alike in all but their row, from 0.
 
-    Most have no equal. The others are numbered within lots, dealt out by row, from where the lots before have ended, so that no task has all of them.
+    Where no row has an equal, all are 0. Else they are numbered within lots, dealt out by row, from where the lots before have ended, so that no task has all of them.
     """
     same = ["h", "doc_id", "t", "size"]
+    if sized.groupBy(*same).count().where("count > 1").isEmpty():
+        return sized.withColumn("k", F.lit(0).cast("long"))
     lots = sized.withColumn("lot", F.pmod(F.xxhash64("row"), F.lit(groups)))
     counts = lots.groupBy(*same, "lot").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*same).orderBy("lot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
