@@ -399,6 +399,18 @@ def test_packing_run(spark, tmp_path):
         pack.write_shards(packed, str(tmp_path / "small"), 5, 4)
 
 
+def test_small_shards_share_files(spark, tmp_path):
+    """300 shards of a row each in a file, and one a file where shards are large; whole either way."""
+    rows = spark.range(300).select(F.col("id").alias("k"), F.array(F.col("id").cast("int"), F.lit(1)).alias("token_ids")).repartition(3)
+    for most, files in ((2, 1), (1 << 20, 1), (200, 1)):
+        out = tmp_path / str(most)
+        index = pack.write_shards(rows, str(out), 2, most)
+        per = most // 2
+        assert sorted((r["shard"], r["sequences"], r["first_sequence"]) for r in index.collect()) == [(s, min(per, 300 - s * per), s * per) for s in range(-(-300 // per))]
+        assert sorted((r["shard"], r["k"], r["token_ids"]) for r in spark.read.parquet(str(out / "shards")).collect()) == [(k // per, k, [k, 1]) for k in range(300)]
+        assert len(list((out / "shards").rglob("*.parquet"))) == files
+
+
 def test_training_split(spark):
     df = readers.inline(spark, ["a", "b"]).withColumn("split", F.when(F.col("pos") == 0, "train"))
     assert pack.training_split(df).count() == 1 and pack.training_split(df.where("pos = 1")).count() == 1

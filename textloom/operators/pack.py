@@ -27,8 +27,9 @@ def per_document(df: DataFrame, context: int, pad: int, tokens: str = "tokens",
 def across_documents(df: DataFrame, context: int, pad: int, tokens: str = "tokens", pos: str = "pos") -> DataFrame:
     """k, token_ids: rows of one stream of all documents by pos; the last row is padded if two tokens or more are left for it.
 
-    Tokens are written once beside their numbers, from which each document's offset comes. Each document is cut at the rows it reaches,
-    and the pieces of a row meet by a shuffle: no task walks the whole stream, and no row but a document's own holds all its tokens.
+    Tokens are written once beside their numbers, from which each document's offset comes. Each document is cut at the rows it reaches.
+    Rows that lie in one document are whole as they are; only the pieces of others, two a document at most, meet by a shuffle: no task walks the whole
+    stream, and no row but a document's own holds all its tokens.
     """
     spark = df.sparkSession
     sized = df.where(F.size(tokens) >= 2).select(F.col(pos).alias("pos"), F.col(tokens).cast("array<int>").alias("t"), F.size(tokens).cast("long").alias("n"))
@@ -45,9 +46,17 @@ def across_documents(df: DataFrame, context: int, pad: int, tokens: str = "token
         a, b = F.greatest(k * context, F.col("start")), F.least((k + 1) * context, F.col("end") - 1)
         return F.struct(k.alias("k"), a.alias("a"), F.slice("t", (a - F.col("start") + 1).cast("int"), F.greatest(b - a + 1, F.lit(0)).cast("int")).alias("p"))
 
-    pieces = placed.where(first <= last).select(F.explode(F.transform(F.sequence(first, last), piece)).alias("c")).select("c.*").where(F.size("p") > 0)
-    whole = pieces.groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", "p"))), lambda x: x["p"])).alias("x"))
-    return whole.select("k", F.concat("x", F.array_repeat(F.lit(pad), context + 1 - F.size("x"))).alias("token_ids"))
+    # The rows whose first and last token are both the document's.
+    inside = lambda k: (k * context >= F.col("start")) & ((k + 1) * context < F.col("end"))
+    reached = placed.where(first <= last)
+
+    def cut(own: bool) -> DataFrame:
+        rows = F.filter(F.sequence(first, last), inside if own else lambda k: ~inside(k))
+        return reached.select(F.explode(F.transform(rows, piece)).alias("c")).select("c.*")
+
+    whole = cut(False).where(F.size("p") > 0).groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", "p"))), lambda x: x["p"])).alias("x"))
+    met = whole.select("k", F.concat("x", F.array_repeat(F.lit(pad), context + 1 - F.size("x"))).alias("token_ids"))
+    return cut(True).select("k", F.col("p").alias("token_ids")).unionByName(met)
 
 
 def statistics(rows: DataFrame, pad: int) -> DataFrame:
@@ -88,9 +97,14 @@ def pack(docs: DataFrame, encode: Callable[[DataFrame], DataFrame], context: int
     return checked(rows.join(starts, "pos").select((F.col("start") + F.col("k")).alias("k"), "token_ids"))
 
 
+#: Tokens that a file of shards has at least, as far as there are so many: smaller shards share one.
+FILE_TOKENS = 1 << 20
+
+
 def write_shards(rows: DataFrame, path: str, row_tokens: int, max_tokens: int) -> DataFrame:
-    """Writes rows (k, token_ids) as one Parquet file a shard under path/shards and returns the index that it writes to path/index.
+    """Writes rows (k, token_ids) with their shard as Parquet files under path/shards and returns the index that it writes to path/index.
 
+    A file has one shard, or so many whole ones in their order that it has about FILE_TOKENS: a file each would be a million of a few kilobytes for 6 GB of text in shards of 6,500 tokens.
     A shard holds as many rows as fit into max_tokens. Rows of another length than row_tokens, tokens outside 16 bits, shards
     too small for a row and an empty table are errors. The index has shard, sequences, tokens and
     first_sequence; it is written last, so that a reader who finds it finds all shards.
@@ -103,7 +117,9 @@ def write_shards(rows: DataFrame, path: str, row_tokens: int, max_tokens: int) -
     held = temporary(spark, "packed-rows")
     checked(rows.withColumn("token_ids", even)).withColumn("shard", shard_of("k", row_tokens, max_tokens)).write.parquet(held)
     placed = spark.read.parquet(held)
-    placed.repartition("shard").sortWithinPartitions("shard", "k").write.partitionBy("shard").parquet(f"{path}/shards")
+    files = placed.withColumn("file", F.floor(F.col("shard") / max(1, FILE_TOKENS // max_tokens)))
+    # Tasks put their files in place themselves, else the driver moves one after the other; the index says when all are there.
+    files.repartition("file").sortWithinPartitions("file", "k").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").parquet(f"{path}/shards")
     index = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("sequences"), F.min("k").alias("first_sequence")).withColumn("tokens", F.col("sequences") * row_tokens)
     if index.isEmpty():
         raise ValueError("packing made no rows")
