@@ -7,6 +7,8 @@ import zipfile
 from io import BytesIO
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -399,6 +401,21 @@ def test_packing_run(spark, tmp_path):
         pack.write_shards(packed, str(tmp_path / "small"), 5, 4)
 
 
+def test_tokenizers_take_arrow_arrays(spark):
+    """Texts and ids without an object an id: nulls, empty texts and slices; the library's encoding stands once in a plan."""
+    assert tokenize._lists([None, np.array([1, 2]), [], [3]]).to_pylist() == [None, [1, 2], [], [3]]
+    assert [x if x is None else x.tolist() for x in tokenize._arrays(pa.array([[9], None, [], [4, 5]], pa.list_(pa.int32())).slice(1))] == [None, [], [4, 5]]
+    df = spark.createDataFrame([(0, "héab"), (1, None), (2, ""), (3, "bb")], "pos long, text string").coalesce(1)
+    vocabulary = {"<bos>": 0, "a": 1, "b": 2, "h": 3, "é": 4}
+    got = tokenize.character_decode(tokenize.character_encode(df, vocabulary), vocabulary).orderBy("pos").collect()
+    assert [(r["tokens"], r["decoded"]) for r in got] == [([3, 4, 1, 2], "héab"), (None, None), ([], ""), ([2, 2], "bb")]
+    pairs = tokenize.BytePairs(((b"a", b"b"),))
+    back = df.withColumn("ids", tokenize.bpe_encode(pairs)("text")).withColumn("back", tokenize.bpe_decode(pairs)("ids")).orderBy("pos").collect()
+    assert [r["back"] for r in back] == ["héab", None, "", "bb"] and [r["ids"] and len(r["ids"]) for r in back] == [4, None, [], 2]
+    once = df.withColumn("ids", tokenize.library_encode(tokenize.LibraryPairs("{}"))("text")).select(F.size("ids"), F.array_max("ids"))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("run(text") == 1
+
+
 def test_small_shards_share_files(spark, tmp_path):
     """300 shards of a row each in a file, and one a file where shards are large; whole either way."""
     rows = spark.range(300).select(F.col("id").alias("k"), F.array(F.col("id").cast("int"), F.lit(1)).alias("token_ids")).repartition(3)

@@ -9,10 +9,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from textloom.operators import byte_pairs
 from textloom.sources.manifests import read_text, write_text
@@ -40,6 +39,24 @@ def once(function):
     return function.asNondeterministic()
 
 
+def _lists(rows: Sequence[np.ndarray | Sequence[int] | None]) -> pa.Array:
+    """Arrays of ids as one Arrow array: no Python object is made for an id."""
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in rows)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in rows if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in rows], pa.bool_()))
+
+
+def _arrays(values: pa.Array) -> Iterator[np.ndarray | None]:
+    for v in values:
+        yield v.values.to_numpy(zero_copy_only=False) if v.is_valid else None
+
+
+def _known(values: pa.Array, encode) -> pa.Array:
+    """The ids of the texts that are there, by a function of all of them."""
+    found = iter(encode(values.drop_null().to_pylist()))
+    return _lists([next(found) if there else None for there in values.is_valid().to_pylist()])
+
+
 #: Code points there are: an alphabet is no larger, which bounds what encoding broadcasts to 4.5 MB.
 _POINTS = 0x110000
 
@@ -62,9 +79,9 @@ def character_encode(df: DataFrame, vocabulary: dict[str, int], text: str = "tex
         parts = [plain(p) if k % 2 == 0 else np.array([vocabulary[p]], np.int32) for k, p in enumerate(_pieces(value, specials))]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
-    @pandas_udf("array<int>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else encode(v))
+    @arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        return _known(values, lambda found: map(encode, found))
 
     return df.withColumn("tokens", once(run)(text))
 
@@ -73,9 +90,9 @@ def character_decode(df: DataFrame, vocabulary: dict[str, int], tokens: str = "t
     """df with the text of the ids, special tokens left out; an id outside the vocabulary is an error."""
     texts = {i: "" if t in specials else t for t, i in vocabulary.items()}
 
-    @pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else "".join(texts[i] for i in v))
+    @arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else "".join(map(texts.__getitem__, v.tolist())) for v in _arrays(values)], pa.string())
 
     return df.withColumn(out, run(tokens))
 
@@ -151,7 +168,7 @@ def train_on(df: DataFrame, merges: int, text: str = "text") -> DataFrame:
 
 
 #: Texts are put together in groups of about so many bytes.
-_GROUP_BYTES = 1 << 21
+_GROUP_BYTES = 1 << 19
 
 
 def _groups(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
@@ -262,12 +279,9 @@ def bpe_encode(merges: Sequence[tuple[bytes, bytes]] | BytePairs, bos: bool = Fa
     """An Arrow function from text to token ids."""
     tokens = merges if isinstance(merges, BytePairs) else BytePairs(tuple(merges))
 
-    @pandas_udf("array<int>")
-    def run(values: pd.Series) -> pd.Series:
-        known = values.notna()
-        out = pd.Series([None] * len(values), index=values.index, dtype=object)
-        out[known] = pd.Series(tokens.encode_all(values[known].tolist(), bos, eos), index=values.index[known], dtype=object)
-        return out
+    @arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        return _known(values, lambda found: tokens.encode_all(found, bos, eos))
 
     return once(run)
 
@@ -276,9 +290,9 @@ def bpe_decode(merges: Sequence[tuple[bytes, bytes]] | BytePairs):
     """An Arrow function from token ids to text."""
     tokens = merges if isinstance(merges, BytePairs) else BytePairs(tuple(merges))
 
-    @pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else tokens.decode(v))
+    @arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else tokens.decode(v.tolist()) for v in _arrays(values)], pa.string())
 
     return run
 
@@ -333,7 +347,7 @@ class LibraryPairs:
 
     def decode_all(self, ids: Sequence[Sequence[int]]) -> list[str]:
         """The texts of ids, special tokens left out."""
-        return self._model().decode_batch([list(x) for x in ids], skip_special_tokens=True)
+        return self._model().decode_batch([np.asarray(x).tolist() for x in ids], skip_special_tokens=True)
 
     def save(self, spark: SparkSession, folder: str) -> None:
         body = {"format": "library_pairs", "tokenizer": json.loads(self.body), "specials": list(self.specials), "bos": self.bos, "eos": self.eos, "pad": self.pad}
@@ -350,24 +364,19 @@ class LibraryPairs:
 def library_encode(tokens: LibraryPairs, bos: bool = False, eos: bool = False):
     """An Arrow function from text to token ids."""
 
-    @pandas_udf("array<int>")
-    def run(values: pd.Series) -> pd.Series:
-        known = values.notna()
-        out = pd.Series([None] * len(values), index=values.index, dtype=object)
-        out[known] = pd.Series(tokens.encode_all(values[known].tolist(), bos, eos), index=values.index[known], dtype=object)
-        return out
+    @arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        return _known(values, lambda found: tokens.encode_all(found, bos, eos))
 
-    return run
+    return once(run)
 
 
 def library_decode(tokens: LibraryPairs):
     """An Arrow function from token ids to text."""
 
-    @pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        known = values.notna()
-        out = pd.Series([None] * len(values), index=values.index, dtype=object)
-        out[known] = tokens.decode_all(values[known].tolist())
-        return out
+    @arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        found = iter(tokens.decode_all([v for v in _arrays(values) if v is not None]))
+        return pa.array([next(found) if there else None for there in values.is_valid().to_pylist()], pa.string())
 
     return run

@@ -29,7 +29,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     )
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -40,6 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     ship(spark)
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, "2000")
+    if spark.conf.get(_BYTES) == "67108864b":
+        spark.conf.set(_BYTES, "16m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
