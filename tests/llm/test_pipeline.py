@@ -181,3 +181,22 @@ def test_benchmark_passages_do_not_stay(spark, monkeypatch):
             assert t.count("ownword899") == (1 if d == 4 else 2) and n == len(t) and d != 1
         found = pipeline.decontaminate.matches(out, table(spark, DIR, "benchmark"))
         assert found.where("exists(spans, s -> s.last - s.first + 1 >= 13)").count() == 0
+
+
+def test_plans_are_narrow(spark, monkeypatch):
+    """The driver holds, all at once, what belongs to the exchanges of a plan."""
+    wide, written = {}, pipeline.ngram_join.written
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    def seen(df, name):
+        wide[name] = max(exchanges(df), wide.get(name, 0))
+        return written(df, name)
+
+    for module in (pipeline.ngram_join, pipeline.mixing):
+        monkeypatch.setattr(module, "written", seen)
+    docs = table(spark, DIR).limit(60)
+    for stage in (pipeline.drop_copies, pipeline.mix_sources):
+        wide[stage.__name__] = exchanges(stage(spark, docs, DIR))
+    assert max(wide.values()) <= 16, wide

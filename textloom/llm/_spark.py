@@ -10,23 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.session import delete, temporary
 
 _open: list[list[str]] = []
-#: After so many tables the driver collects its garbage: what jobs have shuffled and broadcast is freed only then, and its memory given back.
-TABLES = 8
-_written = [0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
     Later stages recompute nothing above this point and survive a lost executor. The table is
-    deleted when the program ends, or scratch() before.
+    deleted when the program ends, or scratch() before. After each table the driver collects its garbage: what jobs have
+    shuffled and broadcast is freed only then.
     """
     spark = df.sparkSession
     path = temporary(spark, name)
     df.write.parquet(path)
-    _written[0] += 1
-    if _written[0] % TABLES == 0:
-        spark._jvm.System.gc()
+    spark._jvm.System.gc()
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

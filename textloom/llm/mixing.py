@@ -170,9 +170,11 @@ def placed(docs: DataFrame, block: int = BLOCK, seed: int = 0, doc: str = "doc_i
     names = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns))), strict=True))
     rows = keyed(plain(docs))
     tagged, sources = _sized(rows, names[doc], names[text], names[source])
-    held = pieces(tagged.where("size > 0"), sources, tagged.count(), block, seed)
+    # Written, as are the placements, so that the driver holds the plans of the pieces, of the slots and of the texts one after the other.
+    held = written(pieces(tagged.where("size > 0"), sources, tagged.count(), block, seed), "mix-pieces")
     met = slots(sources, block, seed=seed).join(held.hint("merge"), ["sid", "block"]).withColumn("n", F.least(F.col("n"), F.col("most") - F.col("off"))).where("n > 0")
     put = met.groupBy("row").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "place", "at", "n"))).alias("placements"))
+    put = written(put, "mix-put")
     none = F.array().cast("array<struct<shard:bigint,place:bigint,at:bigint,n:bigint>>")
     notes = tagged.join(sources, "sid").join(put, "row", "left").select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("placements", none).alias("placements"))
     # Texts are dealt out once, and not sorted: each task holds its part of the notes.

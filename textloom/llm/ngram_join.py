@@ -386,9 +386,10 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     profile = profiled.where("segment is null").select("doc_id", "n", "key", "parity")
     # One row a segment comes to the driver: a fixed 2**SKETCH_BITS bytes before compression.
     rows = profiled.where("segment is not null").select("segment", "sketch").repartition(SEGMENTS, "segment").mapInArrow(_classes, "segment int, classes binary").collect()
-    parts = {r["segment"]: zlib.decompress(r["classes"]) for r in rows}
+    parts = {r["segment"]: r["classes"] for r in rows}
     size = (1 << SKETCH_BITS) // SEGMENTS
-    classes = zlib.compress(b"".join(parts.get(s, bytes(size)) for s in range(SEGMENTS)), 1)
+    classes = zlib.compress(b"".join(zlib.decompress(parts[s]) if s in parts else bytes(size) for s in range(SEGMENTS)), 1)
+    release()
     total = profile.agg(F.sum("n")).first()[0] or 0
     segments = max(12, -(-int(total * (1 - threshold[0] / threshold[1])) // SEGMENT_ENTRIES))
     packed = source.select("text").mapInArrow(_index(classes, segments, width, threshold), _INDEX).repartition(segments, "segment")
@@ -404,7 +405,8 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     # Only lists over several components; their largest component's inner pairs need no look.
     # A list of a frequent shingle alone is asked only for the sets that do not index it in pairs.
     spread = placed.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("kind").alias("k"), F.max("single").alias("s")).where("low < high and (k = 0 or s)").select("list")
-    open_ = placed.join(spread, "list")
+    # Written, as what follows uses it several times: as one plan it all had 54 exchanges.
+    open_ = written(placed.join(spread, "list"), "open-lists")
     top = open_.groupBy("list", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.max(F.struct("k", "c")).alias("t")).select("list", F.col("t.c").alias("t"))
     sides = open_.join(top, "list").groupBy("list", "t").agg(F.sum(F.expr("if(c != t, 1, 0)")).alias("strays"), F.sum(F.expr("if(single, 1, 0)")).alias("singles"), F.max("kind").alias("of"), F.count(F.lit(1)).alias("all"))
     # Every pair asked for has a side outside the largest component, and in such a list a side that is single: the fewer go first.
@@ -442,10 +444,10 @@ def _nodes(profile: DataFrame) -> DataFrame:
 
 
 def _classed(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """key, component of the classes of links between keys."""
+    """key, component of the classes of links between keys, as a table of its own."""
     ends = lambda x: nodes.select(F.col("key").alias(x), F.col("node").alias(f"node_{x}"))
     named = links.select("a", "b").join(ends("a"), "a").join(ends("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return nodes.join(components(named), "node").select("key", "component")
+    return written(nodes.join(components(named), "node").select("key", "component"), "classed")
 
 
 def _verify(spark, source: DataFrame, profile: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
